@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm.q_bpe import op1_bpe_encode_decode
+from corvane.llm.q_rans import op9_token_id_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_encode_decode": op1_bpe_encode_decode,
+        "op9_token_id_output": op9_token_id_output,
     }
 
 
