@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm.q_bpe import op1_bpe_encode_decode
 from corvane.llm.q_rans import op9_token_id_output
+from corvane.llm.q_simhash import op8_simhash_near_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_encode_decode": op1_bpe_encode_decode,
+        "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_token_id_output": op9_token_id_output,
     }
 
