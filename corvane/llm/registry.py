@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm.q_bpe import op1_bpe_encode_decode
-from corvane.llm import q_linededup, q_topk
+from corvane.llm import q_langid, q_linededup, q_topk, q_urlfilter
 from corvane.llm.q_rans import op9_token_id_output
 from corvane.llm.q_simhash import op8_simhash_near_dedup
 
@@ -16,6 +16,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_encode_decode": op1_bpe_encode_decode,
         "op4_line_dedup": q_linededup.op4_line_dedup,
+        "op6_url_filter": q_urlfilter.op6_url_filter,
+        "op7_language_id": q_langid.op7_language_id,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_token_id_output": op9_token_id_output,
         "op10_exact_top_k": q_topk.op10_exact_top_k,
@@ -23,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": q_linededup.ORACLE, "op10_exact_top_k": q_topk.ORACLE}
+    return {"op4_line_dedup": q_linededup.ORACLE, "op6_url_filter": q_urlfilter.ORACLE, "op10_exact_top_k": q_topk.ORACLE}
