@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm.q_bpe import op1_bpe_encode_decode
-from corvane.llm import q_langid, q_linededup, q_topk, q_urlfilter
+from corvane.llm import q_langid, q_linededup, q_quality, q_topk, q_urlfilter
 from corvane.llm.q_rans import op9_token_id_output
 from corvane.llm.q_simhash import op8_simhash_near_dedup
 
@@ -15,6 +15,7 @@ from corvane.llm.q_simhash import op8_simhash_near_dedup
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_encode_decode": op1_bpe_encode_decode,
+        "op2_quality_classifier": q_quality.op2_quality_classifier,
         "op4_line_dedup": q_linededup.op4_line_dedup,
         "op6_url_filter": q_urlfilter.op6_url_filter,
         "op7_language_id": q_langid.op7_language_id,
