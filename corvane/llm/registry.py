@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm.q_bpe import op1_bpe_encode_decode
-from corvane.llm import q_decontam, q_langid, q_linededup, q_quality, q_topk, q_urlfilter
+from corvane.llm import q_decontam, q_hmm, q_langid, q_linededup, q_quality, q_topk, q_urlfilter
 from corvane.llm.q_rans import op9_token_id_output
 from corvane.llm.q_simhash import op8_simhash_near_dedup
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_classifier": q_quality.op2_quality_classifier,
         "op3_benchmark_decontamination": q_decontam.op3_benchmark_decontamination,
         "op4_line_dedup": q_linededup.op4_line_dedup,
+        "op5_lm_scoring": q_hmm.op5_lm_scoring,
         "op6_url_filter": q_urlfilter.op6_url_filter,
         "op7_language_id": q_langid.op7_language_id,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
