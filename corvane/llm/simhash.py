@@ -13,6 +13,8 @@
 5. Links. Links of a key are reduced to a spanning forest as they are found: at most one a fingerprint, whatever the size
    of the group, and with the same components. They go through ``connected_components``.
 
+``near_components`` does the same with wider fingerprints of five-word shingles, for the usual similarity of 0.8.
+
 Cases: a null, empty or white-space text has fingerprint zero, linked like any other; fewer words than a shingle make one
 shingle of them all. Very long texts are hashed whole, in slices. Repeated rows keep their rows; a null id takes part
 with its text but cannot be a component's name unless all ids of it are null. Other columns are not read. An empty table
@@ -38,6 +40,9 @@ RADIUS = 3
 BLOCKS = 5
 TILE = 4096
 SEED = 42
+SHINGLE = 5
+LANES = 8
+WIDE_RADIUS = 84
 _SLICE = 1 << 15
 
 
@@ -60,16 +65,45 @@ def shingle_hashes(text: str | None, size: int) -> Iterator[np.ndarray]:
         yield np.array([xxh64_intdigest(joined[i:j], SEED) for i, j in zip(a[k : k + _SLICE], b[k : k + _SLICE], strict=True)], dtype=np.uint64)
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How often each bit is set over the rows of a (rows, lanes) array: bytes of a word count 255 rows at a time."""
+    ones, cuts = np.uint64(0x0101010101010101), np.arange(0, len(hashes), 255)
+    out = np.empty((hashes.shape[1], 8, 8), dtype=np.int64)  # lane, byte, bit
+    for k in range(8):
+        packed = np.add.reduceat((hashes >> np.uint64(k)) & ones, cuts, axis=0)
+        out[:, :, k] = packed.astype("<u8").view(np.uint8).reshape(len(cuts), -1, 8).sum(axis=0, dtype=np.int64)
+    return out.reshape(-1)
+
+
 def fingerprint(text: str | None, size: int = 3) -> int:
     """The 64-bit fingerprint of a text."""
     total, n = np.zeros(64, dtype=np.int64), 0
     for hashes in shingle_hashes(text, size):
-        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        total += bits.sum(axis=0, dtype=np.int32)
+        total += bit_counts(hashes[:, None])
         n += len(hashes)
     return int.from_bytes(np.packbits(2 * total > n, bitorder="little").tobytes(), "little")
 
 
+def lanes_of(hashes: np.ndarray, lanes: int) -> np.ndarray:
+    """``lanes`` independent hashes of each hash, by a 64-bit finaliser."""
+    x = hashes[:, None] + np.arange(1, lanes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_fingerprint(text: str | None, size: int, lanes: int) -> tuple[bytes, np.ndarray]:
+    """A fingerprint of 64 bits a lane, and the least hash of each lane (zeros for a text without words)."""
+    total, n, least = np.zeros(64 * lanes, dtype=np.int64), 0, np.zeros(lanes, dtype=np.uint64)
+    for hashes in shingle_hashes(text, size):
+        wide = lanes_of(hashes, lanes)
+        total += bit_counts(wide)
+        low = wide.min(axis=0)
+        least = np.minimum(least, low) if n else low
+        n += len(hashes)
+    return np.packbits(2 * total > n, bitorder="little").tobytes(), least
+
+
 def fingerprint_column(text: Column, size: int = 3) -> Column:
     """The fingerprint as a signed ``bigint`` of the same bits; never null."""
 
@@ -85,18 +119,25 @@ def fingerprint_column(text: Column, size: int = 3) -> Column:
 
 
 def bit_planes(prints: np.ndarray) -> np.ndarray:
-    """64 planes of one bit a fingerprint: lane k of word w in plane p is bit p of fingerprint 64 w + k."""
-    words = -(-len(prints) // 64)
-    padded = np.zeros(words * 64, dtype="<u8")
+    """One plane a bit of (n, lanes) fingerprints: lane k of word w in plane p is bit p of fingerprint 64 w + k."""
+    words, lanes = -(-len(prints) // 64), prints.shape[1]
+    padded = np.zeros((words * 64, lanes), dtype="<u8")
     padded[: len(prints)] = prints
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.packbits(bits.reshape(words, 64, 64).transpose(2, 0, 1), axis=2, bitorder="little").reshape(64, words, 8).copy().view("<u8")[:, :, 0]
+    bits = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")
+    return np.packbits(bits.reshape(words, 64, 64 * lanes).transpose(2, 0, 1), axis=2, bitorder="little").copy().view("<u8")[:, :, 0]
+
+
+def _add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum and carry of three bits in each lane."""
+    half = a ^ b
+    return half ^ c, (a & b) | (half & c)
 
 
 def within(planes: np.ndarray, prints: np.ndarray, query: np.ndarray, word: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """For pairs of a query fingerprint and a word of 64 lanes: the pairs that survive, and the lanes within the radius.
 
-    Counters hold ``radius.bit_length() + 1`` bits; a lane whose top bit is set stays above the radius (it is kept set).
+    Eight planes of differing bits go through a carry-save tree to a four-bit number in each lane, which is added to the
+    lane's counter; a lane that outgrows its counter is marked and stays marked.
     """
     width = max(1, radius.bit_length())
     live = np.arange(len(query))
@@ -104,12 +145,28 @@ def within(planes: np.ndarray, prints: np.ndarray, query: np.ndarray, word: np.n
     over = np.zeros(len(query), dtype=np.uint64)
     everything = np.uint64(0xFFFFFFFFFFFFFFFF)
     own, at = prints[query], word
-    for p in range(64):
-        carry = planes[p][at] ^ (np.uint64(0) - ((own >> np.uint64(p)) & np.uint64(1)))
+    for p in range(0, len(planes), 8):
+        mine = own[:, p // 64]
+        d = [planes[q][at] ^ (np.uint64(0) - ((mine >> np.uint64(q % 64)) & np.uint64(1))) for q in range(p, p + 8)]
+        s0, c0 = _add(d[0], d[1], d[2])
+        s1, c1 = _add(d[3], d[4], d[5])
+        s2, c2 = _add(d[6], d[7], s0)
+        t0, e0 = _add(c0, c1, c2)
+        c3 = s1 & s2
+        e1 = t0 & c3
+        number = [s1 ^ s2, t0 ^ c3, e0 ^ e1, e0 & e1]
+        carry = None
         for k in range(width):
-            counters[k], carry = counters[k] ^ carry, counters[k] & carry
-        over |= carry
-        if p % 8 == 7:
+            if k < 4 and carry is None:
+                counters[k], carry = counters[k] ^ number[k], counters[k] & number[k]
+            elif k < 4:
+                counters[k], carry = _add(counters[k], number[k], carry)
+            else:
+                counters[k], carry = counters[k] ^ carry, counters[k] & carry
+        over = over | carry
+        for k in range(width, 4):
+            over = over | number[k]
+        if p % 32 == 0:
             done = over | _above(counters, radius)
             keep = done != everything
             if not keep.all():
@@ -133,57 +190,76 @@ def _above(counters: list[np.ndarray], radius: int) -> np.ndarray:
     return more
 
 
-def link_forest(prints: np.ndarray, group: np.ndarray, side: np.ndarray, radius: int, step: int = 1 << 16) -> np.ndarray:
-    """Spanning links (index pairs) of fingerprints within the radius; rows are sorted by group.
+class _Forest:
+    def __init__(self, n: int) -> None:
+        self.parent = list(range(n))
+        self.links: list[tuple[int, int]] = []
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        rx, ry = self.root(x), self.root(y)
+        if rx != ry:
+            self.parent[max(rx, ry)] = min(rx, ry)
+            self.links.append((x, y))
+
 
-    ``side`` 0: the group is compared within itself; 1 and 2: those of side 1 with those of side 2 only.
+def link_forest(prints: np.ndarray, group: np.ndarray, side: np.ndarray, radius: int, large: int = 256, step: int = 1 << 15) -> np.ndarray:
+    """Spanning links (index pairs) of (n, lanes) fingerprints within the radius; rows are sorted by group.
+
+    ``side`` 0: the group is compared within itself; 1 and 2: those of side 1 with those of side 2 only. In a large group
+    a query skips the words all of whose lanes are in its component already: a link there would close a circle.
     """
     n = len(prints)
-    if n < 2:
-        return np.empty((0, 2), dtype=np.int64)
     change = np.flatnonzero(group[1:] != group[:-1]) + 1
     begins, ends = np.concatenate(([0], change)), np.concatenate((change, [n]))
     sizes = ends - begins
     end_of = np.repeat(ends, sizes)
     index = np.arange(n)
-    ask = np.flatnonzero((end_of - index > 1) & (side != 2))
-    if not len(ask):
-        return np.empty((0, 2), dtype=np.int64)
-    planes = bit_planes(prints)
-    first, last = (ask + 1) // 64, (end_of[ask] - 1) // 64
-    each = last - first + 1
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+    ask = (end_of - index > 1) & (side != 2)
+    forest, planes = _Forest(n), None
 
-    links: list[tuple[int, int]] = []
-    cuts = np.searchsorted(np.cumsum(each), np.arange(step, int(each.sum()) + step, step), side="left") + 1
-    for a, b in zip(np.concatenate(([0], cuts[:-1])), cuts, strict=True):
-        some, count = ask[a:b], each[a:b]
-        if not len(some):
-            continue
+    def compare(some: np.ndarray, label: np.ndarray | None = None) -> None:
+        first, last = (some + 1) // 64, (end_of[some] - 1) // 64
+        count = last - first + 1
         query = np.repeat(some, count)
-        word = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first[a:b], count)
-        live, hit = within(planes, prints, query, word, radius)
-        live, hit = live[hit != 0], hit[hit != 0]
-        if not len(live):
-            continue
-        lanes = np.unpackbits(hit.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        row, lane = np.nonzero(lanes)
-        q, other = query[live[row]], word[live[row]] * 64 + lane
-        ok = (other > q) & (other < end_of[q])
-        q, other = q[ok], other[ok]
-        ok = (side[q] == 0) | (side[other] == 2)
-        for x, y in zip(q[ok].tolist(), other[ok].tolist(), strict=True):
-            rx, ry = root(x), root(y)
-            if rx != ry:
-                parent[max(rx, ry)] = min(rx, ry)
-                links.append((x, y))
-    return np.array(links, dtype=np.int64).reshape(-1, 2)
+        word = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+        if label is not None:  # label: component of every row of the group, from its first row on
+            offset, width = label
+            low, high = width
+            keep = (low[word - offset[1]] != high[word - offset[1]]) | (low[word - offset[1]] != offset[0][query - offset[2]])
+            query, word = query[keep], word[keep]
+        for at in range(0, len(query), step):
+            q, w = query[at : at + step], word[at : at + step]
+            live, hit = within(planes, prints, q, w, radius)
+            live, hit = live[hit != 0], hit[hit != 0]
+            if not len(live):
+                continue
+            row, lane = np.nonzero(np.unpackbits(hit.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            one, other = q[live[row]], w[live[row]] * 64 + lane
+            ok = (other > one) & (other < end_of[one])
+            one, other = one[ok], other[ok]
+            ok = (side[one] == 0) | (side[other] == 2)
+            for x, y in zip(one[ok].tolist(), other[ok].tolist(), strict=True):
+                forest.join(x, y)
+
+    if ask.any():
+        planes = bit_planes(prints)
+        compare(np.flatnonzero(ask & (np.repeat(sizes, sizes) <= large)))
+        for begin, end in zip(begins[sizes > large].tolist(), ends[sizes > large].tolist(), strict=True):
+            queries = begin + np.flatnonzero(ask[begin:end])
+            first_word, starts = begin // 64, np.arange(-(-end // 64) - begin // 64) * 64 + begin // 64 * 64
+            cuts = np.maximum(starts - begin, 0)
+            for at in range(0, len(queries), 8):
+                label = np.array([forest.root(x) for x in range(begin, end)])
+                words = (np.minimum.reduceat(label, cuts), np.maximum.reduceat(label, cuts))
+                compare(queries[at : at + 8], ((label, first_word, begin), words))
+    return np.array(forest.links, dtype=np.int64).reshape(-1, 2)
 
 
 # --- the distributed plan ---------------------------------------------------------------------------------------------
@@ -200,39 +276,45 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def fingerprint_links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
-    """a, b: links between distinct fingerprints (column ``fp``), enough to span each component."""
-    keyed = prints.select("fp", F.explode(F.array(*(F.struct(F.lit(k).alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for k, m in enumerate(block_keys(blocks, radius))))).alias("key")).select("fp", "key.choice", "key.bits")
+def _keyed_links(keyed: DataFrame, radius: int, tile: int) -> DataFrame:
+    """a, b: spanning links of rows (node, fp, choice, bits) that share a key (choice, bits).
+
+    ``fp`` is a binary of little-endian words; without that column a node is its own 64-bit fingerprint.
+    """
+    wide = "fp" in keyed.columns
+    keyed = keyed if wide else keyed.withColumn("fp", F.lit(None).cast("binary"))
     sizes = keyed.groupBy("choice", "bits").agg(F.count("*").alias("n")).where("n > 1")
     met = keyed.join(sizes, ["choice", "bits"])
-    tiles = F.ceil(F.col("n") / F.lit(tile)).cast("int")
-    placed = met.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
+    placed = met.withColumn("tiles", F.ceil(F.col("n") / F.lit(tile)).cast("int")).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     # Tiles i <= j of a key meet under (i, j): a row of tile t goes to each pair that has t.
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least(F.col("tile"), o).alias("i"), F.greatest(F.col("tile"), o).alias("j")))
-    dealt = placed.select("fp", "choice", "bits", "tile", F.explode(pairs).alias("pair")).select("fp", "choice", "bits", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), F.when(F.col("pair.i") == F.col("pair.j"), 0).when(F.col("tile") == F.col("pair.i"), 1).otherwise(2).alias("side"))
-    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    side = F.when(F.col("pair.i") == F.col("pair.j"), 0).when(F.col("tile") == F.col("pair.i"), 1).otherwise(2)
+    dealt = placed.select("node", "fp", "choice", "bits", "tile", F.explode(pairs).alias("pair")).select("node", "fp", "choice", "bits", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), side.alias("side"))
+    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = dealt.repartition(parts, "choice", "bits", "i", "j").sortWithinPartitions("choice", "bits", "i", "j", "side")
+    key_columns = ("choice", "bits", "i", "j")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(table: pa.Table) -> pa.RecordBatch:
-            key = [table.column(c).to_numpy() for c in ("choice", "bits", "i", "j")]
             new = np.zeros(table.num_rows, dtype=bool)
-            for c in key:
-                new[1:] |= c[1:] != c[:-1]
-            fps = table.column("fp").to_numpy()
-            found = link_forest(fps.view(np.uint64), np.cumsum(new), table.column("side").to_numpy(), radius)
-            return pa.RecordBatch.from_arrays([pa.array(fps[found[:, 0]]), pa.array(fps[found[:, 1]])], names=["a", "b"])
+            for c in key_columns:
+                values = table.column(c).to_numpy()
+                new[1:] |= values[1:] != values[:-1]
+            nodes = table.column("node").to_numpy()
+            raw = np.frombuffer(b"".join(table.column("fp").to_pylist()), dtype="<u8").reshape(len(nodes), -1) if wide else nodes.view(np.uint64)[:, None]
+            found = link_forest(raw, np.cumsum(new), table.column("side").to_numpy(), radius)
+            return pa.RecordBatch.from_arrays([pa.array(nodes[found[:, 0]]), pa.array(nodes[found[:, 1]])], names=["a", "b"])
 
         held: pa.Table | None = None  # rows of the last key so far: a tile pair at most, besides one batch
         for batch in batches:
             rows = pa.Table.from_batches([batch])
             held = rows if held is None else pa.concat_tables([held, rows])
-            if held.num_rows < 1 << 16:
+            if held.num_rows < 1 << 14:
                 continue
-            key = [held.column(c).to_numpy() for c in ("choice", "bits", "i", "j")]
             same = np.ones(held.num_rows, dtype=bool)
-            for c in key:
-                same &= c == c[-1]
+            for c in key_columns:
+                values = held.column(c).to_numpy()
+                same &= values == values[-1]
             cut = held.num_rows - int(same.sum())
             if cut:
                 yield links(held.slice(0, cut))
@@ -243,19 +325,67 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLO
     return ordered.mapInArrow(compare, "a bigint, b bigint")
 
 
+def fingerprint_links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
+    """a, b: links between distinct 64-bit fingerprints (column ``fp``), enough to span each component."""
+    choices = F.array(*(F.struct(F.lit(k).alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for k, m in enumerate(block_keys(blocks, radius))))
+    keyed = prints.select(F.col("fp").alias("node"), F.explode(choices).alias("key"))
+    return _keyed_links(keyed.select("node", "key.choice", "key.bits"), radius, tile)
+
+
+def _named(rows: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, node) with component_id; ``nodes`` has the least doc_id of each node."""
+    parts = connected_components(links)
+    named = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    classes = named.join(least, "component").select("node", "component_id")
+    return rows.join(classes, "node")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp (signed bits) and component_id of every row."""
+    """doc_id, node (the fingerprint's signed bits) and component_id of every row."""
     ids, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-    rows = saved(docs.select(ids.alias("doc_id"), fingerprint_column(text, size).alias("fp")), "prints")
-    prints = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "distinct")
-    links = fingerprint_links(prints.select("fp"), radius)
-    nodes = connected_components(links)
-    named = prints.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    classes = named.join(least, "component").select("fp", "component_id")
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    rows = saved(docs.select(ids.alias("doc_id"), fingerprint_column(text, size).alias("node")), "prints")
+    nodes = saved(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "distinct")
+    links = fingerprint_links(nodes.select(F.col("node").alias("fp")), radius)
+    return _named(rows, nodes, links).select("doc_id", "node", "component_id")
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, lanes: int = LANES, radius: int = WIDE_RADIUS, tile: int = TILE) -> DataFrame:
+    """doc_id, node and component_id of every row, for texts whose shingles are similar (Jaccard) to about 0.8 or more.
+
+    A 64-bit fingerprint cannot tell 0.8 from 0.6, so one of 64 bits a lane is used: similarity s leaves a share of
+    acos(2 s / (1 + s)) / pi of the bits different, 77 of 512 at 0.8. Candidates share the least hash of a lane: a pair
+    of similarity s shares a lane's with probability s, so all ``lanes`` miss it with (1 - s) ** lanes, 3 in a million at
+    0.8. Equal fingerprints are one node first.
+    """
+    ids, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+
+    @arrow_udf("struct<fp:binary,keys:array<bigint>>")
+    def wide(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            found = [wide_fingerprint(t, size, lanes) for t in batch.to_pylist()]
+            keys = np.array([k for _, k in found], dtype=np.uint64).view(np.int64).reshape(-1)
+            starts = pa.array(np.arange(len(found) + 1, dtype=np.int32) * lanes)
+            yield pa.StructArray.from_arrays([pa.array([f for f, _ in found], pa.binary()), pa.ListArray.from_arrays(starts, pa.array(keys))], names=["fp", "keys"])
+
+    rows = saved(docs.select(ids.alias("doc_id"), wide(text).alias("w")).select("doc_id", F.xxhash64("w.fp").alias("node"), "w.fp", "w.keys"), "prints")
+    nodes = saved(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), F.min("keys").alias("keys")), "distinct")
+    keyed = nodes.select("node", "fp", F.posexplode("keys").alias("choice", "bits"))
+    return _named(rows.select("doc_id", "node"), nodes.select("node", "doc_id"), _keyed_links(keyed, radius, tile)).select("doc_id", "node", "component_id")
 
 
 def fingerprint_hex(fp: Column) -> Column:
     """16 lower-case hex digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def keep_first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose id is not the least of their group of ``near_components``.
+
+    Repeated rows of the least id all stay; rows with a null id stay only if no row of their group has one. The decision
+    travels as the ids to drop, which are few, and meets the texts in a shuffled hash join built on them.
+    """
+    found = saved(near_components(docs, id_col, text_col), "groups")
+    later = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    gone = later.select(F.col("doc_id").alias("__gone"))
+    return docs.join(gone.hint("shuffle_hash"), F.col(f"`{id_col}`").eqNullSafe(F.col("__gone")), "left_anti")
