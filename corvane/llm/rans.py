@@ -19,9 +19,12 @@ sorts first. An empty table gives an empty file set and no rows. Other columns a
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,7 +41,8 @@ BLOCK_IDS = 1 << 18
 CHECKPOINT = 64
 LOW = np.uint64(1 << 31)
 MAGIC = b"CVR1"
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 1_200_000
+_MARKS = ".,;:!?"
 
 #: A text of these characters alone is split as below after lower-casing; any other goes to the library.
 _SIMPLE = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]|<\\|")
@@ -52,6 +56,7 @@ class WordTokenizer:
     """The library's tokenizer with a bounded table of words; only pieces not seen before go through the library."""
 
     def __init__(self, path: str, by_word: bool = True) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task is one of many on its node
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -59,44 +64,70 @@ class WordTokenizer:
         self.library.no_padding()
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        suffix = json.loads(self.library.to_str())["model"].get("end_of_word_suffix")
+        self.ends = None
+        if suffix:
+            self.ends = np.zeros(size, dtype=bool)
+            self.ends[[i for t, i in self.library.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
         self.by_word = by_word
         self.words: dict[str, bytes] = {}
 
     def _packed(self, texts: list[str]) -> list[bytes]:
         got = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype=self.dtype).tobytes() for x in got]
+        return [array(self.code, x.ids).tobytes() for x in got]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned integers of ``dtype``."""
         out: list[bytes | None] = [None] * len(texts)
-        simple, other = [], []
+        simple, other, new = [], [], set()
+        words = self.words
+        if len(words) > CACHE_ENTRIES:
+            words.clear()
         for k, text in enumerate(texts):
             if self.by_word and not _SIMPLE.search(text):
-                simple.append((k, text.lower().split()))
+                row = text.lower().split()
+                new |= set(row).difference(words)
+                simple.append((k, row))
             else:
                 other.append(k)
         if other:
             for k, ids in zip(other, self._packed([texts[k] for k in other]), strict=True):
                 out[k] = ids
-        if simple:
-            words = self.words
-            if len(words) > CACHE_ENTRIES:
-                words.clear()
-            if new := set().union(*(set(w) for _, w in simple)).difference(words):
-                self._learn(list(new))
-            for k, row in simple:
-                out[k] = b"".join(map(words.__getitem__, row))
+        if new:
+            self._learn(new)
+        for k, row in simple:
+            out[k] = b"".join(map(words.__getitem__, row))
         return out
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that are words of their own: all in one text, cut at the ids that end a word."""
+        if self.ends is None:
+            return self._packed(pieces)
+        ids = np.array(self.library.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        cuts = (self.dtype.itemsize * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(cuts) != len(pieces):
+            return self._packed(pieces)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Adds chunks between white space to the table; most are letters and a tail of marks."""
         words = self.words
-        split = [_PIECES.findall(c) for c in chunks]
-        pieces = list({p for row in split for p in row}.difference(words))
-        for k in range(0, len(pieces), 4096):
-            words.update(zip(pieces[k : k + 4096], self._packed(pieces[k : k + 4096]), strict=True))
-        for chunk, row in zip(chunks, split, strict=True):
+        alone = {c for c in chunks if c.isalpha()}
+        cut: list[tuple[str, list[str]]] = []
+        pieces = set(alone)
+        for chunk in chunks - alone:
+            core = chunk.rstrip(_MARKS)
+            row = [core, chunk[len(core) :]] if core.isalpha() else _PIECES.findall(chunk)
+            cut.append((chunk, row))
+            pieces.update(row)
+        todo = list(pieces.difference(words))
+        for k in range(0, len(todo), 1024):
+            words.update(zip(todo[k : k + 1024], self._pieces(todo[k : k + 1024]), strict=True))
+        for chunk, row in cut:
             if len(row) != 1:
-                words[chunk] = b"".join(map(words.__getitem__, row))
+                words[chunk] = b"".join([words[p] for p in row])
 
 
 @lru_cache(maxsize=2)
