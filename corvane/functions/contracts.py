@@ -65,10 +65,10 @@ def without_citations(answer: Column, numbers: Column) -> Column:
 def cited_sources(answer: Column, chunks: Column) -> Column:
     """Sources of the valid citations, the first label of each URL; ``chunks`` is the ranked array of chunk structs."""
     numbers = valid_citations(answer, F.size(chunks).cast("long"))
-    first = F.filter(numbers, lambda n: ~F.exists(numbers, lambda m: (F.array_position(numbers, m) < F.array_position(numbers, n)) & (F.element_at(chunks, m.cast("int"))["source_url"] == F.element_at(chunks, n.cast("int"))["source_url"])))
+    first = F.filter(numbers, lambda n: ~F.exists(numbers, lambda m: (F.array_position(numbers, m) < F.array_position(numbers, n)) & (F.get(chunks, m.cast("int") - 1)["source_url"] == F.get(chunks, n.cast("int") - 1)["source_url"])))
 
     def source(n: Column) -> Column:
-        chunk = F.element_at(chunks, n.cast("int"))
+        chunk = F.get(chunks, n.cast("int") - 1)
         return F.struct(F.concat(F.lit("S"), n.cast("string")).alias("label"), chunk["page_title"].alias("page_title"), chunk["section_title"].alias("section_title"), chunk["source_url"].alias("url"))
 
     return F.transform(first, source)
@@ -134,8 +134,9 @@ def evidence_reasons(raw: Column, contexts: Column) -> Column:
     rows = F.from_json(text, EVIDENCE)["evidence"]
     keys = F.coalesce(F.json_object_keys(text), F.array().cast("array<string>"))
     label = lambda r: F.regexp_extract(F.coalesce(r["source"], F.lit("")), r"^S([1-9]\d*)$", 1)
-    known = lambda r: (label(r) != "") & (F.coalesce(label(r).cast("int"), F.lit(0)) <= F.size(contexts))
-    source_text = lambda r: T.normal_space(F.element_at(contexts, F.coalesce(label(r).cast("int"), F.lit(1))))
+    number = lambda r: F.when(label(r).rlike(r"^\d{1,9}$"), label(r)).cast("int")
+    known = lambda r: number(r).isNotNull() & (number(r) <= F.size(contexts))
+    source_text = lambda r: T.normal_space(F.coalesce(F.get(contexts, F.coalesce(number(r), F.lit(1)) - 1), F.lit("")))
 
     def problem(r: Column) -> Column:
         clean = F.transform(r["facts"], lambda f: F.btrim(f, F.lit(" \t\n\r\x0b\x0c")))

@@ -17,7 +17,7 @@ Generator = Callable[[Column, Column], Column]
 
 def extractive_generator(prompt: Column, contexts: Column) -> Column:
     """The deterministic provider: the first sentence of the first context, cited."""
-    sentence = F.regexp_extract(F.element_at(contexts, 1)["text"], r"\A[^.\n]*", 0)
+    sentence = F.regexp_extract(F.get(contexts, 0)["text"], r"\A[^.\n]*", 0)
     return F.when(F.size(contexts) == 0, F.lit("")).otherwise(F.concat(sentence, F.lit(" [S1]")))
 
 
