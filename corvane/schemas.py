@@ -1,16 +1,15 @@
-"""Schemas of the relations that operators exchange."""
+"""Schemas (as DDL) of the relations that operators exchange."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-SOURCE_DOCUMENT = T._parse_datatype_string("source_url string, canonical_url string, content string, content_sha256 string, source_kind string, logical_path string, category string, fetched_at string, metadata string")
-SECTION = T._parse_datatype_string("text string, page_title string, section_title string, source_path string, source_url string, anchor string, category string, python_version string")
-CHUNK = T._parse_datatype_string("position bigint, text string, page_title string, section_title string, source_url string, category string, chunk_index int, start_index int")
-RANKED = T._parse_datatype_string("query_id bigint, rank int, score double, position bigint")
-CITATION = T._parse_datatype_string("label string, page_title string, section_title string, url string")
+SOURCE_DOCUMENT = "source_url string, canonical_url string, content string, content_sha256 string, source_kind string, logical_path string, category string, fetched_at string, metadata string"
+SECTION = "text string, page_title string, section_title string, source_path string, source_url string, anchor string, category string, python_version string"
+CHUNK = "position bigint, text string, page_title string, section_title string, source_url string, category string, chunk_index int, start_index int"
+RANKED = "query_id bigint, rank int, score double, position bigint"
+CITATION = "label string, page_title string, section_title string, url string"
 #: A ranking names its chunk by (source_url, chunk_index, start_index); ``position`` is its place in the corpus.
 KEY = ["source_url", "chunk_index", "start_index"]
 
