@@ -34,16 +34,28 @@ def top_k(scored: DataFrame, k: int, *order: Column) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= require(k, "top_k"))
 
 
-def term_frequencies(chunks: DataFrame, tokens: Column) -> DataFrame:
-    """position, term, tf, length: the postings of a corpus."""
-    rows = chunks.select("position", tokens.alias("terms")).select("position", F.size("terms").cast("long").alias("length"), F.explode("terms").alias("term"))
-    return rows.groupBy("position", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+def token_rows(chunks: DataFrame, text: Column, sizes: tuple[int, ...]) -> DataFrame:
+    """position, term: a row for every token of a text. Exploded first, so that variants run in generated code."""
+    raw = chunks.select("position", F.explode(F.concat(T.identifiers(text), T.character_ngrams(text, sizes))).alias("m"))
+    return raw.select("position", F.explode(T.identifier_variants(F.col("m"))).alias("term"))
 
 
-def corpus_statistics(chunks: DataFrame, tokens: Column) -> DataFrame:
-    """n_docs, avg_length (1.0 where there is nothing), n_tokens."""
-    sizes = chunks.select(F.size(tokens).cast("long").alias("length"))
-    return sizes.agg(F.count("*").alias("n_docs"), F.coalesce(F.nullif(F.avg("length"), F.lit(0.0)), F.lit(1.0)).alias("avg_length"), F.sum("length").alias("n_tokens"))
+def labelled_rows(chunks: DataFrame, sizes: tuple[int, ...] = (2, 3)) -> DataFrame:
+    """Tokens of the labelled text that plain BM25 searches."""
+    return token_rows(chunks, T.searchable_text(F.col("page_title"), F.col("section_title"), F.col("text")), sizes)
+
+
+def term_frequencies(rows: DataFrame) -> DataFrame:
+    """position, term, tf, length: the postings of token rows."""
+    counted = rows.groupBy("position", "term").agg(F.count("*").alias("tf"))
+    return counted.withColumn("length", F.sum("tf").over(Window.partitionBy("position")))
+
+
+def corpus_statistics(chunks: DataFrame, n_tokens: DataFrame) -> DataFrame:
+    """One row: n_docs and avg_length (over all chunks, 1.0 where there is nothing), from a table of counts ``tf``."""
+    total = n_tokens.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_tokens"))
+    sizes = chunks.agg(F.count("*").alias("n_docs")).join(total)
+    return sizes.select("n_docs", "n_tokens", F.coalesce(F.nullif(F.col("n_tokens") / F.col("n_docs"), F.lit(0.0)), F.lit(1.0)).alias("avg_length"))
 
 
 def query_terms(queries: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
@@ -64,41 +76,45 @@ def saturation(tf: Column, length: Column, average: Column, k1: float = K1, b: f
     return tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * (length / average)))
 
 
-def bm25_scores(chunks: DataFrame, queries: DataFrame, tokens: Column, sizes: tuple[int, ...], k1: float = K1, b: float = B) -> DataFrame:
-    """query_id, position, score of every chunk that shares a token with a query."""
+def bm25_scores(chunks: DataFrame, queries: DataFrame, rows: DataFrame, sizes: tuple[int, ...], k1: float = K1, b: float = B) -> DataFrame:
+    """query_id, position, score of every chunk that shares a token with a query; ``rows`` are the chunks' token rows.
+
+    One pass over the tokens: those of no query are summed under a null term, which gives lengths without keeping them.
+    """
     asked = query_terms(queries, sizes)
-    wanted = small(asked.select("term").distinct())
-    exploded = chunks.select("position", tokens.alias("terms")).select("position", F.size("terms").cast("long").alias("length"), F.explode("terms").alias("term"))
-    postings = exploded.join(wanted, "term").groupBy("term", "position").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
-    stats = F.broadcast(corpus_statistics(chunks, tokens))  # one row
+    wanted = small(asked.select("term", F.col("term").alias("hit")).distinct())
+    counted = rows.join(wanted, "term", "left").groupBy("position", "hit").agg(F.count("*").alias("tf"))
+    sized = counted.withColumn("length", F.sum("tf").over(Window.partitionBy("position")))
+    postings = sized.where(F.col("hit").isNotNull()).select("position", F.col("hit").alias("term"), "tf", "length")
+    frequency = counted.where(F.col("hit").isNotNull()).groupBy(F.col("hit").alias("term")).agg(F.count("*").alias("df"))
+    stats = F.broadcast(corpus_statistics(chunks, counted))  # one row
     weighed = asked.join(frequency, "term").join(stats).select("query_id", "ord", "term", inverse_frequency(F.col("n_docs"), F.col("df")).alias("idf"), "avg_length")
-    parts = postings.join(small(weighed), "term").select("query_id", "position", F.struct("ord", (F.col("idf") * saturation(F.col("tf"), F.col("length"), F.col("avg_length"), k1, b)).alias("part")).alias("p"))
+    parts = postings.join(weighed, "term").select("query_id", "position", F.struct("ord", (F.col("idf") * saturation(F.col("tf"), F.col("length"), F.col("avg_length"), k1, b)).alias("part")).alias("p"))
     folded = F.aggregate(F.array_sort(F.collect_list("p")), F.lit(0.0), lambda total, p: total + p["part"])
     return parts.groupBy("query_id", "position").agg(folded.alias("score"))
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, k: int = 5, sizes: tuple[int, ...] = (2, 3), k1: float = K1, b: float = B) -> DataFrame:
     """BM25 over the labelled text of chunks."""
-    tokens = T.tokens(T.searchable_text(F.col("page_title"), F.col("section_title"), F.col("text")), sizes)
-    return top_k(bm25_scores(chunks, queries, tokens, sizes, k1, b), k, F.desc(F.round("score", 9)), F.col("position"))
+    return top_k(bm25_scores(chunks, queries, labelled_rows(chunks, sizes), sizes, k1, b), k, F.desc(F.round("score", 9)), F.col("position"))
 
 
 FIELDS = ("identifiers", "section_title", "page_title", "body")
 
 
-def field_tokens(field: str, sizes: tuple[int, ...] = (2,)) -> Column:
-    """Tokens of one isolated field of a chunk."""
+def field_rows(chunks: DataFrame, field: str, sizes: tuple[int, ...] = (2,)) -> DataFrame:
+    """Token rows of one isolated field of a chunk."""
     if field not in FIELDS:
         raise ValueError(f"unsupported retrieval field: {field}")
     if field == "identifiers":
-        return T.symbols(T.symbol_fields(F.col("page_title"), F.col("section_title"), F.col("source_url"), F.col("text")))
-    return T.tokens(F.col("text" if field == "body" else field), sizes)
+        fields = T.symbol_fields(F.col("page_title"), F.col("section_title"), F.col("source_url"), F.col("text"))
+        return chunks.select("position", F.explode(T.symbols(fields)).alias("term"))
+    return token_rows(chunks, F.col("text" if field == "body" else field), sizes)
 
 
 def field_bm25(chunks: DataFrame, queries: DataFrame, field: str, k: int = 5, sizes: tuple[int, ...] = (2,)) -> DataFrame:
     """BM25 over one field; queries without tokens find nothing."""
-    return top_k(bm25_scores(chunks, queries, field_tokens(field, sizes), sizes), k, F.desc(F.round("score", 9)), F.col("position"))
+    return top_k(bm25_scores(chunks, queries, field_rows(chunks, field, sizes), sizes), k, F.desc(F.round("score", 9)), F.col("position"))
 
 
 def symbol_records(chunks: DataFrame) -> DataFrame:

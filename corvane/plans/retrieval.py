@@ -39,8 +39,7 @@ def identifier_variants(spark, d):
 
 
 def tokenize_term_freq(spark, d):
-    tokens = T.tokens(T.searchable_text(F.col("page_title"), F.col("section_title"), F.col("text")), (2, 3))
-    return R.term_frequencies(chunks_of(spark, d), tokens).select("position", "term", "tf", "length")
+    return R.term_frequencies(R.labelled_rows(chunks_of(spark, d))).select("position", "term", "tf", "length")
 
 
 def cjk_ngrams(spark, d):
@@ -49,10 +48,10 @@ def cjk_ngrams(spark, d):
 
 
 def index_term_stats(spark, d):
-    tokens = T.tokens(F.col("text"), (2,))
     chunks = chunks_of(spark, d)
-    df = R.term_frequencies(chunks, tokens).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    stats = F.broadcast(R.corpus_statistics(chunks, tokens))
+    counted = R.field_rows(chunks, "body").groupBy("position", "term").agg(F.count("*").alias("tf"))
+    df = counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    stats = F.broadcast(R.corpus_statistics(chunks, counted))
     return df.join(stats).select("term", "df", "cf", F.round(R.inverse_frequency(F.col("n_docs"), F.col("df")), 6).alias("idf"), F.round("avg_length", 6).alias("avg_length"))
 
 
