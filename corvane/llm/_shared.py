@@ -46,5 +46,16 @@ def drop_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def text_batches(spark: SparkSession | None = None, rows: int = 1000) -> None:
+    """Lets Spark hand Python at most ``rows`` texts at a time: a task's memory follows the batch, not the partition.
+
+    The session's setting is lowered, never raised.
+    """
+    spark = spark or SparkSession.getActiveSession()
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark is not None and not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

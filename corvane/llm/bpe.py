@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from corvane.llm._shared import text_batches
+
 CACHE_ENTRIES = 400_000
 CACHE_LENGTH = 48
 
@@ -139,6 +141,7 @@ def codec(path: str) -> BytePairCodec:
 
 def encode_column(text: Column | str, path: str) -> Column:
     """The ids (``array<int>``, never null) of a text column."""
+    text_batches()
 
     @arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -153,6 +156,7 @@ def encode_column(text: Column | str, path: str) -> Column:
 
 def decode_column(ids: Column | str, path: str) -> Column:
     """The text (never null) of an id column."""
+    text_batches()
 
     @arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from xxhash import xxh64_intdigest
 
-from corvane.llm._shared import saved
+from corvane.llm._shared import saved, text_batches
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -222,6 +222,7 @@ def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text
 def hits_column(block: list[tuple[int, str]], docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, radius: int = RADIUS) -> Column:
     """The hits of one block of items in a text column."""
     shared = docs.sparkSession.sparkContext.broadcast(block)
+    text_batches(docs.sparkSession)
 
     @arrow_udf(_HITS)
     def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

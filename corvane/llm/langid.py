@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from corvane.llm._shared import text_batches
+
 BUCKETS = 1 << 15
 GRAMS = (1, 2, 3)
 MAX_LANGUAGES = 256
@@ -104,6 +106,7 @@ class LanguageModel(NamedTuple):
 
 def train_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """A model of the languages of ``docs``, from all its rows that have a text and a language."""
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text")).dropna()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,6 +152,7 @@ def fit_languages(languages: list[str], counts: np.ndarray) -> LanguageModel:
 def language_column(model: LanguageModel, docs: DataFrame, text_col: str = "text") -> Column:
     """struct<lang_pred string, score double, ambiguous boolean> of a text column."""
     shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
+    text_batches(docs.sparkSession)
 
     @arrow_udf("struct<lang_pred:string,score:double,ambiguous:boolean>")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

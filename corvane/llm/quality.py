@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from corvane.llm._shared import saved
+from corvane.llm._shared import saved, text_batches
 
 FEATURES = 192
 WIDTH = 6.0
@@ -73,6 +73,8 @@ def text_statistics(text: str | None) -> list[float]:
 
 
 def statistics_column(text: Column) -> Column:
+    text_batches()
+
     @arrow_udf("array<double>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:

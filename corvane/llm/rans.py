@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.llm._shared import saved, scratch_path
+from corvane.llm._shared import saved, scratch_path, text_batches
 
 LANES = 1024
 BLOCK_IDS = 1 << 18
@@ -204,6 +204,8 @@ def decode_block(payload: bytes, table: FrequencyTable, first: int = 0, last: in
     each = 8 + 8 * lanes
     words = np.frombuffer(payload, dtype="<u4", count=size // 4, offset=20 + count * each).astype(np.uint64)
     last = count if last is None else min(last, count)
+    if first >= last:
+        return np.empty(0, dtype=np.uint32)
     at, _ = struct.unpack_from("<2I", payload, 20 + first * each)
     state = np.frombuffer(payload, dtype="<u8", count=lanes, offset=28 + first * each).copy()
     steps = -(-n // lanes)
@@ -291,6 +293,7 @@ def write_ids(docs: DataFrame, path: str, out: str | None = None, id_col: str =
     ``by_word`` is for tokenizers that lower-case and split at white space first; others need ``by_word=False``.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     out = out or scratch_path(spark, "rans")
     one = tokenizer(path, by_word)
     dtype, size = one.dtype.str, one.library.get_vocab_size(with_added_tokens=True)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from xxhash import xxh64_intdigest
 
-from corvane.llm._shared import saved
+from corvane.llm._shared import saved, text_batches
 from corvane.llm.components import connected_components
 
 RADIUS = 3
@@ -106,6 +106,7 @@ def wide_fingerprint(text: str | None, size: int, lanes: int) -> tuple[bytes, np
 
 def fingerprint_column(text: Column, size: int = 3) -> Column:
     """The fingerprint as a signed ``bigint`` of the same bits; never null."""
+    text_batches()
 
     @arrow_udf("bigint")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -359,6 +360,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     0.8. Equal fingerprints are one node first.
     """
     ids, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    text_batches(docs.sparkSession)
 
     @arrow_udf("struct<fp:binary,keys:array<bigint>>")
     def wide(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
