@@ -32,17 +32,36 @@ def _with_folded(variants: Column) -> Column:
     return F.flatten(F.transform(variants, lambda v: F.when(F.lower(v) != v, F.array(v, F.lower(v))).otherwise(F.array(v))))
 
 
-def identifier_variants(name: Column) -> Column:
-    """Call, subscript, qualified-suffix and part forms of one identifier, then their lower-case forms."""
+COMPOUND = r"[.\[(]"
+
+
+def unfolded_variants(name: Column) -> Column:
+    """Call, subscript, qualified-suffix and part forms of one identifier, each once."""
     call = name.endswith("()")
     bare = F.when(call, F.left(name, F.length(name) - 2)).otherwise(name)
     plain = F.regexp_replace(bare, r"\[[0-9]+\]$", "")
     parts = F.split(plain, r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     called = F.when(call, F.flatten(F.transform(suffixes, lambda s: F.array(s, F.concat(s, F.lit("()")))))).otherwise(suffixes)
-    every = _with_folded(F.array_distinct(F.concat(F.array(name, bare, plain), called, parts)))
-    simple = _with_folded(F.array(name))
-    return F.when(name.rlike(r"[.\[(]"), every).otherwise(simple)
+    return F.array_distinct(F.concat(F.array(name, bare, plain), called, parts))
+
+
+def identifier_variants(name: Column) -> Column:
+    """The forms of one identifier, each followed by its lower-case form where that differs."""
+    return F.when(name.rlike(COMPOUND), _with_folded(unfolded_variants(name))).otherwise(_with_folded(F.array(name)))
+
+
+def unfolded_tokens(text: Column, sizes: tuple[int, ...]) -> Column:
+    """The index tokens of a text before lower-casing, in any order: only compound identifiers go through lambdas."""
+    names = identifiers(text)
+    simple = F.filter(names, lambda n: ~n.rlike(COMPOUND))
+    compound = F.flatten(F.transform(F.filter(names, lambda n: n.rlike(COMPOUND)), unfolded_variants))
+    return F.concat(simple, compound, character_ngrams(text, sizes))
+
+
+def folded(token: Column) -> Column:
+    """A token, and its lower-case form where that differs."""
+    return F.when(F.lower(token) != token, F.array(token, F.lower(token))).otherwise(F.array(token))
 
 
 def character_ngrams(text: Column, sizes: tuple[int, ...]) -> Column:

@@ -35,9 +35,9 @@ def top_k(scored: DataFrame, k: int, *order: Column) -> DataFrame:
 
 
 def token_rows(chunks: DataFrame, text: Column, sizes: tuple[int, ...]) -> DataFrame:
-    """position, term: a row for every token of a text. Exploded first, so that variants run in generated code."""
-    raw = chunks.select("position", F.explode(F.concat(T.identifiers(text), T.character_ngrams(text, sizes))).alias("m"))
-    return raw.select("position", F.explode(T.identifier_variants(F.col("m"))).alias("term"))
+    """position, term: a row for every token of a text; lower-casing runs on rows, in generated code."""
+    raw = chunks.select("position", F.explode(T.unfolded_tokens(text, sizes)).alias("m"))
+    return raw.select("position", F.explode(T.folded(F.col("m"))).alias("term"))
 
 
 def labelled_rows(chunks: DataFrame, sizes: tuple[int, ...] = (2, 3)) -> DataFrame:
