@@ -59,21 +59,25 @@ class LineRuns:
         self.spark, self.fanout = spark, fanout
         self.buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.levels: list[list[str]] = []
+        self.root = scratch_path(spark, "runs")
 
     def _write(self, rows: DataFrame) -> str:
         name = f"corvane_run_{uuid.uuid4().hex}"
         dealt = rows.select(*HASH, "docs", "top").repartition(self.buckets, *HASH).sortWithinPartitions(*HASH)
-        dealt.write.bucketBy(self.buckets, *HASH).sortBy(*HASH).option("path", scratch_path(self.spark, name)).saveAsTable(name)
+        dealt.write.bucketBy(self.buckets, *HASH).sortBy(*HASH).option("path", f"{self.root}/{name}").saveAsTable(name)
         return name
 
+    def _names(self) -> list[str]:
+        return [name for level in self.levels for name in level]
+
     def runs(self) -> list[DataFrame]:
-        return [self.spark.table(name) for level in self.levels for name in level]
+        """Every run as a bucketed table, to be joined without a shuffle."""
+        return [self.spark.table(name) for name in self._names()]
 
-    @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        every = runs[0]
-        for run in runs[1:]:
-            every = every.unionByName(run)
+    def _merged(self, names: list[str]) -> DataFrame:
+        """Runs added up by key. They are read as plain files: a union of bucketed tables claims their partitioning but
+        doesn't have it when it runs on columnar batches (Spark 4.1), so grouping it would leave keys apart."""
+        every = self.spark.read.schema(self.spark.table(names[0]).schema).parquet(*(f"{self.root}/{name}" for name in names))
         return every.groupBy(*HASH).agg(F.sum("docs").alias("docs"), F.max("top").alias("top"))
 
     def add(self, batch: DataFrame) -> None:
@@ -84,7 +88,7 @@ class LineRuns:
         for run in self.runs():
             fresh = fresh.join(run.select(*HASH), HASH, "left_anti")
         if self.levels:
-            again = keys.join(self._merged(self.runs()).select(*HASH), HASH, "left_semi")
+            again = keys.join(self._merged(self._names()).select(*HASH), HASH, "left_semi")
         self._place(0, self._write(fresh))
         if again is not None:
             self._place(0, self._write(again))
@@ -95,13 +99,19 @@ class LineRuns:
         self.levels[level].append(name)
         if len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            self._place(level + 1, self._write(self._merged([self.spark.table(n) for n in full])))
+            self._place(level + 1, self._write(self._merged(full)))
             for n in full:
                 self.spark.sql(f"DROP TABLE {n}")
 
     def totals(self) -> DataFrame:
         """h1, h2, docs, top over all batches."""
-        return self._merged(self.runs())
+        return self._merged(self._names())
+
+    def release(self) -> None:
+        """Takes the runs out of the session's catalog; their files stay for results that read them."""
+        for name in self._names():
+            self.spark.sql(f"DROP TABLE {name}")
+        self.levels = []
 
 
 def dropped_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
@@ -112,6 +122,7 @@ def dropped_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     for k in range(batches):  # every row of a document falls into one batch
         runs.add(lines.where(F.pmod(F.xxhash64("doc"), F.lit(batches)) == k))
     frequent = runs.totals().where(F.col("docs") >= min_docs).select(*HASH, "top")
+    runs.release()
     doomed = lines.join(frequent, HASH).where(~F.col("doc").eqNullSafe(F.col("top")))
     return doomed.groupBy("doc", "text_hash").agg(F.collect_set("pos").alias("drops"))
 
