@@ -8,8 +8,7 @@ found in enough documents go from all but the largest document id that holds the
 
 Everything is DataFrame and SQL functions. Scale: texts are read twice and shuffled once, to meet their dropped lines in a
 shuffled hash join whose build side is the drops. Counting shuffles hashes only, first by (hash, document), so a line that
-every document holds is summed before it moves; the join of lines with frequent hashes is an inner sort-merge join that
-adaptive execution splits under skew.
+every document holds is summed before it moves; the join of lines with frequent hashes is salted.
 
 Cases: a null or empty text is one empty line. Rows of one document id count as one document; each keeps its own row.
 A null id is a document of its own, smaller than any other. Keys shorter than ``min_chars`` code points never go. Very
@@ -30,6 +29,7 @@ BATCHES = 4
 FANOUT = 3
 MIN_CHARS = 40
 MIN_DOCS = 5
+SALTS = 16
 HASH = ["h1", "h2"]
 
 
@@ -123,7 +123,11 @@ def dropped_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         runs.add(lines.where(F.pmod(F.xxhash64("doc"), F.lit(batches)) == k))
     frequent = runs.totals().where(F.col("docs") >= min_docs).select(*HASH, "top")
     runs.release()
-    doomed = lines.join(frequent, HASH).where(~F.col("doc").eqNullSafe(F.col("top")))
+    # A line in very many documents would be one key of the join: its lines are dealt over SALTS keys, the few frequent
+    # hashes are repeated for each.
+    spread = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = lines.withColumn("salt", F.pmod(F.xxhash64("doc", "pos"), F.lit(SALTS)).cast("int"))
+    doomed = dealt.join(spread, [*HASH, "salt"]).where(~F.col("doc").eqNullSafe(F.col("top")))
     return doomed.groupBy("doc", "text_hash").agg(F.collect_set("pos").alias("drops"))
 
 
