@@ -13,7 +13,8 @@
 5. Links. Links of a key are reduced to a spanning forest as they are found: at most one a fingerprint, whatever the size
    of the group, and with the same components. They go through ``connected_components``.
 
-``near_components`` does the same with wider fingerprints of five-word shingles, for the usual similarity of 0.8.
+``near_components`` links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Wider
+fingerprints only bring candidates together, far beyond the radius of 0.8; each link is then verified on the shingles.
 
 Cases: a null, empty or white-space text has fingerprint zero, linked like any other; fewer words than a shingle make one
 shingle of them all. Very long texts are hashed whole, in slices. Repeated rows keep their rows; a null id takes part
@@ -42,8 +43,10 @@ TILE = 4096
 SEED = 42
 SHINGLE = 5
 LANES = 8
-WIDE_RADIUS = 84
+WIDE_RADIUS = 140
+THRESHOLD = 0.8
 _SLICE = 1 << 15
+_HELD_BYTES = 32 << 20
 
 
 # --- fingerprints -----------------------------------------------------------------------------------------------------
@@ -92,16 +95,31 @@ def lanes_of(hashes: np.ndarray, lanes: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def wide_fingerprint(text: str | None, size: int, lanes: int) -> tuple[bytes, np.ndarray]:
-    """A fingerprint of 64 bits a lane, and the least hash of each lane (zeros for a text without words)."""
-    total, n, least = np.zeros(64 * lanes, dtype=np.int64), 0, np.zeros(lanes, dtype=np.uint64)
-    for hashes in shingle_hashes(text, size):
-        wide = lanes_of(hashes, lanes)
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    found = list(shingle_hashes(text, size))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint64)
+
+
+def wide_fingerprint(hashes: np.ndarray, lanes: int) -> tuple[bytes, np.ndarray]:
+    """A fingerprint of 64 bits a lane of a shingle set, and the least hash of each lane (zeros for an empty set)."""
+    total, least = np.zeros(64 * lanes, dtype=np.int64), np.zeros(lanes, dtype=np.uint64)
+    for k in range(0, len(hashes), _SLICE):
+        wide = lanes_of(hashes[k : k + _SLICE], lanes)
         total += bit_counts(wide)
         low = wide.min(axis=0)
-        least = np.minimum(least, low) if n else low
-        n += len(hashes)
-    return np.packbits(2 * total > n, bitorder="little").tobytes(), least
+        least = np.minimum(least, low) if k else low
+    return np.packbits(2 * total > len(hashes), bitorder="little").tobytes(), least
+
+
+def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is at least the threshold; empty sets are equal."""
+    if min(len(a), len(b)) < threshold * max(len(a), len(b)):
+        return False
+    both = np.concatenate((a, b))
+    both.sort(kind="stable")
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return common >= threshold * (len(both) - common)
 
 
 def fingerprint_column(text: Column, size: int = 3) -> Column:
@@ -210,11 +228,12 @@ class _Forest:
             self.links.append((x, y))
 
 
-def link_forest(prints: np.ndarray, group: np.ndarray, side: np.ndarray, radius: int, large: int = 256, step: int = 1 << 15) -> np.ndarray:
+def link_forest(prints: np.ndarray, group: np.ndarray, side: np.ndarray, radius: int, large: int = 256, step: int = 1 << 15, sets: list[np.ndarray] | None = None, threshold: float = THRESHOLD) -> np.ndarray:
     """Spanning links (index pairs) of (n, lanes) fingerprints within the radius; rows are sorted by group.
 
     ``side`` 0: the group is compared within itself; 1 and 2: those of side 1 with those of side 2 only. In a large group
-    a query skips the words all of whose lanes are in its component already: a link there would close a circle.
+    a query skips the words all of whose lanes are in its component already: a link there would close a circle. With
+    ``sets`` a pair within the radius is a link only if the sets are similar too.
     """
     n = len(prints)
     change = np.flatnonzero(group[1:] != group[:-1]) + 1
@@ -247,7 +266,8 @@ def link_forest(prints: np.ndarray, group: np.ndarray, side: np.ndarray, radius:
             one, other = one[ok], other[ok]
             ok = (side[one] == 0) | (side[other] == 2)
             for x, y in zip(one[ok].tolist(), other[ok].tolist(), strict=True):
-                forest.join(x, y)
+                if sets is None or (forest.root(x) != forest.root(y) and similar(sets[x], sets[y], threshold)):
+                    forest.join(x, y)
 
     if ask.any():
         planes = bit_planes(prints)
@@ -263,6 +283,18 @@ def link_forest(prints: np.ndarray, group: np.ndarray, side: np.ndarray, radius:
     return np.array(forest.links, dtype=np.int64).reshape(-1, 2)
 
 
+def star_links(nodes: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The components of links (index pairs) as links to their least nodes: keys that hold the same group repeat them."""
+    names = np.unique(nodes)
+    forest = _Forest(len(names))
+    at = np.searchsorted(names, nodes[links])
+    for x, y in at.tolist():
+        forest.join(x, y)
+    some = np.unique(at)
+    root = np.array([forest.root(x) for x in some.tolist()], dtype=np.int64)
+    return names[some[some != root]], names[root[some != root]]
+
+
 # --- the distributed plan ---------------------------------------------------------------------------------------------
 
 
@@ -277,12 +309,14 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _keyed_links(keyed: DataFrame, radius: int, tile: int) -> DataFrame:
+def _keyed_links(keyed: DataFrame, radius: int, tile: int, threshold: float = THRESHOLD) -> DataFrame:
     """a, b: spanning links of rows (node, fp, choice, bits) that share a key (choice, bits).
 
-    ``fp`` is a binary of little-endian words; without that column a node is its own 64-bit fingerprint.
+    ``fp`` is a binary of little-endian words; without that column a node is its own 64-bit fingerprint. With a column
+    ``shingles`` (sorted hashes as a binary) links are verified on it.
     """
-    wide = "fp" in keyed.columns
+    wide, exact = "fp" in keyed.columns, "shingles" in keyed.columns
+    carried = ("node", "fp", "choice", "bits", *(["shingles"] if exact else []))
     keyed = keyed if wide else keyed.withColumn("fp", F.lit(None).cast("binary"))
     sizes = keyed.groupBy("choice", "bits").agg(F.count("*").alias("n")).where("n > 1")
     met = keyed.join(sizes, ["choice", "bits"])
@@ -290,7 +324,7 @@ def _keyed_links(keyed: DataFrame, radius: int, tile: int) -> DataFrame:
     # Tiles i <= j of a key meet under (i, j): a row of tile t goes to each pair that has t.
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least(F.col("tile"), o).alias("i"), F.greatest(F.col("tile"), o).alias("j")))
     side = F.when(F.col("pair.i") == F.col("pair.j"), 0).when(F.col("tile") == F.col("pair.i"), 1).otherwise(2)
-    dealt = placed.select("node", "fp", "choice", "bits", "tile", F.explode(pairs).alias("pair")).select("node", "fp", "choice", "bits", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), side.alias("side"))
+    dealt = placed.select(*carried, "tile", F.explode(pairs).alias("pair")).select(*carried, F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), side.alias("side"))
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = dealt.repartition(parts, "choice", "bits", "i", "j").sortWithinPartitions("choice", "bits", "i", "j", "side")
     key_columns = ("choice", "bits", "i", "j")
@@ -303,14 +337,16 @@ def _keyed_links(keyed: DataFrame, radius: int, tile: int) -> DataFrame:
                 new[1:] |= values[1:] != values[:-1]
             nodes = table.column("node").to_numpy()
             raw = np.frombuffer(b"".join(table.column("fp").to_pylist()), dtype="<u8").reshape(len(nodes), -1) if wide else nodes.view(np.uint64)[:, None]
-            found = link_forest(raw, np.cumsum(new), table.column("side").to_numpy(), radius)
-            return pa.RecordBatch.from_arrays([pa.array(nodes[found[:, 0]]), pa.array(nodes[found[:, 1]])], names=["a", "b"])
+            sets = [np.frombuffer(x, dtype="<u8") for x in table.column("shingles").to_pylist()] if exact else None
+            found = link_forest(raw, np.cumsum(new), table.column("side").to_numpy(), radius, sets=sets, threshold=threshold)
+            a, b = star_links(nodes, found) if wide else (nodes[found[:, 0]], nodes[found[:, 1]])
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         held: pa.Table | None = None  # rows of the last key so far: a tile pair at most, besides one batch
         for batch in batches:
             rows = pa.Table.from_batches([batch])
             held = rows if held is None else pa.concat_tables([held, rows])
-            if held.num_rows < 1 << 14:
+            if held.num_rows < 1 << 14 and held.nbytes < _HELD_BYTES:
                 continue
             same = np.ones(held.num_rows, dtype=bool)
             for c in key_columns:
@@ -351,29 +387,47 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return _named(rows, nodes, links).select("doc_id", "node", "component_id")
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, lanes: int = LANES, radius: int = WIDE_RADIUS, tile: int = TILE) -> DataFrame:
-    """doc_id, node and component_id of every row, for texts whose shingles are similar (Jaccard) to about 0.8 or more.
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, lanes: int = LANES, radius: int = WIDE_RADIUS, tile: int = TILE, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, node and component_id of every row, for texts whose shingle sets have a Jaccard similarity of 0.8 or more.
 
-    A 64-bit fingerprint cannot tell 0.8 from 0.6, so one of 64 bits a lane is used: similarity s leaves a share of
-    acos(2 s / (1 + s)) / pi of the bits different, 77 of 512 at 0.8. Candidates share the least hash of a lane: a pair
-    of similarity s shares a lane's with probability s, so all ``lanes`` miss it with (1 - s) ** lanes, 3 in a million at
-    0.8. Equal fingerprints are one node first.
+    1. Equal shingle sets are one node.
+    2. Candidates share the least hash of a lane: a pair of similarity s shares a lane's with probability s, so all
+       ``lanes`` miss it with (1 - s) ** lanes, 3 in a million at 0.8. Their fingerprints of 64 bits a lane are within
+       the radius: similarity s leaves a share of acos(2 s / (1 + s)) / pi of the bits different, 77 of 512 at 0.8 with
+       a deviation of 8, and 96 for the smallest sets (4 shingles of 5), so 140 is five deviations off at least.
+    3. Components of the candidates are coarse: no link leaves one. Only texts in one of several nodes meet again, under
+       their coarse component, with their shingles; a pair within the radius is linked if its exact similarity says so.
     """
     ids, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     text_batches(docs.sparkSession)
 
-    @arrow_udf("struct<fp:binary,keys:array<bigint>>")
+    @arrow_udf("struct<node:binary,fp:binary,keys:array<bigint>>")
     def wide(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            found = [wide_fingerprint(t, size, lanes) for t in batch.to_pylist()]
+            sets = [shingle_set(t, size) for t in batch.to_pylist()]
+            found = [wide_fingerprint(x, lanes) for x in sets]
+            names = [xxh64_intdigest(x.tobytes(), SEED).to_bytes(8, "big") for x in sets]
             keys = np.array([k for _, k in found], dtype=np.uint64).view(np.int64).reshape(-1)
             starts = pa.array(np.arange(len(found) + 1, dtype=np.int32) * lanes)
-            yield pa.StructArray.from_arrays([pa.array([f for f, _ in found], pa.binary()), pa.ListArray.from_arrays(starts, pa.array(keys))], names=["fp", "keys"])
+            yield pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array([f for f, _ in found], pa.binary()), pa.ListArray.from_arrays(starts, pa.array(keys))], names=["node", "fp", "keys"])
 
-    rows = saved(docs.select(ids.alias("doc_id"), wide(text).alias("w")).select("doc_id", F.xxhash64("w.fp").alias("node"), "w.fp", "w.keys"), "prints")
-    nodes = saved(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), F.min("keys").alias("keys")), "distinct")
-    keyed = nodes.select("node", "fp", F.posexplode("keys").alias("choice", "bits"))
-    return _named(rows.select("doc_id", "node"), nodes.select("node", "doc_id"), _keyed_links(keyed, radius, tile)).select("doc_id", "node", "component_id")
+    @arrow_udf("binary")
+    def shingles(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([shingle_set(t, size).tobytes() for t in batch.to_pylist()], pa.binary())
+
+    # A row's text is found again by its id and text; rows that repeat both are one.
+    row_key = F.xxhash64(ids, ids.isNull(), text)
+    rows = saved(docs.select(ids.alias("doc_id"), row_key.alias("row_key"), wide(text).alias("w")).select("doc_id", "row_key", F.xxhash64("w.node").alias("node"), "w.fp", "w.keys"), "prints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")).alias("first")
+    nodes = saved(rows.groupBy("node").agg(first, F.min("fp").alias("fp"), F.min("keys").alias("keys")).select("node", "first.doc_id", "first.row_key", "fp", "keys"), "distinct")
+    coarse = connected_components(_keyed_links(nodes.select("node", "fp", F.posexplode("keys").alias("choice", "bits")), radius, tile))
+    asked = coarse.join(nodes, "node").select("node", "fp", "component", F.col("row_key").alias("asked_key"))
+    texts = docs.select(row_key.alias("row_key"), text.alias("text"))
+    met = texts.join(asked.hint("shuffle_hash"), F.col("row_key") == F.col("asked_key")).dropDuplicates(["row_key"])
+    keyed = saved(met.select("node", "fp", F.lit(0).alias("choice"), F.col("component").alias("bits"), shingles(F.col("text")).alias("shingles")), "shingles")
+    links = _keyed_links(keyed, radius, tile, threshold)
+    return _named(rows.select("doc_id", "node"), nodes.select("node", "doc_id"), links).select("doc_id", "node", "component_id")
 
 
 def fingerprint_hex(fp: Column) -> Column:

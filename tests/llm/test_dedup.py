@@ -156,6 +156,33 @@ def test_near_groups_at_five_words(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 7] and "fp" in kept.columns
 
 
+def near_model(rows):
+    """The least id of each group of exact five-word Jaccard similarity 0.8 or more, by all pairs."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    close = [(i, j) for i in range(len(rows)) for j in range(i) if (5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))]
+    of = components(len(rows), close)
+    return sorted(min(i for (i, _), c in zip(rows, of, strict=True) if c == k) for k in set(of))
+
+
+@pytest.mark.parametrize("tile", [4096, 5])
+def test_near_groups_on_both_sides_of_the_threshold(spark, tile):
+    rng = random.Random(11)
+    words, rows = [f"w{i}" for i in range(5000)], []
+    for k, share in enumerate([0.70, 0.75, 0.78, 0.79, 0.80, 0.81, 0.82, 0.84] * 6):
+        n = [400, 60][k % 2]
+        base = [rng.choice(words) for _ in range(n + 4)]
+        common = round(n * 2 * share / (1 + share))  # shingles that a new tail leaves
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[: common + 4] + [rng.choice(words) for _ in range(n - common)]))]
+    chain = [rng.choice(words) for _ in range(304)]
+    rows += [(200 + k, " ".join(chain[10 * k : 10 * k + 154])) for k in range(12)]  # each near to the next, not to all
+    rows += [(300, "a b c d e f g h"), (301, "a b c d e f g h i"), (302, "a b c d e f g"), (303, "x x x x x x x x x x x y"), (304, "x x x x x")]
+    got = S.near_components(docs(spark, rows), tile=tile)
+    assert sorted({r["component_id"] for r in got.collect()}) == near_model(rows)
+
+
 def test_connected_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, 100 + k) for k in range(50)] + [(7, 7), (None, 1)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
