@@ -141,7 +141,7 @@ def child_mapping_summary(spark, d):
 def section_parent_topk(spark, d):
     found = html_sections(spark, d).withColumn("category", F.lit("")).withColumn("python_version", F.lit("")).withColumn("source_path", F.lit("")).withColumn("section_id", K.section_id())
     cut = K.chunk_sections(found, 400, 100).withColumn("position", F.col("page_id") * 1_000_000 + F.col("ordinal") * 10_000 + F.col("chunk_index"))
-    ranked = R.bm25(cut, queries_of(spark, d, True), 30, (2,))
+    ranked = R.bm25(cut, queries_of(spark, d), 30, (2,))
     out = fusion.expand_to_parents(ranked, cut.select("position", F.col("section_id").alias("parent_id")), 10)
     return out.select("query_id", "rank", F.round("score", 6).alias("score"), F.col("parent_id").alias("section_id"), "child_position", "child_hits")
 

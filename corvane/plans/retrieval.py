@@ -92,8 +92,8 @@ def _hybrid(spark, d, short=True):
     return chunks, queries, X.fuse([(R.field_bm25(chunks, queries, "section_title", 30), 1.0), (R.bm25(chunks, queries, 30, (2,)), 1.0)], 30, 10, 30)
 
 
-def rrf_hybrid(spark, d):
-    return _shown(_hybrid(spark, d)[2].where(F.col("rank") <= K))
+def rrf_hybrid(spark, d, short=True):
+    return _shown(_hybrid(spark, d, short)[2].where(F.col("rank") <= K))
 
 
 def weighted_query(preset: str):
@@ -122,35 +122,40 @@ def questions_of(spark, d):
     return items.join(held, "item_id", "left").select(F.col("item_id").alias("query_id"), F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"), kind.alias("query_type"), topic.alias("topic"))
 
 
-def _ranks(spark, d):
-    chunks, queries, hybrid = _hybrid(spark, d)
+def _ranks(spark, d, short=True):
+    chunks, queries, hybrid = _hybrid(spark, d, short)
     questions = questions_of(spark, d)
     base = E.question_ranks(R.bm25(chunks, queries, K, (2,)), chunks, questions)
     return base, E.question_ranks(hybrid, chunks, questions), chunks, questions, hybrid
 
 
-def retrieval_eval(spark, d):
-    out = E.ranking_metrics(_ranks(spark, d)[0])
+def retrieval_eval(spark, d, short=True):
+    out = E.ranking_metrics(_ranks(spark, d, short)[0])
     return out.select("n_questions", *(F.round(c, 6).alias(c) for c in out.columns[1:-1]), "n_missed")
 
 
-def retrieval_eval_by_group(spark, d):
-    out = E.ranking_metrics(_ranks(spark, d)[0], "query_type", "topic")
+def retrieval_eval_by_group(spark, d, short=True):
+    out = E.ranking_metrics(_ranks(spark, d, short)[0], "query_type", "topic")
     return out.select("dimension", "value", "n_questions", *(F.round(c, 6).alias(c) for c in out.columns[3:-1]), "n_missed")
 
 
-def retrieval_compare(spark, d):
-    base, hybrid, *_ = _ranks(spark, d)
+def retrieval_compare(spark, d, short=True):
+    base, hybrid, *_ = _ranks(spark, d, short)
     out = E.compare(base, hybrid)
     return out.select("improved", "tied", "worsened", *(F.array_join(c, ",").alias(c) for c in out.columns[3:]))
 
 
-def candidate_recall(spark, d):
-    _, _, chunks, questions, hybrid = _ranks(spark, d)
+def candidate_recall(spark, d, short=True):
+    _, _, chunks, questions, hybrid = _ranks(spark, d, short)
     out = E.candidate_recall(hybrid, chunks, questions)
     return out.select("n_questions", *(F.round(c, 6).alias(c) for c in out.columns[1:]))
 
 
+def whole(run):
+    """A query of the three-word set over whole benchmark texts."""
+    return lambda spark, d: run(spark, d, short=False)
+
+
 # --- the same in SQL --------------------------------------------------------------------------------------------------
 
 _DOC_TOKENS = S.tokens("d", "chunks", "position", S.LABELLED, (2, 3))
@@ -209,3 +214,7 @@ QUERIES = {
     "retrieval_compare": (retrieval_compare, _with(*_HYBRID, _QUESTIONS, _ranks_sql("base", "lexical"), _ranks_sql("other", "hybrid"), "m AS (SELECT query_id, coalesce(base.r, 1073741824) AS b, coalesce(other.r, 1073741824) AS e FROM base JOIN other USING (query_id))") + f"SELECT count(*) FILTER (WHERE e < b) AS improved, count(*) FILTER (WHERE e = b) AS tied, count(*) FILTER (WHERE e > b) AS worsened, {_MOVED} FROM m"),
     "candidate_recall": (candidate_recall, _with(*_HYBRID, _QUESTIONS, _ranks_sql("ranks", "hybrid", 30), "spread AS (SELECT query_id, count(DISTINCT source_url) AS u, count(DISTINCT source_url || '|' || section_title) AS s FROM hybrid JOIN chunks USING (position) GROUP BY query_id)") + "SELECT count(*) AS n_questions, " + ", ".join(f"round(avg(CASE WHEN r <= {k} THEN 1 ELSE 0 END), 6) AS recall_at_{k}" for k in (10, 20, 30)) + ", round(avg(coalesce(u, 0)), 6) AS mean_urls, round(avg(coalesce(u, 0)), 6) AS mean_pages, round(avg(coalesce(s, 0)), 6) AS mean_sections FROM ranks LEFT JOIN spread USING (query_id)"),
 }
+
+#: The same over whole benchmark texts: the first set, beside which that of three words is a second, harder one.
+_WHOLE = ("rrf_hybrid", "retrieval_eval", "retrieval_eval_by_group", "retrieval_compare", "candidate_recall")
+QUERIES |= {f"{name}_whole": (whole(QUERIES[name][0]), QUERIES[name][1].replace(S.SHORT, S.QUERIES)) for name in _WHOLE}

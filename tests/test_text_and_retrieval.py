@@ -3,6 +3,7 @@
 import math
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +133,31 @@ def test_rerank_keeps_original_rank_on_ties(spark):
     docs, asked = chunks(spark, ["a b", "a b", "a b c d"]), queries(spark, "c d")
     got = X.rerank(ranked(spark, (1, 0), (2, 1), (3, 2)), asked, docs, 3).orderBy("rank").collect()
     assert [r["position"] for r in got] == [2, 0, 1] and got[0]["rank_change"] == 2
+
+
+@pytest.mark.parametrize("name", ["rrf_hybrid", "retrieval_eval", "retrieval_eval_by_group", "retrieval_compare", "candidate_recall"])
+def test_whole_benchmark_texts_match_their_sql(spark, name):
+    from corvane.plans import retrieval as P
+
+    path, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}/{t}.parquet'")
+    run, sql = P.QUERIES[f"{name}_whole"]
+    assert P.S.SHORT not in sql and P.S.SHORT in P.QUERIES[name][1]
+    df, result = run(spark, path), con.sql(sql)
+    places = [result.columns.index(c) for c in df.columns]
+    want = sorted([tuple(r[p] for p in places) for r in result.fetchall()], key=str)
+    got = sorted(map(tuple, df.collect()), key=str)
+    assert len(got) == len(want)
+    for g, w in zip(got, want, strict=True):
+        assert g == pytest.approx(w, abs=2e-6) if all(isinstance(x, int | float) for x in g) else g == w
+
+
+def test_section_parents_of_whole_texts(spark, monkeypatch):
+    from corvane.plans import documents as P
+
+    asked = []
+    monkeypatch.setattr(P.R, "bm25", lambda chunks, queries, *a, f=P.R.bm25: (asked.append(queries), f(chunks, queries, *a))[1])
+    P.section_parent_topk(spark, "/root/testdata/sf0.001")
+    texts = {r["item_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()}
+    assert {r["query_id"]: r["text"] for r in asked[0].collect()} == texts
