@@ -387,8 +387,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return _named(rows, nodes, links).select("doc_id", "node", "component_id")
 
 
+def _row_key(ids: Column, text: Column) -> Column:
+    """By this a row is found again: rows that repeat both id and text are one."""
+    return F.xxhash64(ids, ids.isNull(), text, text.isNull())
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, lanes: int = LANES, radius: int = WIDE_RADIUS, tile: int = TILE, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, node and component_id of every row, for texts whose shingle sets have a Jaccard similarity of 0.8 or more.
+    """doc_id, row_key, node and component_id of every row, for texts whose shingle sets have a Jaccard similarity of 0.8 or more.
 
     1. Equal shingle sets are one node.
     2. Candidates share the least hash of a lane: a pair of similarity s shares a lane's with probability s, so all
@@ -416,8 +421,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             yield pa.array([shingle_set(t, size).tobytes() for t in batch.to_pylist()], pa.binary())
 
-    # A row's text is found again by its id and text; rows that repeat both are one.
-    row_key = F.xxhash64(ids, ids.isNull(), text)
+    row_key = _row_key(ids, text)
     rows = saved(docs.select(ids.alias("doc_id"), row_key.alias("row_key"), wide(text).alias("w")).select("doc_id", "row_key", F.xxhash64("w.node").alias("node"), "w.fp", "w.keys"), "prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")).alias("first")
     nodes = saved(rows.groupBy("node").agg(first, F.min("fp").alias("fp"), F.min("keys").alias("keys")).select("node", "first.doc_id", "first.row_key", "fp", "keys"), "distinct")
@@ -427,7 +431,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = texts.join(asked.hint("shuffle_hash"), F.col("row_key") == F.col("asked_key")).dropDuplicates(["row_key"])
     keyed = saved(met.select("node", "fp", F.lit(0).alias("choice"), F.col("component").alias("bits"), shingles(F.col("text")).alias("shingles")), "shingles")
     links = _keyed_links(keyed, radius, tile, threshold)
-    return _named(rows.select("doc_id", "node"), nodes.select("node", "doc_id"), links).select("doc_id", "node", "component_id")
+    return _named(rows.select("doc_id", "row_key", "node"), nodes.select("node", "doc_id"), links).select("doc_id", "row_key", "node", "component_id")
 
 
 def fingerprint_hex(fp: Column) -> Column:
@@ -439,9 +443,10 @@ def keep_first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` without the rows whose id is not the least of their group of ``near_components``.
 
     Repeated rows of the least id all stay; rows with a null id stay only if no row of their group has one. The decision
-    travels as the ids to drop, which are few, and meets the texts in a shuffled hash join built on them.
+    travels as the keys (id and text) of the rows to drop, which are few, and meets the texts in a shuffled hash join
+    built on them: other texts under the same id are judged by themselves.
     """
     found = saved(near_components(docs, id_col, text_col), "groups")
-    later = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    gone = later.select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone.hint("shuffle_hash"), F.col(f"`{id_col}`").eqNullSafe(F.col("__gone")), "left_anti")
+    later = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("row_key").distinct()
+    gone = later.select(F.col("row_key").alias("__gone"))
+    return docs.join(gone.hint("shuffle_hash"), _row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")) == F.col("__gone"), "left_anti")

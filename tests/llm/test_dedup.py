@@ -183,6 +183,13 @@ def test_near_groups_on_both_sides_of_the_threshold(spark, tile):
     assert sorted({r["component_id"] for r in got.collect()}) == near_model(rows)
 
 
+def test_a_repeated_id_is_judged_by_its_text(spark):
+    one, two = (" ".join(f"{p}{i}" for i in range(60)) for p in "ab")
+    rows = [(3, one), (5, one), (5, two), (7, two)]
+    kept = S.keep_first_of_groups(docs(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(3, one), (5, two)]
+
+
 def test_connected_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, 100 + k) for k in range(50)] + [(7, 7), (None, 1)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
