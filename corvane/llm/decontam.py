@@ -15,7 +15,7 @@ Scale: a projection over whole texts, no shuffle. Items go to the tasks in block
 ``ITEM_CHARS`` characters (a bounded broadcast), one pass over the documents each.
 
 Cases: null, empty or white-space texts and items match nothing. A document shorter than an item is one window. Repeated
-items match each under its own id; repeated documents keep their rows. Ties go to the earliest window. Very long texts are
+items match each under its own id, also a null one; repeated documents keep their rows. Ties go to the earliest window. Very long texts are
 searched whole, in slices. An empty benchmark or table gives no hits. Other columns pass unchanged in
 ``remove_contaminated``.
 """
@@ -81,7 +81,7 @@ class SizeClass(NamedTuple):
 
     words: int
     shingle: int
-    ids: np.ndarray
+    ids: list[int | None]
     counts: list[Counter]
     prints: np.ndarray
     index: np.ndarray  # blocks x 256 x items: within radius // BLOCKS bits
@@ -90,9 +90,9 @@ class SizeClass(NamedTuple):
 class ItemIndex:
     """What a task needs of one block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float, radius: int) -> None:
+    def __init__(self, items: list[tuple[int | None, str]], threshold: float, radius: int) -> None:
         self.threshold, self.radius = threshold, radius
-        by_size: dict[int, list[tuple[int, list[bytes]]]] = {}
+        by_size: dict[int, list[tuple[int | None, list[bytes]]]] = {}
         for item, text in items:
             if words := [bare(w) for w in words_of(text)]:
                 by_size.setdefault(len(words), []).append((item, words))
@@ -111,7 +111,7 @@ class ItemIndex:
                 ids = np.array([self.known[w] for w in words], dtype=np.uint64)
                 for h in self._rolled(ids, shingle).tolist():
                     keys.setdefault(shingle, {}).setdefault(h, set()).add(len(self.classes))
-            self.classes.append(SizeClass(size, shingle, np.array([i for i, _ in some]), counts, prints, np.ascontiguousarray(index)))
+            self.classes.append(SizeClass(size, shingle, [i for i, _ in some], counts, prints, np.ascontiguousarray(index)))
         self.keys = {s: (np.array(sorted(k), dtype=np.uint64), k) for s, k in keys.items()}
 
     @staticmethod
@@ -134,7 +134,7 @@ class ItemIndex:
                 cache[w] = self.known.get(bare(w), 0)
             return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
 
-    def hits(self, text: str | None) -> list[tuple[int, int, int, float, int]]:
+    def hits(self, text: str | None) -> list[tuple[int | None, int, int, float, int]]:
         """(item, first word, words, similarity, distance) of the best window of each item that matches."""
         words = words_of(text)
         if not words or not self.classes:
@@ -163,12 +163,12 @@ class ItemIndex:
         if not near:
             return []
         clean = [bare(w) for w in words]
-        out: list[tuple[int, int, int, float, int]] = []
+        out: list[tuple[int | None, int, int, float, int]] = []
         for c, places in near.items():
             out += self._search(self.classes[c], clean, np.array(places))
-        return sorted(out)
+        return sorted(out, key=lambda h: (h[0] is None, h[0] or 0, *h[1:]))
 
-    def _search(self, one: SizeClass, words: list[bytes], places: np.ndarray) -> list[tuple[int, int, int, float, int]]:
+    def _search(self, one: SizeClass, words: list[bytes], places: np.ndarray) -> list[tuple[int | None, int, int, float, int]]:
         span = one.words - one.shingle + 1  # shingles of a window
         last = max(0, len(words) - one.words)
         # Starts of all windows that hold a shared shingle.
@@ -180,7 +180,7 @@ class ItemIndex:
             reach = max(reach, end)
             for a in range(begin, end + 1, _SLICE):
                 self._windows(one, words, a, min(end, a + _SLICE - 1), span, best)
-        return [(int(one.ids[k]), start, one.words, round(s, 12), d) for k, (s, start, d) in best.items()]
+        return [(one.ids[k], start, one.words, round(s, 12), d) for k, (s, start, d) in best.items()]
 
     def _windows(self, one: SizeClass, words: list[bytes], a: int, b: int, span: int, best: dict[int, tuple[float, int, int]]) -> None:
         shingles = shingles_of(words[a : b + one.words], one.shingle)
@@ -205,11 +205,11 @@ class ItemIndex:
                 best[k] = (s, a + w, d)
 
 
-def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[int, str]]]:
-    """Benchmark items in blocks of bounded size."""
-    held: list[tuple[int, str]] = []
+def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[int | None, str]]]:
+    """Benchmark items in blocks of bounded size; an item needs a text, not an id."""
+    held: list[tuple[int | None, str]] = []
     chars = 0
-    for row in items.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")).dropna().toLocalIterator():
+    for row in items.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").alias("text")).where("text IS NOT NULL").toLocalIterator():
         held.append((row[0], row[1]))
         chars += len(row[1])
         if len(held) >= ITEM_BLOCK or chars >= ITEM_CHARS:
@@ -219,7 +219,7 @@ def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text
         yield held
 
 
-def hits_column(block: list[tuple[int, str]], docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, radius: int = RADIUS) -> Column:
+def hits_column(block: list[tuple[int | None, str]], docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, radius: int = RADIUS) -> Column:
     """The hits of one block of items in a text column."""
     shared = docs.sparkSession.sparkContext.broadcast(block)
     text_batches(docs.sparkSession)

@@ -238,6 +238,15 @@ def test_clean_rows_stay(spark):
     assert D.remove_contaminated(rows, items.where("false")).count() == 3
 
 
+def test_items_without_an_id_count(spark):
+    passages = ["one two three four five six seven eight nine ten", "a b c d e f g h i j"]
+    items = spark.createDataFrame([(None, passages[0]), (None, passages[1]), (4, passages[1]), (5, None)], "item_id bigint, text string")
+    rows = docs(spark, [(1, f"x {passages[0]} y"), (2, f"{passages[1]} z"), (3, "clean")])
+    assert [r["doc_id"] for r in D.remove_contaminated(rows, items).collect()] == [3]
+    found = sorted(((r["doc_id"], r["item_id"]) for r in D.find_contamination(rows, items).collect()), key=str)
+    assert found == [(1, None), (2, 4), (2, None)]
+
+
 # --- top-k
 
 
