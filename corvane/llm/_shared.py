@@ -1,7 +1,15 @@
-"""Helpers that the training-data operators share: scratch tables and text normalisation."""
+"""Helpers that the training-data operators share: scratch tables and text normalisation.
+
+Scratch tables lie in one folder a session, ``<spark.checkpoint.dir>/corvane/<application>-<random>``, so sessions that share
+the root never touch each other's. Operators delete the tables that their result no longer reads with ``discard``; the
+rest goes with ``drop_scratch``, which also runs when the Python driver ends in an orderly way.
+"""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 
@@ -12,20 +20,42 @@ SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
+_folders: dict[str, str] = {}
+
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary folder serves a local session, whose tasks all run on this machine; a cluster would
+    have another such folder on every node, so there it is an error.
+    """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         root = tempfile.mkdtemp(prefix="corvane-")
         sc.setCheckpointDir(root)
         root = sc.getCheckpointDir()
     return root.rstrip("/")
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """This session's own folder."""
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        _folders[app] = f"{scratch_root(spark)}/corvane/{app}-{uuid.uuid4().hex}"
+        atexit.register(_at_exit, spark)
+    return _folders[app]
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/corvane/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -36,20 +66,34 @@ def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``saved`` returned, once nothing is left that reads them."""
+    for df in tables:
+        if path := df.__dict__.get("_scratch"):
+            delete_path(df.sparkSession, path)
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Deletes every table that ``saved`` has written; call it when no result still reads one."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/corvane")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Deletes every table of this session; call it when no result still reads one."""
+    if folder := _folders.pop(spark.sparkContext.applicationId, None):
+        delete_path(spark, folder)
+
+
+def _at_exit(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before; its folder then stays for the cluster to clear
+        drop_scratch(spark)
 
 
 def text_batches(spark: SparkSession | None = None, rows: int = 1000) -> None:
     """Lets Spark hand Python at most ``rows`` texts at a time: a task's memory follows the batch, not the partition.
 
-    The session's setting is lowered, never raised.
+    Plans read the setting when they run, after the operator has returned, so it stays for the session; it is lowered,
+    never raised.
     """
     spark = spark or SparkSession.getActiveSession()
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
