@@ -80,13 +80,34 @@ def test_lines_keep_other_columns_and_empty_tables(spark):
     assert empty.count() == 0 and {"fp", "component_id"} <= set(empty.columns)
 
 
-def test_runs_compact_and_add_up(spark):
+def test_runs_compact_and_keep_the_first_batch(spark):
     runs = LineRuns(spark, fanout=2)
     for k in range(5):
-        runs.add(spark.createDataFrame([(10 * k + j, 1, 1 if j else k) for j in range(3)], "doc bigint, h1 bigint, h2 bigint"))
+        runs.add(spark.createDataFrame([(100 - 10 * k - j, 1, 1 if j else k) for j in range(3)], "doc bigint, h1 bigint, h2 bigint"))
     assert len(runs.levels) > 1 and all(len(level) < 2 for level in runs.levels)
-    got = {r["h2"]: (r["docs"], r["top"]) for r in runs.totals().collect()}
-    assert got[1] == (11, 42) and got[3] == (1, 30) and sum(n for n, _ in got.values()) == 15
+    got = {r["h2"]: r["top"] for r in runs.keepers().collect()}
+    assert got == {0: 100, 1: 99, 2: 80, 3: 70, 4: 60}
+    runs.release()
+
+
+def test_the_anti_join_decides_which_line_stays(spark, monkeypatch):
+    rows = line_case(1)
+    monkeypatch.setattr(LineRuns, "runs", lambda self: [])
+    got = drop_lines(docs(spark, rows)).select("doc_id", "line_dedup.*", "text").collect()
+    assert sorted([(r[0], r[1], r[2], r[3] or "") for r in got], key=str) != line_model(rows)
+
+
+def test_a_hash_that_holds_most_lines(spark):
+    rows = [(i, "\n".join([LONG[0]] * (500 if i == 3 else 1) + [LONG[1]] * (i < 3) + ["own line number that is long enough %d" % i])) for i in range(30)]
+    rows += [(40, "\n".join([LONG[2]] * 900))]
+    got = drop_lines(docs(spark, rows)).select("doc_id", "line_dedup.*", "text").collect()
+    assert sorted([(r[0], r[1], r[2], r[3] or "") for r in got], key=str) == line_model(rows)
+
+
+def test_a_very_long_text_of_lines(spark):
+    rows = [(i, "\n".join([*LONG[:2], *(f"a line that only document {i} holds, {k}" for k in range(20_000 if i == 2 else 3))])) for i in range(6)]
+    got = drop_lines(docs(spark, rows)).select("doc_id", "line_dedup.*", "text").collect()
+    assert sorted([(r[0], r[1], r[2], r[3] or "") for r in got], key=str) == line_model(rows)
 
 
 # --- SimHash
