@@ -6,15 +6,17 @@ states, so blocks decode in parallel. Every ``CHECKPOINT`` steps a block notes i
 a CRC-32 of the ids since the last note, so that a reader can start, or check, within a block.
 
 A file set is a Parquet table ``blocks`` (one self-describing binary payload a row, layout in ``pack_block``) in ascending
-order of document id: range partition ``part``, then ``block`` within it. Spark's committer writes it, so it works on any
-file system and a lost executor's attempt leaves nothing.
+order of document id: range partition ``part``, then ``block`` within it, each with its offset in the part. Spark's
+committer writes it, so it works on any file system and a lost executor's attempt leaves nothing.
 
-Scale: documents are range-partitioned by id once (the only shuffle of texts); ids are then coded block by block. The
-frequency table has at most one entry an id of the vocabulary, and part offsets one row a partition; only those meet on
-the driver. A task holds one Arrow batch and one block (``BLOCK_IDS`` ids, or one document if that has more).
+Scale: texts are read once, where they lie, and become ids, which go to the shared folder with each task's id counts. Ids
+are then range-partitioned by document id (the only shuffle), sorted, coded block by block and written. Reading shuffles
+nothing. The frequency table has at most one entry an id of the vocabulary, and part offsets one row a partition; only
+those meet on the driver. A task holds one Arrow batch and one block (``BLOCK_IDS`` ids, or one document if that has more).
 
-Cases: null and empty texts have the end id alone. Repeated document ids stay separate rows, in order of text; a null id
-sorts first. An empty table gives an empty file set and no rows. Other columns are not read.
+Cases: null and empty texts have the end id alone. Repeated and null document ids stay separate rows, a null id first; among
+equal ids the order is by the first ids of the text, then a hash of it, which also deals them over partitions. An empty
+table gives an empty file set and no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,30 +32,47 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm._shared import saved, scratch_path, text_batches
+from corvane.llm._shared import discard, saved, scratch_path, text_batches
 
 LANES = 1024
 BLOCK_IDS = 1 << 18
 CHECKPOINT = 64
 LOW = np.uint64(1 << 31)
 MAGIC = b"CVR1"
-CACHE_ENTRIES = 1_200_000
-_MARKS = ".,;:!?"
+CACHE_ENTRIES = 500_000
+SLICE_CHARS = 1 << 23
+GATHER_WORDS = 1 << 18
+COUNT_TASKS = 64
+_MARK = "\x02"
 
-#: A text of these characters alone is split as below after lower-casing; any other goes to the library.
-_SIMPLE = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]|<\\|")
-_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\\sa-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
+#: A text of these characters alone is lower-cased, cut at white space and looked up; any other goes to the library whole.
+_BEYOND_SIMPLE = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]|<\\|")
+#: Marks between a letter or digit and white space are a piece of their own, so a space before them changes no id.
+_TAIL = r"([a-z0-9à-öø-ÿ])([.,;:!?]+(?:\s|$))"
 
 
 # --- tokenising -------------------------------------------------------------------------------------------------------
 
+_ODD_BYTES = np.array([b < 0x20 and b not in b"\t\n\r" or b == 0x7F or b > 0xC3 for b in range(256)])
+
+
+def all_simple(texts: list[str]) -> bool:
+    """Whether no text has what ``_BEYOND_SIMPLE`` finds, by bytes of all texts at once."""
+    joined = "\n".join(texts)
+    raw = np.frombuffer(joined.encode(), dtype=np.uint8)
+    if _ODD_BYTES[raw].any() or "<|" in joined:
+        return False
+    second = raw[np.flatnonzero(raw[:-1] == 0xC2) + 1]
+    return not ((second <= 0xA0) | (second == 0xAD)).any()
+
 
 class WordTokenizer:
-    """The library's tokenizer with a bounded table of words; only pieces not seen before go through the library."""
+    """The library's tokenizer with a bounded table of words; only words not seen lately go through the library."""
 
     def __init__(self, path: str, by_word: bool = True) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task is one of many on its node
@@ -70,64 +89,103 @@ class WordTokenizer:
         if suffix:
             self.ends = np.zeros(size, dtype=bool)
             self.ends[[i for t, i in self.library.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
+        mark = self.library.encode(_MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
         self.by_word = by_word
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def _packed(self, texts: list[str]) -> list[bytes]:
         got = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [array(self.code, x.ids).tobytes() for x in got]
 
+    def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one text after another, and how many each has."""
+        if self.by_word and all_simple(texts):
+            return self._looked_up(texts)
+        plain = [self.by_word and not _BEYOND_SIMPLE.search(t) for t in texts]
+        sizes, parts = np.zeros(len(texts), dtype=np.int64), []
+        ids, n = self._looked_up([t for t, p in zip(texts, plain, strict=True) if p])
+        sizes[plain] = n
+        begins = iter((np.cumsum(n) - n).tolist())
+        others = iter(self._packed([t for t, p in zip(texts, plain, strict=True) if not p]))
+        for k, p in enumerate(plain):
+            if p:
+                begin = next(begins)
+                parts.append(ids[begin : begin + sizes[k]])
+            else:
+                parts.append(np.frombuffer(next(others), dtype=self.dtype))
+                sizes[k] = len(parts[-1])
+        return np.concatenate(parts) if parts else ids, sizes
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned integers of ``dtype``."""
-        out: list[bytes | None] = [None] * len(texts)
-        simple, other, new = [], [], set()
-        words = self.words
-        if len(words) > CACHE_ENTRIES:
-            words.clear()
-        for k, text in enumerate(texts):
-            if self.by_word and not _SIMPLE.search(text):
-                row = text.lower().split()
-                new |= set(row).difference(words)
-                simple.append((k, row))
-            else:
-                other.append(k)
-        if other:
-            for k, ids in zip(other, self._packed([texts[k] for k in other]), strict=True):
-                out[k] = ids
-        if new:
-            self._learn(new)
-        for k, row in simple:
-            out[k] = b"".join(map(words.__getitem__, row))
-        return out
-
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that are words of their own: all in one text, cut at the ids that end a word."""
+        ids, sizes = self.encode_texts(texts)
+        return [x.tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1])] if texts else []
+
+    def _looked_up(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct words of the texts are looked up once, and their ids copied to every place."""
+        spaced = pc.replace_substring_regex(pa.array([t.lower() for t in texts], pa.string()), _TAIL, r"\1 \2")
+        lists = pc.ascii_split_whitespace(spaced)
+        offsets = lists.offsets.to_numpy()
+        found = lists.flatten().dictionary_encode()
+        rows = self._ids_of(found.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(rows), dtype=self.dtype)
+        length = np.fromiter(map(len, rows), dtype=np.int32, count=len(rows)) // np.int32(self.dtype.itemsize)
+        first = np.cumsum(length, dtype=np.int32) - length
+        word = found.indices.to_numpy(zero_copy_only=False)
+        n = length[word]
+        upto = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))
+        ids = np.empty(upto[-1], dtype=self.dtype)
+        for a in range(0, len(word), GATHER_WORDS):
+            some, many = word[a : a + GATHER_WORDS], n[a : a + GATHER_WORDS]
+            ends = np.cumsum(many, dtype=np.int32)
+            at = np.repeat(first[some] - (ends - many), many)
+            at += np.arange(len(at), dtype=np.int32)
+            ids[upto[a] : upto[a] + len(at)] = flat[at]
+        return ids, upto[offsets[1:] - offsets[0]] - upto[offsets[:-1] - offsets[0]]
+
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        rows = list(map(self.words.get, words))
+        unknown = [k for k, r in enumerate(rows) if r is None]
+        if not unknown:
+            return rows
+        if len(self.words) + len(unknown) > CACHE_ENTRIES:  # words that are still in use come back from the older half
+            self.words, self.older = {"": b""}, self.words
+        learnt, older = self.words, self.older
+        fresh = [words[k] for k in unknown]
+        if older:
+            back = {w: ids for w in fresh if (ids := older.get(w)) is not None}
+            learnt.update(back)
+            fresh = [w for w in fresh if w not in back]
+        alone = [w for w in fresh if w.isalpha()]
+        other = [w for w in fresh if not w.isalpha()]
+        for cut, some in ((self._by_ends, alone), (self._by_marks, other)):
+            for k in range(0, len(some), 1024):
+                learnt.update(zip(some[k : k + 1024], cut(some[k : k + 1024]), strict=True))
+        for k in unknown:
+            rows[k] = learnt[words[k]]
+        return rows
+
+    def _by_ends(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters: all in one text, cut at the ids that end a word."""
         if self.ends is None:
-            return self._packed(pieces)
-        ids = np.array(self.library.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, dtype=self.dtype)
-        cuts = (self.dtype.itemsize * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-        if len(cuts) != len(pieces):
-            return self._packed(pieces)
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
-
-    def _learn(self, chunks: set[str]) -> None:
-        """Adds chunks between white space to the table; most are letters and a tail of marks."""
-        words = self.words
-        alone = {c for c in chunks if c.isalpha()}
-        cut: list[tuple[str, list[str]]] = []
-        pieces = set(alone)
-        for chunk in chunks - alone:
-            core = chunk.rstrip(_MARKS)
-            row = [core, chunk[len(core) :]] if core.isalpha() else _PIECES.findall(chunk)
-            cut.append((chunk, row))
-            pieces.update(row)
-        todo = list(pieces.difference(words))
-        for k in range(0, len(todo), 1024):
-            words.update(zip(todo[k : k + 1024], self._pieces(todo[k : k + 1024]), strict=True))
-        for chunk, row in cut:
-            if len(row) != 1:
-                words[chunk] = b"".join([words[p] for p in row])
+            return self._packed(words)
+        ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        return self._cut(ids, [0, *cuts.tolist()], cuts.tolist()) if len(cuts) == len(words) else self._packed(words)
+
+    def _by_marks(self, words: list[str]) -> list[bytes]:
+        """Ids of any words: all in one text, with a mark between them that no simple text holds."""
+        if self.mark is None:
+            return self._packed(words)
+        ids = np.array(self.library.encode_batch_fast([f" {_MARK} ".join(words)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        marks = np.flatnonzero(ids == self.mark)
+        return self._cut(ids, [0, *(marks + 1).tolist()], [*marks.tolist(), len(ids)]) if len(marks) == len(words) - 1 else self._packed(words)
+
+    def _cut(self, ids: np.ndarray, begins: list[int], ends: list[int]) -> list[bytes]:
+        raw, width = ids.tobytes(), self.dtype.itemsize
+        return [raw[width * a : width * b] for a, b in zip(begins, ends, strict=False)]
 
 
 @lru_cache(maxsize=2)
@@ -165,21 +223,22 @@ def encode_block(ids: np.ndarray, table: FrequencyTable) -> bytes:
     padded = np.full(steps * lanes, ids[-1], dtype=np.int64)
     padded[:n] = ids
     rows = padded.reshape(steps, lanes)
-    bits, mask32 = np.uint64(table.bits), np.uint64(0xFFFFFFFF)
+    freqs, firsts = table.freq[rows], table.first[rows]
+    bits, up, half = np.uint64(table.bits), np.uint64(63 - table.bits), np.uint64(32)
     state = np.full(lanes, LOW, dtype=np.uint64)
     stream: list[np.ndarray] = []
     notes: list[tuple[np.ndarray, int]] = []
     written = 0
     for t in range(steps - 1, -1, -1):
-        freq = table.freq[rows[t]]
-        full = state >= ((LOW >> bits) << np.uint64(32)) * freq
+        freq = freqs[t]
+        full = state >= freq << up
         if full.any():
-            words = (state[full] & mask32).astype("<u4")
+            words = state[full].astype("<u4")
             stream.append(words)
             written += len(words)
-            state = np.where(full, state >> np.uint64(32), state)
-        quotient, rest = np.divmod(state, freq)
-        state = (quotient << bits) + rest + table.first[rows[t]]
+            np.right_shift(state, half, out=state, where=full)
+        quotient = state // freq
+        state = (quotient << bits) + (state - quotient * freq) + firsts[t]
         if t % CHECKPOINT == 0:
             notes.append((state.copy(), written))
     notes.reverse()
@@ -232,61 +291,106 @@ def decode_block(payload: bytes, table: FrequencyTable, first: int = 0, last: in
 
 # --- files ------------------------------------------------------------------------------------------------------------
 
-_ID_BLOCKS = "part int, block int, doc_ids binary, has_id binary, sizes binary, ids binary"
-_BLOCKS = "part int, block int, n_ids bigint, part_offset bigint, doc_ids binary, has_id binary, sizes binary, payload binary"
+_IDS = "doc_id bigint, head binary, tie bigint, ids binary, counts binary"
+_BLOCKS = "part int, block int, part_offset bigint, n_ids bigint, doc_ids binary, has_id binary, sizes binary, payload binary"
 
 
-def _id_blocks(path: str, end_id: int, by_word: bool):
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, block = TaskContext.get().partitionId(), 0
-        one = tokenizer(path, by_word)
-        end = np.array([end_id], dtype=one.dtype).tobytes()
-        docs: list[int | None] = []
-        held: list[bytes] = []
-        size = 0
+def _binaries(raw: bytes, ends: np.ndarray) -> pa.Array:
+    """A binary array of the pieces of ``raw`` that end where told."""
+    offsets = np.concatenate(([0], ends)).astype("<i4")
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw)])
 
-        def row() -> pa.RecordBatch:
-            sizes = np.array([len(x) // one.dtype.itemsize for x in held], dtype="<i8")
-            values = [part, block, np.array([d or 0 for d in docs], dtype="<i8").tobytes(), bytes(d is not None for d in docs), sizes.tobytes(), b"".join(held)]
-            kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["part", "block", "doc_ids", "has_id", "sizes", "ids"])
 
+def _tokenise(path: str, end_id: int, by_word: bool):
+    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = tokenizer(path, by_word)
+        names = ["doc_id", "head", "tie", "ids", "counts"]
+        counts = np.zeros(one.library.get_vocab_size(with_added_tokens=True), dtype=np.int64)
+
+        def rows(docs: list[pa.RecordBatch], texts: list[str]) -> pa.RecordBatch:
+            ids, sizes = one.encode_texts(texts)
+            ends = np.cumsum(sizes + 1)
+            out = np.full(len(ids) + len(texts), end_id, dtype=one.dtype)
+            inner = np.ones(len(out), dtype=bool)
+            inner[ends - 1] = False
+            out[inner] = ids
+            counts[:] += np.bincount(out, minlength=len(counts))
+            binary = _binaries(out.tobytes(), ends * one.dtype.itemsize)
+            keys = pa.Table.from_batches(docs).combine_chunks()
+            columns = [keys.column(0).combine_chunks(), pc.binary_slice(binary, 0, 8), keys.column(1).combine_chunks(), binary, pa.nulls(len(texts), pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        keys: list[pa.RecordBatch] = []
+        held: list[str] = []
+        size = 0
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                some = batch.slice(a, 512)
-                encoded = one.encode_batch([t or "" for t in some.column(1).to_pylist()])
-                for doc, ids in zip(some.column(0).to_pylist(), encoded, strict=True):
-                    docs.append(doc)
-                    held.append(ids + end)
-                    size += len(held[-1]) // one.dtype.itemsize
-                    if size >= BLOCK_IDS:
-                        yield row()
-                        block, size = block + 1, 0
-                        docs.clear()
-                        held.clear()
-        if docs:
-            yield row()
-
-    return pack
-
-
-def count_ids(blocks: DataFrame, dtype: str, size: int) -> np.ndarray:
-    """Occurrences of each id over all blocks: summed in each partition, then over partitions; at most ``size`` rows."""
+            texts = [t or "" for t in batch.column(2).to_pylist()]
+            begin = 0
+            for k, text in enumerate(texts):
+                size += len(text)
+                if size >= SLICE_CHARS or k + 1 == len(texts):
+                    keys.append(batch.slice(begin, k + 1 - begin).select([0, 1]))
+                    held += texts[begin : k + 1]
+                    begin = k + 1
+                    if size >= SLICE_CHARS:
+                        yield rows(keys, held)
+                        keys, held, size = [], [], 0
+        if held:
+            yield rows(keys, held)
+        if counts.any():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.astype("<i8").tobytes()], pa.binary())], names=names)
+
+    return tokenise
+
+
+def count_ids(ids: DataFrame, size: int) -> np.ndarray:
+    """Occurrences of each id: the counts that tokenising noted, summed in a bounded number of tasks, then over those."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, dtype=np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                total += np.bincount(np.frombuffer(ids.as_buffer(), dtype=dtype), minlength=size)
+            for counts in batch.column(0):
+                total += np.frombuffer(counts.as_buffer(), dtype="<i8")
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found], pa.int64())], names=["id", "n"])
 
-    rows = blocks.select("ids").mapInArrow(local, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    noted = ids.select("counts").where("counts IS NOT NULL").coalesce(COUNT_TASKS)
+    rows = noted.mapInArrow(local, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(size, dtype=np.int64)
     counts[rows["id"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
     return counts
 
 
+def _code(shared, dtype: str):
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, part, block, offset = FrequencyTable(shared.value), TaskContext.get().partitionId(), 0, 0
+        docs: list[int | None] = []
+        held: list[bytes] = []
+        size = 0
+
+        def row() -> pa.RecordBatch:
+            ids = np.frombuffer(b"".join(held), dtype=dtype)
+            sizes = np.array([len(x) for x in held], dtype="<i8") // np.dtype(dtype).itemsize
+            values = [part, block, offset, len(ids), np.array([d or 0 for d in docs], dtype="<i8").tobytes(), bytes(d is not None for d in docs), sizes.tobytes(), encode_block(ids, table)]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["part", "block", "part_offset", "n_ids", "doc_ids", "has_id", "sizes", "payload"])
+
+        for batch in batches:
+            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                docs.append(doc)
+                held.append(ids)
+                size += len(ids) // np.dtype(dtype).itemsize
+                if size >= BLOCK_IDS:
+                    yield row()
+                    block, offset, size = block + 1, offset + size, 0
+                    docs.clear()
+                    held.clear()
+        if docs:
+            yield row()
+
+    return code
+
+
 def write_ids(docs: DataFrame, path: str, out: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, partitions: int | None = None, by_word: bool = True) -> tuple[str, FrequencyTable]:
     """Tokenises whole texts, appends ``end_id``, and writes the file set ``out``; returns its place and its table.
 
@@ -298,25 +402,15 @@ def write_ids(docs: DataFrame, path: str, out: str | None = None, id_col: str =
     one = tokenizer(path, by_word)
     dtype, size = one.dtype.str, one.library.get_vocab_size(with_added_tokens=True)
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    ids = saved(ordered.mapInArrow(_id_blocks(path, end_id, by_word), _ID_BLOCKS), "rans-ids")
-    counts = count_ids(ids, dtype, size)
-    shared = spark.sparkContext.broadcast(counts)
-
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = FrequencyTable(shared.value)
-        for batch in batches:
-            for row in batch.to_pylist():
-                values = np.frombuffer(row["ids"], dtype=dtype)
-                payload = encode_block(values, table)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["part"]], pa.int32()), pa.array([row["block"]], pa.int32()), pa.array([len(values)], pa.int64()), *(pa.array([x], pa.binary()) for x in (row["doc_ids"], row["has_id"], row["sizes"], payload))],
-                    names=["part", "block", "n_ids", "doc_ids", "has_id", "sizes", "payload"],
-                )
-
-    coded = ids.mapInArrow(code, "part int, block int, n_ids bigint, doc_ids binary, has_id binary, sizes binary, payload binary")
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    ids = saved(rows.mapInArrow(_tokenise(path, end_id, by_word), _IDS), "rans-ids")
+    counts = count_ids(ids, size)
+    keys = ["doc_id", "head", "tie"]
+    dealt = ids.where("ids IS NOT NULL").select(*keys, "ids").repartitionByRange(parts, *keys).sortWithinPartitions(*keys, "ids")
+    coded = dealt.select("doc_id", "ids").mapInArrow(_code(spark.sparkContext.broadcast(counts), dtype), _BLOCKS)
     coded.write.option("compression", "none").parquet(f"{out}/blocks")
+    discard(ids)
     spark.createDataFrame([(bytearray(counts.astype("<i8").tobytes()),)], "counts binary").write.parquet(f"{out}/table")
     return out, FrequencyTable(counts)
 
@@ -332,19 +426,16 @@ def read_digests(spark: SparkSession, out: str) -> DataFrame:
 
 
 def _read(spark: SparkSession, out: str, digest: bool) -> DataFrame:
-    blocks = spark.read.parquet(f"{out}/blocks")
+    blocks = spark.read.schema(_BLOCKS).parquet(f"{out}/blocks")
     counts = np.frombuffer(spark.read.parquet(f"{out}/table").first()["counts"], dtype="<i8")
-    shared = spark.sparkContext.broadcast(counts)
-    # A row a block: running sums within a part are summed over parts, of which there are as many as range partitions.
-    sized = blocks.select("part", "block", "n_ids")
-    within = sized.withColumn("offset", F.sum("n_ids").over(Window.partitionBy("part").orderBy("block")) - F.col("n_ids"))
-    parts = sized.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    base = parts.withColumn("base", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "base")
-    offsets = within.join(base, "part").select("part", "block", (F.col("offset") + F.col("base")).alias("begin"))
-    rows = blocks.join(offsets, ["part", "block"]).select("begin", "doc_ids", "has_id", "sizes", "payload")
+    # One number a range partition: where its first block begins.
+    sums = sorted((r["part"], r["n"]) for r in blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
+    begins = dict(zip((p for p, _ in sums), np.cumsum([0, *(n for _, n in sums)]).tolist(), strict=False))
+    shared = spark.sparkContext.broadcast((counts, begins))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = FrequencyTable(shared.value)
+        counts, begins = shared.value
+        table = FrequencyTable(counts)
         for batch in batches:
             for row in batch.to_pylist():
                 ids = decode_block(row["payload"], table).astype("<u4")
@@ -353,7 +444,7 @@ def _read(spark: SparkSession, out: str, digest: bool) -> DataFrame:
                 starts = ends - sizes
                 has = np.frombuffer(row["has_id"], dtype=np.uint8) == 0
                 docs = pa.array(np.frombuffer(row["doc_ids"], dtype="<i8"), mask=has)
-                columns = [docs, pa.array(starts + row["begin"])]
+                columns = [docs, pa.array(starts + begins[row["part"]] + row["part_offset"])]
                 if digest:
                     raw = memoryview(ids.tobytes())
                     sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
@@ -363,4 +454,4 @@ def _read(spark: SparkSession, out: str, digest: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     names = ["doc_id", "start", "n_tokens", "ids_crc32"] if digest else ["doc_id", "start", "ids"]
-    return rows.mapInArrow(decode, "doc_id bigint, start bigint, " + ("n_tokens bigint, ids_crc32 bigint" if digest else "ids array<int>"))
+    return blocks.select("part", "part_offset", "doc_ids", "has_id", "sizes", "payload").mapInArrow(decode, "doc_id bigint, start bigint, " + ("n_tokens bigint, ids_crc32 bigint" if digest else "ids array<int>"))
