@@ -12,7 +12,11 @@ import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 #: The white space of the text contracts, and ASCII letters for lower-casing.
@@ -89,16 +93,51 @@ def _at_exit(spark: SparkSession) -> None:
         drop_scratch(spark)
 
 
-def text_batches(spark: SparkSession | None = None, rows: int = 1000) -> None:
-    """Lets Spark hand Python at most ``rows`` texts at a time: a task's memory follows the batch, not the partition.
+def text_batches(spark: SparkSession | None = None, rows: int = 1000, size: int = 1 << 24) -> None:
+    """Lets Spark hand Python at most ``rows`` texts or ``size`` bytes at a time (one text at least): a task's memory follows
+    the batch, not the partition.
 
-    Plans read the setting when they run, after the operator has returned, so it stays for the session; it is lowered,
+    Plans read the settings when they run, after the operator has returned, so they stay for the session; they are lowered,
     never raised.
     """
     spark = spark or SparkSession.getActiveSession()
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark is not None and not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)
+    if spark is None:
+        return
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < int(spark.conf.get(key).rstrip("b")) <= most:
+            spark.conf.set(key, most)
+
+
+def summed(rows: DataFrame, of: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int, pieces: int = 16) -> np.ndarray:
+    """The sum over all tasks of the vector (``size`` doubles) that ``of`` makes of a task's batches.
+
+    A task emits its vector in ``pieces`` binary rows, whatever its input; each piece is added up by a task of its own, in
+    order of the tasks, so the driver gets one vector, and the same one again for the same partitions.
+    """
+
+    def row(piece: int, task: int, part: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([task], pa.int32()), pa.array([part.astype("<f8").tobytes()], pa.binary())], names=["piece", "task", "v"])
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = of(batches)
+        if total.any():
+            for k, part in enumerate(np.array_split(total, pieces)):
+                yield row(k, TaskContext.get().partitionId(), part)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                part = np.frombuffer(raw.as_buffer(), dtype="<f8")
+                sums[k] = sums[k] + part if k in sums else part
+        for k, part in sums.items():
+            yield row(k, 0, part)
+
+    kind = "piece int, task int, v binary"
+    met = rows.mapInArrow(local, kind).repartition(pieces, "piece").sortWithinPartitions("piece", "task").mapInArrow(add, kind)
+    got = {r["piece"]: np.frombuffer(r["v"], dtype="<f8") for r in met.collect()}
+    return np.concatenate([got[k] for k in range(pieces)]) if got else np.zeros(size)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
