@@ -163,6 +163,42 @@ def test_lm_without_training_and_with_odd_rows(spark):
     assert M.score_texts(docs.where("false"), F.lit(True)).count() == 0
 
 
+def test_lm_tokens_of_odd_texts():
+    import pyarrow as pa
+
+    texts = [None, "", " ", " a\x0bB\x0cc \x1cd\x85e\xa0f\r\n", "ÀÉ x", "x\ty  z", "\n\nlast", "日本 語", "a" * 5000]
+    for some in (pa.array(texts), pa.array(["skip me", *texts])[1:]):
+        words, ids, sizes = M.coded(some)
+        words = words.to_pylist()
+        got = [[words[i] for i in x] for x in np.split(ids, np.cumsum(sizes)[:-1])]
+        assert got == [M.tokens_of(t) for t in texts]
+
+
+def test_lm_scores_do_not_depend_on_the_partitions(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    one, two = ({r["doc_id"]: (r["base_score"], r["score"]) for r in M.score_texts(d, F.col("doc_id") % 7 != 0).collect()} for d in (docs.coalesce(1), docs.repartition(5)))
+    assert set(one) == set(two) and all(one[k] == pytest.approx(two[k], abs=1e-5) for k in one)
+
+
+def test_emissions_add_up_to_one():
+    rng = np.random.default_rng(4)
+    classes = np.array([0, 1, 2, 2, 2, 3, 3])
+    counts = rng.integers(1, 9, 7).astype(float)
+    expected = M.expected_of(counts, rng.integers(0, 255, (7, 8)).astype(np.uint8).view("<i8")[:, 0], 3)
+    assert expected.sum(axis=1) == pytest.approx(counts)
+    in_class, kinds = np.bincount(classes, weights=counts, minlength=5), np.bincount(classes, minlength=5)
+    gathered = np.stack([np.bincount(classes, weights=expected[:, s], minlength=5) for s in range(3)], axis=1)
+    gathered[3, 1] = 0.0
+    room = in_class + 0.1 * np.where(np.arange(5) < 2, 1, kinds + 1)
+    emit = rng.random((5, 3))
+    of = M.Emissions(emit / emit.sum(axis=0), gathered, in_class, room, 2)
+    known = of(classes, counts, np.where((classes == 3)[:, None] & (np.arange(3) == 1), 0.0, expected))
+    unseen = of(np.arange(2, 5), np.zeros(3), np.zeros((3, 3)))
+    assert known.sum(axis=0) + unseen.sum(axis=0) == pytest.approx(np.ones(3))
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
