@@ -25,6 +25,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 _folders: dict[str, str] = {}
+_scopes: list[list[DataFrame]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -72,14 +73,28 @@ def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
+@contextlib.contextmanager
+def temporary_tables() -> Iterator[list[DataFrame]]:
+    """The list of the tables that ``saved`` writes within, for ``discard`` once the result that reads them is written too."""
+    held: list[DataFrame] = []
+    _scopes.append(held)
+    try:
+        yield held
+    finally:
+        _scopes.pop()
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that ``saved`` returned, once nothing is left that reads them."""
     for df in tables:
         if path := df.__dict__.get("_scratch"):
             delete_path(df.sparkSession, path)
+            del df._scratch
 
 
 def drop_scratch(spark: SparkSession) -> None:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm._shared import saved
+from corvane.llm._shared import discard, saved
 
 
 def connected_components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
@@ -22,12 +22,14 @@ def connected_components(links: DataFrame, left: str = "a", right: str = "b") ->
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = saved(both.groupBy("a", "b").agg(F.lit(1).alias("one")).drop("one"), "links")
     labels = saved(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
-    while True:
+    done, last = False, labels
+    while not done:
         reached = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
         nearer = labels.join(reached.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         nearer = saved(nearer, "near")
         jumped = nearer.join(nearer.select(F.col("node").alias("label"), F.col("label").alias("further")), "label", "left")
         new = saved(jumped.select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
-        labels = new.select("node", "label")
-        if new.where("label <> old").isEmpty():
-            return labels.withColumnRenamed("label", "component")
+        discard(last, nearer)
+        done, labels, last = new.where("label <> old").isEmpty(), new.select("node", "label"), new
+    discard(both)
+    return labels.withColumnRenamed("label", "component")

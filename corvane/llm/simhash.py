@@ -24,22 +24,24 @@ gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_128_digest, xxh64_intdigest
 
-from corvane.llm._shared import saved, text_batches
+from corvane.llm._shared import discard, saved, temporary_tables, text_batches
 from corvane.llm.components import connected_components
 
 RADIUS = 3
 BLOCKS = 5
-TILE = 4096
+TILE = 512
+HOT_TILES = 8
 SEED = 42
 SHINGLE = 5
 LANES = 8
@@ -283,43 +285,73 @@ def link_forest(prints: np.ndarray, group: np.ndarray, side: np.ndarray, radius:
     return np.array(forest.links, dtype=np.int64).reshape(-1, 2)
 
 
-def star_links(nodes: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def star_links(nodes: pa.Array, links: np.ndarray) -> tuple[pa.Array, pa.Array]:
     """The components of links (index pairs) as links to their least nodes: keys that hold the same group repeat them."""
-    names = np.unique(nodes)
+    found = nodes.dictionary_encode()
+    order = pc.array_sort_indices(found.dictionary)
+    place = np.empty(len(order), dtype=np.int64)
+    place[order.to_numpy()] = np.arange(len(order))
+    names, at = found.dictionary.take(order), place[found.indices.to_numpy()][links]
     forest = _Forest(len(names))
-    at = np.searchsorted(names, nodes[links])
     for x, y in at.tolist():
         forest.join(x, y)
     some = np.unique(at)
     root = np.array([forest.root(x) for x in some.tolist()], dtype=np.int64)
-    return names[some[some != root]], names[root[some != root]]
+    return names.take(pa.array(some[some != root])), names.take(pa.array(root[some != root]))
 
 
 # --- the distributed plan ---------------------------------------------------------------------------------------------
 
 
+def _cut_bits(bits: list[int], blocks: int, agree: int) -> list[int]:
+    """Masks of the bits on which a pair must agree, one for each choice of ``agree`` of the blocks that ``bits`` are cut into."""
+    cuts = [round(len(bits) * k / blocks) for k in range(blocks + 1)]
+    masks = [sum(1 << b for b in bits[cuts[k] : cuts[k + 1]]) for k in range(blocks)]
+    return [sum(masks[k] for k in some) for some in combinations(range(blocks), agree)]
+
+
 def block_keys(blocks: int, radius: int) -> list[int]:
-    """Masks of the bits on which a pair must agree, one for each choice of ``blocks - radius`` blocks."""
-    cuts = [round(64 * k / blocks) for k in range(blocks + 1)]
-    masks = [((1 << cuts[k + 1]) - 1) ^ ((1 << cuts[k]) - 1) for k in range(blocks)]
-    return [sum(masks[k] for k in some) for some in combinations(range(blocks), blocks - radius)]
+    """Masks of the keys: bits that a pair within the radius shares whole for one of them at least."""
+    return _cut_bits(list(range(64)), blocks, blocks - radius)
+
+
+def finer_keys(mask: int, radius: int) -> list[int]:
+    """The same for pairs that agree on ``mask``: of twice ``radius`` blocks of the other bits, half are equal."""
+    return [mask | more for more in _cut_bits([b for b in range(64) if not mask >> b & 1], 2 * radius, radius)] if radius else [(1 << 64) - 1]
 
 
 def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _keyed_links(keyed: DataFrame, radius: int, tile: int, threshold: float = THRESHOLD) -> DataFrame:
+def _gathered_keys(keyed: DataFrame, tile: int, finer: Sequence[Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """The rows of every key of two rows or more, with their number ``n``. Keys of more than ``HOT_TILES`` tiles are replaced by
+    what ``finer`` makes of their rows, one step after another, while it has any step left."""
+    out: DataFrame | None = None
+    for step in [*finer, None]:
+        sizes = saved(keyed.groupBy("choice", "bits").agg(F.count("*").alias("n")).where("n > 1"), "key-sizes")
+        most = HOT_TILES * tile
+        some = keyed.join(sizes if step is None else sizes.where(F.col("n") <= most), ["choice", "bits"])
+        out = some if out is None else out.unionByName(some)
+        heavy = sizes.where(F.col("n") > most)
+        if step is None or heavy.isEmpty():
+            return out
+        keyed = step(keyed.join(heavy.drop("n"), ["choice", "bits"], "left_semi"))
+    return out
+
+
+def _keyed_links(keyed: DataFrame, radius: int, tile: int, threshold: float = THRESHOLD, finer: Sequence[Callable[[DataFrame], DataFrame]] = ()) -> DataFrame:
     """a, b: spanning links of rows (node, fp, choice, bits) that share a key (choice, bits).
 
     ``fp`` is a binary of little-endian words; without that column a node is its own 64-bit fingerprint. With a column
-    ``shingles`` (sorted hashes as a binary) links are verified on it.
+    ``shingles`` (sorted hashes as a binary) links are verified on it. Each step of ``finer`` maps rows of the same columns to
+    finer keys under which no near pair of a key is lost.
     """
     wide, exact = "fp" in keyed.columns, "shingles" in keyed.columns
+    kind = keyed.schema["node"].dataType.simpleString()
+    met = _gathered_keys(keyed, tile, finer)
+    met = met if wide else met.withColumn("fp", F.lit(None).cast("binary"))
     carried = ("node", "fp", "choice", "bits", *(["shingles"] if exact else []))
-    keyed = keyed if wide else keyed.withColumn("fp", F.lit(None).cast("binary"))
-    sizes = keyed.groupBy("choice", "bits").agg(F.count("*").alias("n")).where("n > 1")
-    met = keyed.join(sizes, ["choice", "bits"])
     placed = met.withColumn("tiles", F.ceil(F.col("n") / F.lit(tile)).cast("int")).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     # Tiles i <= j of a key meet under (i, j): a row of tile t goes to each pair that has t.
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least(F.col("tile"), o).alias("i"), F.greatest(F.col("tile"), o).alias("j")))
@@ -335,12 +367,12 @@ def _keyed_links(keyed: DataFrame, radius: int, tile: int, threshold: float = TH
             for c in key_columns:
                 values = table.column(c).to_numpy()
                 new[1:] |= values[1:] != values[:-1]
-            nodes = table.column("node").to_numpy()
-            raw = np.frombuffer(b"".join(table.column("fp").to_pylist()), dtype="<u8").reshape(len(nodes), -1) if wide else nodes.view(np.uint64)[:, None]
+            nodes = table.column("node").combine_chunks()
+            raw = np.frombuffer(b"".join(table.column("fp").to_pylist()), dtype="<u8").reshape(len(nodes), -1) if wide else nodes.to_numpy().view(np.uint64)[:, None]
             sets = [np.frombuffer(x, dtype="<u8") for x in table.column("shingles").to_pylist()] if exact else None
             found = link_forest(raw, np.cumsum(new), table.column("side").to_numpy(), radius, sets=sets, threshold=threshold)
-            a, b = star_links(nodes, found) if wide else (nodes[found[:, 0]], nodes[found[:, 1]])
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            a, b = star_links(nodes, found)
+            return pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
 
         held: pa.Table | None = None  # rows of the last key so far: a tile pair at most, besides one batch
         for batch in batches:
@@ -359,14 +391,28 @@ def _keyed_links(keyed: DataFrame, radius: int, tile: int, threshold: float = TH
         if held is not None and held.num_rows:
             yield links(held)
 
-    return ordered.mapInArrow(compare, "a bigint, b bigint")
+    return ordered.mapInArrow(compare, f"a {kind}, b {kind}")
+
+
+def _masked(masks: list[tuple[int, int]]):
+    """An array of (choice, bits) of a fingerprint for (choice, mask) pairs."""
+    return F.array(*(F.struct(F.lit(k).alias("choice"), F.col("node").bitwiseAND(F.lit(_signed(m))).alias("bits")) for k, m in masks))
 
 
 def fingerprint_links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
     """a, b: links between distinct 64-bit fingerprints (column ``fp``), enough to span each component."""
-    choices = F.array(*(F.struct(F.lit(k).alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for k, m in enumerate(block_keys(blocks, radius))))
-    keyed = prints.select(F.col("fp").alias("node"), F.explode(choices).alias("key"))
-    return _keyed_links(keyed.select("node", "key.choice", "key.bits"), radius, tile)
+    masks = block_keys(blocks, radius)
+
+    def split(hot: DataFrame) -> DataFrame:
+        fine = [finer_keys(m, radius) for m in masks]
+        each = len(fine[0])
+        of = F.lit(None)
+        for k, some in enumerate(fine):
+            of = F.when(F.col("choice") == k, _masked([(len(masks) + each * k + j, m) for j, m in enumerate(some)])).otherwise(of)
+        return hot.select("node", F.explode(of).alias("key")).select("node", "key.choice", "key.bits")
+
+    keyed = prints.select(F.col("fp").alias("node")).select("node", F.explode(_masked(list(enumerate(masks)))).alias("key"))
+    return _keyed_links(keyed.select("node", "key.choice", "key.bits"), radius, tile, finer=[split])
 
 
 def _named(rows: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -395,13 +441,16 @@ def _row_key(ids: Column, text: Column) -> Column:
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, lanes: int = LANES, radius: int = WIDE_RADIUS, tile: int = TILE, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, row_key, node and component_id of every row, for texts whose shingle sets have a Jaccard similarity of 0.8 or more.
 
-    1. Equal shingle sets are one node.
+    1. Equal shingle sets are one node, named by 128 bits of their hash.
     2. Candidates share the least hash of a lane: a pair of similarity s shares a lane's with probability s, so all
        ``lanes`` miss it with (1 - s) ** lanes, 3 in a million at 0.8. Their fingerprints of 64 bits a lane are within
        the radius: similarity s leaves a share of acos(2 s / (1 + s)) / pi of the bits different, 77 of 512 at 0.8 with
-       a deviation of 8, and 96 for the smallest sets (4 shingles of 5), so 140 is five deviations off at least.
+       a deviation of 8, and 96 for the smallest sets (4 shingles of 5), so 140 is five deviations off at least. A least hash
+       that very many texts share, as boilerplate does, is split by the other lanes: two of eight then are equal, which
+       loses another 1 in 100,000 of such pairs at 0.8.
     3. Components of the candidates are coarse: no link leaves one. Only texts in one of several nodes meet again, under
-       their coarse component, with their shingles; a pair within the radius is linked if its exact similarity says so.
+       their coarse component (a very large one: under their lanes, as before), with their shingles; a pair within the radius
+       is linked if its exact similarity says so.
     """
     ids, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     text_batches(docs.sparkSession)
@@ -411,7 +460,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             sets = [shingle_set(t, size) for t in batch.to_pylist()]
             found = [wide_fingerprint(x, lanes) for x in sets]
-            names = [xxh64_intdigest(x.tobytes(), SEED).to_bytes(8, "big") for x in sets]
+            names = [xxh3_128_digest(x.tobytes(), SEED) for x in sets]
             keys = np.array([k for _, k in found], dtype=np.uint64).view(np.int64).reshape(-1)
             starts = pa.array(np.arange(len(found) + 1, dtype=np.int32) * lanes)
             yield pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array([f for f, _ in found], pa.binary()), pa.ListArray.from_arrays(starts, pa.array(keys))], names=["node", "fp", "keys"])
@@ -422,15 +471,29 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.array([shingle_set(t, size).tobytes() for t in batch.to_pylist()], pa.binary())
 
     row_key = _row_key(ids, text)
-    rows = saved(docs.select(ids.alias("doc_id"), row_key.alias("row_key"), wide(text).alias("w")).select("doc_id", "row_key", F.xxhash64("w.node").alias("node"), "w.fp", "w.keys"), "prints")
+    rows = saved(docs.select(ids.alias("doc_id"), row_key.alias("row_key"), wide(text).alias("w")).select("doc_id", "row_key", "w.node", "w.fp", "w.keys"), "prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")).alias("first")
+    # Rows of a node have one set, so one fingerprint and the same least hashes.
     nodes = saved(rows.groupBy("node").agg(first, F.min("fp").alias("fp"), F.min("keys").alias("keys")).select("node", "first.doc_id", "first.row_key", "fp", "keys"), "distinct")
-    coarse = connected_components(_keyed_links(nodes.select("node", "fp", F.posexplode("keys").alias("choice", "bits")), radius, tile))
+    lane_keys = nodes.select("node", "keys")
+
+    def by_lane(hot: DataFrame) -> DataFrame:
+        return hot.drop("choice", "bits").join(lane_keys, "node").select(*(c for c in hot.columns if c not in ("choice", "bits")), F.posexplode("keys").alias("choice", "bits"))
+
+    def by_two_lanes(hot: DataFrame) -> DataFrame:
+        names = [c for c in hot.columns if c not in ("choice", "bits")]
+        met = hot.join(lane_keys, "node").select(*names, F.col("choice").alias("one"), F.posexplode("keys").alias("other", "second"), F.col("bits").alias("first_bits")).where("one <> other")
+        low, high = F.least("one", "other"), F.greatest("one", "other")
+        bits = F.when(F.col("one") < F.col("other"), F.xxhash64("first_bits", "second")).otherwise(F.xxhash64("second", "first_bits"))
+        # A row that is hot in both lanes comes twice, which costs time and makes no other link.
+        return met.select(*names, (F.lit(lanes) * (1 + low) + high).alias("choice"), bits.alias("bits"))
+
+    coarse = connected_components(_keyed_links(nodes.select("node", "fp", F.posexplode("keys").alias("choice", "bits")), radius, tile, finer=[by_two_lanes]))
     asked = coarse.join(nodes, "node").select("node", "fp", "component", F.col("row_key").alias("asked_key"))
     texts = docs.select(row_key.alias("row_key"), text.alias("text"))
-    met = texts.join(asked.hint("shuffle_hash"), F.col("row_key") == F.col("asked_key")).dropDuplicates(["row_key"])
-    keyed = saved(met.select("node", "fp", F.lit(0).alias("choice"), F.col("component").alias("bits"), shingles(F.col("text")).alias("shingles")), "shingles")
-    links = _keyed_links(keyed, radius, tile, threshold)
+    met = texts.join(asked.hint("merge"), F.col("row_key") == F.col("asked_key")).dropDuplicates(["row_key"])
+    keyed = saved(met.select("node", "fp", F.lit(0).alias("choice"), F.xxhash64("component").alias("bits"), shingles(F.col("text")).alias("shingles")), "shingles")
+    links = _keyed_links(keyed, radius, tile, threshold, finer=[by_lane, by_two_lanes])
     return _named(rows.select("doc_id", "row_key", "node"), nodes.select("node", "doc_id"), links).select("doc_id", "row_key", "node", "component_id")
 
 
@@ -443,10 +506,14 @@ def keep_first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` without the rows whose id is not the least of their group of ``near_components``.
 
     Repeated rows of the least id all stay; rows with a null id stay only if no row of their group has one. The decision
-    travels as the keys (id and text) of the rows to drop, which are few, and meets the texts in a shuffled hash join
-    built on them: other texts under the same id are judged by themselves.
+    travels as the keys (id and text) of the rows to drop and meets the texts in a merge join: other texts under the same id
+    are judged by themselves. Columns may have any name.
     """
-    found = saved(near_components(docs, id_col, text_col), "groups")
-    later = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("row_key").distinct()
-    gone = later.select(F.col("row_key").alias("__gone"))
-    return docs.join(gone.hint("shuffle_hash"), _row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")) == F.col("__gone"), "left_anti")
+    with temporary_tables() as held:
+        found = near_components(docs, id_col, text_col)
+    found = saved(found, "groups")
+    discard(*held)
+    later = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("row_key").alias("own_key")).distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("own_key"))
+    kept = rows.join(later.hint("merge"), "own_key", "left_anti")
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -165,6 +165,44 @@ def test_components_of_documents_and_small_tiles(spark):
     assert S.simhash_components(docs(spark, rows).where("false")).count() == 0
 
 
+def test_a_hot_key_is_split_by_finer_bits(spark):
+    rng = np.random.default_rng(6)
+    low = int(rng.integers(0, 2**26))
+    base = [int(x) << 26 | low for x in rng.integers(0, 2**38, 150)]  # all agree on the first two of five blocks
+    prints = list({p ^ sum(1 << int(b) for b in rng.choice(np.arange(26, 64), k, replace=False)) for p in base for k in (0, 2, 3)})
+    of = components(len(prints), [(a, b) for a in range(len(prints)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 3])
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    index = {p: k for k, p in enumerate(signed)}
+    links = S.fingerprint_links(spark.createDataFrame([(p,) for p in signed], "fp bigint"), tile=8).collect()
+    assert components(len(prints), [(index[r["a"]], index[r["b"]]) for r in links]) == of
+
+
+def test_finer_keys_miss_no_pair():
+    rng = random.Random(2)
+    for mask in S.block_keys(S.BLOCKS, S.RADIUS):
+        free = [b for b in range(64) if not mask >> b & 1]
+        for _ in range(200):
+            apart = sum(1 << b for b in rng.sample(free, 3))
+            assert any(not apart & fine for fine in S.finer_keys(mask, S.RADIUS))
+
+
+def test_boilerplate_that_all_texts_share(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(4000)]
+    common = [rng.choice(words) for _ in range(90)]
+    rows = [(i, " ".join(common + [rng.choice(words) for _ in range(rng.randint(2, 30))])) for i in range(90)]
+    got = S.near_components(docs(spark, rows), tile=2).collect()
+    assert sorted({r["component_id"] for r in got}) == near_model(rows)
+
+
+def test_keeping_groups_with_clashing_columns_and_empty_tables(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = spark.createDataFrame([(2, text, 1, 2, 3), (1, text, 4, 5, 6), (3, None, 7, 8, 9)], "doc_id bigint, text string, __gone int, own_key int, row int")
+    kept = S.keep_first_of_groups(rows)
+    assert kept.columns == rows.columns and sorted(map(tuple, kept.collect())) == [(1, text, 4, 5, 6), (3, None, 7, 8, 9)]
+    assert S.keep_first_of_groups(rows.where("false")).count() == 0
+
+
 def test_near_groups_at_five_words(spark):
     rng = random.Random(8)
     words = [f"w{i}" for i in range(3000)]
