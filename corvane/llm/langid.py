@@ -5,13 +5,16 @@ side of the bit a text's language lies. Its weights are log odds of the n-grams
 training texts. Decoding sums, for each language, the losses of all bits against its codeword, each bit weighted by how
 well it did on the training counts; the nearest codeword wins, and a text whose two nearest are too close is ambiguous.
 
-Training is one pass: tasks add up counts by language and bucket, and one row a language and bucket meets in the shuffle,
-whatever the input. At most ``MAX_LANGUAGES`` languages x ``BUCKETS`` counts reach the driver, and weights go back as a
+Training is one pass over the texts: tasks add up n-gram counts by language and hand them on before they hold more than
+``HELD`` languages; counts meet by language and piece of the buckets, and stay a table. Folds over that table give the
+weights: sums of bits x buckets and of languages x bits reach the driver, whatever the input, and weights go back as a
 broadcast of bits x buckets. Scoring is a projection over whole texts, in slices.
 
-Cases: a text that is null, empty or without a letter is ``und`` with score 0. Texts of unseen n-grams only get the most
-frequent training language with a low score and are ambiguous. Rows without a language don't train. Without any training
-row every text is ``und``. Repeated rows count and are judged each. Other columns are not read, or pass in ``keep_known``.
+Cases: a text that is null, empty or without a letter (``str.isalpha``) is ``und`` with score 0. Rates are smoothed alike for
+all languages, so an n-gram that none has says nothing: a text of such n-grams only gets the language with the most
+training n-grams (ties: the first in text order), as does any tie of losses, and is ambiguous. Rows without a language don't
+train. Without any training row every text is ``und``; with one language, every text with a letter is that one. Repeated rows
+count and are judged each. Other columns are not read, or pass in ``keep_known``.
 """
 
 from __future__ import annotations
@@ -27,16 +30,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from corvane.llm._shared import text_batches
+from corvane.llm._shared import discard, saved, summed, text_batches
 
 BUCKETS = 1 << 15
+PIECES = 8
 GRAMS = (1, 2, 3)
-MAX_LANGUAGES = 256
-SMOOTHING = 0.5
+HELD = 64
+SMOOTHING = 0.01
 UNKNOWN = "und"
 AMBIGUOUS_MARGIN = 0.02
 _SLICE = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
+_PLAIN_LETTER = re.compile("[A-Za-z]")
+
+
+def has_letter(text: str) -> bool:
+    return bool(_PLAIN_LETTER.search(text)) or any(map(str.isalpha, text))
 
 
 def codewords(languages: int) -> np.ndarray:
@@ -47,6 +55,8 @@ def codewords(languages: int) -> np.ndarray:
         columns = [c for c in product((1, -1), repeat=languages) if c[0] == 1 and -1 in c]
         return np.array(columns, dtype=np.int8).T
     rng, bits = np.random.default_rng(languages), 15 * int(np.ceil(np.log2(languages)))
+    if languages > 512:  # so many bits that random words are far apart without a search
+        return rng.choice(np.array([1, -1], dtype=np.int8), size=(languages, bits))
     best, width = None, -1
     for _ in range(50):
         words = rng.choice(np.array([1, -1], dtype=np.int8), size=(languages, bits))
@@ -91,7 +101,7 @@ class LanguageModel(NamedTuple):
 
     def decode(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score and whether it is ambiguous."""
-        if not text or not _LETTER.search(text) or not self.languages:
+        if not text or not self.languages or not has_letter(text):
             return UNKNOWN, 0.0, True
         if len(self.languages) == 1:
             return self.languages[0], 1.0, False
@@ -104,49 +114,98 @@ class LanguageModel(NamedTuple):
         return self.languages[best], score, bool((second - loss[best]) / max(loss.max(), 1e-12) < AMBIGUOUS_MARGIN)
 
 
-def train_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """A model of the languages of ``docs``, from all its rows that have a text and a language."""
+def language_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """lang, piece, counts (binary of bigints), total of every language and piece of the buckets, in the shared folder."""
     text_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text")).dropna()
+    kind, names = "lang string, piece int, counts binary, total bigint", ["lang", "piece", "counts", "total"]
+
+    def handed(totals: dict[tuple[str, int], np.ndarray]) -> pa.RecordBatch:
+        columns = [pa.array([k[0] for k in totals], pa.string()), pa.array([k[1] for k in totals], pa.int32()), pa.array([v.astype("<i8").tobytes() for v in totals.values()], pa.binary()), pa.array([int(v.sum()) for v in totals.values()], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
+        pieces = lambda: handed({(lang, k): part for lang, total in totals.items() for k, part in enumerate(np.split(total, PIECES))})
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if lang not in totals:
+                    if len(totals) == HELD:
+                        yield pieces()
+                        totals.clear()
                     totals[lang] = np.zeros(BUCKETS, dtype=np.int64)
-                    if len(totals) > MAX_LANGUAGES:
-                        raise ValueError(f"more than {MAX_LANGUAGES} languages")
                 for found in gram_buckets(text):
                     totals[lang] += np.bincount(found, minlength=BUCKETS)
-        for lang, total in totals.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * 64), pa.array(range(64), pa.int32()), pa.array(list(total.reshape(64, -1)), pa.list_(pa.int64()))], names=["lang", "piece", "counts"])
-
-    # A piece is 1/64 of a language's buckets; sums by piece and place keep every task's share small.
-    parts = rows.mapInArrow(count, "lang string, piece int, counts array<bigint>")
-    summed = parts.select("lang", "piece", F.posexplode("counts")).groupBy("lang", "piece", "pos").agg(F.sum("col").alias("n")).where("n > 0")
-    table = summed.select("lang", (F.col("piece") * (BUCKETS // 64) + F.col("pos")).alias("bucket"), "n").toPandas()
-    languages = sorted(table["lang"].unique())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    counts = np.zeros((len(languages), BUCKETS))
-    counts[table["lang"].map({x: k for k, x in enumerate(languages)}).to_numpy(dtype=int), table["bucket"].to_numpy(dtype=int)] = table["n"].to_numpy(dtype=float)
-    return fit_languages(languages, counts)
-
-
-def fit_languages(languages: list[str], counts: np.ndarray) -> LanguageModel:
-    """Bit classifiers from counts by language and bucket; a language counts alike however much text it has."""
+        if totals:
+            yield pieces()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total = None, None
+        for batch in batches:
+            for lang, piece, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                part = np.frombuffer(raw.as_buffer(), dtype="<i8")
+                if (lang, piece) != key:
+                    if key is not None:
+                        yield handed({key: total})
+                    key, total = (lang, piece), part
+                else:
+                    total = total + part
+        if key is not None:
+            yield handed({key: total})
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = rows.mapInArrow(count, kind).repartition(parts, "lang", "piece").sortWithinPartitions("lang", "piece")
+    return saved(met.mapInArrow(add, kind), "lang-counts")
+
+
+def train_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+    """A model of the languages of ``docs``, from all its rows that have a text and a language; a language counts alike
+    however much text it has."""
+    counts = language_counts(docs, text_col, lang_col)
+    found = counts.groupBy("lang").agg(F.sum("total").alias("n")).orderBy(F.desc("n"), "lang").collect()
+    languages = [r["lang"] for r in found]
     words = codewords(len(languages))
-    if not len(languages):
+    if not languages:
         return LanguageModel([], words, np.zeros((BUCKETS, 1), dtype=np.float32), np.ones(1))
-    rates = (counts + SMOOTHING) / (counts + SMOOTHING).sum(axis=1, keepdims=True)
-    above, below = (words > 0).astype(float), (words < 0).astype(float)
-    side = lambda w: (w.T @ rates + 1e-12) / np.maximum(w.sum(axis=0), 1)[:, None]
-    weights = (np.log(side(above)) - np.log(side(below))).T
+    bits, width = words.shape[1], BUCKETS // PIECES
+    places = {r["lang"]: (k, max(1, r["n"])) for k, r in enumerate(found)}
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((places, words))
+    rows = counts.select("lang", "piece", "counts")
+
+    def rates(batch: pa.RecordBatch, places: dict) -> Iterator[tuple[int, slice, np.ndarray]]:
+        for lang, piece, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            k, n = places[lang]
+            yield k, slice(piece * width, (piece + 1) * width), (1 - SMOOTHING) * np.frombuffer(raw.as_buffer(), dtype="<i8") / n + SMOOTHING / BUCKETS
+
+    def sides(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        places, words = shared.value
+        total = np.zeros((2, bits, BUCKETS))
+        for batch in batches:
+            for k, at, rate in rates(batch, places):
+                for b in range(bits):
+                    total[int(words[k, b] < 0), b, at] += rate
+        return total.ravel()
+
+    above, below = summed(rows, sides, 2 * bits * BUCKETS).reshape(2, bits, BUCKETS)
+    mean = lambda total, members: np.maximum(total / np.maximum(members, 1)[:, None], 1e-12)
+    weights = (np.log(mean(above, (words > 0).sum(axis=0))) - np.log(mean(below, (words < 0).sum(axis=0)))).T
+    weights[np.abs(weights) < 1e-9] = 0.0
+    given = spark.sparkContext.broadcast(weights)
+
+    def margins(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        (places, words), weights = shared.value, given.value
+        total = np.zeros(words.shape)
+        for batch in batches:
+            for k, at, rate in rates(batch, places):
+                total[k] += rate @ weights[at]
+        return total.ravel()
+
     # How far each bit's classifier puts the languages on their own sides.
-    margin = (rates @ weights) * words
+    margin = summed(rows, margins, words.size).reshape(words.shape) * words
+    discard(counts)
     trust = np.clip(margin.min(axis=0), 1e-3, None)
-    return LanguageModel(list(languages), words, weights.astype(np.float32), trust / trust.sum() * words.shape[1])
+    return LanguageModel(languages, words, weights.astype(np.float32), trust / trust.sum() * bits)
 
 
 def language_column(model: LanguageModel, docs: DataFrame, text_col: str = "text") -> Column:

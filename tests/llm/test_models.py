@@ -68,7 +68,55 @@ def test_language_cases(spark):
     assert {r["lang_pred"] for r in L.identify_languages(docs, none).collect()} == {"und"}
 
 
-@pytest.mark.parametrize("n", [2, 4, 6, 9, 40])
+def language_model(rows, texts):
+    """Predictions by the definition: rates, log odds of the two sides of each bit, loss-weighted decoding."""
+    grams = lambda t: [b for found in L.gram_buckets(t) for b in found.tolist()]
+    counts = {}
+    for text, lang in rows:
+        if text is not None and lang is not None:
+            counts.setdefault(lang, Counter()).update(grams(text))
+    names = sorted(counts, key=lambda x: (-counts[x].total(), x))
+    words = L.codewords(len(names)).astype(int)
+    rate = lambda lang, b: 0.99 * counts[lang][b] / counts[lang].total() + 0.01 / L.BUCKETS
+    side = lambda j, sign, b: np.mean([rate(x, b) for k, x in enumerate(names) if words[k, j] == sign])
+    weight = lambda j, b: math.log(side(j, 1, b) / side(j, -1, b))
+    bits = range(words.shape[1])
+    margin = [[words[k, j] * sum(rate(x, b) * weight(j, b) for b in set().union(*counts.values())) for j in bits] for k, x in enumerate(names)]
+    trust = [max(1e-3, min(row[j] for row in margin)) for j in bits]
+    out = []
+    for text in texts:
+        if not any(map(str.isalpha, text or "")):
+            out.append("und")
+            continue
+        found = Counter(grams(text))
+        mean = [max(-4, min(4, sum(n * weight(j, b) for b, n in found.items()) / found.total())) for j in bits]
+        loss = [sum(trust[j] * math.log1p(math.exp(-4 * words[k, j] * mean[j])) for j in bits) for k in range(len(names))]
+        out.append(names[min(range(len(names)), key=lambda k: round(loss[k], 7))])
+    return out
+
+
+def test_languages_against_the_definition(spark, tmp_path):
+    rng = random.Random(3)
+    letters = {"aa": "abcde ", "bb": "cdefg ", "cc": "efghij ", "dd": "hijkla "}
+    rows = [(i, "".join(rng.choice(letters[g]) for _ in range(rng.randint(5, 60))), g) for i, g in enumerate(rng.choices(list(letters), k=80))]
+    rows += [(200, None, "aa"), (201, "²½①", "bb"), (202, "xyz XYZ", None), (203, "", "cc"), (204, "яж", None)]
+    docs = spark.createDataFrame([(*r, "s", 0) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in op7_language_id(spark, str(tmp_path)).collect()}
+    kept = [(t, g) for i, t, g in rows if zlib.crc32(str(i).encode()) % 5 != 0]
+    assert [got[i]["lang_pred"] for i, _, _ in rows] == language_model(kept, [t for _, t, _ in rows])
+    assert [got[i]["lang_pred"] for i in (200, 201, 203)] == ["und"] * 3
+
+
+def test_many_languages_and_unseen_grams(spark):
+    rows = [(f"common words {i} " * (3 if i == 7 else 1), f"l{i}") for i in range(300)]
+    model = L.train_languages(spark.createDataFrame(rows, "text string, lang string"))
+    assert len(model.languages) == 300 and model.languages[0] == "l7"
+    two = L.train_languages(spark.createDataFrame([("aaaa bbbb " * 50, "often"), ("cccc", "rare")], "text string, lang string"))
+    assert two.decode("ЯЖЯЖ")[0] == "often" and two.decode("ЯЖЯЖ")[2] and two.decode("cccc c")[0] == "rare"
+
+
+@pytest.mark.parametrize("n", [2, 4, 6, 9, 40, 600])
 def test_codewords_are_apart(n):
     words = L.codewords(n).astype(int)
     apart = (words.shape[1] - words @ words.T) // 2
