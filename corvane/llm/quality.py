@@ -2,16 +2,16 @@
 
 Statistics of a whole text (``text_statistics``) are standardised and mapped to random Fourier features, which approximate
 a Gaussian kernel. Ridge scores solve the normal equations, whose sums (features x features) each task adds up for its
-partition, so one small matrix a task meets in the shuffle, whatever the input. Scores are calibrated by isotonic
+partition, so one small matrix a task meets in the shuffle, in a few binary rows, whatever the input. Scores are calibrated by isotonic
 regression over a fixed grid of score bins, again from partition sums, with pool-adjacent-violators on the driver.
 
 Scale: texts are read once and become ``len(STATISTICS)`` doubles; labels meet those, not the texts. The seed, kernel width
 and ridge are parameters; nothing is sampled or capped.
 
 Cases: a null text counts as empty; an empty or white-space text gets the score of its statistics, which are zeros. Labels
-that are null are not learnt from; several labels of one document count each. Without labels, or with labels of one kind
+that are null or neither 0 nor 1 are not learnt from; several labels of one document count each. Without labels, or with labels of one kind
 only, every score is that kind's rate (0.5 without any). Repeated rows are scored each. Very long texts are read whole.
-Other columns are not read.
+Other columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from corvane.llm._shared import saved, text_batches
+from corvane.llm._shared import saved, summed, text_batches
 
 FEATURES = 192
 WIDTH = 6.0
@@ -132,25 +132,22 @@ def _rows(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _summed(rows: DataFrame, of, size: int) -> np.ndarray:
-    """Sums of the vector ``of(x, y)`` (``size`` long) over all rows: a vector a task, then added in the shuffle."""
+    """Sums of the vector ``of(x, y)`` (``size`` long) over all rows."""
     width = len(STATISTICS)
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def local(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros(size)
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 total += of(*_rows(batch.slice(at, 4096), width))
-        yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(total)], names=["at", "v"])
+        return total
 
-    got = rows.mapInArrow(local, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()
-    out = np.zeros(size)
-    out[got["at"].to_numpy()] = got["v"].to_numpy()
-    return out
+    return summed(rows, local, size)
 
 
 def train_quality(rows: DataFrame, features: int = FEATURES, width: float = WIDTH, ridge: float = RIDGE, seed: int = SEED) -> QualityModel:
     """A model from rows of (stats ``array<double>``, label 0 or 1)."""
-    rows = rows.select("stats", "label").dropna()
+    rows = rows.select("stats", F.col("label").cast("double").alias("label")).where(F.col("label").isin(0.0, 1.0) & F.col("stats").isNotNull())
     k = len(STATISTICS)
     m = _summed(rows, lambda x, y: np.concatenate([[len(y), y.sum()], x.sum(axis=0), (x**2).sum(axis=0)]), 2 + 2 * k)
     n, positive = m[0], m[1]

@@ -38,6 +38,39 @@ def test_quality_without_both_labels(spark, labels, want):
     assert len(got) == 3 and all(r["score"] == pytest.approx(want) for r in got)
 
 
+def test_quality_scores_against_one_process(spark, tmp_path):
+    rng = random.Random(5)
+    words = {0: ["buy", "NOW!!!", "$$$", "click", "here"], 1: ["The", "garden", "was", "quiet", "today."]}
+    rows, labels = [(0, None), (1, ""), (2, "x " * 30_000)], [(1, 0), (2, 1), (3, 2), (4, None), (5, 0), (5, 1)]
+    for i in range(3, 160):
+        y = i % 2
+        rows.append((i, " ".join(rng.choice(words[y if rng.random() < 0.9 else 1 - y]) for _ in range(rng.randint(4, 40)))))
+        labels.append((i, y))
+    spark.createDataFrame([(i, t, "label", 7) for i, t in rows], "doc_id bigint, text string, stats string, score int").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["doc_id"]: r for r in op2_quality_classifier(spark, str(tmp_path)).collect()}
+    stats = {i: Q.text_statistics(t) for i, t in rows}
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    learnt = [(stats[i], y) for i, y in labels if y in (0, 1) and not held(i)]
+    x, y = np.array([s for s, _ in learnt]), np.array([y for _, y in learnt], dtype=float)
+    scale = np.sqrt(np.maximum((x**2).mean(axis=0) - x.mean(axis=0) ** 2, 1e-12))
+    to = Q.fourier_map(x.mean(axis=0), np.where(scale < 1e-5, 1.0, scale))
+    weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+    f = to(x)
+    # Ridge as least squares over rows that are weighted, with rows that draw the solution to zero.
+    solved = np.linalg.lstsq(np.vstack([f * np.sqrt(weight)[:, None], np.sqrt(Q.RIDGE) * np.eye(f.shape[1])]), np.concatenate([y * np.sqrt(weight), np.zeros(f.shape[1])]), rcond=None)[0]
+    grid = np.linspace(-0.5, 1.5, Q.BINS + 1)
+    at = np.clip(np.searchsorted(grid, f @ solved) - 1, 0, Q.BINS - 1)
+    bins = sorted(set(at))
+    mean = lambda a, b: np.mean(y[(at >= a) & (at <= b)])
+    level = [max(min(mean(a, b) for b in bins if b >= k) for a in bins if a <= k) for k in bins]
+    centre = [(grid[k] + grid[k + 1]) / 2 for k in bins]
+    assert set(got) == set(stats)
+    for i, s in stats.items():
+        want = float(np.interp((to(np.array([s])) @ solved)[0], centre, level))
+        assert got[i]["score"] == pytest.approx(want, abs=1e-6) and got[i]["held_out"] == held(i)
+
+
 def test_pool_adjacent():
     assert Q.pool_adjacent(np.array([0.1, 0.5, 0.3, 0.9]), np.ones(4)).tolist() == pytest.approx([0.1, 0.4, 0.4, 0.9])
 
