@@ -3,20 +3,22 @@
 A benchmark item of n words is compared with windows of n words of every document. Words are split at ASCII white space,
 A-Z in lower case, without punctuation at their ends; shingles are five words (an item of fewer: all its words).
 
-1. Windows that share no shingle with any item have similarity zero; only the places near a shared shingle, found by one
-   lookup a word and a rolling hash, are looked at further.
+1. Windows that share no shingle with an item have similarity zero with it; one lookup a word and a rolling hash find the
+   places that share one, and with which items. Only these items and the windows around these places are looked at further.
 2. There, every window of an item's size gets a 64-bit SimHash of its shingles with their counts, from prefix sums.
 3. Multi-index Hamming search: 64 bits in 8 blocks; fingerprints within ``RADIUS`` 20 differ by at most 2 bits in some
-   block, and a table a block has the items within 2 bits of each of its 256 values, so every item within the radius is
-   found. At the threshold of 0.8 the expected distance is 10 bits with a deviation of 3, so 20 leaves out about 1 in 3000.
+   block, so every item within the radius is among those whose byte is within 2 bits of the window's in some block. At the
+   threshold of 0.8 the expected distance is 10 bits with a deviation of 3, so 20 leaves out about 1 in 3000 by the binomial
+   estimate; a test finds the same hits as with a radius of 64, which leaves out none, on the tables at hand.
 4. Candidates are verified by the exact weighted Jaccard similarity of the shingle counts; the best window an item stays.
 
 Scale: a projection over whole texts, no shuffle. Items go to the tasks in blocks of at most ``ITEM_BLOCK`` items and
-``ITEM_CHARS`` characters (a bounded broadcast), one pass over the documents each.
+``ITEM_CHARS`` characters (a bounded broadcast), one pass over the documents each. A window is compared with the items that
+share a shingle near it, not with all.
 
 Cases: null, empty or white-space texts and items match nothing. A document shorter than an item is one window. Repeated
-items match each under its own id, also a null one; repeated documents keep their rows. Ties go to the earliest window. Very long texts are
-searched whole, in slices. An empty benchmark or table gives no hits. Other columns pass unchanged in
+items match each under its own id, also a null one; repeated documents keep their rows. Ties go to the earliest window. Very
+long texts are searched whole, in slices. An empty benchmark or table gives no hits. Other columns pass unchanged in
 ``remove_contaminated``.
 """
 
@@ -84,7 +86,7 @@ class SizeClass(NamedTuple):
     ids: list[int | None]
     counts: list[Counter]
     prints: np.ndarray
-    index: np.ndarray  # blocks x 256 x items: within radius // BLOCKS bits
+    blocks: np.ndarray  # items x bytes of the prints
 
 
 class ItemIndex:
@@ -99,19 +101,19 @@ class ItemIndex:
         names = sorted({w for some in by_size.values() for _, words in some for w in words})
         self.known = {w: k + 1 for k, w in enumerate(names)}
         self.cache: dict[bytes, int] = {}
-        near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :]) <= radius // BLOCKS
+        #: Values of a block within the bits that some block of a pair within the radius must not exceed.
+        self.near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :]) <= radius // BLOCKS
         self.classes: list[SizeClass] = []
-        keys: dict[int, dict[int, set[int]]] = {}
+        keys: dict[int, dict[int, set[tuple[int, int]]]] = {}
         for size, some in sorted(by_size.items()):
             shingle = min(SHINGLE, size)
             counts = [Counter(shingles_of(words, shingle)) for _, words in some]
             prints = np.array([int(_packed(sum(n * _signs(np.array([xxh64_intdigest(s)], dtype=np.uint64)) for s, n in c.items()))[0]) for c in counts], dtype=np.uint64)
-            index = near[:, prints.astype("<u8").view(np.uint8).reshape(-1, 8)].transpose(2, 0, 1)
-            for _, words in some:
+            for k, (_, words) in enumerate(some):
                 ids = np.array([self.known[w] for w in words], dtype=np.uint64)
                 for h in self._rolled(ids, shingle).tolist():
-                    keys.setdefault(shingle, {}).setdefault(h, set()).add(len(self.classes))
-            self.classes.append(SizeClass(size, shingle, [i for i, _ in some], counts, prints, np.ascontiguousarray(index)))
+                    keys.setdefault(shingle, {}).setdefault(h, set()).add((len(self.classes), k))
+            self.classes.append(SizeClass(size, shingle, [i for i, _ in some], counts, prints, prints.astype("<u8").view(np.uint8).reshape(-1, 8)))
         self.keys = {s: (np.array(sorted(k), dtype=np.uint64), k) for s, k in keys.items()}
 
     @staticmethod
@@ -143,8 +145,8 @@ class ItemIndex:
         known = np.flatnonzero(ids)
         if not len(known):
             return []
-        near: dict[int, list[int]] = {}
-        for size, (hashes, classes) in self.keys.items():
+        near: dict[int, dict[int, set[int]]] = {}  # class -> place -> items that share the shingle there
+        for size, (hashes, holders) in self.keys.items():
             if len(ids) < size:
                 continue
             run = known[: len(known) - size + 1] if len(known) >= size else known[:0]
@@ -158,31 +160,36 @@ class ItemIndex:
             at = np.minimum(np.searchsorted(hashes, rolled), len(hashes) - 1)
             found = hashes[at] == rolled
             for place, h in zip(run[found].tolist(), rolled[found].tolist(), strict=True):
-                for c in classes[h]:
-                    near.setdefault(c, []).append(place)
+                for c, item in holders[h]:
+                    near.setdefault(c, {}).setdefault(place, set()).add(item)
         if not near:
             return []
         clean = [bare(w) for w in words]
         out: list[tuple[int | None, int, int, float, int]] = []
         for c, places in near.items():
-            out += self._search(self.classes[c], clean, np.array(places))
+            out += self._search(self.classes[c], clean, places)
         return sorted(out, key=lambda h: (h[0] is None, h[0] or 0, *h[1:]))
 
-    def _search(self, one: SizeClass, words: list[bytes], places: np.ndarray) -> list[tuple[int | None, int, int, float, int]]:
+    def _search(self, one: SizeClass, words: list[bytes], places: dict[int, set[int]]) -> list[tuple[int | None, int, int, float, int]]:
         span = one.words - one.shingle + 1  # shingles of a window
         last = max(0, len(words) - one.words)
-        # Starts of all windows that hold a shared shingle.
-        begins, ends = np.maximum(places - span + 1, 0), np.minimum(places, last)
         best: dict[int, tuple[float, int, int]] = {}
-        reach = -1
-        for begin, end in zip(begins.tolist(), ends.tolist(), strict=True):
-            begin = max(begin, reach + 1)
-            reach = max(reach, end)
-            for a in range(begin, end + 1, _SLICE):
-                self._windows(one, words, a, min(end, a + _SLICE - 1), span, best)
+        # Runs of starts of all windows that hold a shared shingle, with the items that share one in the run.
+        runs: list[tuple[int, int, set[int]]] = []
+        for place, items in sorted(places.items()):
+            begin, end = max(place - span + 1, 0), min(place, last)
+            if runs and begin <= runs[-1][1] + 1:
+                runs[-1] = (runs[-1][0], max(end, runs[-1][1]), runs[-1][2] | items)
+            else:
+                runs.append((begin, end, set(items)))
+        for begin, end, items in runs:
+            some = np.array(sorted(items))
+            step = max(256, _SLICE // len(some))
+            for a in range(begin, end + 1, step):
+                self._windows(one, words, a, min(end, a + step - 1), span, some, best)
         return [(one.ids[k], start, one.words, round(s, 12), d) for k, (s, start, d) in best.items()]
 
-    def _windows(self, one: SizeClass, words: list[bytes], a: int, b: int, span: int, best: dict[int, tuple[float, int, int]]) -> None:
+    def _windows(self, one: SizeClass, words: list[bytes], a: int, b: int, span: int, items: np.ndarray, best: dict[int, tuple[float, int, int]]) -> None:
         shingles = shingles_of(words[a : b + one.words], one.shingle)
         if not shingles:
             return
@@ -191,13 +198,13 @@ class ItemIndex:
         width = min(span, len(shingles))
         prints = _packed(sums[width:] - sums[: len(sums) - width])
         blocks = prints.astype("<u8").view(np.uint8).reshape(-1, 8)
-        maybe = one.index[0][blocks[:, 0]]
-        for k in range(1, BLOCKS):
-            maybe = maybe | one.index[k][blocks[:, k]]
-        at, item = np.nonzero(maybe)
-        distance = np.bitwise_count(prints[at] ^ one.prints[item])
+        maybe = np.zeros((len(prints), len(items)), dtype=bool)
+        for k in range(BLOCKS):
+            maybe |= self.near[blocks[:, k][:, None], one.blocks[items, k][None, :]]
+        at, nth = np.nonzero(maybe)
+        distance = np.bitwise_count(prints[at] ^ one.prints[items[nth]])
         near = distance <= self.radius
-        for w, k, d in sorted(zip(at[near].tolist(), item[near].tolist(), distance[near].tolist(), strict=True), key=lambda x: (x[2], x[0])):
+        for w, k, d in sorted(zip(at[near].tolist(), items[nth[near]].tolist(), distance[near].tolist(), strict=True), key=lambda x: (x[2], x[0])):
             if k in best and best[k][0] >= 1.0 and best[k][1] <= a + w:
                 continue
             s = weighted_similarity(Counter(shingles[w : w + width]), one.counts[k])
