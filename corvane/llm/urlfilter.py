@@ -3,8 +3,9 @@
 A host is keyed by its labels in reverse (``com.example.www.``), so all subdomains of a rule's host lie in one interval of
 the key order and intervals nest or are disjoint. URLs are range-partitioned and sorted by key; in each partition a sweep
 walks the URLs and the sorted rules together and keeps a stack of the rules whose interval holds the current key: a rule
-is pushed when its interval begins and popped when it ends. The deepest rule on the stack whose path starts the URL's path
-decides; rules of one host nest by path in the same way.
+host's rules are pushed when their interval begins and popped when it ends. The deepest host on the stack that has a rule whose
+path starts the URL's path decides, with the longest such path; so the longest rule is that of the longest host, then of the
+longest path. A host keeps its paths by length, so a URL asks once for each length of a path, however many rules there are.
 
 Scale: the range shuffle carries (id, url) only, and its sort key ends with the path and id, so a host with a third of all
 pages is dealt over many tasks. Rules go to the tasks in blocks of at most ``RULE_BLOCK`` (a bounded broadcast); with more
@@ -48,38 +49,45 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return F.translate(host, UPPER, LOWER), path
 
 
-def _ordered(rules: Iterable[Rule]) -> list[tuple[str, str, str, str]]:
-    """(key, path, rule, verdict) in sweep order: an interval comes before those that it holds."""
-    best: dict[tuple[str, str], tuple[str, str]] = {}
+class HostRules(NamedTuple):
+    key: str
+    lengths: list[int]  # of the paths, longest first
+    paths: dict[str, tuple[str, str]]  # path -> rule, verdict
+
+
+def _ordered(rules: Iterable[Rule]) -> list[HostRules]:
+    """The rules by host in sweep order: an interval comes before those that it holds."""
+    hosts: dict[str, dict[str, tuple[str, str]]] = {}
     for rule in rules:
         if None not in rule and rule.host:
             host = rule.host.translate(str.maketrans(UPPER, LOWER))
-            entry = (host + rule.path, rule.verdict)
-            where = (host_key(host), rule.path)
-            best[where] = min(best.get(where, entry), entry, key=lambda e: e[1])
-    return [(k, p, *best[k, p]) for k, p in sorted(best)]
+            entry, paths = (host + rule.path, rule.verdict), hosts.setdefault(host_key(host), {})
+            paths[rule.path] = min(paths.get(rule.path, entry), entry, key=lambda e: e[1])
+    return [HostRules(key, sorted({len(p) for p in paths}, reverse=True), paths) for key, paths in sorted(hosts.items())]
 
 
 class Sweep:
-    """The stack of active rules over keys that come in ascending order."""
+    """The stack of active hosts over keys that come in ascending order."""
 
-    def __init__(self, rules: list[tuple[str, str, str, str]]) -> None:
+    def __init__(self, rules: list[HostRules]) -> None:
         self.rules, self.at, self.stack = rules, 0, []
 
-    def match(self, key: str, path: str) -> tuple[str, str, str, str] | None:
+    def match(self, key: str, path: str) -> tuple[int, int, str, str] | None:
+        """Length of the host's key and of the path, rule and verdict of the longest rule that fits."""
         rules, stack = self.rules, self.stack
-        while self.at < len(rules) and rules[self.at][0] <= key:
+        while self.at < len(rules) and rules[self.at].key <= key:
             new = rules[self.at]
-            while stack and not new[0].startswith(stack[-1][0]):
+            while stack and not new.key.startswith(stack[-1].key):
                 stack.pop()
-            if key.startswith(new[0]):  # else its interval has ended before this key
+            if key.startswith(new.key):  # else its interval has ended before this key
                 stack.append(new)
             self.at += 1
-        while stack and not key.startswith(stack[-1][0]):
+        while stack and not key.startswith(stack[-1].key):
             stack.pop()
-        for rule in reversed(stack):
-            if path.startswith(rule[1]):
-                return rule
+        for host in reversed(stack):
+            for n in host.lengths:
+                if n <= len(path) and (found := host.paths.get(path[:n])):
+                    return len(host.key), n, *found
         return None
 
 
@@ -100,7 +108,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url
             names, verdicts = [], []
             for k, p in zip(batch.column("key").to_pylist(), batch.column("path").to_pylist(), strict=True):
                 found = [m for s in sweeps if (m := s.match(k, p))] if k else []
-                best = max(found, key=lambda m: (len(m[0]), len(m[1]))) if found else None
+                best = max(found, key=lambda m: m[:2]) if found else None
                 names.append(best[2] if best else None)
                 verdicts.append(best[3] if best else default)
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("host"), batch.column("path"), pa.array(names, pa.string()), pa.array(verdicts, pa.string())], names=["page_id", "host", "path", "rule", "verdict"])
