@@ -1,5 +1,6 @@
 """Operators 3, 4, 8 and 10 and the pipeline against brute force."""
 
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -290,6 +291,23 @@ def test_windows_against_brute_force(spark):
     assert want and set(want) == set(got) and all(abs(want[k] - got[k]) < 1e-9 for k in want)
 
 
+def test_the_query_finds_what_a_search_without_radius_finds(spark):
+    from corvane.llm.q_decontam import op3_benchmark_decontamination
+
+    path = "/root/testdata/sf0.01"
+    got = sorted(map(tuple, op3_benchmark_decontamination(spark, path).collect()))
+    texts, items = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "benchmark"))
+    assert got and got == sorted(map(tuple, D.find_contamination(texts, items, radius=64).collect()))
+
+
+def test_a_very_long_text_of_near_windows(spark):
+    passage = [f"w{i % 37}" for i in range(40)]
+    text = " ".join((passage + ["gap"]) * 700)
+    items = spark.createDataFrame([(k, " ".join(passage[k:] + passage[:k])) for k in range(6)], "item_id bigint, text string")
+    found = D.find_contamination(docs(spark, [(1, text), (2, "w1 w2 w3")]), items).collect()
+    assert {r["doc_id"] for r in found} == {1} and any(r["item_id"] == 0 and r["start_word"] == 0 and r["similarity"] == 1.0 for r in found)
+
+
 def test_clean_rows_stay(spark):
     items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id bigint, text string")
     rows = docs(spark, [(1, "x one two three four five six seven eight nine ten y"), (2, "one two three four five only"), (3, None)])
@@ -325,6 +343,23 @@ def test_top_k_against_brute_force(spark):
     assert top_k(df.where("false"), df.where("false")).count() == 0
 
 
+def test_scores_beyond_a_bigint_and_many_blocks(spark, monkeypatch):
+    from corvane.llm import topk
+
+    rng = np.random.default_rng(3)
+    values = [[1e7, -1e9, 3.5], [1e9, 1e9, 1e9], [2e9, 1e9, 1e9], [1e300, 0.0, 1.0], [-1e300, 1.0, 0.0], [1e308, 0.0, 0.0], [0.1, 0.2, 0.3], [5.0, 5.0]]
+    rows = [(i, v) for i, v in enumerate(values)] + [(20 + i, rng.normal(size=3).tolist()) for i in range(40)] + [(20, [9.0, 9.0, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
+    got = top_k(df, df, k=4).collect()
+    fine = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if all(math.isfinite(256 * x) for x in v)]
+    want = []
+    for i, q in fine:
+        scored = sorted((-sum(a * b for a, b in zip(q, c, strict=True)), j) for j, c in fine if j != i and len(c) == len(q))
+        want += [(i, r + 1, j, max(-(1 << 63), min((1 << 63) - 1, -s))) for r, (s, j) in enumerate(scored[:4])]
+    assert sorted(map(tuple, got)) == sorted(want) and {r["query_id"] for r in got}.isdisjoint({5, 7})
+
+
 def test_queries_match_their_sql(spark):
     from corvane.llm import registry
 
