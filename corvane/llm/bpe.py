@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -31,7 +32,7 @@ from pyspark.sql.functions import arrow_udf
 
 from corvane.llm._shared import text_batches
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 100_000
 CACHE_LENGTH = 48
 
 #: The byte-level pre-tokenisation, for any text, and the same for texts within Latin-1 letters.
@@ -53,22 +54,50 @@ def byte_symbols() -> dict[int, str]:
 
 
 class _Merged(dict):
-    """pre-token -> its ids as little-endian int32 bytes; filled as needed, emptied when full."""
+    """pre-token -> its ids as little-endian int32 bytes; filled as needed. When it is full its entries become the older half,
+    from which pre-tokens that are still in use come back; so it holds twice ``CACHE_ENTRIES`` at most."""
 
     def __init__(self, codec: "BytePairCodec") -> None:
         self.codec = codec
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.codec.merge(piece.encode()), dtype="<i4").tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = array("i", self.codec.merge(piece.encode())).tobytes()
         if len(piece) <= CACHE_LENGTH:
             if len(self) >= CACHE_ENTRIES:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
 
 
+def _bytes_of(vocab: dict[str, int], special: dict[str, int]) -> list[bytes]:
+    """The bytes that each id stands for."""
+    of_symbol = {c: b for b, c in byte_symbols().items()}
+    out = [b""] * (1 + max([*vocab.values(), *special.values()], default=-1))
+    for s, i in vocab.items():
+        out[i] = bytes(of_symbol[c] for c in s) if all(c in of_symbol for c in s) else s.encode()
+    for s, i in special.items():
+        out[i] = s.encode()
+    return out
+
+
+@lru_cache(maxsize=4)
+def strings(path: str) -> list[bytes]:
+    """The bytes of each id of a tokenizer file: all that decoding needs."""
+    spec = json.loads(Path(path).read_text(encoding="utf-8"))
+    return _bytes_of(spec["model"]["vocab"], {t["content"]: t["id"] for t in spec["added_tokens"]})
+
+
+def decoded(ids: list[int], strings: list[bytes]) -> str:
+    n = len(strings)
+    return b"".join([strings[i] if 0 <= i < n else b"" for i in ids]).decode("utf-8", "replace")
+
+
 class BytePairCodec:
-    """Encoder and decoder over a tokenizer file (``model.vocab``, ``model.merges``, ``added_tokens``)."""
+    """Encoder over a tokenizer file (``model.vocab``, ``model.merges``, ``added_tokens``)."""
 
     def __init__(self, path: str) -> None:
         spec = json.loads(Path(path).read_text(encoding="utf-8"))
@@ -81,9 +110,6 @@ class BytePairCodec:
             self.pairs.setdefault((vocab[left], vocab[right]), (rank, vocab[left + right]))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.splitter = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        of_symbol = {c: b for b, c in symbols.items()}
-        self.strings = {i: bytes(of_symbol[c] for c in s) if all(c in of_symbol for c in s) else s.encode() for s, i in vocab.items()}
-        self.strings |= {i: s.encode() for s, i in self.special.items()}
         self.merged = _Merged(self)
         self.any_text, self.latin = regex.compile(PATTERN), re.compile(PATTERN_LATIN)
 
@@ -129,9 +155,6 @@ class BytePairCodec:
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_bytes(text or ""), dtype="<i4").tolist()
 
-    def decode(self, ids: list[int] | None) -> str:
-        return b"".join([self.strings.get(i, b"") for i in ids or ()]).decode("utf-8", "replace")
-
 
 @lru_cache(maxsize=4)
 def codec(path: str) -> BytePairCodec:
@@ -160,13 +183,9 @@ def decode_column(ids: Column | str, path: str) -> Column:
 
     @arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        strings = codec(path).strings
+        known = strings(path)
         for batch in batches:
-            out = []
-            for ids in batch:
-                values = ids.values.to_numpy(zero_copy_only=False).tolist() if ids.is_valid else ()
-                out.append(b"".join([strings.get(i, b"") for i in values]).decode("utf-8", "replace"))
-            yield pa.array(out, pa.string())
+            yield pa.array([decoded(ids.values.to_numpy(zero_copy_only=False).tolist() if ids.is_valid else [], known) for ids in batch], pa.string())
 
     return decode(ids)
 

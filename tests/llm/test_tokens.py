@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from corvane.llm.bpe import BytePairCodec, bpe_decode, bpe_encode
+from corvane.llm.bpe import BytePairCodec, bpe_decode, bpe_encode, decoded, strings
 from corvane.llm.rans import FrequencyTable, WordTokenizer, decode_block, encode_block, read_digests, read_ids, write_ids
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -28,8 +28,8 @@ def test_encoding_and_decoding_equal_the_library(byte_codec, text):
     own, library = byte_codec
     ids = library.encode(text, add_special_tokens=False).ids
     assert own.encode(text) == ids
-    assert own.decode(ids) == library.decode(ids, skip_special_tokens=False)
-    assert own.decode(ids[1:]) == library.decode(ids[1:], skip_special_tokens=False)
+    assert decoded(ids, strings(BYTE)) == library.decode(ids, skip_special_tokens=False)
+    assert decoded(ids[1:], strings(BYTE)) == library.decode(ids[1:], skip_special_tokens=False)
 
 
 def frame(spark, texts=TEXTS):
