@@ -34,6 +34,7 @@ from corvane.llm._shared import LOWER, SPACE, UPPER, delete_path, discard, saved
 BATCHES = 4
 FANOUT = 3
 HEAVY = 10_000
+BUCKET_ROWS = 100_000
 MIN_CHARS = 40
 MIN_DOCS = 5
 HASH = ["h1", "h2"]
@@ -66,9 +67,11 @@ def line_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 class LineRuns:
     """Levelled sorted runs of (h1, h2, top): the hashes seen so far, and the document that keeps each."""
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT) -> None:
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT, rows: int | None = None) -> None:
+        """``rows``: how many lines will be added at most, if that is known; a bucket then holds ``BUCKET_ROWS`` or more."""
         self.spark, self.fanout = spark, fanout
-        self.buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.buckets = parts if rows is None else min(parts, rows // BUCKET_ROWS + 1)
         self.levels: list[list[str]] = []
         self.root = scratch_path(spark, "runs")
 
@@ -147,7 +150,7 @@ def dropped_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     discard(lines)
     # Where a batch ends changes no result, so approximate cuts do; they are a handful of numbers.
     cuts = frequent.agg(F.percentile_approx("doc", [k / batches for k in range(batches - 1, 0, -1)], 1000).alias("cuts")).first()["cuts"] or []
-    runs = LineRuns(spark)
+    runs = LineRuns(spark, rows=frequent.count())
     upper = None
     for cut in [*dict.fromkeys(cuts), None]:
         some = F.lit(True) if upper is None else F.coalesce(F.col("doc") <= upper, F.lit(True))

@@ -40,7 +40,7 @@ from corvane.llm.components import connected_components
 
 RADIUS = 3
 BLOCKS = 5
-TILE = 512
+TILE = 1024
 HOT_TILES = 8
 SEED = 42
 SHINGLE = 5
@@ -48,7 +48,7 @@ LANES = 8
 WIDE_RADIUS = 140
 THRESHOLD = 0.8
 _SLICE = 1 << 15
-_HELD_BYTES = 32 << 20
+_HELD_BYTES = 8 << 20
 
 
 # --- fingerprints -----------------------------------------------------------------------------------------------------
@@ -378,7 +378,7 @@ def _keyed_links(keyed: DataFrame, radius: int, tile: int, threshold: float = TH
         for batch in batches:
             rows = pa.Table.from_batches([batch])
             held = rows if held is None else pa.concat_tables([held, rows])
-            if held.num_rows < 1 << 14 and held.nbytes < _HELD_BYTES:
+            if held.num_rows < 1 << 13 and held.nbytes < _HELD_BYTES:
                 continue
             same = np.ones(held.num_rows, dtype=bool)
             for c in key_columns:
