@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import time
 import uuid
 import zipfile
 
@@ -18,14 +19,19 @@ def _fs(spark: SparkSession, path: str):
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Through a temporary sibling and a rename, so readers see the old or the new text."""
+    """Through a temporary sibling that is renamed over the old file, so the old or the new text is there at any time (on
+    file systems whose renames replace at once, as HDFS does; the local one deletes just before)."""
     fs, path_of = _fs(spark, path)
     temporary = f"{path}.{uuid.uuid4().hex}"
     out = fs.create(path_of(temporary), True)
     out.write(bytearray(text.encode("utf-8")))
     out.close()
-    fs.delete(path_of(path), False)
-    fs.rename(path_of(temporary), path_of(path))
+    sc = spark.sparkContext
+    hadoop = sc._jvm.org.apache.hadoop.fs
+    how = sc._gateway.new_array(hadoop.Options.Rename, 1)
+    how[0] = hadoop.Options.Rename.OVERWRITE
+    context = hadoop.FileContext.getFileContext(fs.getUri(), sc._jsc.hadoopConfiguration())
+    context.rename(path_of(temporary), path_of(path), how)
 
 
 def _read_text(spark: SparkSession, path: str) -> str | None:
@@ -70,16 +76,43 @@ def manifest(spark: SparkSession, root: str) -> dict:
     return json.loads(_read_text(spark, f"{root}/{current(spark, root)}/manifest.json"))
 
 
-def recover(spark: SparkSession, root: str) -> list[str]:
-    """Removes versions that were never made current (a crash before the switch); returns their names."""
+def recover(spark: SparkSession, root: str, min_age_seconds: float = 86_400) -> list[str]:
+    """Removes versions that are not current and have not changed for ``min_age_seconds``; returns their names.
+
+    Younger ones may still be written by another session, or read since before the last switch. Without a pointer nothing
+    tells which version counts, so that is an error and nothing is removed; ``restore`` names one.
+    """
     fs, path_of = _fs(spark, root)
     now = current(spark, root)
-    gone = [s.getPath().getName() for s in fs.listStatus(path_of(root)) if s.isDirectory() and s.getPath().getName() != now]
-    for name in gone:
-        fs.delete(path_of(f"{root}/{name}"), True)
+    if now is None:
+        raise ValueError(f"{root} has no pointer to a version; nothing was removed")
+    latest = time.time() - min_age_seconds
+    gone = []
+    for status in fs.listStatus(path_of(root)):
+        name = status.getPath().getName()
+        if not status.isDirectory() or name == now:
+            continue
+        times = [status.getModificationTime(), *(s.getModificationTime() for s in fs.listStatus(status.getPath()))]
+        if max(times) / 1000 <= latest:
+            fs.delete(status.getPath(), True)
+            gone.append(name)
     return gone
 
 
+def complete_versions(spark: SparkSession, root: str) -> list[str]:
+    """Versions that were written to the end (they have a manifest), oldest first."""
+    fs, path_of = _fs(spark, root)
+    found = [s for s in fs.listStatus(path_of(root)) if s.isDirectory() and fs.exists(path_of(f"{root}/{s.getPath().getName()}/manifest.json"))]
+    return [s.getPath().getName() for s in sorted(found, key=lambda s: s.getModificationTime())]
+
+
+def restore(spark: SparkSession, root: str, version: str) -> None:
+    """Makes a complete version the current one, as after the loss of the pointer."""
+    if version not in complete_versions(spark, root):
+        raise ValueError(f"{version} is no complete version in {root}")
+    _write_text(spark, f"{root}/CURRENT", version)
+
+
 def sidecar_summary(records: DataFrame) -> DataFrame:
     """One row: chunks, identifier occurrences and distinct identifiers of a symbol sidecar."""
     sizes = records.agg(F.count("*").alias("chunk_count"), F.coalesce(F.sum(F.size("identifiers")), F.lit(0)).alias("identifier_occurrence_count"))

@@ -6,10 +6,12 @@ by an anti join against all URLs seen. At most ``max_pages`` pages are kept and
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from html.parser import HTMLParser
 from typing import NamedTuple
-from urllib.parse import urljoin
+from urllib.parse import urljoin, urlsplit
+from urllib.robotparser import RobotFileParser
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,17 +46,34 @@ class _Links(HTMLParser):
             self.canonical = found["href"]
 
 
+_CHARSET = re.compile(r"charset=[\"']?([^;\s\"'>/]+)", re.I)
+
+
 def decode_html(body: bytes, content_type: str) -> str:
-    """By the header's charset, else UTF-8, else Windows-1252."""
-    import re
+    """By the header's charset, else the one that the page names at its start, else UTF-8; ``ValueError`` if that fails."""
+    named = _CHARSET.search(content_type) or _CHARSET.search(body[:1024].decode("ascii", "replace"))
+    charset = named[1] if named else "utf-8"
+    try:
+        return body.decode(charset)
+    except (LookupError, UnicodeDecodeError) as e:
+        raise ValueError(f"page is not readable as {charset}") from e
 
-    named = re.search(r"charset=([^;\s]+)", content_type, re.I)
-    for charset in ([named[1].strip("\"'")] if named else []) + ["utf-8", "cp1252"]:
-        try:
-            return body.decode(charset)
-        except (LookupError, UnicodeDecodeError):
-            continue
-    return body.decode("latin-1")
+
+def robots(transport: Transport, agent: str = "*") -> Callable[[str], bool]:
+    """Whether a URL may be fetched, by its site's robots.txt, which is asked for once; without one everything may."""
+    rules: dict[str, RobotFileParser] = {}
+
+    def allowed(url: str) -> bool:
+        parts = urlsplit(url)
+        site = f"{parts.scheme}://{parts.netloc}"
+        if site not in rules:
+            rules[site] = RobotFileParser()
+            got = fetch(transport, f"{site}/robots.txt")
+            fine = got is not None and 200 <= got.status < 300
+            rules[site].parse(got.body.decode("utf-8", "replace").splitlines() if fine else [])
+        return rules[site].can_fetch(agent, url)
+
+    return allowed
 
 
 def fetch(transport: Transport, url: str, retries: int = 2) -> Response | None:
@@ -69,23 +88,34 @@ def fetch(transport: Transport, url: str, retries: int = 2) -> Response | None:
     return None
 
 
-def crawl(spark: SparkSession, starts: list[str], transport: Transport, max_pages: int, allowed: Callable[[str], bool] = lambda url: True) -> DataFrame:
-    """Pages in breadth-first order within the directories of the start URLs; canonical duplicates are dropped."""
+def crawl(spark: SparkSession, starts: list[str], transport: Transport, max_pages: int, allowed: Callable[[str], bool] = lambda url: True, pause: Callable[[], None] = lambda: None) -> DataFrame:
+    """Pages in breadth-first order within the directories of the start URLs; canonical duplicates are dropped.
+
+    ``allowed`` may be ``robots(transport)``; ``pause`` is called between fetches. A page that a redirect took out of the
+    directories, or that cannot be decoded, is not kept.
+    """
     first = spark.createDataFrame([(s,) for s in starts], "url string").select(U.normalised(F.col("url")).alias("url")).dropna()
     bounds = [r[0] for r in first.select(U.boundary(F.col("url"))).distinct().collect()]
     queue = [r[0] for r in first.distinct().collect()]
     queue = [u for u in dict.fromkeys(queue)]
-    seen, canonical, pages, tries = set(queue), set(), [], 0
+    seen, pages, tries, fetched = set(queue), [], 0, False
     while queue and len(pages) < max_pages and tries < 10 * max_pages:
         found: list[tuple[str, str]] = []
         for url in queue:
             if len(pages) >= max_pages or tries >= 10 * max_pages:
                 break
             tries += 1
-            got = fetch(transport, url) if allowed(url) else None
-            if got is None or not 200 <= got.status < 300:
+            if not allowed(url):
+                continue
+            if fetched:
+                pause()
+            fetched, got = True, fetch(transport, url)
+            if got is None or not 200 <= got.status < 300 or not any(got.url.startswith(b) for b in bounds):
+                continue
+            try:
+                html = decode_html(got.body, got.content_type)
+            except ValueError:
                 continue
-            html = decode_html(got.body, got.content_type)
             parsed = _Links()
             parsed.feed(html)
             found += [(got.url, urljoin(got.url, link)) for link in parsed.links]

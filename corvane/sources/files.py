@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import unicodedata
 import zipfile
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,7 +36,9 @@ def html_tree(spark: SparkSession, root: str, base_url: str, prefixes: tuple[str
     if per_prefix is not None:
         first = rows.select("prefix", "logical_path").withColumn("n", F.row_number().over(Window.partitionBy("prefix").orderBy("logical_path"))).where(F.col("n") <= per_prefix)
         rows = rows.join(first.select("logical_path"), "logical_path", "left_semi")
-    return as_documents(rows.select("logical_path", F.decode("content", "UTF-8").alias("content")), base_url, "local_html")
+    # A file that is not UTF-8 has a null content: a failure row when it is parsed, not the end of the job.
+    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
+    return as_documents(rows.select("logical_path", text.alias("content")), base_url, "local_html")
 
 
 def as_documents(rows: DataFrame, base_url: str, kind: str) -> DataFrame:
@@ -116,24 +119,77 @@ def member_problems(members: DataFrame, max_members: int = 10_000, max_member_by
     return out
 
 
-def zip_pages(archives: DataFrame, base_url: str, sha256: str | None = None, content_col: str = "content") -> DataFrame:
-    """HTML members of pinned archives as source documents; an archive of another SHA-256 raises."""
+def archive_problems(infos: list[zipfile.ZipInfo], max_members: int, max_member_bytes: int, max_total_bytes: int) -> list[tuple[str | None, str]]:
+    """(path, problem) of the members of one archive by the rules of ``member_problems``, before any is read."""
+    found: list[tuple[str | None, str]] = []
+    if len(infos) > max_members:
+        found.append((None, "too_many_members"))
+    if sum(i.file_size for i in infos) > max_total_bytes:
+        found.append((None, "archive_too_large"))
+    names = [i.filename.rstrip("/") if i.is_dir() else i.filename for i in infos]
+    folded = [unicodedata.normalize("NFC", n).casefold() for n in names]
+    plain = {f for f, i in zip(folded, infos, strict=True) if _kind(i) == "file"}
+    times = Counter(folded)
+    for info, name, fold in zip(infos, names, folded, strict=True):
+        parts = name.split("/")
+        rules = {
+            "reserved_name": any(p.split(".")[0].upper() in DEVICES for p in parts),
+            "unsafe_path": any(p in ("", ".", "..") for p in parts) or "\\" in name or name[1:2] == ":",
+            "special_entry": _kind(info) not in ("file", "directory"),
+            "member_too_large": info.file_size > max_member_bytes,
+            "collision": times[fold] > 1,
+            "file_directory_collision": any(fold[:k] in plain for k, c in enumerate(fold) if c == "/"),
+        }
+        found += [(name, problem) for problem, wrong in rules.items() if wrong]
+    return found
+
+
+def zip_pages(archives: DataFrame, base_url: str, sha256: str | None = None, content_col: str = "content", on_problem: str = "raise", max_members: int = 10_000, max_member_bytes: int = 1 << 26, max_total_bytes: int = 1 << 30) -> DataFrame:
+    """HTML members of pinned archives as source documents; an archive of another SHA-256 raises.
+
+    An archive with a member that must not be extracted raises before anything of it is read; with ``on_problem="skip"`` only
+    such members are left out, but limits on the whole archive still raise. A member is read up to its limit, whatever size
+    it claims.
+    """
+    if on_problem not in ("raise", "skip"):
+        raise ValueError("on_problem must be raise or skip")
     content = F.col(content_col)
     if sha256 is not None:
         content = F.when(F.sha2(content, 256) == sha256, content).otherwise(F.raise_error(F.lit("archive SHA-256 differs")).cast("binary"))
-    kind = pa.list_(pa.struct([("path", pa.string()), ("html", pa.string())]))
-
-    @arrow_udf("array<struct<path:string,html:string>>")
-    def pages(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def read(raw: bytes) -> Iterator[dict[str, str]]:
+        with zipfile.ZipFile(io.BytesIO(raw)) as z:
+            problems = archive_problems(z.infolist(), max_members, max_member_bytes, max_total_bytes)
+            refused = problems if on_problem == "raise" else [p for p in problems if p[0] is None]
+            if refused:
+                raise ValueError("archive refused: " + ", ".join(f"{problem} {path or ''}".strip() for path, problem in refused[:5]))
+            left_out = {path for path, _ in problems}
+            total = 0
+            for info in z.infolist():
+                if _kind(info) == "file" and info.filename.lower().endswith(".html") and info.filename not in left_out:
+                    with z.open(info) as member:
+                        body = member.read(max_member_bytes + 1)
+                    total += len(body)
+                    if len(body) > max_member_bytes or total > max_total_bytes:
+                        raise ValueError(f"archive refused: {info.filename} is larger than it claims")
+                    yield {"path": info.filename, "html": body.decode("utf-8", "replace")}
+
+    # Pages are handed on one by one, so a task holds one archive and one page of it.
+    rows = archives.select(content.alias("content")).mapInArrow(_unpacked(read), "path string, html string")
+    rows = rows.select(F.col("path").alias("logical_path"), F.col("html").alias("content"))
+    return as_documents(rows, base_url, "zip_html")
+
+
+def _unpacked(read):
+    """Rows (path, html) of archives, a page at a time."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for raw in batch.to_pylist():
-                with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                    out.append([{"path": i.filename, "html": z.read(i).decode("utf-8", "replace")} for i in z.infolist() if _kind(i) == "file" and i.filename.lower().endswith(".html")])
-            yield pa.array(out, kind)
+            for raw in batch.column(0):
+                if raw.is_valid:
+                    for page in read(raw.as_py()):
+                        yield pa.RecordBatch.from_pylist([page], schema=pa.schema([("path", pa.string()), ("html", pa.string())]))
 
-    rows = archives.select(F.explode(pages(content)).alias("p")).select(F.col("p.path").alias("logical_path"), F.col("p.html").alias("content"))
-    return as_documents(rows.where(safe_path(F.col("logical_path"))), base_url, "zip_html")
+    return unpack
 
 
 def jsonl(spark: SparkSession, path: str, schema: str, required: tuple[str, ...]) -> DataFrame:

@@ -71,6 +71,27 @@ def test_window_grows_by_smaller_side():
         naive_window(text, (5, 5), 10)
 
 
+@pytest.mark.parametrize("seed", range(25))
+def test_window_against_all_windows(seed):
+    """Greedy growth gives whole paragraphs around the match, and no further paragraph of an open side would fit."""
+    rng = random.Random(seed)
+    text = "\n\n".join("x" * rng.randint(1, 30) for _ in range(rng.randint(1, 8)))
+    begin = rng.randrange(len(text))
+    while text[begin] == "\n":
+        begin = rng.randrange(len(text))
+    budget = rng.randint(1, len(text) + 3)
+    got = naive_window(text, (begin, begin + 1), budget)
+    spans = X.paragraph_spans(text)
+    starts, ends = {s for s, _ in spans}, {e for _, e in spans}
+    own = next((s, e) for s, e in spans if s <= begin < e)
+    if own[1] - own[0] > budget:
+        assert got == (begin, begin + 1)
+        return
+    assert got[0] in starts and got[1] in ends and got[0] <= own[0] and own[1] <= got[1] and got[1] - got[0] <= budget
+    more = [got[1] - max((s for s, _ in spans if s < got[0]), default=got[0] - budget - 9), min((e for _, e in spans if e > got[1]), default=got[1] + budget + 9) - got[0]]
+    assert min(more) > budget or max(more) > budget
+
+
 def test_budget_skips_and_goes_on(spark):
     kind = "query_id bigint, question string, chunks array<struct<rank:int,position:bigint,source_url:string,page_title:string,section_title:string,text:string>>"
     rows = [(1, "q", [(1, 1, "u", "p", "s", "x" * 50), (2, 2, "u", "p", "s", "y" * 5000), (3, 3, "u", "p", "s", "z" * 40)]), (2, "q", [(1, 4, "u", "p", "s", "y" * 5000)])]
@@ -164,17 +185,33 @@ def test_publish_switches_whole_versions(spark, tmp_path):
     assert publish.read_published(spark, root, "a").count() == 5 and publish.manifest(spark, root)["fingerprint"] == "f"
     with pytest.raises(ValueError):
         publish.publish(root, {"a": spark.range(0)})
-    assert publish.current(spark, root) == second and len(publish.recover(spark, root)) == 2
+    assert publish.current(spark, root) == second and publish.recover(spark, root) == []
+    assert len(publish.recover(spark, root, 0)) == 2
     assert publish.read_published(spark, root, "a").count() == 5
 
 
+def test_a_lost_pointer_costs_no_version(spark, tmp_path):
+    root = str(tmp_path)
+    only = publish.publish(root, {"a": spark.range(3)})
+    (tmp_path / "CURRENT").unlink()
+    with pytest.raises(ValueError, match="pointer"):
+        publish.recover(spark, root, 0)
+    assert publish.complete_versions(spark, root) == [only]
+    publish.restore(spark, root, only)
+    assert publish.read_published(spark, root, "a").count() == 3
+    with pytest.raises(ValueError):
+        publish.restore(spark, root, "none")
+
+
 def test_zip_source(spark):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         z.writestr("a/p.html", PAGE)
         z.writestr("../evil.html", PAGE)
     df = spark.createDataFrame([(bytearray(out.getvalue()),)], "content binary")
-    assert [r["logical_path"] for r in files.zip_pages(df, "https://x.example/").collect()] == ["a/p.html"]
+    assert [r["logical_path"] for r in files.zip_pages(df, "https://x.example/", on_problem="skip").collect()] == ["a/p.html"]
+    with pytest.raises(Exception, match="unsafe_path"):
+        files.zip_pages(df, "https://x.example/").collect()
     members = files.zip_members(df).select(F.explode("members").alias("m")).select("m.*")
     assert {(r["path"], r["problem"]) for r in files.member_problems(members).collect()} == {("../evil.html", "unsafe_path")}
     with pytest.raises(Exception, match="SHA-256"):
@@ -182,12 +219,37 @@ def test_zip_source(spark):
     assert publish.deterministic_zip({"b": b"1", "a": b"2"}) == publish.deterministic_zip({"a": b"2", "b": b"1"})
 
 
+@pytest.mark.parametrize(
+    ("members", "problem"),
+    [
+        ({"a.html": 10, "A.html": 10}, "collision"),
+        ({"a": 1, "a/b.html": 1}, "file_directory_collision"),
+        ({"x/nul.html": 1}, "reserved_name"),
+        ({"big.html": 5000}, "member_too_large"),
+        ({f"{i}.html": 900 for i in range(9)}, "archive_too_large"),
+        ({f"{i}.html": 1 for i in range(11)}, "too_many_members"),
+    ],
+)
+def test_archives_beyond_the_rules_are_refused(spark, members, problem):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, size in members.items():
+            z.writestr(name, "x" * size)
+    df = spark.createDataFrame([(bytearray(out.getvalue()),)], "content binary")
+    limits = {"max_members": 10, "max_member_bytes": 1000, "max_total_bytes": 8000}
+    with pytest.raises(Exception, match=problem):
+        files.zip_pages(df, "https://x.example/", **limits).collect()
+
+
 def test_html_tree(spark, tmp_path):
     for name in ("lib/a.html", "lib/b.html", "ref/c.html", "lib/d.txt"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text(PAGE)
     got = files.html_tree(spark, str(tmp_path), "https://x.example/", ("lib/",), 1).collect()
     assert [(r["logical_path"], r["source_url"], r["category"]) for r in got] == [("lib/a.html", "https://x.example/lib/a.html", "lib")]
+    (tmp_path / "lib/bad.html").write_bytes(b"<p>\xff\xfe</p>")
+    rows = {r["logical_path"]: r for r in files.html_tree(spark, str(tmp_path), "https://x.example/", ("lib/",)).collect()}
+    assert rows["lib/bad.html"]["content"] is None and rows["lib/a.html"]["content"] == PAGE
 
 
 def test_crawl_scope_order_and_dedupe(spark):
@@ -207,6 +269,29 @@ def test_crawl_scope_order_and_dedupe(spark):
     assert crawl.crawl(spark, ["https://x.example/d/"], transport, 1).count() == 1
 
 
+def test_crawl_refuses_redirects_out_of_scope_and_unreadable_pages(spark):
+    def transport(url):
+        if url.endswith("/robots.txt"):
+            return crawl.Response(url, 200, "text/plain", b"User-agent: *\nDisallow: /d/no\n")
+        if url == "https://x.example/d/":
+            return crawl.Response(url, 200, "text/html", b'<a href="away">a</a><a href="bad">b</a><a href="no">n</a><a href="ok">o</a>')
+        if url.endswith("away"):
+            return crawl.Response("https://other.example/d/away", 200, "text/html", b"<p>x</p>")
+        return crawl.Response(url, 200, "text/html; charset=utf-8", b"\xff" if url.endswith("bad") else b"<p>fine</p>")
+
+    waits = []
+    got = crawl.crawl(spark, ["https://x.example/d/"], transport, 10, allowed=crawl.robots(transport), pause=lambda: waits.append(1)).orderBy("nth").collect()
+    assert [r["source_url"] for r in got] == ["https://x.example/d/", "https://x.example/d/ok"] and len(waits) == 3
+
+
+def test_decoding():
+    assert crawl.decode_html("é".encode("cp1252"), "text/html; charset=windows-1252") == "é"
+    assert crawl.decode_html(b'<meta charset="latin-1">\xe9', "text/html").endswith("é")
+    for body, kind in ((b"\xff", "text/html"), (b"x", "text/html; charset=none-such")):
+        with pytest.raises(ValueError):
+            crawl.decode_html(body, kind)
+
+
 def test_config_is_strict(tmp_path):
     path = tmp_path / "c.toml"
     good = 'site_id = "s"\nbase_url = "https://x.example/"\nloader = "zip_html"\nparser = "generic"\n'
