@@ -2,18 +2,25 @@
 
 Every retriever takes queries (query_id, text) and returns ``ranked(query_id, rank, score, position)``. Query terms go to
 the corpus scan as a broadcast only below ``TERM_LIMIT`` of them; above it the join shuffles. Only postings of query terms
-are ever counted, so a batch costs one scan of the corpus and a shuffle of its matches. Scores are folded in the order of
-the query's tokens and ranked on nine decimals, then by position, so equal documents cannot swap with the partitioning.
+are ever counted, so a batch costs one scan of the corpus and a shuffle of its matches. Parts of a score are added as
+integers of ``SCORE_UNIT``-ths, which is exact in any order, and ranked on nine decimals, then by position, so equal
+documents cannot swap with the partitioning.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 
 K1, B = 1.5, 0.75
+SCORE_UNIT = 1 << 40
 TERM_LIMIT = 200_000
 
 
@@ -55,7 +62,7 @@ def corpus_statistics(chunks: DataFrame, n_tokens: DataFrame) -> DataFrame:
     """One row: n_docs and avg_length (over all chunks, 1.0 where there is nothing), from a table of counts ``tf``."""
     total = n_tokens.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_tokens"))
     sizes = chunks.agg(F.count("*").alias("n_docs")).join(total)
-    return sizes.select("n_docs", "n_tokens", F.coalesce(F.nullif(F.col("n_tokens") / F.col("n_docs"), F.lit(0.0)), F.lit(1.0)).alias("avg_length"))
+    return sizes.select("n_docs", "n_tokens", F.coalesce(F.nullif(F.col("n_tokens") / F.nullif(F.col("n_docs"), F.lit(0)), F.lit(0.0)), F.lit(1.0)).alias("avg_length"))
 
 
 def query_terms(queries: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
@@ -76,6 +83,12 @@ def saturation(tf: Column, length: Column, average: Column, k1: float = K1, b: f
     return tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * (length / average)))
 
 
+def added(parts: DataFrame) -> DataFrame:
+    """query_id, position, score from rows (query_id, position, part): the sum of the parts, the same in any order."""
+    unit = F.round(F.col("part") * F.lit(float(SCORE_UNIT))).cast("long")
+    return parts.groupBy("query_id", "position").agg((F.sum(unit) / F.lit(float(SCORE_UNIT))).alias("score"))
+
+
 def bm25_scores(chunks: DataFrame, queries: DataFrame, rows: DataFrame, sizes: tuple[int, ...], k1: float = K1, b: float = B) -> DataFrame:
     """query_id, position, score of every chunk that shares a token with a query; ``rows`` are the chunks' token rows.
 
@@ -88,10 +101,9 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, rows: DataFrame, sizes: t
     postings = sized.where(F.col("hit").isNotNull()).select("position", F.col("hit").alias("term"), "tf", "length")
     frequency = counted.where(F.col("hit").isNotNull()).groupBy(F.col("hit").alias("term")).agg(F.count("*").alias("df"))
     stats = F.broadcast(corpus_statistics(chunks, counted))  # one row
-    weighed = asked.join(frequency, "term").join(stats).select("query_id", "ord", "term", inverse_frequency(F.col("n_docs"), F.col("df")).alias("idf"), "avg_length")
-    parts = postings.join(weighed, "term").select("query_id", "position", F.struct("ord", (F.col("idf") * saturation(F.col("tf"), F.col("length"), F.col("avg_length"), k1, b)).alias("part")).alias("p"))
-    folded = F.aggregate(F.array_sort(F.collect_list("p")), F.lit(0.0), lambda total, p: total + p["part"])
-    return parts.groupBy("query_id", "position").agg(folded.alias("score"))
+    weighed = asked.join(frequency, "term").join(stats).select("query_id", "term", inverse_frequency(F.col("n_docs"), F.col("df")).alias("idf"), "avg_length")
+    part = F.col("idf") * saturation(F.col("tf"), F.col("length"), F.col("avg_length"), k1, b)
+    return added(postings.join(weighed, "term").select("query_id", "position", part.alias("part")))
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, k: int = 5, sizes: tuple[int, ...] = (2, 3), k1: float = K1, b: float = B) -> DataFrame:
@@ -138,19 +150,57 @@ def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-QUERY_BLOCK = 256
+QUERY_BLOCK = 4096
 
 
 def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Exact inner-product search: queries (query_id, vector) against vectors (position, vector).
 
-    Queries travel packed in blocks of ``QUERY_BLOCK``; each block meets every vector under a generated key, and each
-    task keeps k rows a query before the shuffle. Ties (on six decimals) go to the lower position.
+    Queries go to the tasks in blocks of ``QUERY_BLOCK`` (a bounded broadcast, one scan of the vectors each); a task multiplies
+    batches of vectors with the block and hands on what can be among the k best of a query, so no vector is shuffled. Ties
+    (on six decimals) go to the lower position. Null vectors and vectors of another size than the query's take no part.
     """
-    # Positions of a block are assigned by hash, so no task orders all queries.
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    packed = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("query_id", "vector")).alias("asked"))
-    met = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(small(packed, 64), "block")
-    scored = met.select("position", "vector", F.explode("asked").alias("q")).select(F.col("q.query_id").alias("query_id"), "position", inner_product(F.col("vector"), F.col("q.vector")).alias("score"))
-    return top_k(scored, k, F.desc(F.round("score", 6)), F.col("position"))
+    require(k, "top_k")
+    spark = vectors.sparkSession
+    rows = vectors.select("position", F.col("vector").cast("array<double>").alias("vector")).dropna()
+    every: DataFrame | None = None
+    for block in _query_blocks(queries):
+        found = rows.mapInArrow(_best_of(spark.sparkContext.broadcast(block), k), "query_id bigint, position bigint, score double")
+        every = found if every is None else every.unionByName(found)
+    if every is None:
+        every = spark.createDataFrame([], "query_id bigint, position bigint, score double")
+    return top_k(every, k, F.desc(F.round("score", 6)), F.col("position")).select("query_id", "rank", "score", "position")
+
+
+def _query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of the queries, in blocks of vectors of one size."""
+    held: list[tuple[int, list[float]]] = []
+    for row in queries.select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>").alias("vector")).dropna().orderBy(F.size("vector")).toLocalIterator():
+        if held and (len(held) == QUERY_BLOCK or len(row[1]) != len(held[0][1])):
+            yield np.array([q for q, _ in held]), np.array([v for _, v in held])
+            held = []
+        held.append((row[0], row[1]))
+    if held:
+        yield np.array([q for q, _ in held]), np.array([v for _, v in held])
+
+
+def _best_of(shared, k: int):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, asked = shared.value
+        floor = np.full(len(ids), -np.inf)  # of the k-th score so far
+        top = np.full((len(ids), k), -np.inf)
+        for batch in batches:
+            size = asked.shape[1]
+            fit = pc.equal(pc.list_value_length(batch.column(1)), size)
+            some = batch.filter(fit)
+            for at in range(0, some.num_rows, 1024):
+                part = some.slice(at, 1024)
+                scores = asked @ part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, size).T
+                # Scores are ranked on six decimals, so whatever may round to the k-th goes on.
+                query, place = np.nonzero(scores >= floor[:, None] - 2e-6)
+                if len(query):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[query]), part.column(0).take(pa.array(place)), pa.array(scores[query, place])], names=["query_id", "position", "score"])
+                top = -np.sort(-np.concatenate([top, scores], axis=1), axis=1)[:, :k]
+                floor = top[:, -1]
+
+    return scan

@@ -20,7 +20,7 @@ from corvane.operators import publish
 from corvane.operators import retrieve as R
 from corvane.operators import staged
 from corvane.plans import sql as S
-from corvane.plans.retrieval import _with, chunks_of, queries_of
+from corvane.plans.retrieval import _with, chunks_of, lexical, queries_of
 from corvane.schemas import table
 from corvane.sources.crawl import content_duplicates
 from corvane.sources.files import member_problems, question_problems
@@ -161,7 +161,7 @@ def prompt_sanitize(spark, d):
 
 def _evidence(spark, d):
     chunks, queries = chunks_of(spark, d), queries_of(spark, d)
-    return X.gathered(R.bm25(chunks, queries, 5, (2,)), chunks, queries)
+    return X.gathered(lexical(spark, d, 5), chunks, queries)
 
 
 def context_budget_select(spark, d):
@@ -177,13 +177,13 @@ def prompt_build(spark, d):
 
 def answer_batch(spark, d):
     chunks, queries = chunks_of(spark, d), queries_of(spark, d)
-    return A.answer_batch(queries, R.bm25(chunks, queries, 5, (2,)), chunks, BUDGET)
+    return A.answer_batch(queries, lexical(spark, d, 5), chunks, BUDGET)
 
 
 def _staged(run):
     def query(spark, d):
         chunks, queries = chunks_of(spark, d), queries_of(spark, d)
-        return run(queries, R.bm25(chunks, queries, 5, (2,)), chunks, BUDGET)
+        return run(queries, lexical(spark, d, 5), chunks, BUDGET)
 
     return query
 

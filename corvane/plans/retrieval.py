@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions import text as T
 from corvane.operators import evaluate as E
 from corvane.operators import fusion as X
+from corvane.operators import index as N
 from corvane.operators import retrieve as R
 from corvane.plans import sql as S
 from corvane.schemas import document_chunks, table
@@ -19,9 +20,19 @@ def chunks_of(spark: SparkSession, d: str) -> DataFrame:
     return document_chunks(table(spark, d, "documents"))
 
 
-def queries_of(spark: SparkSession, d: str, short: bool = False) -> DataFrame:
-    text = F.regexp_extract("text", r"\A\S+(?:\s+\S+){0,2}", 0) if short else F.col("text")
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), text.alias("text"))
+def queries_of(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def index_of(spark: SparkSession, d: str, field: str, sizes: tuple[int, ...] = (2,)) -> N.TextIndex:
+    """The stored index of a field (or ``labelled`` text) of the documents, shared by all queries of the session."""
+    chunks = chunks_of(spark, d)
+    rows = (lambda: R.labelled_rows(chunks, sizes)) if field == "labelled" else (lambda: R.field_rows(chunks, field, sizes))
+    return N.session_index(table(spark, d, "documents"), f"{field}-{'-'.join(map(str, sizes))}", chunks, rows)
+
+
+def lexical(spark: SparkSession, d: str, k: int, sizes: tuple[int, ...] = (2,), field: str = "labelled") -> DataFrame:
+    return N.indexed_bm25(index_of(spark, d, field, sizes), queries_of(spark, d), k, sizes)
 
 
 def _shown(ranked: DataFrame) -> DataFrame:
@@ -56,16 +67,16 @@ def index_term_stats(spark, d):
 
 
 def bm25_topk(spark, d):
-    return _shown(R.bm25(chunks_of(spark, d), queries_of(spark, d), K))
+    return _shown(lexical(spark, d, K, (2, 3)))
 
 
-def bm25_short_topk(spark, d):
-    return _shown(R.bm25(chunks_of(spark, d), queries_of(spark, d, True), K, (2,)))
+def bm25_bigram_topk(spark, d):
+    return _shown(lexical(spark, d, K))
 
 
 def field_query(field: str):
     def run(spark, d):
-        return _shown(R.field_bm25(chunks_of(spark, d), queries_of(spark, d), field, K))
+        return _shown(lexical(spark, d, K, field=field))
 
     return run
 
@@ -87,19 +98,19 @@ def dense_topk(spark, d):
     return _shown(dense_ranked(spark, d))
 
 
-def _hybrid(spark, d, short=True):
-    chunks, queries = chunks_of(spark, d), queries_of(spark, d, short)
-    return chunks, queries, X.fuse([(R.field_bm25(chunks, queries, "section_title", 30), 1.0), (R.bm25(chunks, queries, 30, (2,)), 1.0)], 30, 10, 30)
+def _hybrid(spark, d):
+    """Dense and lexical candidates, fused."""
+    return X.fuse([(dense_ranked(spark, d, 30), 1.0), (lexical(spark, d, 30), 1.0)], 30, 10, 30)
 
 
-def rrf_hybrid(spark, d, short=True):
-    return _shown(_hybrid(spark, d, short)[2].where(F.col("rank") <= K))
+def rrf_hybrid(spark, d):
+    return _shown(_hybrid(spark, d).where(F.col("rank") <= K))
 
 
 def weighted_query(preset: str):
     def run(spark, d):
         chunks, queries = chunks_of(spark, d), queries_of(spark, d)
-        leaves = {"identifiers": R.symbol_search(R.symbol_records(chunks), queries, 30), "section_title": R.field_bm25(chunks, queries, "section_title", 30), "page_title": R.field_bm25(chunks, queries, "page_title", 30), "body_dense": dense_ranked(spark, d, 30), "body_lexical": R.field_bm25(chunks, queries, "body", 30)}
+        leaves = {"identifiers": R.symbol_search(R.symbol_records(chunks), queries, 30), "section_title": lexical(spark, d, 30, field="section_title"), "page_title": lexical(spark, d, 30, field="page_title"), "body_dense": dense_ranked(spark, d, 30), "body_lexical": lexical(spark, d, 30, field="body")}
         weights = X.FIELD_WEIGHTS[preset]
         return _shown(X.fuse([(leaves[f], weights[f]) for f in X.TECHNICAL_FIELDS], K, 10, 30))
 
@@ -108,7 +119,7 @@ def weighted_query(preset: str):
 
 def rerank_topk(spark, d):
     chunks, queries = chunks_of(spark, d), queries_of(spark, d)
-    out = X.rerank(R.bm25(chunks, queries, 30, (2,)), queries, chunks, K)
+    out = X.rerank(lexical(spark, d, 30), queries, chunks, K)
     return out.select("query_id", "rank", "position", F.round("score", 6).alias("score"), "original_rank", "rank_change")
 
 
@@ -122,40 +133,34 @@ def questions_of(spark, d):
     return items.join(held, "item_id", "left").select(F.col("item_id").alias("query_id"), F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"), kind.alias("query_type"), topic.alias("topic"))
 
 
-def _ranks(spark, d, short=True):
-    chunks, queries, hybrid = _hybrid(spark, d, short)
-    questions = questions_of(spark, d)
-    base = E.question_ranks(R.bm25(chunks, queries, K, (2,)), chunks, questions)
+def _ranks(spark, d):
+    chunks, questions, hybrid = chunks_of(spark, d), questions_of(spark, d), _hybrid(spark, d)
+    base = E.question_ranks(lexical(spark, d, K), chunks, questions)
     return base, E.question_ranks(hybrid, chunks, questions), chunks, questions, hybrid
 
 
-def retrieval_eval(spark, d, short=True):
-    out = E.ranking_metrics(_ranks(spark, d, short)[0])
+def retrieval_eval(spark, d):
+    out = E.ranking_metrics(_ranks(spark, d)[0])
     return out.select("n_questions", *(F.round(c, 6).alias(c) for c in out.columns[1:-1]), "n_missed")
 
 
-def retrieval_eval_by_group(spark, d, short=True):
-    out = E.ranking_metrics(_ranks(spark, d, short)[0], "query_type", "topic")
+def retrieval_eval_by_group(spark, d):
+    out = E.ranking_metrics(_ranks(spark, d)[0], "query_type", "topic")
     return out.select("dimension", "value", "n_questions", *(F.round(c, 6).alias(c) for c in out.columns[3:-1]), "n_missed")
 
 
-def retrieval_compare(spark, d, short=True):
-    base, hybrid, *_ = _ranks(spark, d, short)
+def retrieval_compare(spark, d):
+    base, hybrid, *_ = _ranks(spark, d)
     out = E.compare(base, hybrid)
     return out.select("improved", "tied", "worsened", *(F.array_join(c, ",").alias(c) for c in out.columns[3:]))
 
 
-def candidate_recall(spark, d, short=True):
-    _, _, chunks, questions, hybrid = _ranks(spark, d, short)
+def candidate_recall(spark, d):
+    _, _, chunks, questions, hybrid = _ranks(spark, d)
     out = E.candidate_recall(hybrid, chunks, questions)
     return out.select("n_questions", *(F.round(c, 6).alias(c) for c in out.columns[1:]))
 
 
-def whole(run):
-    """A query of the three-word set over whole benchmark texts."""
-    return lambda spark, d: run(spark, d, short=False)
-
-
 # --- the same in SQL --------------------------------------------------------------------------------------------------
 
 _DOC_TOKENS = S.tokens("d", "chunks", "position", S.LABELLED, (2, 3))
@@ -182,7 +187,7 @@ def _weighted_sql(preset: str) -> str:
     return _with(*parts, S.fuse("fused", [(names.get(f, f), w[f]) for f in X.TECHNICAL_FIELDS], K, 10, 30)) + S.ranked("fused")
 
 
-_HYBRID = [S.CHUNKS, S.SHORT, _QUERY_TOKENS_2, _DOC_TOKENS_2, S.bm25("lexical", "d", "q", 30), S.tokens("s", "chunks", "position", "section_title", (2,)), S.bm25("titles", "s", "q", 30), S.fuse("hybrid", [("titles", 1.0), ("lexical", 1.0)], 30, 10, 30)]
+_HYBRID = [S.CHUNKS, S.QUERIES, _QUERY_TOKENS_2, _DOC_TOKENS_2, S.bm25("lexical", "d", "q", 30), S.dense("vectors", 30), S.fuse("hybrid", [("vectors", 1.0), ("lexical", 1.0)], 30, 10, 30)]
 _QUESTIONS = """questions AS (SELECT item_id AS query_id, ['exact_identifier', 'conceptual', 'operational'][item_id % 3 + 1] AS query_type,
   CASE WHEN item_id % 5 <> 0 THEN 'topic-' || (item_id % 2) END AS topic FROM benchmark),
 relevant AS (SELECT item_id AS query_id, position FROM benchmark b JOIN chunks c ON contains(c.text, b.text))"""
@@ -202,7 +207,7 @@ QUERIES = {
     "cjk_ngrams": (cjk_ngrams, _with("r(id, text) AS (VALUES (1, '日本語の処理'), (2, 'abc 東京 x 京都々'), (3, 'plain'), (4, 'あ'))", f"runs AS (SELECT id, unnest(regexp_extract_all(text, '{S.RUN}')) AS run FROM r)") + "SELECT id, gram, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT id, unnest(list_transform(range(1, length(run) - {n} + 2), lambda i: substr(run, i, {n}))) AS gram FROM runs" for n in (2, 3)) + ") GROUP BY ALL"),
     "index_term_stats": (index_term_stats, _with(S.CHUNKS, S.tokens("d", "chunks", "position", "text", (2,)), "tf AS (SELECT key, term, count(*) AS tf FROM d_tok GROUP BY ALL)", "st AS (SELECT (SELECT count(*) FROM chunks) AS n_docs, (SELECT sum(tf) FROM tf) / (SELECT count(*) FROM chunks) AS average)") + "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, round(ln(1.0 + (any_value(n_docs) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf, round(any_value(average), 6) AS avg_length FROM tf CROSS JOIN st GROUP BY term"),
     "bm25_topk": (bm25_topk, _with(S.CHUNKS, S.QUERIES, _DOC_TOKENS, _QUERY_TOKENS, S.bm25("hits", "d", "q", K)) + S.ranked("hits")),
-    "bm25_short_topk": (bm25_short_topk, _with(S.CHUNKS, S.SHORT, _DOC_TOKENS_2, _QUERY_TOKENS_2, S.bm25("hits", "d", "q", K)) + S.ranked("hits")),
+    "bm25_bigram_topk": (bm25_bigram_topk, _with(S.CHUNKS, S.QUERIES, _DOC_TOKENS_2, _QUERY_TOKENS_2, S.bm25("hits", "d", "q", K)) + S.ranked("hits")),
     **{f"field_bm25_{f}": (field_query(f), _with(S.CHUNKS, S.QUERIES, _field_sql(f, "d"), _QUERY_TOKENS_2, S.bm25("hits", "d", "q", K)) + S.ranked("hits")) for f in R.FIELDS},
     "symbol_topk": (symbol_topk, _with(S.CHUNKS, S.QUERIES, S.symbol_search("hits", K)) + S.ranked("hits")),
     "dense_topk": (dense_topk, _with(S.QUERIES, S.dense("hits", K)) + S.ranked("hits")),
@@ -214,7 +219,3 @@ QUERIES = {
     "retrieval_compare": (retrieval_compare, _with(*_HYBRID, _QUESTIONS, _ranks_sql("base", "lexical"), _ranks_sql("other", "hybrid"), "m AS (SELECT query_id, coalesce(base.r, 1073741824) AS b, coalesce(other.r, 1073741824) AS e FROM base JOIN other USING (query_id))") + f"SELECT count(*) FILTER (WHERE e < b) AS improved, count(*) FILTER (WHERE e = b) AS tied, count(*) FILTER (WHERE e > b) AS worsened, {_MOVED} FROM m"),
     "candidate_recall": (candidate_recall, _with(*_HYBRID, _QUESTIONS, _ranks_sql("ranks", "hybrid", 30), "spread AS (SELECT query_id, count(DISTINCT source_url) AS u, count(DISTINCT source_url || '|' || section_title) AS s FROM hybrid JOIN chunks USING (position) GROUP BY query_id)") + "SELECT count(*) AS n_questions, " + ", ".join(f"round(avg(CASE WHEN r <= {k} THEN 1 ELSE 0 END), 6) AS recall_at_{k}" for k in (10, 20, 30)) + ", round(avg(coalesce(u, 0)), 6) AS mean_urls, round(avg(coalesce(u, 0)), 6) AS mean_pages, round(avg(coalesce(s, 0)), 6) AS mean_sections FROM ranks LEFT JOIN spread USING (query_id)"),
 }
-
-#: The same over whole benchmark texts: the first set, beside which that of three words is a second, harder one.
-_WHOLE = ("rrf_hybrid", "retrieval_eval", "retrieval_eval_by_group", "retrieval_compare", "candidate_recall")
-QUERIES |= {f"{name}_whole": (whole(QUERIES[name][0]), QUERIES[name][1].replace(S.SHORT, S.QUERIES)) for name in _WHOLE}

@@ -11,7 +11,6 @@ CHUNKS = r"""chunks AS (
     'https://docs.example/' || coalesce(lang, '') || '/' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '/' AS source_url, coalesce(lang, '') AS category
   FROM documents WHERE text IS NOT NULL)"""
 QUERIES = "queries AS (SELECT item_id AS query_id, text FROM benchmark)"
-SHORT = r"queries AS (SELECT item_id AS query_id, regexp_extract(text, '\A\S+(?:\s+\S+){0,2}') AS text FROM benchmark)"
 LABELLED = "'ページタイトル: ' || page_title || chr(10) || 'セクションタイトル: ' || section_title || chr(10) || '本文: ' || text"
 SYMBOL_TEXT = "page_title || chr(10) || section_title || chr(10) || replace(source_url, 'https://docs.example', '') || ' ' || chr(10) || text"
 

@@ -135,15 +135,14 @@ def test_rerank_keeps_original_rank_on_ties(spark):
     assert [r["position"] for r in got] == [2, 0, 1] and got[0]["rank_change"] == 2
 
 
-@pytest.mark.parametrize("name", ["rrf_hybrid", "retrieval_eval", "retrieval_eval_by_group", "retrieval_compare", "candidate_recall"])
+@pytest.mark.parametrize("name", ["bm25_topk", "bm25_bigram_topk", "field_bm25_body", "rrf_hybrid", "retrieval_eval", "retrieval_eval_by_group", "retrieval_compare", "candidate_recall"])
 def test_whole_benchmark_texts_match_their_sql(spark, name):
     from corvane.plans import retrieval as P
 
     path, con = "/root/testdata/sf0.001", duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}/{t}.parquet'")
-    run, sql = P.QUERIES[f"{name}_whole"]
-    assert P.S.SHORT not in sql and P.S.SHORT in P.QUERIES[name][1]
+    run, sql = P.QUERIES[name]
     df, result = run(spark, path), con.sql(sql)
     places = [result.columns.index(c) for c in df.columns]
     want = sorted([tuple(r[p] for p in places) for r in result.fetchall()], key=str)
@@ -153,6 +152,48 @@ def test_whole_benchmark_texts_match_their_sql(spark, name):
         assert g == pytest.approx(w, abs=2e-6) if all(isinstance(x, int | float) for x in g) else g == w
 
 
+def test_a_stored_index_gives_the_same_ranking(spark, tmp_path):
+    from corvane.operators import index as N
+
+    rng = random.Random(7)
+    docs = chunks(spark, [" ".join(rng.choice("alpha beta gamma delta eps".split()) for _ in range(rng.randint(0, 9))) for _ in range(50)])
+    asked = queries(spark, "alpha delta", "gamma", "none", "!!")
+    index = N.build_index(docs, R.labelled_rows(docs), str(tmp_path / "i"))
+    row = lambda df: sorted((r["query_id"], r["rank"], r["position"], round(r["score"], 9)) for r in df.collect())
+    assert row(N.indexed_bm25(index, asked, 7)) == row(R.bm25(docs, asked, 7))
+    empty = docs.where("false")
+    assert N.indexed_bm25(N.build_index(empty, R.labelled_rows(empty), str(tmp_path / "e")), asked).count() == 0
+
+
+def test_a_session_index_follows_its_files(spark, tmp_path):
+    from corvane.operators import index as N
+
+    path = str(tmp_path / "t")
+    names = []
+    for n in (3, 3, 5):
+        docs = chunks(spark, ["some words here"] * n)
+        if n == 5 or not names:
+            docs.write.mode("overwrite").parquet(path)
+        stored = spark.read.parquet(path)
+        names.append(N.session_index(stored, "x", stored, lambda s=stored: R.labelled_rows(s)).n_docs)
+    assert names == [3, 3, 5]
+
+
+def test_dense_search_against_numpy(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x, q = rng.normal(size=(300, 6)).round(2), rng.normal(size=(11, 6)).round(2)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [1.0])]
+    monkeypatch.setattr(R, "QUERY_BLOCK", 4)
+    vectors = spark.createDataFrame(rows, "position bigint, vector array<float>").repartition(3)
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)] + [(50, None), (51, [2.0])], "query_id bigint, vector array<float>")
+    got = {(r["query_id"], r["rank"]): r["position"] for r in R.dense_search(vectors, asked, 5).collect()}
+    scores = q.astype(np.float32).astype(float) @ x.astype(np.float32).astype(float).T
+    want = {(i, k + 1): p for i in range(11) for k, p in enumerate(sorted(range(300), key=lambda p: (-round(scores[i, p], 6), p))[:5])}
+    assert got == want | {(51, 1): 901}
+
+
 def test_section_parents_of_whole_texts(spark, monkeypatch):
     from corvane.plans import documents as P
 
