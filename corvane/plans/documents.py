@@ -20,7 +20,7 @@ from corvane.operators import publish
 from corvane.operators import retrieve as R
 from corvane.operators import staged
 from corvane.plans import sql as S
-from corvane.plans.retrieval import _with, chunks_of, lexical, queries_of
+from corvane.plans.retrieval import _DOC_TOKENS_2, _QUERY_TOKENS_2, _with, chunks_of, lexical, queries_of
 from corvane.schemas import table
 from corvane.sources.crawl import content_duplicates
 from corvane.sources.files import member_problems, question_problems
@@ -166,7 +166,7 @@ def _evidence(spark, d):
 
 def context_budget_select(spark, d):
     out = X.select_within_budget(_evidence(spark, d), BUDGET)
-    return out.select("query_id", "fits", F.transform("selected", lambda c: c["position"]).alias("positions"))
+    return out.select("query_id", "fits", F.array_join(F.transform("selected", lambda c: c["position"].cast("string")), ",").alias("positions"))
 
 
 def prompt_build(spark, d):
@@ -286,6 +286,60 @@ labelled AS (SELECT *, CASE WHEN abstained THEN CASE WHEN answerable THEN 'false
 _RATE = "round(avg(CAST({0} AS INTEGER)) FILTER (WHERE {1}), 6)"
 _DIGEST = """'{"content_sha256":"' || sha256(text) || '","position":' || position || ',"source_url":"' || source_url || '"}'"""
 
+
+
+def _text(value: str) -> str:
+    """A SQL string."""
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _safe(text: str) -> str:
+    """SQL of a text without URLs and paths."""
+    out = f"regexp_replace({text}, '(?i)(?:https?://|ftp://|www\\.)\\S+', '{T.URL_MARK}', 'g')"
+    out = f"regexp_replace({out}, '(^|[^A-Za-z0-9_])[A-Za-z]:\\\\(?:[^\\\\\\s]+\\\\)+[^\\\\\\s]+', '\\1{T.PATH_MARK}', 'g')"
+    return f"regexp_replace({out}, '(^|[^A-Za-z0-9_])/(?:[A-Za-z0-9._~+-]+/)+[A-Za-z0-9._~%+-]+', '\\1{T.PATH_MARK}', 'g')"
+
+
+def _line(text: str) -> str:
+    return f"trim(regexp_replace({text}, '[\\s\\x0b\\x{{85}}\\x{{a0}}\\x{{2000}}-\\x{{200a}}\\x{{3000}}]+', ' ', 'g'))"
+
+
+_RULES = "".join(P.RULES)
+_EVIDENCE = [
+    S.CHUNKS, S.QUERIES, _QUERY_TOKENS_2, _DOC_TOKENS_2, S.bm25("hits", "d", "q", 5),
+    f"parts AS (SELECT h.query_id, h.rank, h.position, {_safe('page_title')} AS page, {_safe('section_title')} AS section, {_safe('c.text')} AS body, q.text AS question FROM hits h JOIN chunks c USING (position) JOIN queries q USING (query_id))",
+]
+
+
+def _prompt(head: str, labels: str, after: str, blocks: str, ending: str) -> str:
+    """SQL of a prompt: fixed lines, labels, question, blocks."""
+    return f"{_text(head + P.ONLY_THESE + P.LABELS)} || {labels} || {_text(chr(10) + after + _RULES + P.QUESTION)} || {_safe('question')} || {_text(P.SOURCES)} || {blocks} || {_text(ending)}"
+
+
+def _first(labels: str, blocks: str) -> str:
+    return _prompt("あなたは" + T.SCOPE + "に基づいて回答します。\n", labels, P.CITE_AFTER, blocks, P.ANSWER)
+
+
+def _again(labels: str, blocks: str) -> str:
+    return _prompt(P.FAILED_BEFORE, labels, P.CITE_AT_LEAST, blocks, P.FIXED_ANSWER)
+
+
+_LISTED = f"""listed AS (SELECT query_id, any_value(question) AS question, string_agg('[S' || rank || ']', ', ' ORDER BY rank) AS labels,
+  string_agg('[S' || rank || ']' || chr(10) || {_text(P.PAGE)} || page || {_text(P.SECTION)} || section || {_text(P.BODY)} || body, chr(10) || chr(10) ORDER BY rank) AS blocks FROM parts GROUP BY query_id)"""
+#: Chunks are tried by rank; one stays if both prompts with it and those before it that stayed keep to the budget.
+_FOLDED = f"""sized AS (SELECT query_id, rank, position, length(page) + length(section) + length(body) + {len('[]' + chr(10) + P.PAGE + P.SECTION + P.BODY)} AS n,
+  length({_first("''", "''")}) AS first_n, length({_again("''", "''")}) AS again_n FROM parts),
+folded(query_id, rank, kept, size, names) AS (
+  SELECT DISTINCT query_id, 0, CAST([] AS VARCHAR[]), 0, 0 FROM sized
+  UNION ALL
+  SELECT s.query_id, s.rank, CASE WHEN fits THEN list_append(kept, CAST(s.position AS VARCHAR)) ELSE kept END, CASE WHEN fits THEN wider ELSE size END, CASE WHEN fits THEN longer ELSE names END
+  FROM (SELECT s.query_id, s.rank, s.position, f.kept, f.size, f.names, f.size + s.n + label + gap AS wider, f.names + label + gap + 2 AS longer,
+      greatest(first_n, again_n) + f.size + s.n + label + gap + f.names + label + gap + 2 <= {BUDGET} AS fits
+    FROM folded f JOIN (SELECT * FROM sized) s ON s.query_id = f.query_id AND s.rank = f.rank + 1,
+      LATERAL (SELECT length(CAST(len(f.kept) + 1 AS VARCHAR)) + 1 AS label, CASE WHEN len(f.kept) > 0 THEN 2 ELSE 0 END AS gap)) s),
+ended AS (SELECT query_id, arg_max(kept, rank) AS kept FROM folded GROUP BY query_id)"""
+_FACT = "trim(regexp_extract(text, '\\A[^.\\n]*') || CASE WHEN position % 3 = 0 THEN '?!' ELSE '' END, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
 QUERIES = {
     "html_sections": (html_sections, None),
     "html_parse_stats": (html_parse_stats, None),
@@ -309,8 +363,8 @@ QUERIES = {
     "section_parent_topk": (section_parent_topk, None),
     "section_context_windows": (section_context_windows, None),
     "prompt_sanitize": (prompt_sanitize, _with(S.CHUNKS) + r"SELECT position, sha256(regexp_replace(regexp_replace(text || ' see [URL除去済み] and [URL除去済み] or /usr/local/bin and C:\dir\file now', '(^|[^A-Za-z0-9_])[A-Za-z]:\\(?:[^\\\s]+\\)+[^\\\s]+', '\1[パス除去済み]', 'g'), '(^|[^A-Za-z0-9_])/(?:[A-Za-z0-9._~+-]+/)+[A-Za-z0-9._~%+-]+', '\1[パス除去済み]', 'g')) AS sanitised_sha256 FROM chunks"),
-    "context_budget_select": (context_budget_select, None),
-    "prompt_build": (prompt_build, None),
+    "context_budget_select": (context_budget_select, _with(*_EVIDENCE, _FOLDED).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT query_id, len(kept) > 0 AS fits, array_to_string(kept, ',') AS positions FROM ended"),
+    "prompt_build": (prompt_build, _with(*_EVIDENCE, _LISTED) + f"SELECT query_id, CAST(length({_first('labels', 'blocks')}) AS INTEGER) AS n_first, CAST(length({_again('labels', 'blocks')}) AS INTEGER) AS n_retry, sha256({_first('labels', 'blocks')}) AS first_sha256 FROM listed"),
     "answer_batch": (answer_batch, None),
     "answer_two_stage": (_staged(staged.two_stage), None),
     "answer_evidence_first": (_staged(staged.evidence_first), None),
@@ -320,8 +374,8 @@ QUERIES = {
   coalesce((SELECT string_agg('[S' || number || '] p' || number || ' - s' || number || ': u' || (number // 2), '; ' ORDER BY ord) FROM good g WHERE g.rid = m.rid AND nth = 1), '') AS sources,
   coalesce((SELECT string_agg(CAST(number AS VARCHAR), ',' ORDER BY ord) FROM firsts f WHERE f.rid = m.rid AND number NOT BETWEEN 1 AND 5), '') AS invalid,
   regexp_replace(answer, '\[S(0+|0*[6-9]|0*[1-9]\d+)\]', '', 'g') AS cleaned FROM marks m"""),
-    "answer_contract_parse": (answer_contract_parse, None),
-    "evidence_contract": (evidence_contract, None),
+    "answer_contract_parse": (answer_contract_parse, _with(_ANSWERS) + "SELECT conv_id, turn, CASE conv_id % 8 WHEN 0 THEN 'markdown_code_fence' WHEN 1 THEN 'duplicate_key' WHEN 2 THEN 'non_standard_json_value' WHEN 3 THEN 'invalid_json' WHEN 4 THEN 'top_level_not_object' WHEN 5 THEN 'missing_key,extra_key' ELSE CASE WHEN turn % 3 <> 0 AND trim(answer) = '' THEN 'empty_answer' ELSE '' END END AS reasons FROM answers"),
+    "evidence_contract": (evidence_contract, _with(S.CHUNKS, f"facts AS (SELECT position, {_FACT} AS fact, {_safe('text')} AS body FROM chunks)") + f"SELECT position, CASE WHEN position % 4 = 0 THEN 'invalid_evidence_source' WHEN fact = '' THEN 'invalid_evidence_facts' WHEN length(fact) > {C.MAX_FACT_LENGTH} THEN 'evidence_fact_too_long' WHEN regexp_matches(fact, '(?i)(?:https?://|ftp://|www\\.)\\S+') OR regexp_matches(fact, '!?\\[[^\\]\\r\\n]+\\]\\([^\\)\\r\\n]+\\)') THEN 'unsafe_evidence_text' WHEN NOT contains({_line('body')}, {_line('fact')}) THEN 'unsupported_evidence_fact' ELSE '' END AS reasons FROM facts"),
     "judge_derive": (judge_derive, _with(_CASES) + "SELECT case_id, grounded, coverage_label, answerability_label, array_to_string(list_filter([CASE WHEN coverage_label = 'complete' AND n_missing > 0 THEN 'complete coverage conflicts with missing required facts' END, CASE WHEN coverage_label = 'insufficient' AND completeness = 4 THEN 'insufficient coverage conflicts with completeness=4' END, CASE WHEN completeness = 4 AND n_missing > 0 THEN 'completeness=4 conflicts with missing required facts' END, CASE WHEN answerability_label LIKE '%abstention' AND NOT abstained THEN 'abstention label requires abstained=true' END], lambda x: x IS NOT NULL), '; ') AS issues FROM labelled"),
     "rag_summary": (rag_summary, _with(_CASES) + f"SELECT count(*) AS n_cases, count(*) FILTER (WHERE answerable) AS n_answerable, count(*) FILTER (WHERE abstained) AS n_abstained, {_RATE.format('grounded', 'NOT abstained')} AS grounded_rate, {_RATE.format("(coverage_label = 'complete')", 'NOT abstained AND answerable')} AS complete_rate, {_RATE.format('abstained', 'NOT answerable')} AS correct_abstention_rate, {_RATE.format('abstained', 'answerable')} AS false_abstention_rate, {_RATE.format('(NOT abstained)', 'NOT answerable')} AS false_answer_rate, round(avg(faithfulness), 6) AS mean_faithfulness, round(avg(completeness), 6) AS mean_completeness, round(avg(citation_support), 6) AS mean_citation_support, CAST(sum(n_unsupported) AS BIGINT) AS n_unsupported, round(CAST(median(n_chars) AS DOUBLE), 6) AS median_chars, max(n_chars) AS max_chars FROM labelled"),
     "label_counts": (label_counts, _with(_CASES) + "SELECT l AS answerability_label, count(case_id) AS n FROM (SELECT unnest(['supported_answer', 'false_answer', 'correct_abstention', 'false_abstention']) AS l) LEFT JOIN labelled ON answerability_label = l GROUP BY l"),
