@@ -130,6 +130,16 @@ def reusable(stored: dict, **fingerprints: str) -> bool:
     return all(stored.get(k) == v for k, v in fingerprints.items())
 
 
+def write_report(spark: SparkSession, path: str, report: dict) -> None:
+    """An evaluation report as JSON with sorted keys, replaced as a whole; a value that is no JSON (NaN) raises."""
+    _write_text(spark, path, json.dumps(report, sort_keys=True, ensure_ascii=False, indent=2, allow_nan=False) + "\n")
+
+
+def read_report(spark: SparkSession, path: str) -> dict | None:
+    text = _read_text(spark, path)
+    return None if text is None else json.loads(text)
+
+
 def deterministic_zip(files: dict[str, bytes]) -> bytes:
     """An archive of the same bytes for the same files: sorted names, one fixed time and mode."""
     out = io.BytesIO()

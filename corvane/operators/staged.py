@@ -88,3 +88,31 @@ def evidence_first(queries: DataFrame, ranked: DataFrame, chunks: DataFrame, bud
     rows = _cited(good, generate(P.evidence_answer_prompt(question, F.col("evidence")), F.col("evidence")), generate(P.evidence_answer_prompt(question, F.col("evidence"), True), F.col("evidence")), F.size("evidence") == 0, F.col("tries"))
     broken = parsed.where(F.col("evidence").isNull()).select("query_id", F.lit("failed").alias("status"), F.lit(None).cast("string").alias("answer_text"), F.array_join("bad", ",").alias("reason"), F.lit(None).cast(rows.schema["sources"].dataType).alias("sources"), F.lit(2).alias("attempts"))
     return _settled(queries, rows.unionByName(broken), selected)
+
+
+def extractive_contract(prompt: Column, contexts: Column) -> Column:
+    """The deterministic provider of the answer-or-abstain contract: the first sentence, cited; without contexts it abstains."""
+    some = F.size(contexts) > 0
+    fields = F.struct(F.when(some, "answer").otherwise("abstain").alias("status"), F.when(some, extractive_generator(prompt, contexts)).otherwise("").alias("answer_text"), F.when(~some, "insufficient_evidence").alias("reason"))
+    return F.to_json(fields, {"ignoreNullFields": "false"})
+
+
+def answer_or_abstain(queries: DataFrame, ranked: DataFrame, chunks: DataFrame, budget: int = 8192, generate: Generator = extractive_contract) -> DataFrame:
+    """One JSON output that answers with citations or abstains; an output that breaks the contract is repaired once."""
+    question = F.col("question")
+    prompt = lambda contexts, retry: P.answer_or_abstain_prompt(question, contexts, retry)
+    selected = select_by_prompts(gathered(ranked, chunks, queries), budget, [(F.length(prompt(_empty(), retry)), "bracket") for retry in (False, True)])
+    ready = selected.where("fits").withColumn("contexts", P.prompt_contexts(F.col("selected")))
+    n = F.size("selected").cast("long")
+    field = lambda name: F.get_json_object("out", f"$.{name}")
+    cites = F.when(field("status") == "answer", C.citation_reasons(field("answer_text"), n)).otherwise(F.array().cast("array<string>"))
+    wrong = lambda: F.when(F.size(C.answer_json_reasons(F.col("out"))) > 0, C.answer_json_reasons(F.col("out"))).otherwise(cites)
+    one = ready.withColumn("out", generate(prompt(F.col("contexts"), False), F.col("contexts"))).withColumn("bad", wrong())
+    again = generate(prompt(F.col("contexts"), True), F.col("contexts"))
+    two = one.withColumn("attempts", F.when(F.size("bad") > 0, 2).otherwise(1)).withColumn("out", F.when(F.size("bad") > 0, again).otherwise(F.col("out"))).withColumn("bad", wrong())
+    fine, answers = F.size("bad") == 0, field("status") == "answer"
+    rows = two.select(
+        "query_id", F.when(~fine, "failed").when(answers, "answered").otherwise("abstained").alias("status"), F.when(fine & answers, T.normal_space(field("answer_text"))).alias("answer_text"),
+        F.when(~fine, F.array_join("bad", ",")).when(~answers, field("reason")).alias("reason"), F.when(fine & answers, C.cited_sources(field("answer_text"), F.col("selected"))).alias("sources"), "attempts",
+    )
+    return _settled(queries, rows, selected)

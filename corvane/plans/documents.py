@@ -368,6 +368,7 @@ QUERIES = {
     "answer_batch": (answer_batch, None),
     "answer_two_stage": (_staged(staged.two_stage), None),
     "answer_evidence_first": (_staged(staged.evidence_first), None),
+    "answer_or_abstain": (_staged(staged.answer_or_abstain), None),
     "citation_extract": (citation_extract, _with(_ANSWERS, _NUMBERS) + "SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY rid ORDER BY ord) - 1 AS INTEGER) AS nth, number FROM firsts"),
     "citation_contract": (citation_contract, _with(_ANSWERS, r"c AS (SELECT *, list_transform(regexp_extract_all(answer, '\[S([1-9]\d*)\]', 1), lambda x: CAST(x AS BIGINT)) AS n, len(regexp_extract_all(answer, '\[[sS][^\]\r\n]*\]')) AS n_like FROM answers)") + r"SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN trim(answer) = '' THEN 'empty_answer' END, CASE WHEN regexp_matches(answer, '(?i)(?:https?://|ftp://|www\.)\S+') THEN 'url_detected' END, CASE WHEN regexp_matches(answer, '!?\[[^\]\r\n]+\]\([^\)\r\n]+\)') THEN 'markdown_link_detected' END, CASE WHEN n_like <> len(n) THEN 'malformed_citation' END, CASE WHEN len(list_filter(n, lambda x: x > 5)) > 0 THEN 'citation_out_of_range' END, CASE WHEN len(n) = 0 THEN 'citation_required' END], lambda x: x IS NOT NULL), ',') AS reasons FROM c"),
     "citation_resolve": (citation_resolve, _with(_ANSWERS, _NUMBERS, "good AS (SELECT *, row_number() OVER (PARTITION BY rid, number // 2 ORDER BY ord) AS nth FROM firsts WHERE number BETWEEN 1 AND 5)") + r"""SELECT conv_id, turn,

@@ -19,7 +19,7 @@ def case(spark):
     return queries, ranked, chunks
 
 
-@pytest.mark.parametrize("run", [A.answer_batch, G.two_stage, G.evidence_first])
+@pytest.mark.parametrize("run", [A.answer_batch, G.two_stage, G.evidence_first, G.answer_or_abstain])
 def test_outcomes(case, run):
     got = {r["query_id"]: r for r in run(*case, 3000).collect()}
     assert (got[1]["status"], got[1]["answer_text"], got[1]["attempts"]) == ("answered", "First fact here [S1]", 1)
@@ -60,3 +60,76 @@ def test_prompt_sizes_are_exact(spark, case):
 
 def test_constrained_choice():
     assert A.first_choice([[1, 2, 3], [1, 4], [5]], [1]) == [2, 4] and A.first_choice([[1]], [1]) == []
+
+
+def test_answer_or_abstain_repairs_once(case):
+    bad = lambda prompt, contexts: F.when(F.contains(prompt, F.lit(P.CONTRACT_FAILED)), G.extractive_contract(prompt, contexts)).otherwise("not json")
+    got = {r["query_id"]: r for r in G.answer_or_abstain(*case, 3000, generate=bad).collect()}
+    assert (got[1]["status"], got[1]["attempts"]) == ("answered", 2)
+    uncited = lambda prompt, contexts: F.lit('{"status":"answer","answer_text":"no mark","reason":null}')
+    got = {r["query_id"]: r for r in G.answer_or_abstain(*case, 3000, generate=uncited).collect()}
+    assert (got[1]["status"], got[1]["reason"], got[1]["attempts"]) == ("failed", "citation_required", 2)
+    no = lambda prompt, contexts: F.lit('{"status":"abstain","answer_text":"","reason":"insufficient_evidence"}')
+    got = {r["query_id"]: r for r in G.answer_or_abstain(*case, 3000, generate=no).collect()}
+    assert (got[1]["status"], got[1]["reason"], got[1]["sources"]) == ("abstained", "insufficient_evidence", None)
+
+
+def test_frozen_contexts_replay(spark, case, tmp_path):
+    from corvane.operators import frozen as Z
+
+    queries, ranked, chunks = case
+    some = queries.where("query_id <> 2")
+    Z.freeze(X.gathered(ranked, chunks, some)).write.parquet(str(tmp_path / "f"))
+    stored = spark.read.parquet(str(tmp_path / "f"))
+    assert {r["query_id"]: len(r["chunks"]) for r in Z.thaw(stored, some).collect()} == {1: 2, 3: 1}
+    for wrong, said in ((queries, "no frozen"), (some.where("query_id = 1"), "unknown"), (some.withColumn("text", F.lit("x")), "another text")):
+        with pytest.raises(Exception, match=said):
+            Z.thaw(stored, wrong).collect()
+    changed = stored.withColumn("chunks", F.slice("chunks", 1, 1))
+    with pytest.raises(Exception, match="changed"):
+        Z.thaw(changed, some).collect()
+    assert [r[0] for r in Z.pending(queries, stored).select("query_id").collect()] == [2]
+    answers = A.answer_batch(queries, ranked, chunks, 3000)
+    assert [tuple(r) for r in Z.cited_chunks(answers, ranked, chunks).collect()] == [(1, 1)]
+    times = spark.createDataFrame([(1.0,), (2.0,), (6.0,)], "generation_seconds double")
+    assert tuple(Z.seconds_summary(times, "generation_seconds").first()) == (3.0, 2.0)
+
+
+def test_stored_sections(spark):
+    from corvane.operators import frozen as Z
+
+    rows = spark.createDataFrame([("a", "one"), ("b", " ")], "anchor string, text string")
+    stored = Z.stored_sections(rows, F.col("anchor"))
+    assert [tuple(r) for r in Z.section_problems(stored).collect()] == [("b", "blank_text")]
+    assert {r["problem"] for r in Z.section_problems(stored.withColumn("text", F.lit("x"))).collect()} == {"changed_text"}
+    with pytest.raises(Exception, match="repeated section id"):
+        Z.stored_sections(rows, F.lit("same")).collect()
+
+
+def test_embeddings_are_unit_vectors_and_checked(spark):
+    from corvane.operators import embed as V
+    from corvane.operators import retrieve as R
+
+    rows = [(i, t, "p", "s") for i, t in enumerate(["red green blue", "red green", "yellow words here", "red green blue"])]
+    chunks = spark.createDataFrame(rows, "position bigint, text string, page_title string, section_title string")
+    vectors = V.embed_chunks(chunks, V.hashed_words(16), "passage: ")
+    assert V.vector_problems(vectors, chunks, 16).count() == 0
+    asked = V.embed_queries(spark.createDataFrame([(9, "red green blue")], "query_id bigint, text string"), V.hashed_words(16), "query: ")
+    assert R.dense_search(vectors, asked, 4).where("position = 2").first()["rank"] >= 3
+    wrong = vectors.where("position <> 0").withColumn("vector", F.when(F.col("position") == 1, F.array(F.lit(2.0).cast("float"))).otherwise(F.col("vector")))
+    stale = chunks.withColumn("text", F.when(F.col("position") == 2, "other").otherwise(F.col("text")))
+    assert {tuple(r) for r in V.vector_problems(wrong, stale, 16).collect()} == {(0, "missing"), (1, "wrong_size"), (2, "stale")}
+    zero = spark.createDataFrame([([0.0, 0.0],), ([float("nan")],), ([],), (None,)], "v array<double>")
+    assert [r[0] for r in zero.select(V.normalised(F.col("v"))).collect()] == [None] * 4
+
+
+def test_reports(spark, tmp_path):
+    from corvane.operators import publish
+
+    path = str(tmp_path / "r.json")
+    assert publish.read_report(spark, path) is None
+    for report in ({"b": 1, "a": [1.5]}, {"a": 2}):
+        publish.write_report(spark, path, report)
+        assert publish.read_report(spark, path) == report
+    with pytest.raises(ValueError):
+        publish.write_report(spark, path, {"x": float("nan")})
