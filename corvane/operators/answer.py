@@ -43,3 +43,20 @@ def answer_batch(queries: DataFrame, ranked: DataFrame, chunks: DataFrame, budge
     answered = fixed.select("query_id", F.when(valid, "answered").otherwise("failed").alias("status"), F.when(valid, T.normal_space(F.col("raw"))).alias("answer_text"), F.when(~valid, F.array_join("wrong", ",")).alias("reason"), F.when(valid, C.cited_sources(F.col("raw"), F.col("selected"))).alias("sources"), "attempts")
     every = queries.select("query_id").join(answered, "query_id", "left").join(some.select("query_id", "fits"), "query_id", "left")
     return every.select("query_id", F.coalesce("status", F.when(F.col("fits") == F.lit(False), F.lit("failed")).otherwise("abstained")).alias("status"), "answer_text", F.coalesce("reason", F.when(F.col("status").isNull(), F.when(F.col("fits") == F.lit(False), F.lit("context_budget_exceeded")).otherwise("no_retrieval_results"))).alias("reason"), "sources", F.coalesce("attempts", F.lit(0)).alias("attempts"))
+
+
+def routed(questions: DataFrame, bases: DataFrame) -> DataFrame:
+    """Questions (query_id, text, base_id) with the fields of their knowledge base; an unknown or disabled base raises an error
+    when the row is read. ``bases``: base_id, enabled, and what a run needs, one row a base."""
+    fields = [c for c in bases.columns if c not in ("base_id", "enabled")]
+    met = questions.join(bases.withColumn("known", F.lit(True)), "base_id", "left")
+    wrong = F.when(F.col("known").isNull(), "unknown knowledge base ").when(~F.coalesce("enabled", F.lit(True)), "knowledge base is disabled: ")
+    checked = F.when(wrong.isNotNull(), F.raise_error(F.concat(wrong, F.coalesce("base_id", F.lit("(none)")))).cast("string")).otherwise(F.col("base_id"))
+    return met.select("query_id", "text", checked.alias("base_id"), *fields)
+
+
+def rendered(answers: DataFrame) -> DataFrame:
+    """query_id, output: an answer with its list of sources, or why there is none, as lines of text."""
+    sources = F.array_join(F.transform(F.coalesce("sources", F.array().cast(answers.schema["sources"].dataType)), C.source_line), "\n")
+    body = F.when(F.col("status") == "answered", F.concat(F.col("answer_text"), F.when(sources != "", F.concat(F.lit("\n\n"), sources)).otherwise("")))
+    return answers.select("query_id", body.when(F.col("status") == "abstained", F.concat(F.lit("no answer: "), F.col("reason"))).otherwise(F.concat(F.lit("failed: "), F.coalesce("reason", F.lit("unknown")))).alias("output"))

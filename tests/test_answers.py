@@ -133,3 +133,31 @@ def test_reports(spark, tmp_path):
         assert publish.read_report(spark, path) == report
     with pytest.raises(ValueError):
         publish.write_report(spark, path, {"x": float("nan")})
+
+
+def test_rendered_and_routed(spark, case):
+    got = {r["query_id"]: r["output"] for r in A.rendered(A.answer_batch(*case, 3000)).collect()}
+    assert got == {1: "First fact here [S1]\n\n[S1] p - s: https://x.example/1", 2: "no answer: no_retrieval_results", 3: "failed: context_budget_exceeded"}
+    asked = lambda base: spark.createDataFrame([(1, "q", base)], "query_id bigint, text string, base_id string")
+    bases = spark.createDataFrame([("a", True, "/a"), ("b", False, "/b")], "base_id string, enabled boolean, root string")
+    assert tuple(A.routed(asked("a"), bases).first()) == (1, "q", "a", "/a")
+    for base, said in (("b", "disabled"), ("c", "unknown"), (None, "unknown")):
+        with pytest.raises(Exception, match=said):
+            A.routed(asked(base), bases).collect()
+
+
+def test_locked_archive(spark, tmp_path):
+    from corvane.sources.archive import locked_archive
+    from corvane.sources.crawl import Response
+
+    lock, url = str(tmp_path / "lock.json"), "https://x.example/a.zip"
+    serve = lambda body, at=url, status=200: lambda _: Response(at, status, "application/zip", body)
+    assert bytes(locked_archive(spark, url, lock, serve(b"one")).first()[0]) == b"one"
+    assert locked_archive(spark, url, lock, serve(b"one")).count() == 1
+    for transport, said in ((serve(b"two"), "not the locked one"), (serve(b"one", "http://x.example/a.zip"), "not https"), (serve(b"", status=500), "cannot fetch"), (serve(b"x" * 20), "larger")):
+        with pytest.raises(ValueError, match=said):
+            locked_archive(spark, url, lock, transport, max_bytes=10)
+    with pytest.raises(ValueError, match="https"):
+        locked_archive(spark, "http://x.example/a.zip", lock, serve(b"one"))
+    assert locked_archive(spark, url, lock, serve(b"two"), refresh=True).count() == 1
+    assert bytes(locked_archive(spark, url, lock, serve(b"two")).first()[0]) == b"two"
