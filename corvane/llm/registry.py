@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm.q_bpe import op1_bpe_encode_decode
+from corvane.llm.q_bytebpe import op11_byte_bpe
 from corvane.llm import q_decontam, q_hmm, q_langid, q_linededup, q_quality, q_topk, q_urlfilter
 from corvane.llm.q_rans import op9_token_id_output
 from corvane.llm.q_simhash import op8_simhash_near_dedup
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_token_id_output": op9_token_id_output,
         "op10_exact_top_k": q_topk.op10_exact_top_k,
+        "op11_byte_bpe": op11_byte_bpe,
     }
 
 
