@@ -17,6 +17,7 @@ TABLES = {
     "benchmark": "item_id bigint, text string",
     "pages": "page_id bigint, url string, html string",
     "embeddings": "vec_id bigint, embedding array<float>",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
 }
 
 
