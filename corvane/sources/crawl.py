@@ -6,6 +6,7 @@ by an anti join against all URLs seen. At most ``max_pages`` pages are kept and
 
 from __future__ import annotations
 
+import contextlib
 import re
 from collections.abc import Callable
 from html.parser import HTMLParser
@@ -59,18 +60,44 @@ def decode_html(body: bytes, content_type: str) -> str:
         raise ValueError(f"page is not readable as {charset}") from e
 
 
+def _site(url: str) -> str:
+    parts = urlsplit(url)
+    return f"{parts.scheme}://{parts.netloc}".lower()
+
+
+def links_of(html: str, base: str) -> tuple[list[str], str | None]:
+    """The links of a page and its canonical URL, resolved; links that are no URL are left out, and so is what comes after a
+    place that the parser can't read."""
+    parsed = _Links()
+    with contextlib.suppress(Exception):  # a malformed declaration, for one
+        parsed.feed(html)
+
+    def resolved(link: str) -> str | None:
+        try:
+            return urljoin(base, link)
+        except ValueError:
+            return None
+
+    return [u for link in parsed.links if (u := resolved(link)) is not None], parsed.canonical and resolved(parsed.canonical)
+
+
 def robots(transport: Transport, agent: str = "*") -> Callable[[str], bool]:
-    """Whether a URL may be fetched, by its site's robots.txt, which is asked for once; without one everything may."""
+    """Whether a URL may be fetched, by its site's robots.txt, which is asked for once. A site without one (404, 410) allows
+    everything; one whose file can't be had, or is at another site, allows nothing."""
     rules: dict[str, RobotFileParser] = {}
 
     def allowed(url: str) -> bool:
-        parts = urlsplit(url)
-        site = f"{parts.scheme}://{parts.netloc}"
+        site = _site(url)
         if site not in rules:
             rules[site] = RobotFileParser()
             got = fetch(transport, f"{site}/robots.txt")
-            fine = got is not None and 200 <= got.status < 300
-            rules[site].parse(got.body.decode("utf-8", "replace").splitlines() if fine else [])
+            if got is not None and got.status in (404, 410):
+                lines = []
+            elif got is not None and 200 <= got.status < 300 and _site(got.url) == site:
+                lines = got.body.decode("utf-8", "replace").splitlines()
+            else:
+                lines = ["User-agent: *", "Disallow: /"]
+            rules[site].parse(lines)
         return rules[site].can_fetch(agent, url)
 
     return allowed
@@ -98,7 +125,7 @@ def crawl(spark: SparkSession, starts: list[str], transport: Transport, max_page
     bounds = [r[0] for r in first.select(U.boundary(F.col("url"))).distinct().collect()]
     queue = [r[0] for r in first.distinct().collect()]
     queue = [u for u in dict.fromkeys(queue)]
-    seen, pages, tries, fetched = set(queue), [], 0, False
+    seen, pages, owned, tries, fetched = set(queue), [], set(), 0, False
     while queue and len(pages) < max_pages and tries < 10 * max_pages:
         found: list[tuple[str, str]] = []
         for url in queue:
@@ -116,10 +143,13 @@ def crawl(spark: SparkSession, starts: list[str], transport: Transport, max_page
                 html = decode_html(got.body, got.content_type)
             except ValueError:
                 continue
-            parsed = _Links()
-            parsed.feed(html)
-            found += [(got.url, urljoin(got.url, link)) for link in parsed.links]
-            own = urljoin(got.url, parsed.canonical) if parsed.canonical else got.url
+            links, canonical = links_of(html, got.url)
+            own = canonical if canonical and any(canonical.startswith(b) for b in bounds) else got.url
+            # What is no page, or another copy of one, counts for nothing and leads nowhere.
+            if got.content_type.split(";")[0].strip().lower() not in U.HTML_TYPES or own in owned:
+                continue
+            owned.add(own)
+            found += [(got.url, link) for link in links]
             pages.append((url, own, html, got.status, got.content_type, len(pages)))
         if not found:
             break

@@ -46,6 +46,26 @@ def test_bad_page_is_a_failure_row(spark):
     assert (got["n_pages"], got["n_failed"], got["n_sections"]) == (3, 2, 3)
 
 
+@pytest.mark.parametrize("sphinx", [False, True])
+def test_whatever_a_parser_raises_stays_with_its_page(spark, sphinx):
+    pages = ["<p>text</p><![foo bar]]>", "<div>" * 100_000, "<main><h1 id=a>T</h1><p>Enough text to make a section.</p></main>"]
+    rows = spark.createDataFrame([(i, f"http://x.example/{i}", f"{i}", p) for i, p in enumerate(pages)], "page_id bigint, url string, logical_path string, html string")
+    got = H.parse_pages(rows, H.ParserSettings(sphinx=sphinx)).select("page_id", "parsed.error", F.size("parsed.sections").alias("n")).orderBy("page_id").collect()
+    assert got[0]["error"].startswith("AssertionError") and got[1]["error"] and (got[2]["error"], got[2]["n"]) == (None, 1)
+
+
+def near_title(around):
+    tree = H.tree_of(f"<body><h1>Page</h1>{around}</body>")
+    return H._near_title(next(n for n in tree.walk() if n.attrs.get("id") == "x"))
+
+
+def test_titles_from_around_a_heading():
+    assert near_title("<section><p class=rubric>far</p><b></b><h2 id=x></h2><dt>near</dt></section>") == "near"
+    assert near_title("<section><dt>before</dt><h2 id=x></h2><dt>after</dt></section>") == "before"
+    assert near_title("<section><dt></dt><h2 id=x></h2><i></i><p><strong>bold</strong></p></section>") == "bold"
+    assert near_title("<section><h2 id=x></h2><p>plain</p></section><h2>Later</h2>") == "Page"
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_split_invariants(seed):
     rng = random.Random(seed)
@@ -284,6 +304,32 @@ def test_crawl_refuses_redirects_out_of_scope_and_unreadable_pages(spark):
     assert [r["source_url"] for r in got] == ["https://x.example/d/", "https://x.example/d/ok"] and len(waits) == 3
 
 
+def test_robots_that_cannot_be_had_allow_nothing():
+    def site(status, url="https://x.example/robots.txt"):
+        return crawl.robots(lambda _: crawl.Response(url, status, "text/plain", b""))
+
+    for status, fine in ((200, True), (404, True), (410, True), (500, False), (403, False)):
+        assert site(status)("https://x.example/d/a") is fine
+    assert not site(200, "https://other.example/robots.txt")("https://x.example/d/a")
+
+    def unreachable(url):
+        raise OSError(url)
+
+    assert not crawl.robots(unreachable)("https://x.example/d/a")
+
+
+def test_crawl_counts_pages_only(spark):
+    site = {
+        "https://x.example/d/": ("text/html", b'<a href="http://[bad">x</a><a href="a">a</a><a href="b">b</a><a href="c">c</a><a href="d">d</a>'),
+        "https://x.example/d/a": ("application/pdf", b'<a href="hidden">h</a>'),
+        "https://x.example/d/b": ("text/html", b'<link rel="canonical" href="/d/">again'),
+        "https://x.example/d/c": ("text/html", b'<p>c</p><a href="e">e</a><![foo bar]]>'),
+        "https://x.example/d/d": ("text/html", b"<p>d</p>"),
+    }
+    got = crawl.crawl(spark, ["https://x.example/d/"], lambda u: crawl.Response(u, 200 if u in site else 404, *site.get(u, ("", b""))), 3)
+    assert [r["source_url"][-1] for r in got.orderBy("nth").collect()] == ["/", "c", "d"]
+
+
 def test_decoding():
     assert crawl.decode_html("é".encode("cp1252"), "text/html; charset=windows-1252") == "é"
     assert crawl.decode_html(b'<meta charset="latin-1">\xe9', "text/html").endswith("é")
