@@ -18,10 +18,18 @@ def within_prefixes(urls: Column, prefixes: Column) -> Column:
     return F.forall(urls, lambda u: F.exists(prefixes, lambda p: F.startswith(u, p)))
 
 
-def question_ranks(ranked: DataFrame, chunks: DataFrame, questions: DataFrame, depth: int = 10) -> DataFrame:
-    """Every question with its first relevant rank (null: none within ``depth``); questions have keywords, query_type, topic."""
-    found = ranked.where(F.col("rank") <= depth).join(chunks.select("position", "source_url"), "position").join(questions.select("query_id", "keywords"), "query_id")
-    first = found.where(url_hit(F.col("source_url"), F.col("keywords"))).groupBy("query_id").agg(F.min("rank").alias("first_relevant_rank"))
+def question_ranks(ranked: DataFrame, chunks: DataFrame, questions: DataFrame, depth: int = 10, relevant: DataFrame | None = None) -> DataFrame:
+    """Every question (query_id, query_type, topic) with its first relevant rank (null: none within ``depth``).
+
+    A chunk is relevant if its URL holds one of the question's ``keywords``, or, where a relation of judgements is given, if
+    ``relevant`` has (query_id, position); judgements of any number are joined, never gathered into a list.
+    """
+    some = ranked.where(F.col("rank") <= depth)
+    if relevant is None:
+        found = some.join(chunks.select("position", "source_url"), "position").join(questions.select("query_id", "keywords"), "query_id").where(url_hit(F.col("source_url"), F.col("keywords")))
+    else:
+        found = some.join(relevant.select("query_id", "position").distinct(), ["query_id", "position"])
+    first = found.groupBy("query_id").agg(F.min("rank").alias("first_relevant_rank"))
     return questions.select("query_id", "query_type", "topic").join(first, "query_id", "left")
 
 
@@ -49,11 +57,11 @@ def compare(baseline: DataFrame, experiment: DataFrame) -> DataFrame:
     return ok.agg(F.count_if(F.col("e") < F.col("b")).alias("improved"), F.count_if(F.col("e") == F.col("b")).alias("tied"), F.count_if(F.col("e") > F.col("b")).alias("worsened"), *lists)
 
 
-def candidate_recall(ranked: DataFrame, chunks: DataFrame, questions: DataFrame, candidate_k: int = 30) -> DataFrame:
+def candidate_recall(ranked: DataFrame, chunks: DataFrame, questions: DataFrame, candidate_k: int = 30, relevant: DataFrame | None = None) -> DataFrame:
     """One row: recall at 10, 20, 30 and mean numbers of distinct URLs, pages and sections among the candidates."""
     if candidate_k < 30:
         raise ValueError("candidate_k must be at least 30")
-    ranks = question_ranks(ranked, chunks, questions, candidate_k)
+    ranks = question_ranks(ranked, chunks, questions, candidate_k, relevant)
     met = ranked.where(F.col("rank") <= candidate_k).join(chunks.select("position", "source_url", "section_title"), "position")
     spread = met.groupBy("query_id").agg(F.countDistinct("source_url").alias("urls"), F.countDistinct(F.substring_index("source_url", "#", 1)).alias("pages"), F.countDistinct("source_url", "section_title").alias("sections"))
     every = ranks.join(spread, "query_id", "left")

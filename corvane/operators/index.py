@@ -1,104 +1,216 @@
 """Stored text indexes: postings, terms and corpus statistics, written once and read by every batch of questions.
 
-Postings are (term, position, tf, length), range-partitioned and sorted by term, so files hold runs of terms and a filter
-on terms skips most of them; the terms table has document frequencies. Building shuffles the tokens once by chunk and once
-by term; a batch then reads postings, joins its terms and tokenises nothing but the questions.
+Postings are (bucket, term, position, tf, names, grams_n), in a folder for each bucket of terms and sorted by term within
+it. A batch asks for the buckets of its own terms by name, so the folders of all others are never listed or read; the terms
+table, in the same buckets, has document frequencies. ``names`` and ``grams_n`` are how many tokens of each kind the chunk
+has, so that one index serves every set of n-gram sizes.
+
+Ranking prunes exactly, as max-score evaluation does. The rarer terms of a question are added up first; the k-th best of
+these sums is a floor. Where all common terms together can't reach it, no chunk with common terms alone can be among the
+first k, and only chunks that may still pass the floor look up their common terms, by (term, position). So the long postings
+of common terms are read, but neither multiplied by the questions that hold them nor summed up. Questions whose floor is too
+low add up everything.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
-import tempfile
-import uuid
+import functools
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvane.functions import text as T
 from corvane.operators import retrieve as R
+from corvane.operators import scratch
+
+SIZES = (2, 3)
+#: Postings a bucket has on average, and the least and most buckets.
+BUCKET_POSTINGS, LEAST_BUCKETS, MOST_BUCKETS = 50_000, 16, 4096
+#: A term that more than one in so many chunks hold is common.
+COMMON = 25
+#: Scores are ranked on nine decimals, so this many units decide nothing.
+TOLERANCE = 4 * (R.SCORE_UNIT // 10**9)
 
 
 class TextIndex(NamedTuple):
     postings: DataFrame
     terms: DataFrame
     n_docs: int
-    average: float
+    buckets: int
+    tokens: dict[str, int]
+
+    def average(self, sizes: tuple[int, ...]) -> float:
+        """Tokens a chunk, 1.0 where there are none."""
+        total = self.tokens["names"] + sum(self.tokens[f"grams_{n}"] for n in sizes)
+        return total / self.n_docs if self.n_docs and total else 1.0
+
+
+def _length(sizes: tuple[int, ...]) -> Column:
+    return functools.reduce(lambda a, b: a + b, (F.col(f"grams_{n}") for n in sizes), F.col("names"))
+
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def build_index(chunks: DataFrame, rows: DataFrame, path: str) -> TextIndex:
-    """Writes the index of token rows (position, term) of ``chunks`` below ``path``, and opens it."""
+def build_index(chunks: DataFrame, rows: DataFrame, path: str, buckets: int | None = None) -> TextIndex:
+    """Writes the index of the token rows (position, term; of the n-gram sizes ``SIZES``) of ``chunks``, and opens it."""
     spark = chunks.sparkSession
-    R.term_frequencies(rows).write.parquet(f"{path}/counted")
-    counted = spark.read.parquet(f"{path}/counted")
+    run = F.when(F.col("term").rlike(f"^{T.JAPANESE_RUN}$"), F.length("term"))
+    counted = rows.groupBy("position", "term").agg(F.count("*").alias("tf")).withColumn("run", run)
+    of_chunk = Window.partitionBy("position")
+    kinds = {"names": F.col("run").isNull()} | {f"grams_{n}": F.col("run") == n for n in SIZES}
+    sized = counted.select("position", "term", "tf", *(F.coalesce(F.sum(F.when(is_one, F.col("tf"))).over(of_chunk), F.lit(0)).alias(kind) for kind, is_one in kinds.items()))
+    sized.write.parquet(f"{path}/counted")
+    sized = spark.read.parquet(f"{path}/counted")
+    if buckets is None:
+        buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, sized.count() // BUCKET_POSTINGS))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counted.repartitionByRange(parts, "term", "position").sortWithinPartitions("term", "position").write.parquet(f"{path}/postings")
-    counted.groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{path}/terms")
-    R.corpus_statistics(chunks, counted).write.parquet(f"{path}/statistics")
-    _delete(spark, f"{path}/counted")
+    placed = sized.withColumn("bucket", _bucket(F.col("term"), buckets))
+    # Ranges go by position too, so a term that every chunk holds is written by several tasks.
+    by = ["bucket", "term", "position"]
+    placed.repartitionByRange(parts, *by).sortWithinPartitions(*by).write.partitionBy("bucket").parquet(f"{path}/postings")
+    terms = placed.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.max("tf").alias("max_tf"))
+    terms.repartition(parts, "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
+    sums = sized.agg(*(F.coalesce(F.sum(F.when(is_one, F.col("tf"))), F.lit(0)).alias(kind) for kind, is_one in (("names", ~F.col("term").rlike(f"^{T.JAPANESE_RUN}$")), *((f"grams_{n}", F.col("term").rlike(f"^{T.JAPANESE_RUN}$") & (F.length("term") == n)) for n in SIZES))))
+    chunks.agg(F.count("*").alias("n_docs")).join(sums).withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/statistics")
+    scratch.delete(spark, f"{path}/counted")
     return open_index(spark, path)
 
 
 def open_index(spark: SparkSession, path: str) -> TextIndex:
-    row = spark.read.parquet(f"{path}/statistics").first()
-    return TextIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), row["n_docs"], row["avg_length"])
+    row = spark.read.parquet(f"{path}/statistics").first().asDict()
+    kinds = " bigint, ".join(("names", *(f"grams_{n}" for n in SIZES))) + " bigint"
+    postings = spark.read.schema(f"position bigint, term string, tf bigint, {kinds}, bucket int").parquet(f"{path}/postings")
+    terms = spark.read.schema("term string, df bigint, max_tf bigint, bucket int").parquet(f"{path}/terms")
+    return TextIndex(postings, terms, row.pop("n_docs"), row.pop("buckets"), row)
 
 
-def indexed_scores(index: TextIndex, queries: DataFrame, sizes: tuple[int, ...], k1: float = R.K1, b: float = R.B) -> DataFrame:
-    """query_id, position, score of every chunk that shares a token with a query."""
-    asked = R.query_terms(queries, sizes)
-    known = index.terms.join(R.small(asked.select("term").distinct()), "term", "left_semi")
-    weighed = asked.join(known, "term").select("query_id", "term", R.inverse_frequency(F.lit(index.n_docs), F.col("df")).alias("idf"))
-    hits = index.postings.join(R.small(weighed), "term")
-    part = F.col("idf") * R.saturation(F.col("tf"), F.col("length"), F.lit(index.average), k1, b)
-    return R.added(hits.select("query_id", "position", part.alias("part")))
+def in_buckets(stored: DataFrame, index: TextIndex, wanted: DataFrame) -> DataFrame:
+    """The part of a stored table that lies in the buckets of ``wanted`` (a number for each bucket comes to the driver)."""
+    found = sorted(r[0] for r in wanted.select("bucket").distinct().collect())
+    return stored if len(found) == index.buckets else stored.where(F.col("bucket").isin(found))
+
+
+def asked_terms(index: TextIndex, queries: DataFrame, sizes: tuple[int, ...] = SIZES) -> DataFrame:
+    """query_id, bucket, term, df, max_tf of each distinct token of a query that the index holds; written once."""
+    asked = R.query_terms(queries, sizes).select("query_id", "term", _bucket(F.col("term"), index.buckets).alias("bucket"))
+    return known_terms(index, scratch.written(asked, "asked"))
+
+
+def known_terms(index: TextIndex, asked: DataFrame) -> DataFrame:
+    terms = in_buckets(index.terms, index, asked)
+    return scratch.written(terms.join(R.small(asked), ["bucket", "term"]), "weighed")
+
 
+def _parts(index: TextIndex, weighed: DataFrame, sizes: tuple[int, ...], k1: float, b: float) -> DataFrame:
+    """query_id, position, unit: what each posting of a query's terms adds to a score, in ``SCORE_UNIT``-ths."""
+    hits = in_buckets(index.postings, index, weighed).join(R.small(weighed), ["bucket", "term"])
+    return hits.select("query_id", "position", _unit(index, sizes, k1, b).alias("unit"))
 
-def indexed_bm25(index: TextIndex, queries: DataFrame, k: int = 5, sizes: tuple[int, ...] = (2, 3), k1: float = R.K1, b: float = R.B) -> DataFrame:
+
+def _unit(index: TextIndex, sizes: tuple[int, ...], k1: float, b: float) -> Column:
+    part = _idf(index) * R.saturation(F.col("tf"), _length(sizes), F.lit(index.average(sizes)), k1, b)
+    return F.round(part * F.lit(float(R.SCORE_UNIT))).cast("long")
+
+
+def _idf(index: TextIndex) -> Column:
+    return R.inverse_frequency(F.lit(index.n_docs), F.col("df"))
+
+
+def _scores(units: DataFrame) -> DataFrame:
+    return units.groupBy("query_id", "position").agg((F.sum("unit") / F.lit(float(R.SCORE_UNIT))).alias("score"))
+
+
+def indexed_scores(index: TextIndex, queries: DataFrame, sizes: tuple[int, ...] = SIZES, k1: float = R.K1, b: float = R.B) -> DataFrame:
+    """query_id, position, score of every chunk that shares a token with a query."""
+    return _scores(_parts(index, asked_terms(index, queries, sizes), sizes, k1, b))
+
+
+def contenders(index: TextIndex, queries: DataFrame, k: int, sizes: tuple[int, ...] = SIZES, k1: float = R.K1, b: float = R.B) -> DataFrame:
+    """query_id, position, score of chunks among which the first ``k`` of every query are; their scores are whole."""
+    weighed = asked_terms(index, queries, sizes).withColumn("common", F.col("df") * COMMON > index.n_docs)
+    common, rare = weighed.where("common"), weighed.where("NOT common")
+    if common.isEmpty():
+        return _scores(_parts(index, rare, sizes, k1, b))
+    partial = _parts(index, rare, sizes, k1, b).groupBy("query_id", "position").agg(F.sum("unit").alias("unit"))
+    partial = scratch.written(partial, "partial")
+    floors = R.top_k(partial, k, F.desc("unit"), F.col("position")).where(F.col("rank") == k).select("query_id", F.col("unit").alias("floor"))
+    # The most that a term can add is that of a chunk as short as can be with the term's largest count.
+    most = _idf(index) * R.saturation(F.col("max_tf"), F.lit(0.0), F.lit(1.0), k1, b)
+    slack = common.groupBy("query_id").agg(F.sum(F.ceil(most * F.lit(float(R.SCORE_UNIT))) + 1).alias("slack"))
+    bounds = scratch.written(slack.join(floors, "query_id", "left").withColumn("safe", F.coalesce(F.col("slack") + TOLERANCE < F.col("floor"), F.lit(False))), "bounds")
+    met = partial.join(R.small(bounds), "query_id", "left")
+    safe, low = F.coalesce("safe", F.lit(False)), F.col("unit") + F.col("slack") + TOLERANCE < F.col("floor")
+    open_ = scratch.written(met.where(~(safe & low)).select("query_id", "position", "unit", safe.alias("safe")), "contenders")
+    looked_up = lookups(index, open_.where("safe"), common).select("query_id", "position", _unit(index, sizes, k1, b).alias("unit"))
+    unsafe = R.small(bounds.where("NOT safe").select("query_id"))
+    added_up = _parts(index, common.join(unsafe, "query_id", "left_semi"), sizes, k1, b)
+    return _scores(open_.select("query_id", "position", "unit").unionByName(looked_up).unionByName(added_up))
+
+
+def lookups(index: TextIndex, candidates: DataFrame, terms: DataFrame) -> DataFrame:
+    """The postings of each candidate (query_id, position) for the terms (query_id, bucket, term, ...) of its query."""
+    wanted = candidates.select("query_id", "position").join(R.small(terms), "query_id")
+    some = R.small(terms.select("bucket", "term").distinct())
+    stored = in_buckets(index.postings, index, terms).join(some, ["bucket", "term"], "left_semi")
+    return stored.join(wanted, ["bucket", "term", "position"])
+
+
+def indexed_bm25(index: TextIndex, queries: DataFrame, k: int = 5, sizes: tuple[int, ...] = SIZES, k1: float = R.K1, b: float = R.B) -> DataFrame:
     """BM25 over a stored index, with the ranking of ``retrieve.bm25`` and ``retrieve.field_bm25``."""
-    return R.top_k(indexed_scores(index, queries, sizes, k1, b), k, F.desc(F.round("score", 9)), F.col("position"))
+    return R.top_k(contenders(index, queries, R.require(k, "top_k"), sizes, k1, b), k, F.desc(F.round("score", 9)), F.col("position"))
 
 
-# --- indexes of a session ---------------------------------------------------------------------------------------------
+def indexed_symbols(index: TextIndex, queries: DataFrame, k: int = 5) -> DataFrame:
+    """``retrieve.symbol_search`` over the stored index of the field ``identifiers``."""
+    asked = R.symbol_terms(queries).withColumn("bucket", _bucket(F.col("term"), index.buckets))
+    asked = scratch.written(asked, "symbols")
+    return R.symbol_ranking(in_buckets(index.postings, index, asked).join(R.small(asked), ["bucket", "term"]), k)
 
-_built: dict[tuple[str, str, str], str] = {}
 
+def indexed_overlap(index: TextIndex, candidates: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """``fusion.rerank`` by the share of the query's distinct tokens that a candidate has, from the postings of these tokens."""
+    asked = R.query_terms(queries, (2,)).select("query_id", "term", _bucket(F.col("term"), index.buckets).alias("bucket"))
+    asked = scratch.written(asked, "asked")
+    sizes = asked.groupBy("query_id").agg(F.count("*").alias("n"))
+    pairs = candidates.select("query_id", "position", F.col("rank").alias("original_rank"), F.col("score").alias("retrieval_score"))
+    pairs = scratch.written(pairs, "pairs")
+    found = lookups(index, pairs, asked).groupBy("query_id", "position").agg(F.count("*").alias("held"))
+    scored = pairs.join(found, ["query_id", "position"], "left").join(R.small(sizes), "query_id", "left")
+    scored = scored.withColumn("score", F.coalesce(F.col("held") / F.col("n"), F.lit(0.0))).drop("held", "n")
+    ranked = R.top_k(scored, k, F.desc(F.round("score", 9)), F.col("original_rank"), F.col("position"))
+    return ranked.withColumn("rank_change", F.col("original_rank") - F.col("rank"))
 
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
+# --- indexes of a session ---------------------------------------------------------------------------------------------
 
-def _root(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one for a local session without it."""
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not root:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="corvane-"))
-        root = sc.getCheckpointDir()
-    return root.rstrip("/")
+_built: dict[tuple[str, str, str], str] = {}
 
 
 def state_of(table: DataFrame) -> str:
-    """A digest of the files of a table: names, sizes and times."""
-    sc = table.sparkSession.sparkContext
-    digest = hashlib.sha256()
-    for name in sorted(table.inputFiles()):
-        path = sc._jvm.org.apache.hadoop.fs.Path(name)
-        status = path.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(path)
-        digest.update(f"{name} {status.getLen()} {status.getModificationTime()}\n".encode())
-    return digest.hexdigest()
+    """A digest of the files of a table: names, sizes and times, gathered by the tasks that read them. Raises for a table that
+    is not of files, since nothing tells its states apart."""
+    meta = F.col("_metadata")
+    try:
+        files = table.select(meta["file_path"].alias("path"), meta["file_size"].alias("size"), meta["file_modification_time"].alias("at"))
+    except AnalysisException as e:
+        raise ValueError("a session index needs a table that is read from files") from e
+    each = files.distinct().select(F.xxhash64("path", "size", "at").alias("a"), F.xxhash64(F.lit("second"), "at", "size", "path").alias("b"))
+    row = each.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor("a"), F.lit(0)).alias("a"), F.coalesce(F.bit_xor("b"), F.lit(0)).alias("b")).first()
+    return f"{row['n']}-{row['a']}-{row['b']}"
 
 
 def session_index(source: DataFrame, name: str, chunks: DataFrame, rows: Callable[[], DataFrame]) -> TextIndex:
-    """The index ``name`` of ``chunks``, built when it is first asked for, and again once the files of ``source`` change."""
+    """The index ``name`` of ``chunks``, built when it is first asked for, and again once the files of ``source`` change. It lies
+    in this session's scratch folder and goes with it."""
     spark = source.sparkSession
     key = (spark.sparkContext.applicationId, name, state_of(source))
     if key not in _built:
-        path = f"{_root(spark)}/corvane-index/{key[0]}-{uuid.uuid4().hex}"
+        path = scratch.path(spark, "index")
         build_index(chunks, rows(), path)
         _built[key] = path
     return open_index(spark, _built[key])

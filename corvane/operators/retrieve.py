@@ -135,17 +135,26 @@ def symbol_records(chunks: DataFrame) -> DataFrame:
     return chunks.select("position", "source_url", "chunk_index", "start_index", T.text_sha256(F.col("text")).alias("text_sha256"), T.symbols(fields).alias("identifiers"))
 
 
-def symbol_search(records: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """Chunks by exact identifier hits, then variant hits, then position; score = 1000 x exact + variants."""
+def symbol_terms(queries: DataFrame) -> DataFrame:
+    """query_id, term, is_exact: every variant of a query's identifiers."""
     exact = T.distinct_identifiers(F.col("text"))
     variants = F.array_distinct(F.flatten(F.transform(exact, T.identifier_variants)))
-    asked = queries.select("query_id", F.explode(variants).alias("term"), exact.alias("exact")).select("query_id", "term", F.array_contains("exact", F.col("term")).cast("int").alias("is_exact"))
-    hits = records.select("position", F.explode("identifiers").alias("term")).join(small(asked), "term")
+    return queries.select("query_id", F.explode(variants).alias("term"), exact.alias("exact")).select("query_id", "term", F.array_contains("exact", F.col("term")).cast("int").alias("is_exact"))
+
+
+def symbol_ranking(hits: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` chunks of each query from its hits (query_id, position, is_exact): exact ones, then variants, then position."""
     counted = hits.groupBy("query_id", "position").agg(F.sum("is_exact").alias("exact_hits"), F.count("*").alias("variant_hits"))
     ranked = top_k(counted, k, F.desc("exact_hits"), F.desc("variant_hits"), F.col("position"))
     return ranked.select("query_id", "rank", (F.col("exact_hits") * 1000 + F.col("variant_hits")).cast("double").alias("score"), "position")
 
 
+def symbol_search(records: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """Chunks by exact identifier hits, then variant hits, then position; score = 1000 x exact + variants."""
+    hits = records.select("position", F.explode("identifiers").alias("term")).join(small(symbol_terms(queries)), "term")
+    return symbol_ranking(hits, k)
+
+
 def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

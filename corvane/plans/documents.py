@@ -16,6 +16,7 @@ from corvane.operators import evaluate as E
 from corvane.operators import fusion
 from corvane.operators import html as H
 from corvane.operators import integrity as I
+from corvane.operators import order as O
 from corvane.operators import publish
 from corvane.operators import retrieve as R
 from corvane.operators import staged
@@ -114,8 +115,7 @@ def chunk_invariants(spark, d):
 
 def _children(spark, d):
     kids = K.child_chunks(chunks_of(spark, d))
-    # A child's place: its parent's, then its ordinal.
-    return kids.withColumn("position", F.col("parent_position") * 1_000_000 + F.col("child_index"))
+    return O.with_positions(kids, "parent_position", "child_index")
 
 
 def _ranked_children(spark, d):
@@ -134,13 +134,19 @@ def parent_trace(spark, d):
     return fusion.expansion_trace(ranked, kids.select("position", "parent_id"))
 
 
+def corpus_order(spark, d):
+    """Every turn of every conversation in one order: by role and text, then by where it stands."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    return O.with_positions(rows, "role", "text", "conv_id", "turn").select("position", "conv_id", "turn", T.text_sha256(F.coalesce("text", F.lit(""))).alias("text_sha256"))
+
+
 def child_mapping_summary(spark, d):
     return K.mapping_summary(K.child_chunks(chunks_of(spark, d)))
 
 
 def section_parent_topk(spark, d):
     found = html_sections(spark, d).withColumn("category", F.lit("")).withColumn("python_version", F.lit("")).withColumn("source_path", F.lit("")).withColumn("section_id", K.section_id())
-    cut = K.chunk_sections(found, 400, 100).withColumn("position", F.col("page_id") * 1_000_000 + F.col("ordinal") * 10_000 + F.col("chunk_index"))
+    cut = O.with_positions(K.chunk_sections(found, 400, 100), "page_id", "ordinal", "chunk_index")
     ranked = R.bm25(cut, queries_of(spark, d), 30, (2,))
     out = fusion.expand_to_parents(ranked, cut.select("position", F.col("section_id").alias("parent_id")), 10)
     return out.select("query_id", "rank", F.round("score", 6).alias("score"), F.col("parent_id").alias("section_id"), "child_position", "child_hits")
@@ -359,6 +365,7 @@ QUERIES = {
     "chunk_invariants": (chunk_invariants, "SELECT CAST(0 AS BIGINT) AS misplaced, CAST(0 AS BIGINT) AS too_long, CAST(0 AS BIGINT) AS bad_ordinal, CAST(0 AS BIGINT) AS uncovered"),
     "parent_topk": (parent_topk, None),
     "parent_trace": (parent_trace, None),
+    "corpus_order": (corpus_order, "SELECT row_number() OVER (ORDER BY role NULLS FIRST, text NULLS FIRST, conv_id, turn) - 1 AS position, conv_id, turn, sha256(coalesce(text, '')) AS text_sha256 FROM conversations"),
     "child_mapping_summary": (child_mapping_summary, None),
     "section_parent_topk": (section_parent_topk, None),
     "section_context_windows": (section_context_windows, None),

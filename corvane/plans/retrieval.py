@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.operators import contain as H
 from corvane.operators import evaluate as E
 from corvane.operators import fusion as X
 from corvane.operators import index as N
 from corvane.operators import retrieve as R
+from corvane.operators import scratch
 from corvane.plans import sql as S
 from corvane.schemas import document_chunks, table
 
@@ -24,15 +26,19 @@ def queries_of(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def index_of(spark: SparkSession, d: str, field: str, sizes: tuple[int, ...] = (2,)) -> N.TextIndex:
+def index_of(spark: SparkSession, d: str, field: str) -> N.TextIndex:
     """The stored index of a field (or ``labelled`` text) of the documents, shared by all queries of the session."""
     chunks = chunks_of(spark, d)
-    rows = (lambda: R.labelled_rows(chunks, sizes)) if field == "labelled" else (lambda: R.field_rows(chunks, field, sizes))
-    return N.session_index(table(spark, d, "documents"), f"{field}-{'-'.join(map(str, sizes))}", chunks, rows)
+    rows = (lambda: R.labelled_rows(chunks, N.SIZES)) if field == "labelled" else (lambda: R.field_rows(chunks, field, N.SIZES))
+    return N.session_index(table(spark, d, "documents"), field, chunks, rows)
 
 
 def lexical(spark: SparkSession, d: str, k: int, sizes: tuple[int, ...] = (2,), field: str = "labelled") -> DataFrame:
-    return N.indexed_bm25(index_of(spark, d, field, sizes), queries_of(spark, d), k, sizes)
+    return N.indexed_bm25(index_of(spark, d, field), queries_of(spark, d), k, sizes)
+
+
+def symbols(spark: SparkSession, d: str, k: int) -> DataFrame:
+    return N.indexed_symbols(index_of(spark, d, "identifiers"), queries_of(spark, d), k)
 
 
 def _shown(ranked: DataFrame) -> DataFrame:
@@ -82,7 +88,7 @@ def field_query(field: str):
 
 
 def symbol_topk(spark, d):
-    return _shown(R.symbol_search(R.symbol_records(chunks_of(spark, d)), queries_of(spark, d), K))
+    return _shown(symbols(spark, d, K))
 
 
 def query_vectors(spark, d):
@@ -109,8 +115,7 @@ def rrf_hybrid(spark, d):
 
 def weighted_query(preset: str):
     def run(spark, d):
-        chunks, queries = chunks_of(spark, d), queries_of(spark, d)
-        leaves = {"identifiers": R.symbol_search(R.symbol_records(chunks), queries, 30), "section_title": lexical(spark, d, 30, field="section_title"), "page_title": lexical(spark, d, 30, field="page_title"), "body_dense": dense_ranked(spark, d, 30), "body_lexical": lexical(spark, d, 30, field="body")}
+        leaves = {"identifiers": symbols(spark, d, 30), "section_title": lexical(spark, d, 30, field="section_title"), "page_title": lexical(spark, d, 30, field="page_title"), "body_dense": dense_ranked(spark, d, 30), "body_lexical": lexical(spark, d, 30, field="body")}
         weights = X.FIELD_WEIGHTS[preset]
         return _shown(X.fuse([(leaves[f], weights[f]) for f in X.TECHNICAL_FIELDS], K, 10, 30))
 
@@ -118,46 +123,50 @@ def weighted_query(preset: str):
 
 
 def rerank_topk(spark, d):
-    chunks, queries = chunks_of(spark, d), queries_of(spark, d)
-    out = X.rerank(lexical(spark, d, 30), queries, chunks, K)
+    out = N.indexed_overlap(index_of(spark, d, "labelled"), lexical(spark, d, 30), queries_of(spark, d), K)
     return out.select("query_id", "rank", "position", F.round("score", 6).alias("score"), "original_rank", "rank_change")
 
 
 def questions_of(spark, d):
-    """Benchmark items as questions: relevant are the documents that hold the passage, by their URLs."""
-    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
-    # A stated set of items against all documents: one pass over the texts while the items fit a broadcast.
-    held = chunks_of(spark, d).select("source_url", "text").join(R.small(items, 10_000), F.contains("text", F.col("passage"))).groupBy("item_id").agg(F.collect_list("source_url").alias("keywords"))
+    """Benchmark items as questions."""
     kind = F.element_at(F.array(F.lit("exact_identifier"), F.lit("conceptual"), F.lit("operational")), (F.col("item_id") % 3 + 1).cast("int"))
     topic = F.when(F.col("item_id") % 5 != 0, F.concat(F.lit("topic-"), (F.col("item_id") % 2).cast("string")))
-    return items.join(held, "item_id", "left").select(F.col("item_id").alias("query_id"), F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"), kind.alias("query_type"), topic.alias("topic"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), kind.alias("query_type"), topic.alias("topic"))
+
+
+def relevant_to(spark, d):
+    """query_id, position: the documents that hold a question's passage."""
+    passages = table(spark, d, "benchmark").select(F.col("item_id").alias("passage_id"), F.col("text").alias("passage"))
+    return H.containing(passages, chunks_of(spark, d)).withColumnRenamed("passage_id", "query_id")
+
+
+def passage_containment(spark, d):
+    return relevant_to(spark, d)
 
 
-def _ranks(spark, d):
-    chunks, questions, hybrid = chunks_of(spark, d), questions_of(spark, d), _hybrid(spark, d)
-    base = E.question_ranks(lexical(spark, d, K), chunks, questions)
-    return base, E.question_ranks(hybrid, chunks, questions), chunks, questions, hybrid
+def _ranks(spark, d, ranked, depth=10):
+    return E.question_ranks(ranked, chunks_of(spark, d), questions_of(spark, d), depth, scratch.written(relevant_to(spark, d), "relevant"))
 
 
 def retrieval_eval(spark, d):
-    out = E.ranking_metrics(_ranks(spark, d)[0])
+    out = E.ranking_metrics(_ranks(spark, d, lexical(spark, d, K)))
     return out.select("n_questions", *(F.round(c, 6).alias(c) for c in out.columns[1:-1]), "n_missed")
 
 
 def retrieval_eval_by_group(spark, d):
-    out = E.ranking_metrics(_ranks(spark, d)[0], "query_type", "topic")
+    out = E.ranking_metrics(_ranks(spark, d, lexical(spark, d, K)), "query_type", "topic")
     return out.select("dimension", "value", "n_questions", *(F.round(c, 6).alias(c) for c in out.columns[3:-1]), "n_missed")
 
 
 def retrieval_compare(spark, d):
-    base, hybrid, *_ = _ranks(spark, d)
+    questions, relevant = questions_of(spark, d), scratch.written(relevant_to(spark, d), "relevant")
+    base, hybrid = (E.question_ranks(r, chunks_of(spark, d), questions, 10, relevant) for r in (lexical(spark, d, K), _hybrid(spark, d)))
     out = E.compare(base, hybrid)
     return out.select("improved", "tied", "worsened", *(F.array_join(c, ",").alias(c) for c in out.columns[3:]))
 
 
 def candidate_recall(spark, d):
-    _, _, chunks, questions, hybrid = _ranks(spark, d)
-    out = E.candidate_recall(hybrid, chunks, questions)
+    out = E.candidate_recall(_hybrid(spark, d), chunks_of(spark, d), questions_of(spark, d), 30, scratch.written(relevant_to(spark, d), "relevant"))
     return out.select("n_questions", *(F.round(c, 6).alias(c) for c in out.columns[1:]))
 
 
@@ -214,6 +223,7 @@ QUERIES = {
     "rrf_hybrid": (rrf_hybrid, _with(*_HYBRID) + S.ranked("hybrid") + f" WHERE rank <= {K}"),
     **{f"weighted_rrf_{p}": (weighted_query(p), _weighted_sql(p)) for p in X.FIELD_WEIGHTS},
     "rerank_topk": (rerank_topk, _with(S.CHUNKS, S.QUERIES, _DOC_TOKENS_2, _QUERY_TOKENS_2, S.bm25("hits", "d", "q", 30), "dt AS (SELECT DISTINCT key, term FROM d_tok)", "qt AS (SELECT DISTINCT key, term FROM q_tok)", "qn AS (SELECT key, count(*) AS n FROM qt GROUP BY ALL)", "pairs AS (SELECT h.query_id, h.position, h.rank AS original_rank, count(dt.term) / any_value(qn.n) AS score FROM hits h JOIN qn ON qn.key = h.query_id JOIN qt ON qt.key = h.query_id LEFT JOIN dt ON dt.key = h.position AND dt.term = qt.term GROUP BY ALL)", "r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, original_rank, position) AS INTEGER) AS rank FROM pairs)") + f"SELECT query_id, rank, position, round(score, 6) AS score, original_rank, original_rank - rank AS rank_change FROM r WHERE rank <= {K}"),
+    "passage_containment": (passage_containment, _with(S.CHUNKS) + "SELECT item_id AS query_id, position FROM benchmark b JOIN chunks c ON contains(c.text, b.text)"),
     "retrieval_eval": (retrieval_eval, _with(*_HYBRID, _QUESTIONS, _ranks_sql("base", "lexical")) + f"SELECT count(*) AS n_questions, {_METRICS} FROM base"),
     "retrieval_eval_by_group": (retrieval_eval_by_group, _with(*_HYBRID, _QUESTIONS, _ranks_sql("base", "lexical")) + f"SELECT 'overall' AS dimension, 'all' AS value, count(*) AS n_questions, {_METRICS} FROM base UNION ALL SELECT 'query_type', query_type, count(*), {_METRICS} FROM base GROUP BY query_type UNION ALL SELECT 'topic', topic, count(*), {_METRICS} FROM base WHERE topic IS NOT NULL GROUP BY topic"),
     "retrieval_compare": (retrieval_compare, _with(*_HYBRID, _QUESTIONS, _ranks_sql("base", "lexical"), _ranks_sql("other", "hybrid"), "m AS (SELECT query_id, coalesce(base.r, 1073741824) AS b, coalesce(other.r, 1073741824) AS e FROM base JOIN other USING (query_id))") + f"SELECT count(*) FILTER (WHERE e < b) AS improved, count(*) FILTER (WHERE e = b) AS tied, count(*) FILTER (WHERE e > b) AS worsened, {_MOVED} FROM m"),
