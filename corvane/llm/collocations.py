@@ -3,8 +3,8 @@
 1. Pieces. Texts are lower-cased (A-Z) and split at sentence marks on their bytes; words are joined by one space. Identical
    pieces of a language become one row with a multiplicity.
 2. Counts. A task numbers the words of a block of pieces and adds up weighted n-grams of 1 to ``longest`` words as numbers;
-   each distinct n-gram of a block becomes text once. What goes to a hash bucket goes as one compressed row, sorted. A bucket
-   is counted by duckdb, out of core: within ``DUCKDB_MB``, beyond that in a folder of its own task, which goes with it.
+   each distinct n-gram of a block becomes text once. What goes to a hash bucket goes as one compressed row, sorted; many
+   buckets are dealt in two steps, so that rows stay large. A bucket is counted by duckdb, out of core: within ``DUCKDB_MB``, beyond that in a folder of its own task, which goes with it.
 3. Parts. An n-gram occurs no oftener than its parts, so the counts of ``least`` or more hold every candidate and every part
    of one. A candidate asks for the counts of both sides of each cut; the requests are shuffled to where the counts lie, and
    the answers back to the candidate.
@@ -32,6 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,7 +46,8 @@ LEAST, LONGEST, FIRST, PERCENT, UNIT = 10, 3, 2000, 50, 1_000_000
 SLICE = 4 << 20  # bytes of text that are split at a time
 BLOCK = 1 << 20  # words that are numbered at a time
 CODE_BITS = 21
-BUCKETS = 4  # for each shuffle partition
+BUCKETS = 2  # for each shuffle partition
+COARSE = 1024  # buckets that a task splits its n-grams into at most
 DUCKDB_MB = 256
 SALTS = 64
 
@@ -179,12 +181,48 @@ def count_block(pieces: pa.Array, weights: np.ndarray, longest: int) -> Iterator
         yield data, start, end - start, n, h
 
 
-def _gathered(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    ends = np.cumsum(lengths)
-    return data[np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
+ROW = "bucket int, salt int, langs array<string>, counts array<int>, phrases binary, lengths binary, weights binary"
+_ROW = pa.schema([("bucket", pa.int32()), ("salt", pa.int32()), ("langs", pa.list_(pa.string())), ("counts", pa.list_(pa.int32())), ("phrases", pa.binary()), ("lengths", pa.binary()), ("weights", pa.binary())])
+
 
+class _Packer:
+    """N-grams of several languages as one compressed row a bucket."""
+
+    def __init__(self, buckets: int, salt: int = 0) -> None:
+        self.buckets, self.salt = buckets, salt
+        self.held: list[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, lang: str, data: np.ndarray, start: np.ndarray, length: np.ndarray, n: np.ndarray, bucket: np.ndarray) -> None:
+        order = np.argsort(bucket.astype(np.int32), kind="stable")
+        cut = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=self.buckets))])
+        self.held.append((lang, data, start[order], length[order], n[order], cut))
+
+    def rows(self, first: int = 0) -> Iterator[pa.RecordBatch]:
+        """The rows, with buckets numbered from ``first``."""
+        press = zstandard.ZstdCompressor(level=1).compress
+        sizes = sum(np.diff(cut) for *_, cut in self.held) if self.held else np.zeros(0)
+        out, size = [], 0
+        for b in np.flatnonzero(sizes).tolist():
+            some = [(lang, data, start[cut[b] : cut[b + 1]], length[cut[b] : cut[b + 1]], n[cut[b] : cut[b + 1]]) for lang, data, start, length, n, cut in self.held if cut[b + 1] > cut[b]]
+            lengths = np.concatenate([x[3] for x in some]).astype("<i4")
+            phrases = press(np.concatenate([_gathered(x[1], x[2], x[3]) for x in some]).tobytes())
+            out.append((first + b, self.salt, [x[0] for x in some], [len(x[3]) for x in some], phrases, press(lengths.tobytes()), press(np.concatenate([x[4] for x in some]).astype("<i8").tobytes())))
+            size += len(phrases)
+            if size >= SLICE:
+                yield _rows(out)
+                out, size = [], 0
+        if out:
+            yield _rows(out)
+        self.held = []
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ROW, strict=True)], schema=_ROW)
+
+
+def _grams(buckets: int, longest: int, salts: int):
+    """Pieces (lang, piece, n) to rows of n-grams by bucket."""
 
-def _grams(buckets: int, longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
@@ -199,41 +237,66 @@ def _grams(buckets: int, longest: int):
 
     def packed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held)
+        packer = _Packer(buckets, TaskContext.get().partitionId() % salts)
         for lang in pc.unique(table.column(0)).to_pylist():
             rows = table.filter(pc.equal(table.column(0), lang))
             pieces = pa.concat_arrays(rows.column(1).chunks).cast(pa.large_string())
             weights = rows.column(2).to_numpy()
             seed = np.uint64(xxhash.xxh3_64_intdigest(lang))
             for data, start, length, n, h in count_block(pieces, weights, longest):
-                bucket = (_mixed(h ^ seed) % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                cut = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
-                yield blobs(lang, data, start[order], length[order], n[order], cut)
-            total = int((weights * (pc.count_substring(pieces, " ").to_numpy(zero_copy_only=False) + 1)).sum())
-            one = int(_mixed(np.array([seed], dtype=np.uint64))[0] % np.uint64(buckets))
-            cut = np.concatenate([np.zeros(one + 1, dtype=np.int64), np.ones(buckets - one, dtype=np.int64)])
-            yield blobs(lang, np.empty(0, np.uint8), np.zeros(1, np.int64), np.zeros(1, np.int64), np.array([total]), cut)
-
-    def blobs(lang: str, data: np.ndarray, start: np.ndarray, length: np.ndarray, n: np.ndarray, cut: np.ndarray) -> pa.RecordBatch:
-        press = zstandard.ZstdCompressor(level=1).compress
-        rows = []
-        for b in np.flatnonzero(np.diff(cut)):
-            some = slice(cut[b], cut[b + 1])
-            rows.append((int(b), lang, press(_gathered(data, start[some], length[some]).tobytes()), press(length[some].astype("<i4").tobytes()), press(n[some].astype("<i8").tobytes())))
-        columns = list(zip(*rows, strict=True))
-        kinds = (pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "lang", "phrases", "lengths", "weights"])
+                packer.add(lang, data, start, length, n, (_mixed(h ^ seed) % np.uint64(buckets)).astype(np.int64))
+            total = (weights * (pc.count_substring(pieces, " ").to_numpy(zero_copy_only=False) + 1)).sum()
+            one = (_mixed(np.array([seed], dtype=np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            packer.add(lang, np.empty(0, np.uint8), np.zeros(1, np.int64), np.zeros(1, np.int64), np.array([total]), one)
+            if sum(len(x[2]) for x in packer.held) >= 2 * BLOCK:
+                yield from packer.rows()
+        yield from packer.rows()
 
     return run
 
 
+def _finer(fine: int):
+    """Rows of coarse buckets to rows of ``fine`` buckets for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for some in _singly(batch) for row in some.to_pylist())
+        for coarse, own in itertools.groupby(rows, key=lambda row: row["bucket"]):
+            packer, size = _Packer(fine), 0
+            for row in own:
+                lengths, data, weights = _unpacked(row)
+                starts, at = np.cumsum(lengths) - lengths, 0
+                for lang, count in zip(row["langs"], row["counts"], strict=True):
+                    some = slice(at, at + count)
+                    at += count
+                    seed = xxhash.xxh3_64_intdigest(lang)
+                    bucket = np.fromiter((xxhash.xxh3_64_intdigest(data[s : s + n], seed) % fine for s, n in zip(starts[some].tolist(), lengths[some].tolist(), strict=True)), np.int64, count)
+                    packer.add(lang, data, starts[some], lengths[some], weights[some], bucket)
+                size += len(lengths)
+                if size >= 2 * BLOCK:
+                    yield from packer.rows(coarse * fine)
+                    size = 0
+            yield from packer.rows(coarse * fine)
+
+    return run
+
+
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths, bytes and weights of the n-grams of a row."""
+    open_ = zstandard.ZstdDecompressor().decompress
+    return np.frombuffer(open_(row["lengths"]), dtype="<i4").astype(np.int64), np.frombuffer(open_(row["phrases"]), dtype=np.uint8), np.frombuffer(open_(row["weights"]), dtype="<i8")
+
+
+def _gathered(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(lengths)
+    return data[np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
 def _opened(row: dict) -> pa.RecordBatch:
     """The n-grams of one row of a bucket."""
-    open_ = zstandard.ZstdDecompressor().decompress
-    lengths = np.frombuffer(open_(row["lengths"]), dtype="<i4").astype(np.int64)
-    phrases = _strings(np.frombuffer(open_(row["phrases"]), dtype=np.uint8), np.cumsum(lengths))
-    lang = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(lengths), np.int32)), pa.array([row["lang"]], pa.string())).cast(pa.string())
-    return pa.RecordBatch.from_arrays([lang, phrases, pa.array(np.frombuffer(open_(row["weights"]), dtype="<i8"))], names=["lang", "phrase", "n"])
+    lengths, data, weights = _unpacked(row)
+    phrases = _strings(data, np.cumsum(lengths))
+    lang = pa.DictionaryArray.from_arrays(pa.array(np.repeat(np.arange(len(row["langs"]), dtype=np.int32), row["counts"])), pa.array(row["langs"], pa.string())).cast(pa.string())
+    return pa.RecordBatch.from_arrays([lang, phrases, pa.array(weights)], names=["lang", "phrase", "n"])
 
 
 def _counted(least: int):
@@ -267,7 +330,14 @@ def frequent_phrases(pieces: DataFrame, least: int = LEAST, longest: int = LONGE
     number of words of each language; written to the shared folder."""
     spark = pieces.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    grams = pieces.mapInArrow(_grams(BUCKETS * parts, longest), "bucket int, lang string, phrases binary, lengths binary, weights binary")
+    buckets = BUCKETS * parts
+    # Each block of a task makes a row a bucket, so beyond COARSE buckets the rows would be small: they are split in two steps.
+    fine = -(-buckets // COARSE)
+    coarse = -(-buckets // fine)
+    salts = max(1, parts // coarse) if fine > 1 else 1
+    grams = pieces.mapInArrow(_grams(coarse, longest, salts), ROW)
+    if fine > 1:
+        grams = grams.repartition(parts, "bucket", "salt").sortWithinPartitions("bucket").mapInArrow(_finer(fine), ROW)
     counted = grams.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_counted(least), "lang string, phrase string, f long")
     words = F.when(F.col("phrase") == "", 0).otherwise(F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1)
     return saved(counted.withColumn("words", words.cast("int")), "phrase-counts")

@@ -92,8 +92,9 @@ def frame(spark, rows):
     return spark.createDataFrame([(lang, t, 1, "x") for lang, t in rows], "lang string, text string, n int, phrase string").repartition(3)
 
 
-@pytest.mark.parametrize(("seed", "least", "longest"), [(1, 10, 3), (2, 3, 3), (3, 4, 4), (4, 2, 2)])
-def test_equals_the_plain_count(spark, seed, least, longest):
+@pytest.mark.parametrize(("seed", "least", "longest", "coarse"), [(1, 10, 3, 1024), (2, 3, 3, 1024), (3, 4, 4, 2), (4, 2, 2, 3)])
+def test_equals_the_plain_count(spark, monkeypatch, seed, least, longest, coarse):
+    monkeypatch.setattr(C, "COARSE", coarse)
     rows = corpus(seed)
     got = C.collocations(frame(spark, rows), least=least, longest=longest)
     assert sorted(map(tuple, got.collect())) == [(lang, k, p, a, l, r, n, s) for lang, k, p, a, l, r, n, s in model(rows, least, longest)]
