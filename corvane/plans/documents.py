@@ -19,6 +19,7 @@ from corvane.operators import integrity as I
 from corvane.operators import order as O
 from corvane.operators import publish
 from corvane.operators import retrieve as R
+from corvane.operators import spans as W
 from corvane.operators import staged
 from corvane.plans import sql as S
 from corvane.plans.retrieval import _DOC_TOKENS_2, _QUERY_TOKENS_2, _with, chunks_of, lexical, queries_of
@@ -152,10 +153,27 @@ def section_parent_topk(spark, d):
     return out.select("query_id", "rank", F.round("score", 6).alias("score"), F.col("parent_id").alias("section_id"), "child_position", "child_hits")
 
 
+#: Characters of a window, and of the match that it is grown around.
+ROOM, MATCH = 1500, 120
+
+
+def _matched(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Documents as sections whose lines are paragraphs, and a match a third into each."""
+    sections = chunks_of(spark, d).select(F.col("position").alias("section_id"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    begin = F.floor(F.length("text") / 3).cast("long")
+    matches = sections.select(F.col("section_id").alias("match_id"), "section_id", begin.alias("match_start"), F.least(F.length("text").cast("long"), begin + MATCH).alias("match_end"), F.lit(ROOM).cast("long").alias("room"))
+    return sections, matches.where("match_end > match_start")
+
+
 def section_context_windows(spark, d):
-    text = F.replace("text", F.lit("\n"), F.lit("\n\n"))
-    rows = chunks_of(spark, d).select("position", text.alias("text")).withColumn("match_start", (F.length("text") / 3).cast("int")).withColumn("match_end", F.least(F.length("text"), F.col("match_start") + 120)).where("match_end > match_start")
-    return X.section_windows(rows, 1500).select("position", "window.start", "window.end", "window.scope")
+    sections, matches = _matched(spark, d)
+    return W.grown_windows(sections, matches).select(F.col("match_id").alias("position"), "start", "end", "scope")
+
+
+def paragraph_overlaps(spark, d):
+    sections, matches = _matched(spark, d)
+    reach = matches.select("section_id", F.col("match_start").alias("begin"), F.col("match_end").alias("until"))
+    return W.overlapping(W.paragraphs(sections), reach).select(F.col("section_id").alias("position"), F.col("nth").cast("long").alias("nth"), "start", "end")
 
 
 _PATHS = " see https://site.example/a?b=1 and www.x.example, or /usr/local/bin and C:\\dir\\file now"
@@ -346,6 +364,27 @@ folded(query_id, rank, kept, size, names) AS (
 ended AS (SELECT query_id, arg_max(kept, rank) AS kept FROM folded GROUP BY query_id)"""
 _FACT = "trim(regexp_extract(text, '\\A[^.\\n]*') || CASE WHEN position % 3 = 0 THEN '?!' ELSE '' END, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 
+_BLANK = "' ' || chr(9) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160)"
+_PARAGRAPHS = f"""lines AS (SELECT position, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT position, string_split(text, chr(10)) AS l FROM chunks)),
+placed AS (SELECT position, i, line, coalesce(sum(length(line) + 2) OVER (PARTITION BY position ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM lines),
+bare AS (SELECT position, i, off + length(line) - length(ltrim(line, {_BLANK})) AS s, off + length(rtrim(line, {_BLANK})) AS e FROM placed),
+paras AS (SELECT position, row_number() OVER (PARTITION BY position ORDER BY i) - 1 AS nth, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM bare WHERE s < e
+  UNION ALL SELECT position, 0, 0, CAST(max(off) + max(length(line)) FILTER (WHERE i = 1) AS BIGINT) FROM placed WHERE position NOT IN (SELECT position FROM bare WHERE s < e) GROUP BY position),
+sized AS (SELECT position, length(replace(text, chr(10), chr(10) || chr(10))) AS n FROM chunks),
+matches AS (SELECT position, n, n // 3 AS ms, least(n, n // 3 + {MATCH}) AS me FROM sized WHERE n > 0)"""
+#: Steps of the growth, one paragraph tried in each.
+_GROWN = f"""held AS (SELECT position, min(nth) AS lo, max(nth) AS hi, min(s) AS a, max(e) AS b FROM paras JOIN matches USING (position) WHERE n > {ROOM} AND s < me AND ms < e GROUP BY position),
+grown(position, step, lo, hi, a, b, a0, b0, lopen, ropen) AS (
+  SELECT position, 0, lo, hi, a, b, a, b, b - a <= {ROOM}, b - a <= {ROOM} FROM held
+  UNION ALL
+  SELECT position, step + 1, CASE WHEN pick AND fits THEN lo - 1 ELSE lo END, CASE WHEN NOT pick AND fits THEN hi + 1 ELSE hi END,
+    CASE WHEN pick AND fits THEN ls ELSE a END, CASE WHEN NOT pick AND fits THEN re ELSE b END, a0, b0, lopen AND NOT (pick AND NOT fits), ropen AND (pick OR fits)
+  FROM (SELECT *, CASE WHEN pick THEN b - ls <= {ROOM} ELSE re - a <= {ROOM} END AS fits
+    FROM (SELECT *, CASE WHEN ls IS NULL THEN false WHEN re IS NULL THEN true ELSE a - ls <= re - b END AS pick
+      FROM (SELECT g.*, l.s AS ls, r.e AS re FROM grown g LEFT JOIN paras l ON g.lopen AND l.position = g.position AND l.nth = g.lo - 1 LEFT JOIN paras r ON g.ropen AND r.position = g.position AND r.nth = g.hi + 1)
+      WHERE ls IS NOT NULL OR re IS NOT NULL))),
+ended AS (SELECT * FROM grown QUALIFY row_number() OVER (PARTITION BY position ORDER BY step DESC) = 1)"""
+
 QUERIES = {
     "html_sections": (html_sections, None),
     "html_parse_stats": (html_parse_stats, None),
@@ -368,7 +407,9 @@ QUERIES = {
     "corpus_order": (corpus_order, "SELECT row_number() OVER (ORDER BY role NULLS FIRST, text NULLS FIRST, conv_id, turn) - 1 AS position, conv_id, turn, sha256(coalesce(text, '')) AS text_sha256 FROM conversations"),
     "child_mapping_summary": (child_mapping_summary, None),
     "section_parent_topk": (section_parent_topk, None),
-    "section_context_windows": (section_context_windows, None),
+    "section_context_windows": (section_context_windows, _with(S.CHUNKS, _PARAGRAPHS, _GROWN).replace("WITH ", "WITH RECURSIVE ", 1) + f"""SELECT position, CAST(0 AS BIGINT) AS start, n AS "end", 'full_section' AS scope FROM matches WHERE n <= {ROOM}
+  UNION ALL SELECT position, CASE WHEN b0 - a0 <= {ROOM} THEN a ELSE ms END, CASE WHEN b0 - a0 <= {ROOM} THEN b ELSE me END, 'section_window' FROM ended JOIN matches USING (position) WHERE b0 - a0 <= {ROOM} OR me - ms <= {ROOM}"""),
+    "paragraph_overlaps": (paragraph_overlaps, _with(S.CHUNKS, _PARAGRAPHS) + 'SELECT position, nth, s AS start, e AS "end" FROM paras JOIN matches USING (position) WHERE s < me AND ms < e'),
     "prompt_sanitize": (prompt_sanitize, _with(S.CHUNKS) + r"SELECT position, sha256(regexp_replace(regexp_replace(text || ' see [URL除去済み] and [URL除去済み] or /usr/local/bin and C:\dir\file now', '(^|[^A-Za-z0-9_])[A-Za-z]:\\(?:[^\\\s]+\\)+[^\\\s]+', '\1[パス除去済み]', 'g'), '(^|[^A-Za-z0-9_])/(?:[A-Za-z0-9._~+-]+/)+[A-Za-z0-9._~%+-]+', '\1[パス除去済み]', 'g')) AS sanitised_sha256 FROM chunks"),
     "context_budget_select": (context_budget_select, _with(*_EVIDENCE, _FOLDED).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT query_id, len(kept) > 0 AS fits, array_to_string(kept, ',') AS positions FROM ended"),
     "prompt_build": (prompt_build, _with(*_EVIDENCE, _LISTED) + f"SELECT query_id, CAST(length({_first('labels', 'blocks')}) AS INTEGER) AS n_first, CAST(length({_again('labels', 'blocks')}) AS INTEGER) AS n_retry, sha256({_first('labels', 'blocks')}) AS first_sha256 FROM listed"),
