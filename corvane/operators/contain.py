@@ -61,8 +61,8 @@ def containing(passages: DataFrame, texts: DataFrame) -> DataFrame:
         return asked.select("passage_id").join(texts.select("position").limit(0))
     words = texts.select("position", "text", F.split("text", SPACE).alias("words"))
     of_kind = [word_runs(F.col("words"), n) if n > 0 else character_runs(F.col("text"), -n) for n in kinds]
-    runs = words.select("position", F.explode(F.array_distinct(F.concat(*of_kind) if len(of_kind) > 1 else of_kind[0])).alias("run"))
-    held = scratch.written(runs.join(small(asked.select("run").distinct()), "run", "left_semi"), "held-runs")
+    runs = words.select("position", F.explode(F.concat(*of_kind) if len(of_kind) > 1 else of_kind[0]).alias("run"))
+    held = scratch.written(runs.join(small(asked.select("run").distinct()), "run", "left_semi").distinct(), "held-runs")
     counts = held.groupBy("run").agg(F.count("*").alias("n"))
     rarest = Window.partitionBy("passage_id").orderBy(F.coalesce("n", F.lit(0)), "run")
     # A passage with a run that no text has is in none.

@@ -5,11 +5,11 @@ it. A batch asks for the buckets of its own terms by name, so the folders of all
 table, in the same buckets, has document frequencies. ``names`` and ``grams_n`` are how many tokens of each kind the chunk
 has, so that one index serves every set of n-gram sizes.
 
-Ranking prunes exactly, as max-score evaluation does. The rarer terms of a question are added up first; the k-th best of
-these sums is a floor. Where all common terms together can't reach it, no chunk with common terms alone can be among the
-first k, and only chunks that may still pass the floor look up their common terms, by (term, position). So the long postings
-of common terms are read, but neither multiplied by the questions that hold them nor summed up. Questions whose floor is too
-low add up everything.
+A batch that would add up very many pairs of a question and a posting prunes exactly, as max-score evaluation does. The rare
+terms of a question are added up first; the k-th best of these sums is a floor. Common terms that can't reach it all together
+are light: no chunk with light terms alone is among the first k, and only chunks that may still pass the floor look up their
+light terms, by (term, position). So the longest postings are read, but neither multiplied by the questions that hold them
+nor summed up. Results are the same either way.
 """
 
 from __future__ import annotations
@@ -27,10 +27,14 @@ from corvane.operators import retrieve as R
 from corvane.operators import scratch
 
 SIZES = (2, 3)
+#: The kinds of tokens that a chunk's length is made of.
+KINDS = ("names", *(f"grams_{n}" for n in SIZES))
 #: Postings a bucket has on average, and the least and most buckets.
 BUCKET_POSTINGS, LEAST_BUCKETS, MOST_BUCKETS = 50_000, 16, 4096
 #: A term that more than one in so many chunks hold is common.
 COMMON = 25
+#: Below so many pairs of a question and a posting, adding all of them up takes less than finding out which matter.
+FEW_PAIRS = 50_000_000
 #: Scores are ranked on nine decimals, so this many units decide nothing.
 TOLERANCE = 4 * (R.SCORE_UNIT // 10**9)
 
@@ -56,26 +60,45 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def build_index(chunks: DataFrame, rows: DataFrame, path: str, buckets: int | None = None) -> TextIndex:
-    """Writes the index of the token rows (position, term; of the n-gram sizes ``SIZES``) of ``chunks``, and opens it."""
-    spark = chunks.sparkSession
+def sized_postings(rows: DataFrame) -> DataFrame:
+    """position, term, tf, names, grams_n of token rows (position, term; of the n-gram sizes ``SIZES``)."""
     run = F.when(F.col("term").rlike(f"^{T.JAPANESE_RUN}$"), F.length("term"))
     counted = rows.groupBy("position", "term").agg(F.count("*").alias("tf")).withColumn("run", run)
-    of_chunk = Window.partitionBy("position")
     kinds = {"names": F.col("run").isNull()} | {f"grams_{n}": F.col("run") == n for n in SIZES}
-    sized = counted.select("position", "term", "tf", *(F.coalesce(F.sum(F.when(is_one, F.col("tf"))).over(of_chunk), F.lit(0)).alias(kind) for kind, is_one in kinds.items()))
-    sized.write.parquet(f"{path}/counted")
+    of_chunk = Window.partitionBy("position")
+    return counted.select("position", "term", "tf", *(F.coalesce(F.sum(F.when(is_one, F.col("tf"))).over(of_chunk), F.lit(0)).alias(kind) for kind, is_one in kinds.items()))
+
+
+def write_postings(sized: DataFrame, path: str, buckets: int) -> None:
+    """Postings below ``path``, in a folder for each bucket. Ranges go by position too, so a term that every chunk holds is
+    written by several tasks."""
+    parts = int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = ["bucket", "term", "position"]
+    placed = sized.withColumn("bucket", _bucket(F.col("term"), buckets))
+    placed.repartitionByRange(parts, *by).sortWithinPartitions(*by).write.partitionBy("bucket").parquet(path)
+
+
+def read_postings(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"position bigint, term string, tf bigint, {' bigint, '.join(KINDS)} bigint, bucket int").parquet(path)
+
+
+def term_table(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.max("tf").alias("max_tf"))
+
+
+def build_index(chunks: DataFrame, rows: DataFrame, path: str, buckets: int | None = None) -> TextIndex:
+    """Writes the index of the token rows of ``chunks``, and opens it."""
+    spark = chunks.sparkSession
+    sized_postings(rows).write.parquet(f"{path}/counted")
     sized = spark.read.parquet(f"{path}/counted")
     if buckets is None:
         buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, sized.count() // BUCKET_POSTINGS))
+    write_postings(sized, f"{path}/postings", buckets)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = sized.withColumn("bucket", _bucket(F.col("term"), buckets))
-    # Ranges go by position too, so a term that every chunk holds is written by several tasks.
-    by = ["bucket", "term", "position"]
-    placed.repartitionByRange(parts, *by).sortWithinPartitions(*by).write.partitionBy("bucket").parquet(f"{path}/postings")
-    terms = placed.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.max("tf").alias("max_tf"))
+    terms = term_table(sized.withColumn("bucket", _bucket(F.col("term"), buckets)))
     terms.repartition(parts, "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
-    sums = sized.agg(*(F.coalesce(F.sum(F.when(is_one, F.col("tf"))), F.lit(0)).alias(kind) for kind, is_one in (("names", ~F.col("term").rlike(f"^{T.JAPANESE_RUN}$")), *((f"grams_{n}", F.col("term").rlike(f"^{T.JAPANESE_RUN}$") & (F.length("term") == n)) for n in SIZES))))
+    run = F.col("term").rlike(f"^{T.JAPANESE_RUN}$")
+    sums = sized.agg(*(F.coalesce(F.sum(F.when(~run if kind == "names" else run & (F.length("term") == int(kind[6:])), F.col("tf"))), F.lit(0)).alias(kind) for kind in KINDS))
     chunks.agg(F.count("*").alias("n_docs")).join(sums).withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/statistics")
     scratch.delete(spark, f"{path}/counted")
     return open_index(spark, path)
@@ -83,8 +106,7 @@ def build_index(chunks: DataFrame, rows: DataFrame, path: str, buckets: int | No
 
 def open_index(spark: SparkSession, path: str) -> TextIndex:
     row = spark.read.parquet(f"{path}/statistics").first().asDict()
-    kinds = " bigint, ".join(("names", *(f"grams_{n}" for n in SIZES))) + " bigint"
-    postings = spark.read.schema(f"position bigint, term string, tf bigint, {kinds}, bucket int").parquet(f"{path}/postings")
+    postings = read_postings(spark, f"{path}/postings")
     terms = spark.read.schema("term string, df bigint, max_tf bigint, bucket int").parquet(f"{path}/terms")
     return TextIndex(postings, terms, row.pop("n_docs"), row.pop("buckets"), row)
 
@@ -132,24 +154,35 @@ def indexed_scores(index: TextIndex, queries: DataFrame, sizes: tuple[int, ...]
 
 def contenders(index: TextIndex, queries: DataFrame, k: int, sizes: tuple[int, ...] = SIZES, k1: float = R.K1, b: float = R.B) -> DataFrame:
     """query_id, position, score of chunks among which the first ``k`` of every query are; their scores are whole."""
-    weighed = asked_terms(index, queries, sizes).withColumn("common", F.col("df") * COMMON > index.n_docs)
-    common, rare = weighed.where("common"), weighed.where("NOT common")
-    if common.isEmpty():
-        return _scores(_parts(index, rare, sizes, k1, b))
-    partial = _parts(index, rare, sizes, k1, b).groupBy("query_id", "position").agg(F.sum("unit").alias("unit"))
-    partial = scratch.written(partial, "partial")
-    floors = R.top_k(partial, k, F.desc("unit"), F.col("position")).where(F.col("rank") == k).select("query_id", F.col("unit").alias("floor"))
-    # The most that a term can add is that of a chunk as short as can be with the term's largest count.
-    most = _idf(index) * R.saturation(F.col("max_tf"), F.lit(0.0), F.lit(1.0), k1, b)
-    slack = common.groupBy("query_id").agg(F.sum(F.ceil(most * F.lit(float(R.SCORE_UNIT))) + 1).alias("slack"))
-    bounds = scratch.written(slack.join(floors, "query_id", "left").withColumn("safe", F.coalesce(F.col("slack") + TOLERANCE < F.col("floor"), F.lit(False))), "bounds")
-    met = partial.join(R.small(bounds), "query_id", "left")
-    safe, low = F.coalesce("safe", F.lit(False)), F.col("unit") + F.col("slack") + TOLERANCE < F.col("floor")
-    open_ = scratch.written(met.where(~(safe & low)).select("query_id", "position", "unit", safe.alias("safe")), "contenders")
-    looked_up = lookups(index, open_.where("safe"), common).select("query_id", "position", _unit(index, sizes, k1, b).alias("unit"))
-    unsafe = R.small(bounds.where("NOT safe").select("query_id"))
-    added_up = _parts(index, common.join(unsafe, "query_id", "left_semi"), sizes, k1, b)
-    return _scores(open_.select("query_id", "position", "unit").unionByName(looked_up).unionByName(added_up))
+    weighed = asked_terms(index, queries, sizes).withColumn("rare", F.col("df") * COMMON <= index.n_docs)
+    work = weighed.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("pairs")).first()["pairs"]
+    if work < FEW_PAIRS:
+        return _scores(_parts(index, weighed, sizes, k1, b))
+    partial = scratch.written(_summed(_parts(index, weighed.where("rare"), sizes, k1, b)), "rare-sums")
+    # The most that a term can add is that of a chunk as short as can be with the term's largest count. The light terms of a
+    # query are those of the least such bounds that all together stay below the floor.
+    most = F.ceil(_idf(index) * R.saturation(F.col("max_tf"), F.lit(0.0), F.lit(1.0), k1, b) * F.lit(float(R.SCORE_UNIT))) + 1
+    upto = F.sum("most").over(Window.partitionBy("query_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0))
+    common = weighed.where("NOT rare").withColumn("most", most).withColumn("upto", upto).join(_floors(partial, k), "query_id", "left")
+    common = scratch.written(common.withColumn("light", F.coalesce(F.col("upto") + TOLERANCE < F.col("floor"), F.lit(False))).drop("floor", "upto"), "common-terms")
+    heavy, light = common.where("NOT light"), common.where("light")
+    whole = partial.unionByName(_parts(index, heavy.drop("most", "light"), sizes, k1, b)) if not heavy.isEmpty() else partial
+    summed = scratch.written(_summed(whole), "sums")
+    bounds = light.groupBy("query_id").agg(F.sum("most").alias("slack")).join(_floors(summed, k), "query_id")
+    met = summed.join(R.small(bounds), "query_id", "left")
+    near = met.where(F.col("slack").isNull() | (F.col("unit") + F.col("slack") + TOLERANCE >= F.col("floor"))).select("query_id", "position", "unit")
+    near = scratch.written(near, "contenders")
+    more = lookups(index, near, light.drop("most", "light")).select("query_id", "position", _unit(index, sizes, k1, b).alias("unit"))
+    return _scores(near.unionByName(more))
+
+
+def _summed(units: DataFrame) -> DataFrame:
+    return units.groupBy("query_id", "position").agg(F.sum("unit").alias("unit"))
+
+
+def _floors(sums: DataFrame, k: int) -> DataFrame:
+    """query_id, floor: the k-th largest sum of each query that has so many."""
+    return R.top_k(sums, k, F.desc("unit"), F.col("position")).where(F.col("rank") == k).select("query_id", F.col("unit").alias("floor"))
 
 
 def lookups(index: TextIndex, candidates: DataFrame, terms: DataFrame) -> DataFrame:

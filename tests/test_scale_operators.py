@@ -83,12 +83,14 @@ def test_pruned_ranking_is_exact(spark, tmp_path, monkeypatch, seed, common, k):
     texts, asked = corpus(seed)
     docs, questions = chunks(spark, texts), queries(spark, asked)
     monkeypatch.setattr(N, "COMMON", common)
+    monkeypatch.setattr(N, "FEW_PAIRS", 0)
     index = N.build_index(docs, R.labelled_rows(docs), str(tmp_path / "i"))
     for sizes in ((2, 3), (2,)):  # one index, any n-gram sizes
         assert ranked(N.indexed_bm25(index, questions, k, sizes)) == ranked(R.bm25(docs, questions, k, sizes))
 
 
-def test_common_terms_are_looked_up_for_contenders_only(spark, tmp_path):
+def test_common_terms_are_looked_up_for_contenders_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(N, "FEW_PAIRS", 0)
     texts, _ = corpus(5, 600)
     asked = ["the of " + " ".join(w for w in t.split() if w.startswith("rare")) for t in texts if t.count("rare") > 5][:20]
     docs, questions = chunks(spark, texts), queries(spark, asked)
@@ -204,10 +206,10 @@ def test_matches_outside_their_text_are_errors(spark):
 def test_room_is_what_the_prompts_leave(spark):
     held = [("p", "s", "first evidence"), ("p2", "s2", "more")]
     row = spark.createDataFrame([("the question", held, "page", "section", "t" * 40)], "question string, selected array<struct<page_title:string,section_title:string,text:string>>, page_title string, section_title string, text string")
-    row = row.withColumn("room", spans.room_left(F.col("question"), F.col("selected"), F.col("page_title"), F.col("section_title"), 700))
+    row = row.withColumn("room", spans.room_left(F.col("question"), F.col("selected"), F.col("page_title"), F.col("section_title"), 330))
     parts = F.concat("selected", F.array(F.struct("page_title", "section_title", F.left("text", F.col("room").cast("int")).alias("text"))))
     contexts = P.prompt_contexts(parts)
     got = row.select("room", F.length(P.generation_prompt(F.col("question"), contexts)).alias("a"), F.length(P.regeneration_prompt(F.col("question"), contexts)).alias("b")).first()
-    assert got["room"] < 40 and max(got["a"], got["b"]) == 700
+    assert got["room"] < 40 and max(got["a"], got["b"]) == 330
     none = row.select(spans.room_left(F.col("question"), F.slice("selected", 1, 0), F.col("page_title"), F.col("section_title"), 10).alias("room")).first()
     assert none["room"] < 0
