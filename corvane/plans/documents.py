@@ -12,13 +12,15 @@ from corvane.functions import url as U
 from corvane.operators import answer as A
 from corvane.operators import chunk as K
 from corvane.operators import context as X
+from corvane.operators import embed
 from corvane.operators import evaluate as E
-from corvane.operators import fusion
+from corvane.operators import frozen, fusion
 from corvane.operators import html as H
 from corvane.operators import integrity as I
 from corvane.operators import order as O
 from corvane.operators import publish
 from corvane.operators import retrieve as R
+from corvane.operators import scratch
 from corvane.operators import spans as W
 from corvane.operators import staged
 from corvane.plans import sql as S
@@ -286,8 +288,65 @@ def question_set_validate(spark, d):
 
 
 def zip_member_rules(spark, d):
-    rows = [("a/b.html", 10, "file"), ("A/B.html", 10, "file"), ("../x", 1, "file"), ("a/con.txt", 1, "file"), ("l", 1, "symlink"), ("big", 1 << 27, "file"), ("f", 1, "file"), ("f/g", 1, "file")]
-    return member_problems(spark.createDataFrame(rows, "path string, size bigint, kind string"))
+    """Pages as members of an archive, named by id so that each rule meets some."""
+    i, k = F.col("page_id"), F.floor(F.col("page_id") / 12).cast("string")
+    name = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    kind = i % 6
+    path = (
+        F.when(i % 12 == 0, name("d/c", k, ".html")).when(i % 12 == 6, name("D/C", k, ".HTML")).when(kind == 1, name("../x", i.cast("string"))).when(kind == 2, name("a", i.cast("string"), "/con.txt"))
+        .when(kind == 3, name("l", i.cast("string"))).when(kind == 4, name("big", i.cast("string"))).when(i % 12 == 5, name("f", k)).otherwise(name("f", k, "/g"))
+    )
+    rows = table(spark, d, "pages").select(path.alias("path"), F.when(kind == 4, F.lit(1 << 27)).otherwise(F.length("html")).cast("long").alias("size"), F.when(kind == 3, "symlink").otherwise("file").alias("kind"))
+    return member_problems(rows)
+
+
+def html_outline(spark, d):
+    """Six pages' addresses as the sections of one page, with anchors that repeat."""
+    line = F.concat(F.lit('<h2 id="s'), (F.col("page_id") % 3).cast("string"), F.lit('">Page '), F.col("page_id").cast("string"), F.lit("</h2><p>The address "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit(" is long enough to stay.</p>"))
+    parts = table(spark, d, "pages").select((F.floor(F.col("page_id") / 6)).alias("page_id"), F.struct("page_id", line.alias("line")).alias("part"))
+    html = F.concat(F.lit("<main>"), F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["line"]), ""), F.lit("</main>"))
+    pages = parts.groupBy("page_id").agg(html.alias("html")).select("page_id", "html", F.concat(F.lit("https://x.example/"), F.col("page_id").cast("string")).alias("url"), F.col("page_id").cast("string").alias("logical_path"))
+    return H.sections(H.parse_pages(pages)).select("page_id", F.col("ordinal").cast("long").alias("ordinal"), "section_title", "anchor", "source_url", "text")
+
+
+def normal_spaces(spark, d):
+    odd = F.concat(F.lit(" \t\u00a0"), "text", F.lit("\u3000 \x0b Straße ẞ\r\n"))
+    return chunks_of(spark, d).select("position", T.text_sha256(T.normal_space(odd)).alias("line_sha256"), T.text_sha256(T.folded_fact(odd)).alias("fact_sha256"))
+
+
+def paragraph_rows(spark, d):
+    rows = W.paragraphs(_matched(spark, d)[0])
+    return rows.select(F.col("section_id").alias("position"), F.col("nth").cast("long").alias("nth"), "start", "end")
+
+
+def stored_sections(spark, d):
+    none = F.lit("")
+    sections = chunks_of(spark, d).withColumn("anchor", none).withColumn("python_version", none).withColumn("source_path", none)
+    return frozen.stored_sections(sections, K.section_id()).select("position", "section_id", "text_sha256")
+
+
+def vector_index_problems(spark, d):
+    """The vectors as an index of the documents, some of them spoilt by id."""
+    i, vector = F.col("vec_id"), F.col("embedding")
+    spoilt = F.when(i % 5 == 0, F.slice(vector, 1, 63)).when(i % 5 == 1, F.transform(vector, lambda x: (x * 2).cast("float"))).when(i % 5 != 2, vector)
+    texts = chunks_of(spark, d)
+    hashes = texts.select(F.col("position").alias("vec_id"), T.text_sha256(F.col("text")).alias("sha"))
+    stored = table(spark, d, "embeddings").join(hashes, "vec_id", "left").select(i.alias("position"), F.when(i % 7 == 0, "x").otherwise(F.col("sha")).alias("text_sha256"), spoilt.alias("vector"))
+    return embed.vector_problems(stored, texts, 64)
+
+
+def frozen_replay(spark, d):
+    """Evidence recorded, written, and replayed for the same questions."""
+    recorded = scratch.written(frozen.freeze(_evidence(spark, d)), "frozen")
+    asked = queries_of(spark, d).join(recorded.select("query_id"), "query_id", "left_semi")
+    return frozen.thaw(recorded, asked).select("query_id", F.array_join(F.transform("chunks", lambda c: c["position"].cast("string")), ",").alias("positions"), T.text_sha256(F.col("question")).alias("question_sha256"))
+
+
+def cited_chunks(spark, d):
+    """Answers that cite every other chunk of their evidence."""
+    evidence = _evidence(spark, d)
+    sources = F.transform(F.filter("chunks", lambda c: c["rank"] % 2 == 1), lambda c: F.struct(c["source_url"].alias("url")))
+    return frozen.cited_chunks(evidence.select("query_id", sources.alias("sources")), lexical(spark, d, 5), chunks_of(spark, d))
 
 
 # --- the same in SQL --------------------------------------------------------------------------------------------------
@@ -430,5 +489,20 @@ QUERIES = {
     "label_counts": (label_counts, _with(_CASES) + "SELECT l AS answerability_label, count(case_id) AS n FROM (SELECT unnest(['supported_answer', 'false_answer', 'correct_abstention', 'false_abstention']) AS l) LEFT JOIN labelled ON answerability_label = l GROUP BY l"),
     "portability_summary": (portability_summary, _with(_CASES, "p AS (SELECT *, case_id % 11 <> 0 AS done, case_id % 2 = 0 AS top5, case_id % 7 <> 0 AS fmt FROM cases)") + "SELECT count(*) AS question_count, count(*) FILTER (WHERE answerable) AS answerable_count, count(*) FILTER (WHERE NOT answerable) AS unanswerable_count, count(*) FILTER (WHERE done AND NOT abstained) AS valid_answer_count, count(*) FILTER (WHERE done AND abstained) AS valid_abstain_count, count(*) FILTER (WHERE NOT answerable AND NOT abstained AND done) AS false_answer_count, count(*) FILTER (WHERE answerable AND abstained AND done) AS false_abstention_count, count(*) FILTER (WHERE NOT done) AS contract_failure_count, count(*) FILTER (WHERE answerable AND top5) AS correct_source_top5_count, count(*) FILTER (WHERE done AND NOT fmt) AS citation_format_failure_count, round(avg(CAST(n_chars AS DOUBLE)) FILTER (WHERE done), 6) AS average_input_tokens FROM p"),
     "question_set_validate": (question_set_validate, "WITH r AS (SELECT CAST(item_id % 37 AS VARCHAR) AS id, item_id FROM benchmark) SELECT id, 'blank_question' AS problem FROM r WHERE item_id % 9 = 0 UNION ALL SELECT id, 'no_keywords' FROM r WHERE item_id % 6 = 0 UNION ALL SELECT id, 'duplicate_id' FROM r GROUP BY id HAVING count(*) > 1 UNION ALL SELECT id, 'unknown_query_type' FROM r WHERE item_id % 4 = 0 UNION ALL SELECT id, 'overlaps_development' FROM r WHERE id IN ('0', '1', '2')"),
-    "zip_member_rules": (zip_member_rules, "SELECT * FROM (VALUES ('a/con.txt', 'reserved_name'), ('../x', 'unsafe_path'), ('l', 'special_entry'), ('big', 'member_too_large'), ('A/B.html', 'collision'), ('f/g', 'file_directory_collision')) t(path, problem)"),
+    "zip_member_rules": (zip_member_rules, """WITH m AS (SELECT page_id AS i, page_id % 6 AS kind, CAST(page_id // 12 AS VARCHAR) AS k, CASE WHEN page_id % 6 = 4 THEN 134217728 ELSE length(html) END AS size FROM pages),
+twins AS (SELECT k, bool_or(i % 12 = 0) AND bool_or(i % 12 = 6) AS same, bool_or(i % 12 = 5) AND bool_or(i % 12 = 11) AS inside FROM m GROUP BY k)
+SELECT '../x' || i AS path, 'unsafe_path' AS problem FROM m WHERE kind = 1 UNION ALL SELECT 'a' || i || '/con.txt', 'reserved_name' FROM m WHERE kind = 2 UNION ALL SELECT 'l' || i, 'special_entry' FROM m WHERE kind = 3
+UNION ALL SELECT 'big' || i, 'member_too_large' FROM m WHERE kind = 4 UNION ALL SELECT 'D/C' || k || '.HTML', 'collision' FROM twins WHERE same UNION ALL SELECT 'f' || k || '/g', 'file_directory_collision' FROM twins WHERE inside
+UNION ALL SELECT NULL, 'too_many_members' FROM m HAVING count(*) > 10000 UNION ALL SELECT NULL, 'archive_too_large' FROM m HAVING sum(size) > 1073741824"""),
+    "html_outline": (html_outline, """WITH p AS (SELECT page_id // 6 AS g, page_id, url, 's' || (page_id % 3) AS a FROM pages),
+n AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY page_id) - 1 AS ordinal, row_number() OVER (PARTITION BY g, a ORDER BY page_id) AS nth FROM p),
+s AS (SELECT *, CASE WHEN nth = 1 THEN a ELSE a || '-' || nth END AS anchor FROM n)
+SELECT g AS page_id, ordinal, 'Page ' || page_id AS section_title, anchor, 'https://x.example/' || g || '#' || anchor AS source_url, 'The address ' || url || ' is long enough to stay.' AS text FROM s"""),
+    "normal_spaces": (normal_spaces, _with(S.CHUNKS, "odd AS (SELECT position, ' ' || chr(9) || chr(160) || text || chr(12288) || ' ' || chr(11) || ' Straße ẞ' || chr(13) || chr(10) AS t FROM chunks)") + f"SELECT position, sha256({_line('t')}) AS line_sha256, sha256({_line("lower(replace(replace(t, 'ẞ', 'ss'), 'ß', 'ss'))")}) AS fact_sha256 FROM odd"),
+    "paragraph_rows": (paragraph_rows, _with(S.CHUNKS, _PARAGRAPHS) + 'SELECT position, nth, s AS start, e AS "end" FROM paras'),
+    "stored_sections": (stored_sections, _with(S.CHUNKS) + """SELECT position, sha256('{"anchor":"","category":"' || category || '","page_title":"' || page_title || '","python_version":"","section_title":"' || section_title || '","source_path":"","source_url":"' || source_url || '"}') AS section_id, sha256(text) AS text_sha256 FROM chunks"""),
+    "vector_index_problems": (vector_index_problems, _with(S.CHUNKS) + """SELECT * FROM (SELECT coalesce(c.position, e.vec_id) AS position, CASE WHEN c.position IS NULL THEN 'extra' WHEN e.vec_id IS NULL OR e.vec_id % 5 = 2 THEN 'missing' WHEN e.vec_id % 7 = 0 THEN 'stale'
+  WHEN e.vec_id % 5 = 0 THEN 'wrong_size' WHEN e.vec_id % 5 = 1 THEN 'not_unit' END AS problem FROM chunks c FULL JOIN embeddings e ON e.vec_id = c.position) WHERE problem IS NOT NULL"""),
+    "frozen_replay": (frozen_replay, _with(*_EVIDENCE) + "SELECT query_id, string_agg(CAST(position AS VARCHAR), ',' ORDER BY rank) AS positions, any_value(sha256(question)) AS question_sha256 FROM parts GROUP BY query_id"),
+    "cited_chunks": (cited_chunks, _with(*_EVIDENCE) + "SELECT query_id, position FROM parts WHERE rank % 2 = 1"),
 }

@@ -60,8 +60,9 @@ def tokenize_term_freq(spark, d):
 
 
 def cjk_ngrams(spark, d):
-    rows = spark.createDataFrame([(1, "日本語の処理"), (2, "abc 東京 x 京都々"), (3, "plain"), (4, "あ")], "id int, text string")
-    return rows.select("id", F.posexplode(T.character_ngrams(F.col("text"), (2, 3)))).groupBy("id", F.col("col").alias("gram")).agg(F.count("*").alias("n"))
+    """Documents have no Japanese, so their vowels stand for kana here; runs end at every other character."""
+    kana = F.translate("text", "aeiou", "あいうえお")
+    return chunks_of(spark, d).select(F.explode(T.character_ngrams(kana, (2, 3))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
 def index_term_stats(spark, d):
@@ -213,7 +214,7 @@ QUERIES = {
     "identifier_extract": (identifier_extract, _with(S.CHUNKS) + f"SELECT DISTINCT position, unnest({S.idents('text')}) AS identifier FROM chunks"),
     "identifier_variants": (identifier_variants, _with(S.CHUNKS, f"names AS (SELECT DISTINCT unnest({S.idents('text')}) AS identifier FROM chunks)", S.variants("n", "names", "identifier", "identifier")) + "SELECT key AS identifier, variant, count(*) AS n FROM (SELECT key, v AS variant FROM n_var UNION ALL SELECT key, lower(v) FROM n_var WHERE lower(v) <> v) GROUP BY ALL"),
     "tokenize_term_freq": (tokenize_term_freq, _with(S.CHUNKS, _DOC_TOKENS) + "SELECT key AS position, term, count(*) AS tf, CAST(sum(count(*)) OVER (PARTITION BY key) AS BIGINT) AS length FROM d_tok GROUP BY key, term"),
-    "cjk_ngrams": (cjk_ngrams, _with("r(id, text) AS (VALUES (1, '日本語の処理'), (2, 'abc 東京 x 京都々'), (3, 'plain'), (4, 'あ'))", f"runs AS (SELECT id, unnest(regexp_extract_all(text, '{S.RUN}')) AS run FROM r)") + "SELECT id, gram, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT id, unnest(list_transform(range(1, length(run) - {n} + 2), lambda i: substr(run, i, {n}))) AS gram FROM runs" for n in (2, 3)) + ") GROUP BY ALL"),
+    "cjk_ngrams": (cjk_ngrams, _with(S.CHUNKS, f"runs AS (SELECT unnest(regexp_extract_all(translate(text, 'aeiou', 'あいうえお'), '{S.RUN}')) AS run FROM chunks)") + "SELECT gram, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT unnest(list_transform(range(1, length(run) - {n} + 2), lambda i: substr(run, i, {n}))) AS gram FROM runs" for n in (2, 3)) + ") GROUP BY ALL"),
     "index_term_stats": (index_term_stats, _with(S.CHUNKS, S.tokens("d", "chunks", "position", "text", (2,)), "tf AS (SELECT key, term, count(*) AS tf FROM d_tok GROUP BY ALL)", "st AS (SELECT (SELECT count(*) FROM chunks) AS n_docs, (SELECT sum(tf) FROM tf) / (SELECT count(*) FROM chunks) AS average)") + "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, round(ln(1.0 + (any_value(n_docs) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf, round(any_value(average), 6) AS avg_length FROM tf CROSS JOIN st GROUP BY term"),
     "bm25_topk": (bm25_topk, _with(S.CHUNKS, S.QUERIES, _DOC_TOKENS, _QUERY_TOKENS, S.bm25("hits", "d", "q", K)) + S.ranked("hits")),
     "bm25_bigram_topk": (bm25_bigram_topk, _with(S.CHUNKS, S.QUERIES, _DOC_TOKENS_2, _QUERY_TOKENS_2, S.bm25("hits", "d", "q", K)) + S.ranked("hits")),
