@@ -75,23 +75,66 @@ def coverage_label(completeness: Column, required: Column, missing: Column) -> C
     return F.when((completeness <= 1) | all_missing, "insufficient").when((completeness >= 3) & (F.size(missing) == 0), "complete").otherwise("partial")
 
 
+def _derived() -> tuple[Column, Column, Column]:
+    """grounded, coverage_label and answerability_label as a case's scores give them."""
+    grounded = (F.col("faithfulness") >= 3) & (F.col("citation_support") >= 3) & (F.col("n_unsupported") == 0)
+    label = F.when(F.col("abstained"), F.when(F.col("answerable"), "false_abstention").otherwise("correct_abstention")).when(F.col("answerable") & grounded, "supported_answer").otherwise("false_answer")
+    return grounded, coverage_label(F.col("completeness"), F.col("required"), F.col("missing")), label
+
+
 def judged(cases: DataFrame) -> DataFrame:
     """Cases with the derived labels grounded, coverage_label and answerability_label."""
-    grounded = (F.col("faithfulness") >= 3) & (F.col("citation_support") >= 3) & (F.col("n_unsupported") == 0)
-    label = F.when(F.col("abstained"), F.when(F.col("answerable"), "false_abstention").otherwise("correct_abstention")).when(F.col("answerable") & F.col("grounded"), "supported_answer").otherwise("false_answer")
-    return cases.withColumn("grounded", grounded).withColumn("coverage_label", coverage_label(F.col("completeness"), F.col("required"), F.col("missing"))).withColumn("answerability_label", label)
+    return cases.withColumns(dict(zip(("grounded", "coverage_label", "answerability_label"), _derived(), strict=True)))
+
+
+#: Revisions of the judge's request and of the derivation, and what each failed check says.
+PROMPT_REVISION, SCHEMA_REVISION, DERIVED_REVISION = "rag-grounding-v3", "rag-judge-evidence-v3", "rag-derived-evaluation-v1"
+NOT_DERIVED = "{} does not match the local derivation rule"
+COMPLETE_WITH_MISSING = "complete coverage conflicts with missing required facts"
+INSUFFICIENT_WITH_4 = "insufficient coverage conflicts with completeness=4"
+FOUR_WITH_MISSING = "completeness=4 conflicts with missing required facts"
+ABSTENTION_NOT_ABSTAINED = "abstention label requires abstained=true"
+ABSTENTION_WITH_ANSWER = "abstention label conflicts with a substantive answer body"
+TOKENS_DONT_ADD = "total_tokens must equal input_tokens + output_tokens"
 
 
-def derived_issues(cases: DataFrame) -> Column:
-    """What is inconsistent between a case's labels and its scores."""
+def _failed(checks: list[tuple[str, Column]]) -> Column:
+    return F.array_compact(F.array(*(F.when(wrong, F.lit(message)) for message, wrong in checks)))
+
+
+def judge_issues(cases: DataFrame) -> Column:
+    """What is wrong with a judge's own record (prompt_revision, schema_revision, input_tokens, output_tokens, total_tokens; a
+    case without token counts has nothing to add up)."""
+    off = lambda name, want: ~F.col(name).eqNullSafe(F.lit(want))
+    return _failed([
+        (f"prompt revision must be {PROMPT_REVISION}", off("prompt_revision", PROMPT_REVISION)),
+        (f"schema revision must be {SCHEMA_REVISION}", off("schema_revision", SCHEMA_REVISION)),
+        (TOKENS_DONT_ADD, F.col("total_tokens") != F.col("input_tokens") + F.col("output_tokens")),
+    ])
+
+
+def derived_issues(cases: DataFrame, abstention: str = "") -> Column:
+    """What is inconsistent between a case's recorded labels, the labels that its scores give, and each other.
+
+    Cases may have ``derived_revision`` and ``answer_text`` too; an answer text other than ``abstention`` has substance.
+    """
+    labels = ("grounded", "coverage_label", "answerability_label")
+    now = {c: e for c, e in zip(labels, _derived(), strict=True)}
     n_missing = F.size("missing")
-    checks = [
-        ("complete coverage conflicts with missing required facts", (F.col("coverage_label") == "complete") & (n_missing > 0)),
-        ("insufficient coverage conflicts with completeness=4", (F.col("coverage_label") == "insufficient") & (F.col("completeness") == 4)),
-        ("completeness=4 conflicts with missing required facts", (F.col("completeness") == 4) & (n_missing > 0)),
-        ("abstention label requires abstained=true", F.col("answerability_label").endswith("abstention") & ~F.col("abstained")),
+    abstains = F.col("answerability_label").endswith("abstention")
+    checks = [(NOT_DERIVED.format(c), ~F.col(c).eqNullSafe(now[c])) for c in labels]
+    if "derived_revision" in cases.columns:
+        checks.append((f"derived revision must be {DERIVED_REVISION}", ~F.col("derived_revision").eqNullSafe(F.lit(DERIVED_REVISION))))
+    checks += [
+        (COMPLETE_WITH_MISSING, (F.col("coverage_label") == "complete") & (n_missing > 0)),
+        (INSUFFICIENT_WITH_4, (F.col("coverage_label") == "insufficient") & (F.col("completeness") == 4)),
+        (FOUR_WITH_MISSING, (F.col("completeness") == 4) & (n_missing > 0)),
+        (ABSTENTION_NOT_ABSTAINED, abstains & ~F.col("abstained")),
     ]
-    return F.array_compact(F.array(*(F.when(c, F.lit(m)) for m, c in checks)))
+    if "answer_text" in cases.columns:
+        body = F.regexp_replace(F.coalesce("answer_text", F.lit("")), r"(?U)^\s+|\s+$", "")
+        checks.append((ABSTENTION_WITH_ANSWER, abstains & (body != "") & (body != abstention)))
+    return _failed(checks)
 
 
 ANSWERABILITY = ("supported_answer", "false_answer", "correct_abstention", "false_abstention")

@@ -265,6 +265,18 @@ def judge_derive(spark, d):
     return cases.select("case_id", "grounded", "coverage_label", "answerability_label", F.array_join(E.derived_issues(cases), "; ").alias("issues"))
 
 
+def judge_label_checks(spark, d):
+    """Recorded labels, some of them spoilt by id, against what the scores give; and the judge's own records."""
+    i = F.col("case_id")
+    cases = E.judged(_cases(spark, d)).withColumns({
+        "grounded": F.when(i % 5 == 0, ~F.col("grounded")).otherwise(F.col("grounded")), "coverage_label": F.when(i % 6 == 0, "complete").when(i % 6 == 1, "insufficient").otherwise(F.col("coverage_label")),
+        "answerability_label": F.when(i % 7 == 0, "correct_abstention").otherwise(F.col("answerability_label")), "answer_text": F.when(i % 4 == 0, " none ").when(i % 4 == 1, " \n").otherwise("an answer"),
+        "derived_revision": F.when(i % 9 != 0, E.DERIVED_REVISION), "prompt_revision": F.when(i % 8 == 0, "old").otherwise(E.PROMPT_REVISION), "schema_revision": F.when(i % 10 != 0, E.SCHEMA_REVISION),
+        "input_tokens": F.col("n_chars"), "output_tokens": i % 3, "total_tokens": F.col("n_chars") + F.when(i % 11 != 0, i % 2),
+    })
+    return cases.select("case_id", F.array_join(E.derived_issues(cases, "none"), "; ").alias("issues"), F.array_join(E.judge_issues(cases), "; ").alias("judge_issues"))
+
+
 def rag_summary(spark, d):
     out = E.rag_summary(E.judged(_cases(spark, d)))
     return out.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
@@ -485,6 +497,14 @@ QUERIES = {
     "answer_contract_parse": (answer_contract_parse, _with(_ANSWERS) + "SELECT conv_id, turn, CASE conv_id % 8 WHEN 0 THEN 'markdown_code_fence' WHEN 1 THEN 'duplicate_key' WHEN 2 THEN 'non_standard_json_value' WHEN 3 THEN 'invalid_json' WHEN 4 THEN 'top_level_not_object' WHEN 5 THEN 'missing_key,extra_key' ELSE CASE WHEN turn % 3 <> 0 AND trim(answer) = '' THEN 'empty_answer' ELSE '' END END AS reasons FROM answers"),
     "evidence_contract": (evidence_contract, _with(S.CHUNKS, f"facts AS (SELECT position, {_FACT} AS fact, {_safe('text')} AS body FROM chunks)") + f"SELECT position, CASE WHEN position % 4 = 0 THEN 'invalid_evidence_source' WHEN fact = '' THEN 'invalid_evidence_facts' WHEN length(fact) > {C.MAX_FACT_LENGTH} THEN 'evidence_fact_too_long' WHEN regexp_matches(fact, '(?i)(?:https?://|ftp://|www\\.)\\S+') OR regexp_matches(fact, '!?\\[[^\\]\\r\\n]+\\]\\([^\\)\\r\\n]+\\)') THEN 'unsafe_evidence_text' WHEN NOT contains({_line('body')}, {_line('fact')}) THEN 'unsupported_evidence_fact' ELSE '' END AS reasons FROM facts"),
     "judge_derive": (judge_derive, _with(_CASES) + "SELECT case_id, grounded, coverage_label, answerability_label, array_to_string(list_filter([CASE WHEN coverage_label = 'complete' AND n_missing > 0 THEN 'complete coverage conflicts with missing required facts' END, CASE WHEN coverage_label = 'insufficient' AND completeness = 4 THEN 'insufficient coverage conflicts with completeness=4' END, CASE WHEN completeness = 4 AND n_missing > 0 THEN 'completeness=4 conflicts with missing required facts' END, CASE WHEN answerability_label LIKE '%abstention' AND NOT abstained THEN 'abstention label requires abstained=true' END], lambda x: x IS NOT NULL), '; ') AS issues FROM labelled"),
+    "judge_label_checks": (judge_label_checks, _with(_CASES, """spoilt AS (SELECT case_id AS i, completeness, n_missing, abstained, n_chars, grounded AS g, coverage_label AS c, answerability_label AS l,
+  CASE WHEN case_id % 5 = 0 THEN NOT grounded ELSE grounded END AS grounded, CASE case_id % 6 WHEN 0 THEN 'complete' WHEN 1 THEN 'insufficient' ELSE coverage_label END AS coverage,
+  CASE WHEN case_id % 7 = 0 THEN 'correct_abstention' ELSE answerability_label END AS label FROM labelled)""") + f"""SELECT i AS case_id, concat_ws('; ', CASE WHEN grounded <> g THEN '{E.NOT_DERIVED.format("grounded")}' END, CASE WHEN coverage <> c THEN '{E.NOT_DERIVED.format("coverage_label")}' END,
+  CASE WHEN label <> l THEN '{E.NOT_DERIVED.format("answerability_label")}' END, CASE WHEN i % 9 = 0 THEN 'derived revision must be {E.DERIVED_REVISION}' END, CASE WHEN coverage = 'complete' AND n_missing > 0 THEN '{E.COMPLETE_WITH_MISSING}' END,
+  CASE WHEN coverage = 'insufficient' AND completeness = 4 THEN '{E.INSUFFICIENT_WITH_4}' END, CASE WHEN completeness = 4 AND n_missing > 0 THEN '{E.FOUR_WITH_MISSING}' END,
+  CASE WHEN label LIKE '%abstention' AND NOT abstained THEN '{E.ABSTENTION_NOT_ABSTAINED}' END, CASE WHEN label LIKE '%abstention' AND i % 4 > 1 THEN '{E.ABSTENTION_WITH_ANSWER}' END) AS issues,
+  concat_ws('; ', CASE WHEN i % 8 = 0 THEN 'prompt revision must be {E.PROMPT_REVISION}' END, CASE WHEN i % 10 = 0 THEN 'schema revision must be {E.SCHEMA_REVISION}' END,
+  CASE WHEN i % 11 <> 0 AND i % 2 <> i % 3 THEN '{E.TOKENS_DONT_ADD}' END) AS judge_issues FROM spoilt"""),
     "rag_summary": (rag_summary, _with(_CASES) + f"SELECT count(*) AS n_cases, count(*) FILTER (WHERE answerable) AS n_answerable, count(*) FILTER (WHERE abstained) AS n_abstained, {_RATE.format('grounded', 'NOT abstained')} AS grounded_rate, {_RATE.format("(coverage_label = 'complete')", 'NOT abstained AND answerable')} AS complete_rate, {_RATE.format('abstained', 'NOT answerable')} AS correct_abstention_rate, {_RATE.format('abstained', 'answerable')} AS false_abstention_rate, {_RATE.format('(NOT abstained)', 'NOT answerable')} AS false_answer_rate, round(avg(faithfulness), 6) AS mean_faithfulness, round(avg(completeness), 6) AS mean_completeness, round(avg(citation_support), 6) AS mean_citation_support, CAST(sum(n_unsupported) AS BIGINT) AS n_unsupported, round(CAST(median(n_chars) AS DOUBLE), 6) AS median_chars, max(n_chars) AS max_chars FROM labelled"),
     "label_counts": (label_counts, _with(_CASES) + "SELECT l AS answerability_label, count(case_id) AS n FROM (SELECT unnest(['supported_answer', 'false_answer', 'correct_abstention', 'false_abstention']) AS l) LEFT JOIN labelled ON answerability_label = l GROUP BY l"),
     "portability_summary": (portability_summary, _with(_CASES, "p AS (SELECT *, case_id % 11 <> 0 AS done, case_id % 2 = 0 AS top5, case_id % 7 <> 0 AS fmt FROM cases)") + "SELECT count(*) AS question_count, count(*) FILTER (WHERE answerable) AS answerable_count, count(*) FILTER (WHERE NOT answerable) AS unanswerable_count, count(*) FILTER (WHERE done AND NOT abstained) AS valid_answer_count, count(*) FILTER (WHERE done AND abstained) AS valid_abstain_count, count(*) FILTER (WHERE NOT answerable AND NOT abstained AND done) AS false_answer_count, count(*) FILTER (WHERE answerable AND abstained AND done) AS false_abstention_count, count(*) FILTER (WHERE NOT done) AS contract_failure_count, count(*) FILTER (WHERE answerable AND top5) AS correct_source_top5_count, count(*) FILTER (WHERE done AND NOT fmt) AS citation_format_failure_count, round(avg(CAST(n_chars AS DOUBLE)) FILTER (WHERE done), 6) AS average_input_tokens FROM p"),

@@ -12,6 +12,7 @@ from corvane.operators import fusion as X
 from corvane.operators import index as N
 from corvane.operators import retrieve as R
 from corvane.operators import scratch
+from corvane.operators import vectors as V
 from corvane.plans import sql as S
 from corvane.schemas import document_chunks, table
 
@@ -105,6 +106,21 @@ def dense_topk(spark, d):
     return _shown(dense_ranked(spark, d))
 
 
+_vector_indexes: dict[tuple[str, str], str] = {}
+
+
+def dense_index_topk(spark, d):
+    """The vectors as a stored index of a session, which is built once for each state of the table."""
+    vectors = table(spark, d, "embeddings")
+    key = (spark.sparkContext.applicationId, N.state_of(vectors))
+    if key not in _vector_indexes:
+        path = scratch.path(spark, "vectors")
+        rows = vectors.select(F.col("vec_id").alias("position"), F.lit("").alias("text_sha256"), F.col("embedding").alias("vector"))
+        V.build_vectors(rows, path, "given")
+        _vector_indexes[key] = path
+    return _shown(V.search(V.open_vectors(spark, _vector_indexes[key], "given"), query_vectors(spark, d), K))
+
+
 def _hybrid(spark, d):
     """Dense and lexical candidates, fused."""
     return X.fuse([(dense_ranked(spark, d, 30), 1.0), (lexical(spark, d, 30), 1.0)], 30, 10, 30)
@@ -221,6 +237,7 @@ QUERIES = {
     **{f"field_bm25_{f}": (field_query(f), _with(S.CHUNKS, S.QUERIES, _field_sql(f, "d"), _QUERY_TOKENS_2, S.bm25("hits", "d", "q", K)) + S.ranked("hits")) for f in R.FIELDS},
     "symbol_topk": (symbol_topk, _with(S.CHUNKS, S.QUERIES, S.symbol_search("hits", K)) + S.ranked("hits")),
     "dense_topk": (dense_topk, _with(S.QUERIES, S.dense("hits", K)) + S.ranked("hits")),
+    "dense_index_topk": (dense_index_topk, _with(S.QUERIES, S.dense("hits", K)) + S.ranked("hits")),
     "rrf_hybrid": (rrf_hybrid, _with(*_HYBRID) + S.ranked("hybrid") + f" WHERE rank <= {K}"),
     **{f"weighted_rrf_{p}": (weighted_query(p), _weighted_sql(p)) for p in X.FIELD_WEIGHTS},
     "rerank_topk": (rerank_topk, _with(S.CHUNKS, S.QUERIES, _DOC_TOKENS_2, _QUERY_TOKENS_2, S.bm25("hits", "d", "q", 30), "dt AS (SELECT DISTINCT key, term FROM d_tok)", "qt AS (SELECT DISTINCT key, term FROM q_tok)", "qn AS (SELECT key, count(*) AS n FROM qt GROUP BY ALL)", "pairs AS (SELECT h.query_id, h.position, h.rank AS original_rank, count(dt.term) / any_value(qn.n) AS score FROM hits h JOIN qn ON qn.key = h.query_id JOIN qt ON qt.key = h.query_id LEFT JOIN dt ON dt.key = h.position AND dt.term = qt.term GROUP BY ALL)", "r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, original_rank, position) AS INTEGER) AS rank FROM pairs)") + f"SELECT query_id, rank, position, round(score, 6) AS score, original_rank, original_rank - rank AS rank_change FROM r WHERE rank <= {K}"),
