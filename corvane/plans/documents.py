@@ -10,6 +10,7 @@ from corvane.functions import prompts as P
 from corvane.functions import text as T
 from corvane.functions import url as U
 from corvane.operators import answer as A
+from corvane.operators import budget as B
 from corvane.operators import chunk as K
 from corvane.operators import context as X
 from corvane.operators import embed
@@ -195,6 +196,18 @@ def context_budget_select(spark, d):
     return out.select("query_id", "fits", F.array_join(F.transform("selected", lambda c: c["position"].cast("string")), ",").alias("positions"))
 
 
+#: Tokens that both prompts of a question may have.
+TOKENS = 2000
+
+
+def token_budget_select(spark, d):
+    """Evidence under a budget of tokens of a public vocabulary."""
+    import public_tokenizers
+
+    out = B.select_by_tokens(_evidence(spark, d), TOKENS, B.library_counter(public_tokenizers.path("byte_bpe_50k.json")))
+    return out.select("query_id", "fits", F.array_join(F.transform("selected", lambda c: c["position"].cast("string")), ",").alias("positions"))
+
+
 def prompt_build(spark, d):
     rows = _evidence(spark, d).withColumn("contexts", P.prompt_contexts(F.col("chunks")))
     first, again = P.generation_prompt(F.col("question"), F.col("contexts")), P.regeneration_prompt(F.col("question"), F.col("contexts"))
@@ -483,6 +496,7 @@ QUERIES = {
     "paragraph_overlaps": (paragraph_overlaps, _with(S.CHUNKS, _PARAGRAPHS) + 'SELECT position, nth, s AS start, e AS "end" FROM paras JOIN matches USING (position) WHERE s < me AND ms < e'),
     "prompt_sanitize": (prompt_sanitize, _with(S.CHUNKS) + r"SELECT position, sha256(regexp_replace(regexp_replace(text || ' see [URL除去済み] and [URL除去済み] or /usr/local/bin and C:\dir\file now', '(^|[^A-Za-z0-9_])[A-Za-z]:\\(?:[^\\\s]+\\)+[^\\\s]+', '\1[パス除去済み]', 'g'), '(^|[^A-Za-z0-9_])/(?:[A-Za-z0-9._~+-]+/)+[A-Za-z0-9._~%+-]+', '\1[パス除去済み]', 'g')) AS sanitised_sha256 FROM chunks"),
     "context_budget_select": (context_budget_select, _with(*_EVIDENCE, _FOLDED).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT query_id, len(kept) > 0 AS fits, array_to_string(kept, ',') AS positions FROM ended"),
+    "token_budget_select": (token_budget_select, None),
     "prompt_build": (prompt_build, _with(*_EVIDENCE, _LISTED) + f"SELECT query_id, CAST(length({_first('labels', 'blocks')}) AS INTEGER) AS n_first, CAST(length({_again('labels', 'blocks')}) AS INTEGER) AS n_retry, sha256({_first('labels', 'blocks')}) AS first_sha256 FROM listed"),
     "answer_batch": (answer_batch, None),
     "answer_two_stage": (_staged(staged.two_stage), None),
