@@ -28,6 +28,7 @@ from corvane.plans import sql as S
 from corvane.plans.retrieval import _DOC_TOKENS_2, _QUERY_TOKENS_2, _with, chunks_of, lexical, queries_of
 from corvane.schemas import table
 from corvane.sources.crawl import content_duplicates
+from corvane.sources import lines as L
 from corvane.sources.files import member_problems, question_problems
 
 BUDGET = 4000
@@ -312,6 +313,18 @@ def question_set_validate(spark, d):
     return question_problems(rows, development)
 
 
+def question_lines(spark, d):
+    """Benchmark items written as lines of a labelled question set, some of them spoilt by id, and read back strictly."""
+    i = F.col("item_id")
+    row = F.struct(
+        i.cast("string").alias("id"), F.when(i % 9 == 0, " ").otherwise(F.col("text")).alias("question"), F.when(i % 4 == 0, "odd").otherwise("conceptual").alias("query_type"),
+        F.when(i % 5 != 0, "topic").alias("topic"), F.when(i % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("a.html"))).alias("expected_url_keywords"),
+    )
+    path = scratch.path(spark, "questions")
+    table(spark, d, "benchmark").select(F.to_json(row).alias("value")).write.text(path)
+    return L.questions(L.numbered(spark, path), "holdout").select("id", T.text_sha256(F.coalesce("question", F.lit(""))).alias("question_sha256"), "problem")
+
+
 def zip_member_rules(spark, d):
     """Pages as members of an archive, named by id so that each rule meets some."""
     i, k = F.col("page_id"), F.floor(F.col("page_id") / 12).cast("string")
@@ -523,6 +536,9 @@ QUERIES = {
     "label_counts": (label_counts, _with(_CASES) + "SELECT l AS answerability_label, count(case_id) AS n FROM (SELECT unnest(['supported_answer', 'false_answer', 'correct_abstention', 'false_abstention']) AS l) LEFT JOIN labelled ON answerability_label = l GROUP BY l"),
     "portability_summary": (portability_summary, _with(_CASES, "p AS (SELECT *, case_id % 11 <> 0 AS done, case_id % 2 = 0 AS top5, case_id % 7 <> 0 AS fmt FROM cases)") + "SELECT count(*) AS question_count, count(*) FILTER (WHERE answerable) AS answerable_count, count(*) FILTER (WHERE NOT answerable) AS unanswerable_count, count(*) FILTER (WHERE done AND NOT abstained) AS valid_answer_count, count(*) FILTER (WHERE done AND abstained) AS valid_abstain_count, count(*) FILTER (WHERE NOT answerable AND NOT abstained AND done) AS false_answer_count, count(*) FILTER (WHERE answerable AND abstained AND done) AS false_abstention_count, count(*) FILTER (WHERE NOT done) AS contract_failure_count, count(*) FILTER (WHERE answerable AND top5) AS correct_source_top5_count, count(*) FILTER (WHERE done AND NOT fmt) AS citation_format_failure_count, round(avg(CAST(n_chars AS DOUBLE)) FILTER (WHERE done), 6) AS average_input_tokens FROM p"),
     "question_set_validate": (question_set_validate, "WITH r AS (SELECT CAST(item_id % 37 AS VARCHAR) AS id, item_id FROM benchmark) SELECT id, 'blank_question' AS problem FROM r WHERE item_id % 9 = 0 UNION ALL SELECT id, 'no_keywords' FROM r WHERE item_id % 6 = 0 UNION ALL SELECT id, 'duplicate_id' FROM r GROUP BY id HAVING count(*) > 1 UNION ALL SELECT id, 'unknown_query_type' FROM r WHERE item_id % 4 = 0 UNION ALL SELECT id, 'overlaps_development' FROM r WHERE id IN ('0', '1', '2')"),
+    "question_lines": (question_lines, """SELECT CAST(item_id AS VARCHAR) AS id, sha256(CASE WHEN item_id % 9 = 0 THEN '' ELSE trim(text) END) AS question_sha256,
+  CASE WHEN item_id % 9 = 0 OR trim(text) = '' THEN 'question must not be empty' WHEN item_id % 7 = 0 THEN 'expected_url_keywords must be a non-empty string list'
+    WHEN item_id % 5 = 0 THEN 'id, query_type, topic must all be non-empty strings' WHEN item_id % 4 = 0 THEN 'unsupported query_type' END AS problem FROM benchmark"""),
     "zip_member_rules": (zip_member_rules, """WITH m AS (SELECT page_id AS i, page_id % 6 AS kind, CAST(page_id // 12 AS VARCHAR) AS k, CASE WHEN page_id % 6 = 4 THEN 134217728 ELSE length(html) END AS size FROM pages),
 twins AS (SELECT k, bool_or(i % 12 = 0) AND bool_or(i % 12 = 6) AS same, bool_or(i % 12 = 5) AND bool_or(i % 12 = 11) AS inside FROM m GROUP BY k)
 SELECT '../x' || i AS path, 'unsafe_path' AS problem FROM m WHERE kind = 1 UNION ALL SELECT 'a' || i || '/con.txt', 'reserved_name' FROM m WHERE kind = 2 UNION ALL SELECT 'l' || i, 'special_entry' FROM m WHERE kind = 3
