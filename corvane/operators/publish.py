@@ -44,8 +44,8 @@ def _read_text(spark: SparkSession, path: str) -> str | None:
     return text
 
 
-def publish(root: str, tables: dict[str, DataFrame], manifest: dict | None = None) -> str:
-    """Writes all tables below a fresh version, then switches ``root/CURRENT`` to it: all or none become visible."""
+def write_version(root: str, tables: dict[str, DataFrame], manifest: dict | None = None) -> str:
+    """Writes all tables and their manifest below a fresh version of ``root``, which nothing points to yet."""
     if not tables:
         raise ValueError("nothing to publish")
     spark = next(iter(tables.values())).sparkSession
@@ -57,7 +57,20 @@ def publish(root: str, tables: dict[str, DataFrame], manifest: dict | None = Non
         if not counts[name]:
             raise ValueError(f"refusing to publish an empty table: {name}")
     _write_text(spark, f"{root}/{version}/manifest.json", json.dumps({"version": version, "rows": counts, **(manifest or {})}, sort_keys=True, ensure_ascii=False))
+    return version
+
+
+def switch(spark: SparkSession, root: str, version: str) -> None:
+    """Makes a version the current one."""
     _write_text(spark, f"{root}/CURRENT", version)
+
+
+def publish(root: str, tables: dict[str, DataFrame], manifest: dict | None = None) -> str:
+    """Writes all tables below a fresh version, then switches ``root/CURRENT`` to it: all or none become visible.
+
+    For one writer a root; ``journal.publish_all`` is for several writers, or several roots at once."""
+    version = write_version(root, tables, manifest)
+    switch(next(iter(tables.values())).sparkSession, root, version)
     return version
 
 
@@ -110,7 +123,7 @@ def restore(spark: SparkSession, root: str, version: str) -> None:
     """Makes a complete version the current one, as after the loss of the pointer."""
     if version not in complete_versions(spark, root):
         raise ValueError(f"{version} is no complete version in {root}")
-    _write_text(spark, f"{root}/CURRENT", version)
+    switch(spark, root, version)
 
 
 def sidecar_summary(records: DataFrame) -> DataFrame:
