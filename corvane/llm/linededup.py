@@ -6,9 +6,10 @@ Lines become 128-bit hashes of their keys.
    lines of the others are counted by distinct document, which leaves the frequent hashes.
 2. Keeping. Lines of frequent hashes come in batches of documents, the largest document ids first. ``LineRuns`` holds, as
    a log-structured merge tree does, sorted runs of the hashes that earlier batches hold, in levels, as tables bucketed and
-   sorted by hash. A batch's hashes merge-anti-join every run (the runs are not shuffled); those in none of them are held
-   by no larger document, so the batch's largest document keeps them, and they become the batch's own run. When a level
-   has ``FANOUT`` runs, they are compacted into one of the next level.
+   sorted by hash. A batch's hashes merge-anti-join every run; those in none of them are held by no larger document, so the
+   batch's largest document keeps them, and they become the batch's own run. When a level has ``FANOUT`` runs, they are
+   compacted into one of the next level. A run with as many buckets as there are shuffle partitions is joined where it
+   lies; one with fewer is read as plain files and its hashes are shuffled. Spark sorts a run again for each join.
 3. A line of a frequent hash stays only where (hash, document) is in a run; the positions of the others meet their texts.
 
 Everything is DataFrame and SQL functions. Scale: texts are read twice and shuffled once, in a join that sorts and spills.
@@ -85,7 +86,7 @@ class LineRuns:
         return [name for level in self.levels for name in level]
 
     def runs(self) -> list[DataFrame]:
-        """Every run as a bucketed table, to be joined without a shuffle of its own."""
+        """Every run as a bucketed table."""
         return [self.spark.table(name) for name in self._names()]
 
     def _every(self, names: list[str]) -> DataFrame:
