@@ -15,6 +15,7 @@ nor summed up. Results are the same either way.
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -111,10 +112,29 @@ def open_index(spark: SparkSession, path: str) -> TextIndex:
     return TextIndex(postings, terms, row.pop("n_docs"), row.pop("buckets"), row)
 
 
-def in_buckets(stored: DataFrame, index: TextIndex, wanted: DataFrame) -> DataFrame:
-    """The part of a stored table that lies in the buckets of ``wanted`` (a number for each bucket comes to the driver)."""
-    found = sorted(r[0] for r in wanted.select("bucket").distinct().collect())
-    return stored if len(found) == index.buckets else stored.where(F.col("bucket").isin(found))
+class Facts(NamedTuple):
+    """Of rows with a bucket, in one job: how many there are, their buckets (a number each), and the sum of ``df``."""
+
+    n: int
+    buckets: list[int]
+    pairs: int
+
+
+def facts_of(rows: DataFrame) -> Facts:
+    pairs = F.coalesce(F.sum("df"), F.lit(0)) if "df" in rows.columns else F.lit(0)
+    found = rows.agg(F.count("*").alias("n"), F.sort_array(F.collect_set("bucket")).alias("buckets"), pairs.alias("pairs")).first()
+    return Facts(found["n"], found["buckets"], found["pairs"])
+
+
+def in_buckets(stored: DataFrame, index: TextIndex, wanted: DataFrame | Facts) -> DataFrame:
+    """The part of a stored table that lies in the buckets of ``wanted``."""
+    buckets = (wanted if isinstance(wanted, Facts) else facts_of(wanted)).buckets
+    return stored if len(buckets) == index.buckets else stored.where(F.col("bucket").isin(buckets))
+
+
+def _small(rows: DataFrame, facts: Facts) -> DataFrame:
+    """``rows`` marked for broadcast if they were counted to be few, as ``retrieve.small`` does."""
+    return F.broadcast(rows) if facts.n <= R.TERM_LIMIT else rows
 
 
 def asked_terms(index: TextIndex, queries: DataFrame, sizes: tuple[int, ...] = SIZES) -> DataFrame:
@@ -124,13 +144,14 @@ def asked_terms(index: TextIndex, queries: DataFrame, sizes: tuple[int, ...] = S
 
 
 def known_terms(index: TextIndex, asked: DataFrame) -> DataFrame:
-    terms = in_buckets(index.terms, index, asked)
-    return scratch.written(terms.join(R.small(asked), ["bucket", "term"]), "weighed")
+    facts = facts_of(asked)
+    return scratch.written(in_buckets(index.terms, index, facts).join(_small(asked, facts), ["bucket", "term"]), "weighed")
 
 
-def _parts(index: TextIndex, weighed: DataFrame, sizes: tuple[int, ...], k1: float, b: float) -> DataFrame:
+def _parts(index: TextIndex, weighed: DataFrame, sizes: tuple[int, ...], k1: float, b: float, facts: Facts | None = None) -> DataFrame:
     """query_id, position, unit: what each posting of a query's terms adds to a score, in ``SCORE_UNIT``-ths."""
-    hits = in_buckets(index.postings, index, weighed).join(R.small(weighed), ["bucket", "term"])
+    facts = facts or facts_of(weighed)
+    hits = in_buckets(index.postings, index, facts).join(_small(weighed, facts), ["bucket", "term"])
     return hits.select("query_id", "position", _unit(index, sizes, k1, b).alias("unit"))
 
 
@@ -155,9 +176,9 @@ def indexed_scores(index: TextIndex, queries: DataFrame, sizes: tuple[int, ...]
 def contenders(index: TextIndex, queries: DataFrame, k: int, sizes: tuple[int, ...] = SIZES, k1: float = R.K1, b: float = R.B) -> DataFrame:
     """query_id, position, score of chunks among which the first ``k`` of every query are; their scores are whole."""
     weighed = asked_terms(index, queries, sizes).withColumn("rare", F.col("df") * COMMON <= index.n_docs)
-    work = weighed.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("pairs")).first()["pairs"]
-    if work < FEW_PAIRS:
-        return _scores(_parts(index, weighed, sizes, k1, b))
+    facts = facts_of(weighed)
+    if facts.pairs < FEW_PAIRS:
+        return _scores(_parts(index, weighed, sizes, k1, b, facts))
     partial = scratch.written(_summed(_parts(index, weighed.where("rare"), sizes, k1, b)), "rare-sums")
     # The most that a term can add is that of a chunk as short as can be with the term's largest count. The light terms of a
     # query are those of the least such bounds that all together stay below the floor.
@@ -202,7 +223,8 @@ def indexed_symbols(index: TextIndex, queries: DataFrame, k: int = 5) -> DataFra
     """``retrieve.symbol_search`` over the stored index of the field ``identifiers``."""
     asked = R.symbol_terms(queries).withColumn("bucket", _bucket(F.col("term"), index.buckets))
     asked = scratch.written(asked, "symbols")
-    return R.symbol_ranking(in_buckets(index.postings, index, asked).join(R.small(asked), ["bucket", "term"]), k)
+    facts = facts_of(asked)
+    return R.symbol_ranking(in_buckets(index.postings, index, facts).join(_small(asked, facts), ["bucket", "term"]), k)
 
 
 def indexed_overlap(index: TextIndex, candidates: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -224,9 +246,22 @@ def indexed_overlap(index: TextIndex, candidates: DataFrame, queries: DataFrame,
 _built: dict[tuple[str, str, str], str] = {}
 
 
+#: So many files are looked at one by one; more by the tasks that read them.
+FEW_FILES = 256
+
+
 def state_of(table: DataFrame) -> str:
-    """A digest of the files of a table: names, sizes and times, gathered by the tasks that read them. Raises for a table that
-    is not of files, since nothing tells its states apart."""
+    """A digest of the files of a table: names, sizes and times. Raises for a table that is not of files, since nothing tells
+    its states apart."""
+    sc = table.sparkSession.sparkContext
+    names = sorted(table.inputFiles())
+    if 0 < len(names) <= FEW_FILES:
+        digest = hashlib.sha256()
+        for name in names:
+            at = sc._jvm.org.apache.hadoop.fs.Path(name)
+            status = at.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(at)
+            digest.update(f"{name} {status.getLen()} {status.getModificationTime()}\n".encode())
+        return digest.hexdigest()
     meta = F.col("_metadata")
     try:
         files = table.select(meta["file_path"].alias("path"), meta["file_size"].alias("size"), meta["file_modification_time"].alias("at"))

@@ -122,7 +122,14 @@ def test_symbols_and_overlap_by_postings(spark, tmp_path):
     assert row(got) == row(want)
 
 
-def test_a_table_without_files_has_no_session_index(spark):
+def test_states_of_many_and_of_no_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(N, "FEW_FILES", 2)
+    stored = lambda: spark.read.parquet(str(tmp_path / "t"))
+    chunks(spark, ["a", "b", "c", "d"]).repartition(4).write.parquet(str(tmp_path / "t"))
+    first = N.state_of(stored())
+    assert len(stored().inputFiles()) > 2 and N.state_of(stored()) == first
+    chunks(spark, ["e"]).write.mode("append").parquet(str(tmp_path / "t"))
+    assert N.state_of(stored()) != first
     docs = chunks(spark, ["some text"])
     with pytest.raises(ValueError, match="files"):
         N.session_index(docs, "x", docs, lambda: R.labelled_rows(docs))
