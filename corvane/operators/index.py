@@ -31,7 +31,7 @@ SIZES = (2, 3)
 #: The kinds of tokens that a chunk's length is made of.
 KINDS = ("names", *(f"grams_{n}" for n in SIZES))
 #: Postings a bucket has on average, and the least and most buckets.
-BUCKET_POSTINGS, LEAST_BUCKETS, MOST_BUCKETS = 50_000, 16, 4096
+BUCKET_POSTINGS, LEAST_BUCKETS, MOST_BUCKETS = 500_000, 8, 4096
 #: A term that more than one in so many chunks hold is common.
 COMMON = 25
 #: Below so many pairs of a question and a posting, adding all of them up takes less than finding out which matter.
