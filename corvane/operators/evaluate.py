@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.operators.retrieve import small
+
 CUTS = (1, 3, 5, 10)
 
 
@@ -62,7 +64,7 @@ def candidate_recall(ranked: DataFrame, chunks: DataFrame, questions: DataFrame,
     if candidate_k < 30:
         raise ValueError("candidate_k must be at least 30")
     ranks = question_ranks(ranked, chunks, questions, candidate_k, relevant)
-    met = ranked.where(F.col("rank") <= candidate_k).join(chunks.select("position", "source_url", "section_title"), "position")
+    met = chunks.select("position", "source_url", "section_title").join(small(ranked.where(F.col("rank") <= candidate_k).select("query_id", "position")), "position")
     spread = met.groupBy("query_id").agg(F.countDistinct("source_url").alias("urls"), F.countDistinct(F.substring_index("source_url", "#", 1)).alias("pages"), F.countDistinct("source_url", "section_title").alias("sections"))
     every = ranks.join(spread, "query_id", "left")
     recall = [F.avg(F.coalesce(F.col("first_relevant_rank") <= k, F.lit(False)).cast("int")).alias(f"recall_at_{k}") for k in (10, 20, 30)]

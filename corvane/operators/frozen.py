@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.operators.retrieve import small
 
 
 def _digest(chunks: Column) -> Column:
@@ -55,7 +56,7 @@ def pending(questions: DataFrame, records: DataFrame) -> DataFrame:
 def cited_chunks(answers: DataFrame, ranked: DataFrame, chunks: DataFrame) -> DataFrame:
     """query_id, position of the retrieved chunks whose URL the answer's ``sources`` cite."""
     cited = answers.select("query_id", F.explode("sources").alias("s")).select("query_id", F.col("s.url").alias("source_url")).distinct()
-    met = ranked.select("query_id", "position").join(chunks.select("position", "source_url"), "position")
+    met = chunks.select("position", "source_url").join(small(ranked.select("query_id", "position")), "position")
     return met.join(cited, ["query_id", "source_url"], "left_semi").select("query_id", "position")
 
 

@@ -1,15 +1,14 @@
 """Inverted index, BM25, field, symbol and dense retrieval over batches of queries.
 
 Every retriever takes queries (query_id, text) and returns ``ranked(query_id, rank, score, position)``. Query terms go to
-the corpus scan as a broadcast only below ``TERM_LIMIT`` of them; above it the join shuffles. Only postings of query terms
-are ever counted, so a batch costs one scan of the corpus and a shuffle of its matches. Parts of a score are added as
+the corpus in bounded blocks (``operators.scan``), and only the first chunks of each query are shuffled. Parts of a score are added as
 integers of ``SCORE_UNIT``-ths, which is exact in any order, and ranked on nine decimals, then by position, so equal
 documents cannot swap with the partitioning.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.operators import scan
 
 K1, B = 1.5, 0.75
 SCORE_UNIT = 1 << 40
@@ -83,32 +83,35 @@ def saturation(tf: Column, length: Column, average: Column, k1: float = K1, b: f
     return tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * (length / average)))
 
 
-def added(parts: DataFrame) -> DataFrame:
-    """query_id, position, score from rows (query_id, position, part): the sum of the parts, the same in any order."""
-    unit = F.round(F.col("part") * F.lit(float(SCORE_UNIT))).cast("long")
-    return parts.groupBy("query_id", "position").agg((F.sum(unit) / F.lit(float(SCORE_UNIT))).alias("score"))
+def _exact_bm25(hits: DataFrame, block: scan.Block, k1: float, b: float) -> tuple[Callable, Callable]:
+    """What a posting adds to a score in ``SCORE_UNIT``-ths, and scores on nine decimals, for a block of queries."""
+    sizes = hits.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_tokens")).first()
+    n_docs, average = sizes["n_docs"], sizes["n_tokens"] / sizes["n_docs"] if sizes["n_tokens"] else 1.0
+    frequency = hits.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    idf = np.zeros(len(block.terms))
+    for row in frequency.select("term", inverse_frequency(F.lit(n_docs), F.col("df")).alias("idf")).toLocalIterator():
+        idf[row["term"]] = row["idf"]
 
+    def unit(term: np.ndarray, tf: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return np.floor(idf[term] * saturation(tf, length, average, k1, b) * float(SCORE_UNIT) + 0.5).astype(np.int64)
 
-def bm25_scores(chunks: DataFrame, queries: DataFrame, rows: DataFrame, sizes: tuple[int, ...], k1: float = K1, b: float = B) -> DataFrame:
-    """query_id, position, score of every chunk that shares a token with a query; ``rows`` are the chunks' token rows.
+    return unit, lambda sums: np.floor(sums / float(SCORE_UNIT) * 1e9 + 0.5).astype(np.int64)
+
+
+def ranked_bm25(texts: DataFrame, queries: DataFrame, k: int, sizes: tuple[int, ...], k1: float = K1, b: float = B, once: bool = False) -> DataFrame:
+    """BM25 over texts (position, text); ``once``: over the variants of their identifiers, which count once."""
+    asked = query_terms(queries, sizes).select("query_id", "term", F.lit(1).cast("bigint").alias("weight"))
+    ranked = scan.ranked_batch(texts, asked, require(k, "top_k"), sizes, once, lambda hits, block: _exact_bm25(hits, block, k1, b))
+    return ranked.select("query_id", "position", (F.col("unit") / F.lit(float(SCORE_UNIT))).alias("score"), "rank")
 
-    One pass over the tokens: those of no query are summed under a null term, which gives lengths without keeping them.
-    """
-    asked = query_terms(queries, sizes)
-    wanted = small(asked.select("term", F.col("term").alias("hit")).distinct())
-    counted = rows.join(wanted, "term", "left").groupBy("position", "hit").agg(F.count("*").alias("tf"))
-    sized = counted.withColumn("length", F.sum("tf").over(Window.partitionBy("position")))
-    postings = sized.where(F.col("hit").isNotNull()).select("position", F.col("hit").alias("term"), "tf", "length")
-    frequency = counted.where(F.col("hit").isNotNull()).groupBy(F.col("hit").alias("term")).agg(F.count("*").alias("df"))
-    stats = F.broadcast(corpus_statistics(chunks, counted))  # one row
-    weighed = asked.join(frequency, "term").join(stats).select("query_id", "term", inverse_frequency(F.col("n_docs"), F.col("df")).alias("idf"), "avg_length")
-    part = F.col("idf") * saturation(F.col("tf"), F.col("length"), F.col("avg_length"), k1, b)
-    return added(postings.join(weighed, "term").select("query_id", "position", part.alias("part")))
+
+def labelled_texts(chunks: DataFrame) -> DataFrame:
+    return chunks.select("position", T.searchable_text(F.col("page_title"), F.col("section_title"), F.col("text")).alias("text"))
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, k: int = 5, sizes: tuple[int, ...] = (2, 3), k1: float = K1, b: float = B) -> DataFrame:
     """BM25 over the labelled text of chunks."""
-    return top_k(bm25_scores(chunks, queries, labelled_rows(chunks, sizes), sizes, k1, b), k, F.desc(F.round("score", 9)), F.col("position"))
+    return ranked_bm25(labelled_texts(chunks), queries, k, sizes, k1, b)
 
 
 FIELDS = ("identifiers", "section_title", "page_title", "body")
@@ -124,9 +127,18 @@ def field_rows(chunks: DataFrame, field: str, sizes: tuple[int, ...] = (2,)) ->
     return token_rows(chunks, F.col("text" if field == "body" else field), sizes)
 
 
+def field_texts(chunks: DataFrame, field: str) -> DataFrame:
+    """position and text of one isolated field of a chunk."""
+    if field not in FIELDS:
+        raise ValueError(f"unsupported retrieval field: {field}")
+    if field == "identifiers":
+        return chunks.select("position", T.symbol_fields(F.col("page_title"), F.col("section_title"), F.col("source_url"), F.col("text")).alias("text"))
+    return chunks.select("position", F.col("text" if field == "body" else field).alias("text"))
+
+
 def field_bm25(chunks: DataFrame, queries: DataFrame, field: str, k: int = 5, sizes: tuple[int, ...] = (2,)) -> DataFrame:
     """BM25 over one field; queries without tokens find nothing."""
-    return top_k(bm25_scores(chunks, queries, field_rows(chunks, field, sizes), sizes), k, F.desc(F.round("score", 9)), F.col("position"))
+    return ranked_bm25(field_texts(chunks, field), queries, k, sizes, once=field == "identifiers")
 
 
 def symbol_records(chunks: DataFrame) -> DataFrame:
@@ -155,6 +167,15 @@ def symbol_search(records: DataFrame, queries: DataFrame, k: int = 5) -> DataFra
     return symbol_ranking(hits, k)
 
 
+def ranked_symbols(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """``symbol_search`` by a scan of the chunks."""
+    asked = symbol_terms(queries).select("query_id", "term", (F.col("is_exact").cast("bigint") * F.lit(1 << 32) + 1).alias("weight"))
+    one = lambda term, tf, length: np.ones(len(term), dtype=np.int64)
+    ranked = scan.ranked_batch(field_texts(chunks, "identifiers"), asked, require(k, "top_k"), (), True, lambda hits, block: (one, lambda sums: sums))
+    exact, variants = F.shiftright("unit", 32), F.col("unit").bitwiseAND(F.lit((1 << 32) - 1))
+    return ranked.select("query_id", "rank", (exact * 1000 + variants).cast("double").alias("score"), "position")
+
+
 def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
