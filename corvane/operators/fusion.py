@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.operators import scratch
 from corvane.operators.retrieve import require, small, top_k
 
 TECHNICAL_FIELDS = ("identifiers", "section_title", "page_title", "body_dense", "body_lexical")
@@ -66,7 +67,8 @@ def rerank(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, k: int
     document = T.searchable_text(F.col("page_title"), F.col("section_title"), F.col("chunk_text"))
     texts = chunks.select("position", "page_title", "section_title", F.col("text").alias("chunk_text"))
     asked = queries.select("query_id", F.col("text").alias("question"))
-    pairs = candidates.select("query_id", "position", F.col("rank").alias("original_rank"), F.col("score").alias("retrieval_score")).join(small(asked), "query_id").join(texts, "position")
+    pairs = candidates.select("query_id", "position", F.col("rank").alias("original_rank"), F.col("score").alias("retrieval_score")).join(small(asked), "query_id")
+    pairs = texts.join(small(scratch.written(pairs, "pairs")), "position")
     scored = pairs.select("query_id", "position", "original_rank", "retrieval_score", scorer(F.col("question"), document).alias("score"))
     checked = scored.withColumn("score", F.when(F.isnan("score") | (F.abs("score") == float("inf")), F.raise_error(F.lit("scores must be finite")).cast("double")).otherwise(F.col("score")))
     ranked = top_k(checked, k, F.desc(F.round("score", 9)), F.col("original_rank"), F.col("position"))
@@ -78,7 +80,7 @@ def expand_to_parents(children: DataFrame, mapping: DataFrame, k: int = 5) -> Da
 
     ``mapping``: position, parent_id. Every child must resolve; ``unresolved`` lists those that do not.
     """
-    met = children.join(mapping, "position")
+    met = mapping.join(small(children), "position")
     of_parent = Window.partitionBy("query_id", "parent_id")
     first = met.withColumn("nth", F.row_number().over(of_parent.orderBy("rank"))).withColumn("child_hits", F.count("*").over(of_parent)).where("nth = 1")
     return top_k(first.withColumnRenamed("rank", "child_rank"), k, F.col("child_rank")).select("query_id", "rank", "score", "parent_id", F.col("position").alias("child_position"), "child_rank", "child_hits")
@@ -90,5 +92,5 @@ def unresolved(children: DataFrame, mapping: DataFrame) -> DataFrame:
 
 def expansion_trace(children: DataFrame, mapping: DataFrame) -> DataFrame:
     """Per query: children, parents, compression ratio and the most children of a parent."""
-    hits = children.join(mapping, "position").groupBy("query_id", "parent_id").agg(F.count("*").alias("n"))
+    hits = mapping.join(small(children), "position").groupBy("query_id", "parent_id").agg(F.count("*").alias("n"))
     return hits.groupBy("query_id").agg(F.sum("n").alias("n_children"), F.count("*").alias("n_parents"), (F.count("*") / F.sum("n")).alias("compression_ratio"), F.max("n").alias("max_children"))

@@ -87,3 +87,17 @@ def test_evidence_is_gathered_once(spark, monkeypatch):
     docs, asked = chunks(spark, ["alpha beta. more", "gamma delta. more"]), queries(spark, ["alpha", "gamma", "none"])
     plans = staged.evidence_first(asked, R.bm25(docs, asked, 2), docs)._jdf.queryExecution().executedPlan().toString()
     assert names.count("evidence") == 1 and names.count("ranked") == 1 and "MapInArrow" not in plans
+
+
+def test_parents_meet_few_children(spark):
+    """The mapping of all children is neither sorted nor shuffled for the few that were found."""
+    found = spark.createDataFrame([(0, 1, 2.0, 7), (0, 2, 1.0, 3)], "query_id bigint, rank int, score double, position bigint")
+    mapping = spark.range(200_000).select(F.col("id").alias("position"), (F.col("id") % 4).cast("string").alias("parent_id"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = shuffled_records(spark)
+        assert [r["parent_id"] for r in fusion.expand_to_parents(found, mapping, 5).collect()] == ["3"]
+        assert fusion.expansion_trace(found, mapping).first()["n_children"] == 2
+        assert shuffled_records(spark) - before < 1000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
