@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from corvane.functions.text import canonical_sha256, text_sha256
+from corvane.operators.scan import text_batches
 
 #: Separators from coarse to fine; the empty one splits characters.
 SEPARATORS = ("\n\n", "\n", "。", "、", " ", "")
@@ -79,6 +80,7 @@ def pieces_column(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Col
 def chunk_sections(sections: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """Sections to chunks: chunk_index and start_index within the stripped section; blank sections give none."""
     bare = sections.withColumn("text", F.regexp_replace("text", r"(?U)^\s+|\s+$", "")).where(F.col("text") != "")
+    text_batches(sections.sparkSession)
     rows = bare.select("*", F.posexplode(pieces_column(F.col("text"), size, overlap)).alias("__index", "__piece"))
     kept = [c for c in sections.columns if c not in ("text", "chunk_index", "start_index")]
     return rows.select(*kept, F.col("__piece.text").alias("text"), F.col("__index").alias("chunk_index"), F.col("__piece.start_index").alias("start_index"))
@@ -89,14 +91,18 @@ def parent_id() -> Column:
     return canonical_sha256(source_url=F.col("source_url"), chunk_index=F.col("chunk_index"), start_index=F.col("start_index"))
 
 
+#: The fields that name a section.
+SECTION_FIELDS = ("anchor", "category", "page_title", "python_version", "section_title", "source_path", "source_url")
+
+
 def section_id() -> Column:
     """Stable id of a section, from its fields other than the text."""
-    names = ("anchor", "category", "page_title", "python_version", "section_title", "source_path", "source_url")
-    return canonical_sha256(**{n: F.col(n) for n in names})
+    return canonical_sha256(**{n: F.col(n) for n in SECTION_FIELDS})
 
 
 def child_chunks(parents: DataFrame, size: int = 400, overlap: int = 100) -> DataFrame:
     """Children of parent chunks, with the mapping to them."""
+    text_batches(parents.sparkSession)
     cut = parents.select("position", "source_url", "page_title", "section_title", "category", parent_id().alias("parent_id"), text_sha256(F.col("text")).alias("parent_text_sha256"), F.posexplode(pieces_column(F.col("text"), size, overlap)).alias("child_index", "piece"))
     return cut.select("parent_id", "parent_text_sha256", F.col("position").alias("parent_position"), "source_url", "page_title", "section_title", "category", "child_index", F.col("piece.start_index").alias("child_start_index"), F.col("piece.text").alias("text"))
 

@@ -101,3 +101,16 @@ def test_parents_meet_few_children(spark):
         assert shuffled_records(spark) - before < 1000
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_pages_come_in_small_batches(spark):
+    """An Arrow batch once had as many pages and sections as the session's default allows."""
+    from corvane.operators import chunk, html
+
+    keys = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    pages = spark.createDataFrame([(1, "https://x.example/", "a", "<main><h1>T</h1><p>words</p></main>")], "page_id bigint, url string, logical_path string, html string")
+    for plan in (lambda: html.parse_pages(pages), lambda: chunk.chunk_sections(pages.select(F.col("html").alias("text"))), lambda: chunk.child_chunks(chunks(spark, ["a"]))):
+        for key in keys:
+            spark.conf.unset(key)
+        plan()
+        assert [int(spark.conf.get(k).rstrip("b")) for k in keys] == [scan.BATCH_TEXTS, scan.BATCH_BYTES]
