@@ -446,11 +446,11 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        ``lanes`` miss it with (1 - s) ** lanes, 3 in a million at 0.8. Their fingerprints of 64 bits a lane are within
        the radius: similarity s leaves a share of acos(2 s / (1 + s)) / pi of the bits different, 77 of 512 at 0.8 with
        a deviation of 8, and 96 for the smallest sets (4 shingles of 5), so 140 is five deviations off at least. A least hash
-       that very many texts share, as boilerplate does, is split by the other lanes: two of eight then are equal, which
-       loses another 1 in 100,000 of such pairs at 0.8.
+       that very many texts share, as boilerplate does, is compared whole, in tiles like any other: finer keys of least hashes
+       would lose pairs in large groups that small ones keep.
     3. Components of the candidates are coarse: no link leaves one. Only texts in one of several nodes meet again, under
-       their coarse component (a very large one: under their lanes, as before), with their shingles; a pair within the radius
-       is linked if its exact similarity says so.
+       their coarse component, with their shingles; a pair within the radius is linked if its exact similarity says so. The
+       work of a group is quadratic in its size, bounded in memory by the tiles, and its result does not depend on its size.
     """
     ids, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     text_batches(docs.sparkSession)
@@ -475,25 +475,12 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")).alias("first")
     # Rows of a node have one set, so one fingerprint and the same least hashes.
     nodes = saved(rows.groupBy("node").agg(first, F.min("fp").alias("fp"), F.min("keys").alias("keys")).select("node", "first.doc_id", "first.row_key", "fp", "keys"), "distinct")
-    lane_keys = nodes.select("node", "keys")
-
-    def by_lane(hot: DataFrame) -> DataFrame:
-        return hot.drop("choice", "bits").join(lane_keys, "node").select(*(c for c in hot.columns if c not in ("choice", "bits")), F.posexplode("keys").alias("choice", "bits"))
-
-    def by_two_lanes(hot: DataFrame) -> DataFrame:
-        names = [c for c in hot.columns if c not in ("choice", "bits")]
-        met = hot.join(lane_keys, "node").select(*names, F.col("choice").alias("one"), F.posexplode("keys").alias("other", "second"), F.col("bits").alias("first_bits")).where("one <> other")
-        low, high = F.least("one", "other"), F.greatest("one", "other")
-        bits = F.when(F.col("one") < F.col("other"), F.xxhash64("first_bits", "second")).otherwise(F.xxhash64("second", "first_bits"))
-        # A row that is hot in both lanes comes twice, which costs time and makes no other link.
-        return met.select(*names, (F.lit(lanes) * (1 + low) + high).alias("choice"), bits.alias("bits"))
-
-    coarse = connected_components(_keyed_links(nodes.select("node", "fp", F.posexplode("keys").alias("choice", "bits")), radius, tile, finer=[by_two_lanes]))
+    coarse = connected_components(_keyed_links(nodes.select("node", "fp", F.posexplode("keys").alias("choice", "bits")), radius, tile))
     asked = coarse.join(nodes, "node").select("node", "fp", "component", F.col("row_key").alias("asked_key"))
     texts = docs.select(row_key.alias("row_key"), text.alias("text"))
     met = texts.join(asked.hint("merge"), F.col("row_key") == F.col("asked_key")).dropDuplicates(["row_key"])
     keyed = saved(met.select("node", "fp", F.lit(0).alias("choice"), F.xxhash64("component").alias("bits"), shingles(F.col("text")).alias("shingles")), "shingles")
-    links = _keyed_links(keyed, radius, tile, threshold, finer=[by_lane, by_two_lanes])
+    links = _keyed_links(keyed, radius, tile, threshold)
     return _named(rows.select("doc_id", "row_key", "node"), nodes.select("node", "doc_id"), links).select("doc_id", "row_key", "node", "component_id")
 
 

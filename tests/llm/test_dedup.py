@@ -196,6 +196,20 @@ def test_boilerplate_that_all_texts_share(spark):
     assert sorted({r["component_id"] for r in got}) == near_model(rows)
 
 
+@pytest.mark.parametrize("lanes", [1, 2])
+def test_large_keys_lose_no_pair(spark, lanes):
+    """Texts of a key of more than ``HOT_TILES`` tiles were once compared only if a second lane agreed too."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(60):
+        text = base.copy()
+        text[rng.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(text)))
+    names = lambda tile: {r["doc_id"]: r["component_id"] for r in S.near_components(docs(spark, rows), lanes=lanes, tile=tile).collect()}
+    assert names(2) == names(1024)
+
+
 def test_keeping_groups_with_clashing_columns_and_empty_tables(spark):
     text = " ".join(f"w{i}" for i in range(50))
     rows = spark.createDataFrame([(2, text, 1, 2, 3), (1, text, 4, 5, 6), (3, None, 7, 8, 9)], "doc_id bigint, text string, __gone int, own_key int, row int")
